@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanforge.llm import bpe_automaton
+from pyspark.sql import functions as F
+
+from spanforge.llm import bpe_automaton, decontamination, language_id, token_count
 from spanforge.llm.common import table
 
 
@@ -16,11 +18,29 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.digests(decontamination.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    langs, model = language_id.fit(language_id.training_sample(docs.where(~held_out)))
+    return language_id.predict(docs, langs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.digests(bpe_automaton.encode_decode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_token_counts": op3_token_counts,
+    "op7_decontamination": op7_decontamination,
+    "op8_language_id": op8_language_id,
     "op10_bpe": op10_bpe,
 }
 
