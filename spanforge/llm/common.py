@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from spanforge.shipping import ship
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -47,6 +49,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list], Iterator[dict] |
     ``make`` is called once a task and gives a function from a batch's columns
     (``{name: list}``) to output columns (``{name: list}``).
     """
+    ship(df.sparkSession)
     kind = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     arrow = to_arrow_schema(kind)
 

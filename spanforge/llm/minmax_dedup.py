@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from spanforge.llm.common import checkpoint, map_rows, text_of
 from spanforge.llm.components import connected
 from spanforge.llm.minmax_sketch import MinMax, WordHashes, set_key, shingles
+from spanforge.shipping import ship
 
 #: Bounds of a block of a bucket: rows, shingles.
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 4_000_000
@@ -107,6 +108,7 @@ def links_between(ids: np.ndarray, groups: np.ndarray, sets: list[np.ndarray], l
 
 def _between_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between components inside buckets; members has band, doc_id and component."""
+    ship(members.sparkSession)
     sized = members.join(sets.select("doc_id", "shingles"), "doc_id")
     size = sized.groupBy("band").agg(F.count("*").alias("rows"), F.sum(F.size("shingles")).alias("held"))
     blocks = F.ceil(F.greatest(F.col("rows") / BLOCK_ROWS, F.col("held") / BLOCK_SHINGLES)).cast("int")

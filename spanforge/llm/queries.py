@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from spanforge.llm import bpe_automaton, decontamination, language_id, license_scan, minmax_dedup, quality_rules, token_count, toxicity, warc
+from spanforge.llm import bpe_automaton, decontamination, language_id, license_scan, minmax_dedup, quality_rules, rindex_dedup, token_count, toxicity, warc
 from spanforge.llm.common import table
 
 
@@ -56,6 +56,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, langs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op9_rindex_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rindex_dedup.digests(rindex_dedup.repeats(table(spark, sf_dir, "documents")))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.digests(bpe_automaton.encode_decode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
 
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc": op6_warc,
     "op7_decontamination": op7_decontamination,
     "op8_language_id": op8_language_id,
+    "op9_rindex_dedup": op9_rindex_dedup,
     "op10_bpe": op10_bpe,
 }
 

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.llm.common import map_rows, shared_dir
+from spanforge.shipping import ship
 
 STEP_BYTES = 1 << 16
 ROWS_PER_ARCHIVE = 2_000
@@ -160,6 +161,7 @@ def read(spark: SparkSession, path: str, *, payloads: bool = False) -> DataFrame
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], schema.field(n).type) for n in names], schema=schema)
 
+    ship(spark)
     archives = spark.read.format("binaryFile").load(path).where("length > 0").select("content")
     return archives.mapInArrow(run, ", ".join(f"{n} {kinds.get(n, 'string')}" for n in names))
 
