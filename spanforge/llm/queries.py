@@ -30,10 +30,15 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def held_in_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels that may be learned from."""
+    return table(spark, sf_dir, "labels").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
-    stems, weights = toxicity.fit(toxicity.training_sample(docs, table(spark, sf_dir, "labels").where(~held_out)))
+    stems, weights = toxicity.fit(toxicity.training_sample(docs, held_in_labels(spark, sf_dir)))
     return toxicity.predict(docs, stems, weights).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
