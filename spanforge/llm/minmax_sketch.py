@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 #: Words whose hashes a task remembers at a time.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 100_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
