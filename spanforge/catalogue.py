@@ -1,4 +1,10 @@
-"""Queries over the driver's tables and the SQL that they are compared with."""
+"""Queries over the driver's tables, one an operator, and the SQL that they are compared with.
+
+The tables play roles: events are timestamped hits of a user, conversations are
+caption lines, documents are texts, pages are URLs and markup, embeddings are
+thumbnails or histograms, labels are gold flags. Words that the synthetic texts
+hold stand in for lexicons. Whole tables are read.
+"""
 
 from __future__ import annotations
 
@@ -8,28 +14,273 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Gap between hits of one user that starts a new group, in microseconds (6 hours).
-GAP_US = 21_600_000_000
+from spanforge.functions import text as T
+from spanforge.functions import urls as U
+from spanforge.operators import evaluate, folds, intervals, islands, sampling, windows
+from spanforge.plans import judge as J
+
+#: Six hours and one hour in microseconds.
+GAP_US, HOUR_US = 21_600_000_000, 3_600_000_000
+STRONG, MEDIUM, GUARD = ("thered", "tionent", "eneau"), ("with", "from", "this", "dans", "nicht"), ("stupid", "idiot")
+DEMO_CLASSES = (("price", r"[0-9]{3,}", 2), ("offer", r"(^|[^a-z])(with|avec|mit)([^a-z]|$)", 2), ("cta", r"(^|[^a-z])(from|dans|nicht)([^a-z]|$)", 2), ("sponsor", r"licensed", 2))
+DEMO_EDITORIAL = r"(^|[^a-z])(that|des)([^a-z]|$)"
 
 
 def _load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def gap_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = _load(spark, sf_dir, "events").where("value >= 10").select("user_id", "event_id", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    w = W.partitionBy("user_id").orderBy("us", "event_id")
-    grouped = hits.withColumn("starts", F.coalesce((F.col("us") - F.lag("us").over(w) > GAP_US).cast("int"), F.lit(1))).withColumn("grp", F.sum("starts").over(w))
-    return grouped.groupBy("user_id", "grp").agg(F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.count("*").alias("n_hits"), F.round(F.sum("value"), 2).alias("score"))
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _load(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+
+
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event as an interval that lasts its value in minutes."""
+    return _events(spark, sf_dir).select("user_id", "event_id", "event_type", "value", F.col("us").alias("s"), (F.col("us") + F.floor(F.col("value") * 60_000_000).cast("long")).alias("e"))
+
+
+_SPANS = "spans AS (SELECT user_id, event_id, event_type, value, epoch_us(ts) AS s, epoch_us(ts) + CAST(floor(value * 60000000) AS BIGINT) AS e FROM events)"
+
+
+def hit_filter(spark, d):
+    return _load(spark, d, "events").where("value >= 2").select("event_id", "user_id", "value")
+
+
+def gap_islands(spark, d):
+    hits = _events(spark, d).where("value >= 10")
+    g = islands.gap_groups(hits, ["user_id"], "us", "us", ["us", "event_id"], GAP_US)
+    return g.groupBy("user_id", "grp").agg(F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.count("*").alias("n_hits"), F.round(F.sum("value"), 2).alias("score"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("triggers"))
+
+
+def token_related_groups(spark, d):
+    c = _load(spark, d, "conversations").withColumn("s", F.col("turn") * 100)
+    c = c.withColumn("tokens", F.filter(F.split(F.lower(T.text("text")), "[^a-z]+"), lambda w: F.length(w) > 8))
+    g = islands.gap_groups(c, ["conv_id"], "s", "s", ["turn"], 50, tokens="tokens")
+    return g.groupBy("conv_id", "grp").agg(F.count("*").alias("n_turns"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"))
+
+
+def two_level_gap_groups(spark, d):
+    g = islands.two_level_groups(_events(spark, d), ["user_id"], "us", "us", ["us", "event_id"], GAP_US, 3 * GAP_US, F.col("event_type").isin("click", "view"))
+    return g.groupBy("user_id", "grp").agg(F.count("*").alias("n"), F.min("us").alias("start_us"), F.max("us").alias("end_us"))
+
+
+def interval_union(spark, d):
+    g = islands.interval_groups(_spans(spark, d), ["user_id"], "s", "e", ["s", "event_id"], HOUR_US)
+    return g.groupBy("user_id", "grp").agg(F.min("s").alias("start_us"), F.max("e").alias("end_us"), F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("score"))
+
+
+def keyed_interval_merge(spark, d):
+    g = islands.keyed_interval_groups(_spans(spark, d), ["user_id"], ["event_type"], "s", "e", ["s", "e", "event_id"], GAP_US)
+    return g.groupBy("user_id", "grp").agg(F.min("s").alias("start_us"), F.max("e").alias("end_us"), F.first("event_type").alias("event_type"), F.count("*").alias("n"))
+
+
+def nearest_snap(spark, d):
+    e = _events(spark, d)
+    cuts = e.where("event_type = 'view'")
+    out = intervals.snap_nearest(e.where("event_type = 'click'").select("user_id", "event_id", "us"), cuts, ["user_id"], "us", HOUR_US, row_id=["event_id"], seq="event_id")
+    return out.select("user_id", "event_id", "us", "snapped")
+
+
+def overlap_semi_filter(spark, d):
+    s = _spans(spark, d)
+    kept = intervals.overlap_semi(s.where("event_type = 'click'"), s.where("event_type = 'view'"), ["user_id"], HOUR_US, start="s", end="e", row_id=["event_id"])
+    return kept.select("user_id", "event_id")
+
+
+def tolerance_anti(spark, d):
+    e = _events(spark, d)
+    left = e.where("event_type = 'click'")
+    return intervals.near_anti(left, e.where("event_type = 'view'"), ["user_id"], "us", GAP_US, row_id=["event_id"]).select("user_id", "event_id")
+
+
+def context_before_span_after(spark, d):
+    rows = _load(spark, d, "conversations").select("conv_id", "turn", (F.col("turn") * 10).alias("start"), (F.col("turn") * 10 + 8).alias("end"))
+    spans = rows.where("turn % 4 = 2").select("conv_id", F.col("turn").alias("span"), F.col("start").alias("span_start"), F.col("end").alias("span_end"))
+    out = intervals.context_rows(spans, rows, ["conv_id"], pad=20, before=1, inside=2, after=2, order="turn", span_id=["span"])
+    return out.select("conv_id", "span", "turn", "part")
+
+
+def span_hits_top_n(spark, d):
+    s = _spans(spark, d)
+    spans = s.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("span"), F.col("s").alias("span_start"), F.col("e").alias("span_end"))
+    hits = s.select("user_id", "event_id", "s")
+    return intervals.first_in_span(spans, hits, ["user_id"], "s", HOUR_US, 25, span_id=["span"], order=["s", "event_id"]).select("user_id", "span", "event_id", F.col("rank").cast("long").alias("rank"))
+
+
+def refine_start(spark, d):
+    s = _spans(spark, d)
+    spans = s.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("span"), F.col("s").alias("span_start"), F.col("e").alias("span_end"))
+    hits = s.where("event_type <> 'purchase' AND value >= 5")
+    return intervals.refined_start(spans, hits, ["user_id"], span_id=["span"], time="s", seq="event_id", back=HOUR_US).select("user_id", "span", "span_start", "span_end")
+
+
+def interval_iou(spark, d):
+    s = _spans(spark, d)
+    w = W.partitionBy("user_id").orderBy("s", "event_id")
+    paired = s.withColumn("ps", F.lag("s").over(w)).withColumn("pe", F.lag("e").over(w)).where("ps IS NOT NULL")
+    return paired.select("user_id", "event_id", F.round(intervals.iou(F.col("s"), F.col("e"), F.col("ps"), F.col("pe")), 6).alias("iou"))
+
+
+def hopping_text_windows(spark, d):
+    c = _load(spark, d, "conversations").select("conv_id", "turn", (F.col("turn") * 10).alias("s"), (F.col("turn") * 10 + 8).alias("e"), "text")
+    w = windows.hopping_text(c, ["conv_id"], start="s", end="e", text="text", order="turn", width=25.0, hop=12.0)
+    return w.select("conv_id", "win", "win_start", "win_end", F.md5("text").alias("text_md5"))
+
+
+def weighted_lexicon_score(spark, d):
+    return _load(spark, d, "documents").select("doc_id", T.lexicon_score("text", STRONG, MEDIUM).cast("long").alias("score"))
+
+
+def identity_guard(spark, d):
+    return _load(spark, d, "documents").select("doc_id", T.lexicon_score("text", STRONG, MEDIUM, guard=GUARD).cast("long").alias("score"))
+
+
+def class_pattern_score(spark, d):
+    low = F.lower("text")
+    return _load(spark, d, "documents").select("doc_id", T.class_score(low, DEMO_CLASSES, editorial=DEMO_EDITORIAL).cast("long").alias("score"), F.array_join(T.class_triggers(low, DEMO_CLASSES), ",").alias("triggers"))
+
+
+def bow_cosine(spark, d):
+    words = lambda t: F.filter(F.split(F.lower(T.text(t)), "[^a-z]+"), lambda w: F.length(w) > 3)
+    docs = _load(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda r: r["text"]), " ").alias("text"))
+    bags = docs.select("conv_id", words("text").alias("tokens"))
+    items = _load(spark, d, "benchmark").select("item_id", words("text").alias("tokens"))
+    return windows.pairwise_cosine(bags, items, "conv_id", "item_id").select("conv_id", "item_id", F.round("cosine", 6).alias("cosine"))
+
+
+def suppressed_top_k(spark, d):
+    e = _events(spark, d).withColumn("cents", F.round(F.col("value") * 100).cast("long"))
+    return windows.suppressed_top(e, ["user_id"], score="cents", start="us", seq="event_id", apart=4 * GAP_US, k=5).select("user_id", "event_id", F.col("us").alias("start_us"), "cents")
+
+
+def normalise_text(spark, d):
+    return _load(spark, d, "documents").select("doc_id", F.md5(T.normalise("text")).alias("norm_md5"), F.length(T.normalise("text")).cast("long").alias("n"))
+
+
+def phone_extract(spark, d):
+    return _load(spark, d, "documents").select("doc_id", F.array_join(T.phones("text"), ",").alias("phones"))
+
+
+def chrome_filter(spark, d):
+    lines = _load(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    return lines.where(T.is_chrome("t", ("the", "of", "and", "is", "la", "de", "der"))).select("doc_id", F.col("line").cast("long").alias("line"))
+
+
+def brand_candidate(spark, d):
+    lines = _load(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    return lines.where(T.is_brand_candidate("t")).groupBy("doc_id").agg(F.count("*").alias("n_lines"))
+
+
+def title_brand(spark, d):
+    return _load(spark, d, "documents").select("doc_id", T.title_brand("text", {"apache": "Apache"}).alias("brand"))
+
+
+def best_banner(spark, d):
+    t = _load(spark, d, "documents").select("source", "doc_id", "text", T.class_score(F.lower("text"), DEMO_CLASSES, editorial=None).alias("score"))
+    best = t.groupBy("source").agg(F.max_by("doc_id", F.struct("score", F.length("text"), -F.col("doc_id"))).alias("doc_id"), F.max("score").cast("long").alias("score"))
+    return best.select("source", "doc_id", "score")
+
+
+def url_normalise(spark, d):
+    return _load(spark, d, "pages").select("page_id", U.normalise_url("url", r"^(ref|utm_[^=]*)(=|$)").alias("url"))
+
+
+def url_ids(spark, d):
+    return _load(spark, d, "pages").select("page_id", U.host("url").alias("host"), U.video_id("url").alias("video_id"), U.platform("url").alias("platform"))
+
+
+def kind_inference(spark, d):
+    p = _load(spark, d, "pages").withColumn("hint", F.when(F.col("page_id") % 7 == 0, "live").otherwise("")).withColumn("dur", F.when(F.col("page_id") % 3 > 0, F.length("html").cast("double") / 10))
+    return p.select("page_id", U.kind("url", F.col("hint"), F.col("dur")).alias("kind"))
+
+
+def error_classify(spark, d):
+    return _load(spark, d, "documents").select("doc_id", T.classify_error("text", (("first", ("thered", "429")), ("second", ("that", "private")), ("third", ("la ", "timeout")))).alias("code"))
+
+
+def markup_clean(spark, d):
+    return _load(spark, d, "pages").select("page_id", F.md5(T.strip_markup("html")).alias("text_md5"))
+
+
+def sampling_plan(spark, d):
+    m = _load(spark, d, "conversations").groupBy("conv_id").agg(F.sum(F.length("text")).alias("n")).select("conv_id", (F.col("n") * 2.5).alias("duration"))
+    p = m.select("conv_id", F.posexplode(sampling.sampling_points(F.col("duration"), F.lit("vod"))).alias("i", "t"))
+    return p.select("conv_id", F.col("i").cast("long").alias("i"), F.round("t", 3).alias("t"))
+
+
+def mae_skip(spark, d):
+    e = _load(spark, d, "embeddings").select("label", "vec_id", "embedding")
+    return folds.near_duplicate_plan(e, ["label"], order="vec_id", thumb="embedding", least=1.1).select("vec_id", "source", "reused")
+
+
+def rolling_dedupe(spark, d):
+    c = _load(spark, d, "conversations").select("conv_id", "turn", (F.col("turn") * 2).alias("s"), (F.col("turn") * 2 + 2).alias("e"), F.substring("text", 1, 3).alias("t"))
+    return folds.rolling_dedupe(c, ["conv_id"], order="turn", start="s", end="e", text="t", within=3.0).select("conv_id", "turn", "s", "e", "t")
+
+
+def lag_distance_cuts(spark, d):
+    e = _load(spark, d, "embeddings").select("label", "vec_id", F.transform("embedding", F.abs).alias("h"))
+    return sampling.scene_cuts(e, ["label"], time="vec_id", hist="h", least=0.35, most=40).select("label", "vec_id", F.round("distance", 4).alias("distance"))
+
+
+def rule_judge(spark, d):
+    s = _spans(spark, d)
+    g = islands.interval_groups(s, ["user_id"], "s", "e", ["s", "event_id"], GAP_US)
+    c = g.groupBy("user_id", "grp").agg(((F.min("s") % (1000 * GAP_US)) / 1e9).alias("start_s"), ((F.max("e") % (1000 * GAP_US)) / 1e9).alias("end_s"), F.array_sort(F.collect_set("event_type")).alias("types"), F.count("*").cast("int").alias("score"))
+    names = F.create_map(*[F.lit(x) for pair in (("click", "cta"), ("view", "price"), ("purchase", "sponsor"), ("signup", "phone"), ("error", "promo")) for x in pair])
+    c = c.withColumn("triggers", F.array_compact(F.transform("types", lambda t: names[t]))).withColumn("source", F.when(F.col("grp") % 2 == 0, "asr").otherwise("ocr"))
+    brand, none = F.when(F.col("grp") % 3 == 0, "x").otherwise(""), F.lit("")
+    reason = J.reject_reason(F.col("start_s"), F.col("end_s"), F.col("source"), F.col("triggers"), none, F.col("score"), brand)
+    return c.select("user_id", "grp", reason.alias("reason"), J.ad_type(F.lit("vod"), F.col("start_s"), F.col("source"), F.col("triggers"), none).alias("ad_type"), J.confidence(F.col("score")).alias("confidence"))
+
+
+def cache_key(spark, d):
+    return _load(spark, d, "documents").select("doc_id", T.cache_key(F.lit("vod"), F.col("source"), F.substring(T.text("text"), 1, 400)).alias("cache_key"))
+
+
+def persist_tracks(spark, d):
+    e = _events(spark, d)
+    p = islands.persistent(e, ["user_id", "event_type"], "us", ["us", "event_id"], forget=4 * GAP_US, least=4 * GAP_US)
+    return p.select("user_id", "event_type", "track", "first_seen", "last_seen", "n_seen", "proposed")
+
+
+def silence_commit(spark, d):
+    """Commits of tracks in event time: silence closes a track, short ones are dropped."""
+    p = islands.persistent(_events(spark, d).where("value >= 5"), ["user_id"], "us", ["us", "event_id"], forget=GAP_US, least=HOUR_US)
+    return p.where("proposed").select("user_id", F.col("first_seen").alias("start_us"), F.col("last_seen").alias("end_us"), (F.col("last_seen") + GAP_US).alias("committed_us"), "n_seen")
+
+
+def eval_prf(spark, d):
+    docs, labels = _load(spark, d, "documents"), _load(spark, d, "labels")
+    both = labels.join(docs, "doc_id").select(F.col("quality").alias("gold"), "lang", (F.length("text") > 200).alias("predicted"))
+    out = evaluate.flag_scores(both, F.col("predicted"), F.col("gold") == 1, ["lang"])
+    return out.select("lang", "tp", "fp", "fn", "precision", "recall", "f1")
+
+
+def interval_matches(spark, d):
+    s = _spans(spark, d).withColumn("day", F.floor(F.col("s") / 86_400_000_000)).withColumn("key", F.concat_ws("-", "user_id", "day"))
+    rows = s.select("key", F.col("event_id").alias("seq"), ((F.col("s") % 86_400_000_000) / 1e6).alias("start_s"), ((F.col("s") % 86_400_000_000 + F.col("e") - F.col("s")) / 1e6).alias("end_s"), "event_type")
+    m = evaluate.matched(rows.where("event_type = 'click'"), rows.where("event_type = 'view'"), "key", least=0.1)
+    return m.select("key", "tp", "fp", "fn", F.round("mean_iou", 6).alias("mean_iou"))
+
 
+def run_stats(spark, d):
+    """Per event type: counts, mean, and the 95th of 100 by rank (the largest below 20 rows)."""
+    e = _load(spark, d, "events").where("value IS NOT NULL")
+    n, p95 = F.count("*").alias("n"), F.sort_array(F.collect_list("value"))
+    s = e.groupBy("event_type", "user_id").agg(n, F.round(F.avg("value"), 8).alias("mean"), p95.alias("v"))
+    rank = F.when(F.col("n") < 20, F.col("n")).otherwise(F.ceil(F.col("n") * 0.95))
+    return s.select("event_type", "user_id", "n", "mean", F.element_at("v", rank.cast("int")).alias("p95"))
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"gap_islands": gap_islands}
 
-ORACLES: dict[str, str] = {
-    "gap_islands": f"""
-        WITH h AS (SELECT user_id, event_id, value, epoch_us(ts) AS us FROM events WHERE value >= 10),
-        f AS (SELECT *, CASE WHEN us - lag(us) OVER w <= {GAP_US} THEN 0 ELSE 1 END AS starts FROM h WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)),
-        g AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY us, event_id) AS grp FROM f)
-        SELECT user_id, CAST(grp AS BIGINT) AS grp, min(us) AS start_us, max(us) AS end_us, count(*) AS n_hits, round(sum(value), 2) AS score
-        FROM g GROUP BY user_id, grp""",
-}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        hit_filter, gap_islands, token_related_groups, two_level_gap_groups, interval_union, keyed_interval_merge, nearest_snap,
+        overlap_semi_filter, tolerance_anti, context_before_span_after, span_hits_top_n, refine_start, interval_iou, hopping_text_windows,
+        weighted_lexicon_score, identity_guard, class_pattern_score, bow_cosine, suppressed_top_k, normalise_text, phone_extract,
+        chrome_filter, brand_candidate, title_brand, best_banner, url_normalise, url_ids, kind_inference, error_classify, markup_clean,
+        sampling_plan, mae_skip, rolling_dedupe, lag_distance_cuts, rule_judge, cache_key, persist_tracks, silence_commit, eval_prf,
+        interval_matches, run_stats,
+    )
+}
