@@ -39,7 +39,7 @@ def cues(files: DataFrame, key: str, body: str) -> DataFrame:
 
 def read_vtt(spark: SparkSession, path: str) -> DataFrame:
     """Caption lines of the files under a path, with file and language; each file is one text."""
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     return cues(files, "file", "value").withColumn("lang", language_of(F.col("file")))
 
 
