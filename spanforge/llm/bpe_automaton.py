@@ -31,7 +31,9 @@ from spanforge.llm.common import map_rows, text_of
 #: Fixed value: the split pattern of byte-level BPE vocabularies of this kind.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words whose ids a task remembers at a time.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
+#: Arcs that a transition table holds at a time.
+MOST_ARCS = 300_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -85,7 +87,7 @@ class MergeAutomaton:
         key = (last, arc)
         found = self.arcs.get(key)
         if found is None:
-            if len(self.arcs) > 2_000_000:
+            if len(self.arcs) >= MOST_ARCS:
                 self.arcs.clear()
             found = self.arcs[key] = self._has(last, 1 << 60, arc)
         return found

@@ -47,7 +47,7 @@ class RunLengthIndex:
         depth = _FIRST
         while True:
             packed = np.sort((key << _BITS) | index)
-            order = (packed & _MASK).astype(np.int64)
+            order = (packed & _MASK).astype(np.int32)
             packed >>= _BITS
             new = np.empty(n, bool)
             new[0], new[1:] = True, packed[1:] != packed[:-1]
@@ -61,8 +61,8 @@ class RunLengthIndex:
                 key[: n - depth] |= rank[depth:].astype(np.uint64)
             depth *= 2
         self.order = order
-        self.place = np.empty(n, np.int64)
-        self.place[order] = np.arange(n)
+        self.place = np.empty(n, np.int32)
+        self.place[order] = np.arange(n, dtype=np.int32)
 
     def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Lengths of the longest common prefixes of suffixes at x and y, up to ``depth`` or a little more."""

@@ -33,9 +33,9 @@ from spanforge.llm.rindex import MOST_BYTES, repeated_windows
 from spanforge.shipping import ship
 
 #: Runs in a group at most (of one frequent key, in two blocks), and runs that groups of other keys have on average.
-KEY_RUNS, GROUP_RUNS = 2_000, 4_000
+KEY_RUNS, GROUP_RUNS = 1_400, 2_500
 #: Bytes that one index takes (of more keys than one).
-INDEX_BYTES = 1_000_000
+INDEX_BYTES = 600_000
 _SPANS = "array<struct<start:long,end:long>>"
 
 
