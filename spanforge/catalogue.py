@@ -273,6 +273,28 @@ def run_stats(spark, d):
     return s.select("event_type", "user_id", "n", "mean", F.element_at("v", rank.cast("int")).alias("p95"))
 
 
+def brand_signature(spark, d):
+    return _load(spark, d, "documents").select("doc_id", F.md5(T.signature("text", {"apache": "Apache"})).alias("signature_md5"))
+
+
+def event_sessions(spark, d):
+    """Event-time sessions by a gap, as a stream would have them."""
+    from spanforge.streaming.ticks import session_counts
+
+    e = _load(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = session_counts(e, "user_id")
+    return out.select("user_id", F.unix_micros("start").alias("start_us"), (F.unix_micros("end") - GAP_US).alias("last_us"), "n", F.round("value", 2).alias("value"))
+
+
+def scene_break_hits(spark, d):
+    """Changes of a histogram of HARD size whose document scores, in order of vectors of a label."""
+    e = _load(spark, d, "embeddings").join(_load(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id")
+    w = W.partitionBy("label").orderBy("vec_id")
+    h = e.withColumn("h", F.transform("embedding", F.abs)).withColumn("distance", sampling.bhattacharyya(F.lag("h").over(w), F.col("h")))
+    scored = h.withColumn("score", T.class_score(F.lower("text"), DEMO_CLASSES, editorial=None))
+    return scored.where("distance >= 0.35 AND score >= 2").select("label", "vec_id", F.col("score").cast("long").alias("score"), F.round("distance", 4).alias("distance"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -281,6 +303,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         weighted_lexicon_score, identity_guard, class_pattern_score, bow_cosine, suppressed_top_k, normalise_text, phone_extract,
         chrome_filter, brand_candidate, title_brand, best_banner, url_normalise, url_ids, kind_inference, error_classify, markup_clean,
         sampling_plan, mae_skip, rolling_dedupe, lag_distance_cuts, rule_judge, cache_key, persist_tracks, silence_commit, eval_prf,
-        interval_matches, run_stats,
+        interval_matches, run_stats, brand_signature, event_sessions, scene_break_hits,
     )
 }
