@@ -14,13 +14,16 @@ rows; an empty table, or an empty benchmark, gives rows without hits.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.llm.common import map_rows, text_of
+from spanforge.shipping import ship
 
 #: Benchmark bytes that one automaton takes; a larger benchmark is scanned in blocks of this size.
 BLOCK_BYTES = 8 << 20
@@ -112,14 +115,42 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, words: int = 10, block_bytes:
     broadcast automaton; beyond, blocks of that size scan in turn, inside the
     same tasks and without a shuffle.
     """
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL")
-    size = items.agg(F.sum(F.octet_length("text") + F.octet_length("item_id"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
+    blocks = _blocks(benchmark, block_bytes)
     state = text_of(docs, id_col, text_col).withColumns({"n_words": F.lit(0).cast("long"), "runs": F.expr(f"CAST(array() AS {_HITS})"), "items": F.expr("CAST(array() AS array<string>)")})
-    for b in range(blocks):
-        state = _scan(state, items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b), words, b == blocks - 1)
+    for i, items in enumerate(blocks, 1):
+        state = _scan(state, items, words, i == len(blocks))
     return state
 
 
+def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
+    """The benchmark in parts of about ``block_bytes``, by its measured size."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL")
+    size = items.agg(F.sum(F.octet_length("text") + F.octet_length("item_id"))).first()[0] or 0
+    n = max(1, -(-size // block_bytes))
+    return [items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == b) for b in range(n)]
+
+
+def is_clean(text: Column, benchmark: DataFrame, *, words: int = 10, block_bytes: int = BLOCK_BYTES) -> Column:
+    """Whether a text holds no window, as a column, so that rows can be kept or dropped where they are, without a join."""
+    spark = benchmark.sparkSession
+    ship(spark)
+    out = F.lit(True)
+    for items in _blocks(benchmark, block_bytes):
+        shipped = spark.sparkContext.broadcast([(str(r.item_id), r.text) for r in items.collect()])
+        out = out & _clean_of(shipped, words)(text.cast("string"))
+    return out
+
+
+def _clean_of(shipped, words: int):
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        auto, known = automaton_of(shipped.value, words)
+        for texts in batches:
+            flat = (f" {b' '.join(words_of(t)).decode('latin-1')} " for t in texts)
+            yield pd.Series([not known or next(auto.iter(x), None) is None for x in flat], dtype=bool)
+
+    return clean
+
+
 def digests(scanned: DataFrame) -> DataFrame:
     return scanned.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from spanforge.llm import bpe_automaton, decontamination, language_id, license_scan, minmax_dedup, quality_rules, rindex_dedup, token_count, toxicity, warc
 from spanforge.llm.common import table
+from spanforge.llm.oracles import ORACLES as ORACLES
 
 
 def vocabulary(name: str) -> str:
@@ -81,7 +82,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_rindex_dedup": op9_rindex_dedup,
     "op10_bpe": op10_bpe,
 }
-
-ORACLES: dict[str, str] = {
-    "op1_quality_rules": quality_rules.ORACLE,
-}

@@ -15,6 +15,7 @@ from spanforge.llm import queries as q
 from spanforge.llm.common import shared_dir
 from spanforge.llm.minmax_sketch import MinMax, WordHashes, linked, set_key, shingles
 from spanforge.llm.rindex import RunLengthIndex, repeated_windows
+from tests.compare import assert_same, oracle
 from tests.conftest import DATA
 
 SF = f"{DATA}/sf0.001"
@@ -224,6 +225,11 @@ def test_warc_files(spark, tmp_path):
     assert warc.read(spark, path).count() == 0
 
 
+@pytest.mark.parametrize("name", ["op5_minmax_dedup", "op6_warc", "op7_decontamination"])
+def test_queries_equal_their_sql(spark, name):
+    assert_same(q.QUERIES[name](spark, SF).toPandas(), oracle(q.ORACLES[name], "sf0.001"))
+
+
 def test_damaged_archives_are_refused():
     good = warc.member(warc.record(1, "u", b"payload", warc.base32_sha1(b"payload"), None))
     assert [f["warc-type"] for f, _ in warc.records(good + good)] == ["response", "response"]

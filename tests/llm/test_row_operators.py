@@ -155,6 +155,8 @@ def test_decontamination(spark, odd, none):
     for kw in ({}, {"block_bytes": 2000}):  # one automaton, and many blocks
         got = {r.doc_id: (r.n_words, r.n_hit, r.items) for r in dc.scan(docs, bench, **kw).collect()}
         assert got == want
+        clean = {r.doc_id for r in docs.where(dc.is_clean(docs.text, bench, **kw)).select("doc_id").collect()}
+        assert clean == {i for i, (_, hit, _) in want.items() if not hit}
     assert dc.scan(odd, bench).count() == odd.count() and dc.scan(none, bench).count() == 0
     assert all(r.n_hit == 0 for r in dc.scan(odd, bench.limit(0)).collect())
     digest = {r.doc_id: r for r in q.op7_decontamination(spark, SF).collect()}
@@ -285,5 +287,7 @@ def test_op4_held_out(spark, odd, none):
     assert auc > 0.9 and held.predicted[y == 0].mean() < 0.02 and ((held.score >= 0.5) == (held.predicted == 1)).all()
     stems, weights = tox.fit([("an oaf here", 1)] * 40 + [("clean words here", 0)] * 400)
     rows = tox.predict(odd, stems, weights).collect()
+    column = {round(r[0], 12) for r in odd.select(tox.score_column(spark, odd.text, stems, weights)).collect()}
+    assert column == {round(r.score, 12) for r in rows}
     assert len(rows) == odd.count() and len({r.score for r in rows}) == 1 and tox.predict(none, stems, weights).count() == 0
     assert tox.fit([])[0] == {} and 0 <= tox.score_of(tox.Counter(), tox.fit([])[1]) < 0.5
