@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -16,7 +17,7 @@ def hopping_text(df: DataFrame, key: Sequence[str], *, start: str, end: str, tex
     """
     rows = df.select(*key, F.col(start).cast("double").alias("s"), F.col(end).cast("double").alias("e"), F.col(text).alias("t"), F.col(order).alias("o"), *([F.col(until).cast("double").alias("u")] if until else []))
     if until is None:
-        rows = rows.join(rows.groupBy(*key).agg(F.max("e").alias("u")), list(key))
+        rows = rows.withColumn("u", F.max("e").over(W.partitionBy(*key)))
     first, last = F.greatest(F.floor((F.col("s") - width) / hop) + 1, F.lit(0)), F.ceil(F.col("e") / hop) - 1
     dealt = rows.where(first <= last).withColumn("win", F.explode(F.sequence(first.cast("long"), last.cast("long")))).where(F.col("win") * hop < F.col("u") - 1)
     out = dealt.groupBy(*key, "win").agg(F.first("u").alias("u"), F.array_sort(F.collect_list(F.struct("o", "t"))).alias("rows"))
