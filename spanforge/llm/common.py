@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -43,6 +43,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a batch that are Python objects at a time.
+ROWS_AT_ONCE = 512
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[list], Iterator[dict] | dict]], schema: str | StructType) -> DataFrame:
     """Run ``make()(rows)`` over Arrow batches.
 
@@ -56,14 +60,29 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list], Iterator[dict] |
     def run(batches):
         work = make()
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            out = work({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                out = work({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
+                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, kind)
 
 
+def column_of(spark: SparkSession, make: Callable[[], Callable[[list], list]], kind: str, source: Column) -> Column:
+    """A column of ``make()(values)``; ``make`` is called once a task. Rows stay where they are."""
+    ship(spark)
+    arrow = to_arrow_schema(StructType.fromDDL(f"x {kind}")).field(0).type
+
+    @F.arrow_udf(kind)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        work = make()
+        for values in batches:
+            parts = [pa.array(work(values.slice(at, ROWS_AT_ONCE).to_pylist()), arrow) for at in range(0, len(values), ROWS_AT_ONCE)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], arrow)
+
+    return run(source)
+
+
 def text_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, so that further columns can't clash with outputs."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -14,16 +14,13 @@ rows; an empty table, or an empty benchmark, gives rows without hits.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import map_rows, text_of
-from spanforge.shipping import ship
+from spanforge.llm.common import column_of, map_rows, text_of
 
 #: Benchmark bytes that one automaton takes; a larger benchmark is scanned in blocks of this size.
 BLOCK_BYTES = 8 << 20
@@ -132,24 +129,20 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
 
 def is_clean(text: Column, benchmark: DataFrame, *, words: int = 10, block_bytes: int = BLOCK_BYTES) -> Column:
     """Whether a text holds no window, as a column, so that rows can be kept or dropped where they are, without a join."""
-    spark = benchmark.sparkSession
-    ship(spark)
-    out = F.lit(True)
+    spark, out = benchmark.sparkSession, F.lit(True)
     for items in _blocks(benchmark, block_bytes):
         shipped = spark.sparkContext.broadcast([(str(r.item_id), r.text) for r in items.collect()])
-        out = out & _clean_of(shipped, words)(text.cast("string"))
+        out = out & column_of(spark, _clean_of(shipped, words), "boolean", text.cast("string"))
     return out
 
 
 def _clean_of(shipped, words: int):
-    @F.pandas_udf("boolean")
-    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def make():
         auto, known = automaton_of(shipped.value, words)
-        for texts in batches:
-            flat = (f" {b' '.join(words_of(t)).decode('latin-1')} " for t in texts)
-            yield pd.Series([not known or next(auto.iter(x), None) is None for x in flat], dtype=bool)
+        flat = lambda t: f" {b' '.join(words_of(t)).decode('latin-1')} "
+        return lambda texts: [not known or next(auto.iter(flat(t)), None) is None for t in texts]
 
-    return clean
+    return make
 
 
 def digests(scanned: DataFrame) -> DataFrame:

@@ -19,16 +19,13 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 from math import exp, log, log1p
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import map_rows, text_of
-from spanforge.shipping import ship
+from spanforge.llm.common import column_of, map_rows, text_of
 
 #: Bounds of the training sample: rows of label 1 and of label 0, characters a row.
 TOXIC_ROWS, CLEAN_ROWS = 2_000, 9_000
@@ -306,14 +303,11 @@ def predict(docs: DataFrame, stems: dict[str, float], weights: list[float], *, i
 
 def score_column(spark: SparkSession, text: Column, stems: dict[str, float], weights: list[float]) -> Column:
     """The score as a column, so that rows can be kept or dropped where they are, without a join."""
-    ship(spark)
     shipped = spark.sparkContext.broadcast((stems, weights))
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def make():
         stems, weights = shipped.value
         matcher = Matcher(stems)
-        for texts in batches:
-            yield pd.Series([score_of(matcher.clauses(t), weights) for t in texts], dtype="float64")
+        return lambda texts: [score_of(matcher.clauses(t), weights) for t in texts]
 
-    return score(text.cast("string"))
+    return column_of(spark, make, "double", text.cast("string"))
