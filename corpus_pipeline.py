@@ -17,22 +17,16 @@ from spanforge.llm.common import shared_dir, table
 from spanforge.llm.queries import held_in_labels, vocabulary
 
 
-def _only(docs: DataFrame, verdicts: DataFrame, keep: str) -> DataFrame:
-    """Rows of docs but those that a verdict rejects; rows without an id are kept."""
-    rejected = verdicts.where(~F.col(keep) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(rejected, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the pattern grammar, fitted to labelled rows, scores 0.5 or more go."""
     stems, weights = toxicity.fit(toxicity.training_sample(docs, held_in_labels(spark, sf_dir)))
-    scored = toxicity.predict(docs, stems, weights)
-    return _only(docs, scored.withColumn("keep", F.col("score") < 0.5), "keep")
+    return docs.where(toxicity.score_column(spark, F.col("text"), stems, weights) < 0.5)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates the document with the smallest id stays (its repeated rows with it)."""
-    return _only(docs, minmax_dedup.near_duplicates(docs), "kept")
+    found = minmax_dedup.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("__id"))
+    return docs.join(found, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +37,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window go."""
-    scanned = decontamination.scan(docs, table(spark, sf_dir, "benchmark"))
-    return _only(docs, scanned.withColumn("keep", F.col("n_hit") == 0), "keep")
+    return docs.where(decontamination.is_clean(F.col("text"), table(spark, sf_dir, "benchmark")))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
