@@ -183,7 +183,8 @@ def repeats(docs: DataFrame, *, width: int = 400, id_col: str = "doc_id", text_c
     # A class's runs are taken from its representative's row, or from one of several such rows.
     own = rows.withColumn("rep", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(classes.select("text_key", "rep"), ["text_key", "rep"], "left_semi").dropDuplicates(["text_key", "rep"])
     run_rows = checkpoint(own.select("text_key", "rep", F.explode(F.arrays_zip("keys", "firsts", "lasts", "insides")).alias("r")).select("text_key", "rep", F.col("r.keys").alias("run_key"), F.col("r.firsts").alias("first"), F.col("r.lasts").alias("last"), F.col("r.insides").alias("inside")))
-    often = run_rows.groupBy("run_key").agg(F.count("*").alias("n_runs"), F.max("inside").alias("inside")).where("n_runs > 1 OR inside").drop("inside")
+    # Written, so that both sides of the join are plain shuffles and a frequent key's rows can be dealt out.
+    often = checkpoint(run_rows.groupBy("run_key").agg(F.count("*").alias("n_runs"), F.max("inside").alias("inside")).where("n_runs > 1 OR inside").drop("inside"))
     shared = run_rows.join(often, "run_key").groupBy("text_key", "rep").agg(F.collect_list(F.struct("run_key", "n_runs", "first", "last")).alias("runs"), F.count("*").alias("n"))
     chosen = checkpoint(_packed(texts, width).join(shared, ["text_key", "rep"]).dropDuplicates(["text_key", "rep"]))
     n_shared = chosen.agg(F.sum("n")).first()[0] or 0
