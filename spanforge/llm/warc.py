@@ -28,7 +28,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import map_rows, shared_dir
+from spanforge.llm.common import checkpoint, map_rows, shared_dir
 from spanforge.shipping import ship
 
 STEP_BYTES = 1 << 16
@@ -129,7 +129,7 @@ def write(pages: DataFrame, path: str, *, least_bytes: int = 0, rows_per_archive
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "utf-8").alias("payload")).where("page_id IS NOT NULL")
     rows = rows.withColumn("sha1", F.unhex(F.sha1("payload")))
     # Only digests that occur twice are joined back; the join deals a hot digest's rows out by size.
-    shared = rows.where(F.octet_length("payload") >= least_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = checkpoint(rows.where(F.octet_length("payload") >= least_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     marked = rows.join(shared, "sha1", "left")
 
     def make():
