@@ -10,14 +10,20 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: Rows of an Arrow batch, in place of Spark's own default: long texts make full batches large in both processes.
+_BATCH_SETTING, _DEFAULT, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
 
 
 def ship(spark: SparkSession) -> None:
-    """Add the package to the application's Python files, once an application.
+    """Add the package to the application's Python files, once an application, and keep Arrow batches small.
+
+    A batch size that the session has chosen for itself is left alone.
 
     The driver serves the archive to executors, as it does any file that is
     added to a context; a lost executor's successor gets it too.
     """
+    if spark.conf.get(_BATCH_SETTING, _DEFAULT) == _DEFAULT:
+        spark.conf.set(_BATCH_SETTING, BATCH_ROWS)
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
