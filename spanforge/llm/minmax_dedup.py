@@ -110,7 +110,7 @@ def _between_components(members: DataFrame, sets: DataFrame, percent: int) -> Da
     """Links (a, b) between components inside buckets; members has band, doc_id and component."""
     ship(members.sparkSession)
     sized = members.join(sets.select("doc_id", "shingles"), "doc_id")
-    size = sized.groupBy("band").agg(F.count("*").alias("rows"), F.sum(F.size("shingles")).alias("held"))
+    size = checkpoint(sized.groupBy("band").agg(F.count("*").alias("rows"), F.sum(F.size("shingles")).alias("held")))
     blocks = F.ceil(F.greatest(F.col("rows") / BLOCK_ROWS, F.col("held") / BLOCK_SHINGLES)).cast("int")
     blocked = sized.join(size.select("band", blocks.alias("blocks")), "band").withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     dealt = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -131,7 +131,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 2, percent: int = 80, bands
     sketched = checkpoint(sketches(texts, words, MinMax(bands, rows)))
     classes = checkpoint(sketched.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
     placed = classes.select("rep", F.explode("bands").alias("band"))
-    buckets = placed.groupBy("band").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # Written, as are other sums by bucket, so that both sides of a join are plain shuffles and a full bucket's rows can be dealt out.
+    buckets = checkpoint(placed.groupBy("band").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n"))
     members = checkpoint(placed.join(buckets, "band").select("band", F.col("rep").alias("doc_id"), "pivot"))
 
     candidates = members.select("doc_id").distinct()
@@ -140,7 +141,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 2, percent: int = 80, bands
     linked = checkpoint(_confirmed(stars, sets, percent))
     first = connected(linked)
     labelled = members.select("band", "doc_id").join(first.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    split = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
+    split = checkpoint(labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band"))
     more = checkpoint(_between_components(labelled.join(split, "band"), sets, percent))
     found = first if more.isEmpty() else connected(linked.union(more))
     grouped = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_key", "rep", F.coalesce("component", "rep").alias("component"))
