@@ -214,7 +214,7 @@ def mae_skip(spark, d):
 
 
 def rolling_dedupe(spark, d):
-    c = _load(spark, d, "conversations").select("conv_id", "turn", (F.col("turn") * 2).alias("s"), (F.col("turn") * 2 + 2).alias("e"), F.substring("text", 1, 3).alias("t"))
+    c = _load(spark, d, "conversations").select("conv_id", "turn", (F.col("turn") * 2).alias("s"), (F.col("turn") * 2 + 2).alias("e"), F.col("text").alias("t"))
     return folds.rolling_dedupe(c, ["conv_id"], order="turn", start="s", end="e", text="t", within=3.0).select("conv_id", "turn", "s", "e", "t")
 
 

@@ -23,3 +23,26 @@ def test_entry_and_contract(spark):
 def test_scan_prunes_and_pushes_down(spark):
     plan = catalogue.hit_filter(spark, f"{DATA}/sf0.001")._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(value), GreaterThanOrEqual(value,2.0)]" in plan and "props" not in plan.split("Physical Plan")[1]
+
+
+def conversation_turns():
+    table = oracle("SELECT conv_id, turn, text FROM conversations ORDER BY conv_id, turn", "sf0.001")
+    return [(c, list(zip(rows.turn, rows.text))) for c, rows in table.groupby("conv_id")]
+
+
+def test_rolling_dedupe_folds_whole_texts(spark):
+    want = []
+    for conv, turns in conversation_turns():
+        out = []
+        for turn, text in turns:
+            s, e, t = turn * 2.0, turn * 2.0 + 2, text.strip(" ")
+            if not t or (out and t in out[-1][3]):
+                continue
+            if out and out[-1][3] in t and s - out[-1][1] <= 3:
+                out[-1] = (out[-1][0], out[-1][1], max(out[-1][2], e), t)
+            else:
+                out.append((turn, s, e, t))
+        want += [(conv, *x) for x in out]
+    got = catalogue.rolling_dedupe(spark, f"{DATA}/sf0.001").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert max(len(r.t) for r in got) > 3
