@@ -95,8 +95,8 @@ def tolerance_anti(spark, d):
 
 def context_before_span_after(spark, d):
     rows = _load(spark, d, "conversations").select("conv_id", "turn", (F.col("turn") * 10).alias("start"), (F.col("turn") * 10 + 8).alias("end"))
-    spans = rows.where("turn % 4 = 2").select("conv_id", F.col("turn").alias("span"), F.col("start").alias("span_start"), F.col("end").alias("span_end"))
-    out = intervals.context_rows(spans, rows, ["conv_id"], pad=20, before=1, inside=2, after=2, order="turn", span_id=["span"])
+    spans = rows.select("conv_id", F.col("turn").alias("span"), F.col("start").alias("span_start"), F.col("end").alias("span_end"))
+    out = intervals.context_rows(spans, rows, ["conv_id"], pad=20, before=12, inside=40, after=12, order="turn", span_id=["span"])
     return out.select("conv_id", "span", "turn", "part")
 
 

@@ -46,3 +46,17 @@ def test_rolling_dedupe_folds_whole_texts(spark):
     got = catalogue.rolling_dedupe(spark, f"{DATA}/sf0.001").collect()
     assert sorted(map(tuple, got)) == sorted(want)
     assert max(len(r.t) for r in got) > 3
+
+
+def test_context_has_each_turn_as_a_span_with_all_rows_near_it(spark):
+    want = []
+    for conv, turns in conversation_turns():
+        for span, _ in turns:
+            parts = {"before": [], "span": [], "after": []}
+            for turn, _ in turns:
+                if turn * 10 + 8 >= span * 10 - 20 and turn * 10 <= span * 10 + 8 + 20:
+                    parts["before" if turn * 10 + 8 < span * 10 else "span" if turn * 10 <= span * 10 + 8 else "after"].append(turn)
+            rows = [("before", parts["before"][-12:]), ("span", parts["span"][:40]), ("after", parts["after"][:12])]
+            want += [(conv, span, turn, part) for part, found in rows for turn in found]
+    got = catalogue.context_before_span_after(spark, f"{DATA}/sf0.001").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
