@@ -7,7 +7,8 @@ one automaton, a text is scanned once, and hits are mapped back to words and to
 character offsets of the original text.
 
 Null, empty and wordless texts have no words and no hits. Items without words
-match nothing; repeated items count each by its id. Repeated rows give repeated
+match nothing; repeated items count each by its id. Windows of an item with a
+null id count as hits, but such an item is in no list of items. Repeated rows give repeated
 rows; an empty table, or an empty benchmark, gives rows without hits.
 """
 
@@ -34,14 +35,14 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_NORMAL).split()
 
 
-def automaton_of(items: list[tuple[str, str | None]], words: int) -> tuple[ahocorasick.Automaton, list[tuple[int, int, list[str]]]]:
+def automaton_of(items: list[tuple[str | None, str | None]], words: int) -> tuple[ahocorasick.Automaton, list[tuple[int, int, list[str]]]]:
     """The automaton and, by its values, each window's length in characters and words and its items."""
     windows: dict[str, tuple[int, set[str]]] = {}
     for item, text in items:
         w = words_of(text)
         for i in range(max(1, len(w) - words + 1) if w else 0):
             part = w[i : i + words]
-            windows.setdefault(f" {b' '.join(part).decode('latin-1')} ", (len(part), set()))[1].add(item)
+            windows.setdefault(f" {b' '.join(part).decode('latin-1')} ", (len(part), set()))[1].update([] if item is None else [item])
     found, known = ahocorasick.Automaton(), []
     for text, (n, ids) in windows.items():
         found.add_word(text, len(known))
@@ -71,7 +72,7 @@ def spans_of(text: str, runs: list[tuple[int, int]]) -> list[dict]:
 
 def _scan(state: DataFrame, items: DataFrame, words: int, final: bool) -> DataFrame:
     """Add one block's hits and items to what the blocks before have found; the final block gives spans in place of texts."""
-    shipped = state.sparkSession.sparkContext.broadcast([(str(r.item_id), r.text) for r in items.collect()])
+    shipped = state.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in items.collect()])
 
     def make():
         auto, known = automaton_of(shipped.value, words)
@@ -121,17 +122,17 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, words: int = 10, block_bytes:
 
 def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
     """The benchmark in parts of about ``block_bytes``, by its measured size."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL")
-    size = items.agg(F.sum(F.octet_length("text") + F.octet_length("item_id"))).first()[0] or 0
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    size = items.agg(F.sum(F.octet_length("text") + F.coalesce(F.octet_length("item_id"), F.lit(0)))).first()[0] or 0
     n = max(1, -(-size // block_bytes))
-    return [items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == b) for b in range(n)]
+    return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b) for b in range(n)]
 
 
 def is_clean(text: Column, benchmark: DataFrame, *, words: int = 10, block_bytes: int = BLOCK_BYTES) -> Column:
     """Whether a text holds no window, as a column, so that rows can be kept or dropped where they are, without a join."""
     spark, out = benchmark.sparkSession, F.lit(True)
     for items in _blocks(benchmark, block_bytes):
-        shipped = spark.sparkContext.broadcast([(str(r.item_id), r.text) for r in items.collect()])
+        shipped = spark.sparkContext.broadcast([(r.item_id, r.text) for r in items.collect()])
         out = out & column_of(spark, _clean_of(shipped, words), "boolean", text.cast("string"))
     return out
 

@@ -172,6 +172,16 @@ def test_decontamination_short_items_overlaps_and_offsets(spark, frame):
     assert [text[s.start : s.end] for s in r.spans] == ["two,words! A b-c d e f g h i j k l", "two words"]
 
 
+def test_items_without_an_id_contaminate(spark, frame):
+    bench = spark.createDataFrame([(None, "lost and found"), (None, "red fox"), (7, "red fox")], "item_id long, text string")
+    docs = frame(["it was lost and found", "a red fox", "nothing here"])
+    for kw in ({}, {"block_bytes": 8}):
+        got = {r.doc_id: (r.n_hit, r.items) for r in dc.scan(docs, bench, **kw).collect()}
+        assert got == {0: (3, []), 1: (2, ["7"]), 2: (0, [])}
+        assert [r.doc_id for r in docs.where(dc.is_clean(docs.text, bench, **kw)).collect()] == [2]
+    assert [r.contaminated for r in dc.digests(dc.scan(docs, bench)).orderBy("doc_id").collect()] == [True, True, False]
+
+
 def test_op1_equals_its_sql_and_brute_force(spark, odd, none, frame):
     got = q.op1_quality_rules(spark, SF)
     assert_same(got.toPandas(), oracle(qr.ORACLE, "sf0.001"))
