@@ -258,10 +258,14 @@ def eval_prf(spark, d):
 
 
 def interval_matches(spark, d):
-    s = _spans(spark, d).withColumn("day", F.floor(F.col("s") / 86_400_000_000)).withColumn("key", F.concat_ws("-", "user_id", "day"))
-    rows = s.select("key", F.col("event_id").alias("seq"), ((F.col("s") % 86_400_000_000) / 1e6).alias("start_s"), ((F.col("s") % 86_400_000_000 + F.col("e") - F.col("s")) / 1e6).alias("end_s"), "event_type")
-    m = evaluate.matched(rows.where("event_type = 'click'"), rows.where("event_type = 'view'"), "key", least=0.1)
-    return m.select("key", "tp", "fp", "fn", F.round("mean_iou", 6).alias("mean_iou"))
+    """Views matched to clicks of a user. A fold takes the intervals between two gaps that none spans, so no pair is parted."""
+    s = _spans(spark, d).where("event_type IN ('click', 'view')")
+    g = islands.interval_groups(s, ["user_id"], "s", "e", ["s", "event_id"], 0)
+    rows = g.select(F.struct("user_id", "grp").alias("part"), F.col("event_id").alias("seq"), F.col("s").alias("start_s"), F.col("e").alias("end_s"), "event_type")
+    m = evaluate.matched(rows.where("event_type = 'click'"), rows.where("event_type = 'view'"), "part", least=0.1)
+    iou = F.sum(F.aggregate("matches", F.lit(0.0), lambda a, x: a + x["iou"]))
+    total = m.groupBy(F.col("part.user_id").cast("string").alias("key")).agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"), iou.alias("iou"))
+    return total.select("key", "tp", "fp", "fn", F.round(F.when(F.col("tp") > 0, F.col("iou") / F.col("tp")), 6).alias("mean_iou"))
 
 
 def run_stats(spark, d):

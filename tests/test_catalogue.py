@@ -60,3 +60,23 @@ def test_context_has_each_turn_as_a_span_with_all_rows_near_it(spark):
             want += [(conv, span, turn, part) for part, found in rows for turn in found]
     got = catalogue.context_before_span_after(spark, f"{DATA}/sf0.001").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_interval_matches_pairs_all_of_a_users_intervals(spark):
+    rows = oracle("SELECT user_id, event_id, event_type, epoch_us(ts) AS s, epoch_us(ts) + CAST(floor(value * 60000000) AS BIGINT) AS e FROM events WHERE event_type IN ('click', 'view') ORDER BY event_id", "sf0.01")
+    want, midnights = {}, 0
+    for user, mine in rows.groupby("user_id"):
+        clicks, views = (list(mine[mine.event_type == kind].itertuples()) for kind in ("click", "view"))
+        free, found = list(views), []
+        for c in clicks:
+            scored = [((min(c.e, v.e) - max(c.s, v.s)) / (max(c.e, v.e) - min(c.s, v.s)) if max(c.e, v.e) > min(c.s, v.s) else 0, -v.event_id, v) for v in free]
+            best = max(scored, default=(0, 0, None))
+            if best[0] >= 0.1:
+                free.remove(best[2])
+                found.append(best[0])
+                midnights += c.s // 86_400_000_000 != best[2].s // 86_400_000_000
+        want[str(user)] = (len(found), len(views) - len(found), len(clicks) - len(found), round(sum(found) / len(found), 6) if found else None)
+    got = {r.key: (r.tp, r.fp, r.fn, r.mean_iou) for r in catalogue.interval_matches(spark, f"{DATA}/sf0.01").collect()}
+    assert {k: v[:3] for k, v in got.items()} == {k: v[:3] for k, v in want.items()}
+    assert all(v[3] == pytest.approx(want[k][3], abs=2e-6) for k, v in got.items())
+    assert midnights > 0
