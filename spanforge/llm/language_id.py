@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 from spanforge.llm.common import map_rows
 
 SEGMENT_BYTES = 32
-#: Bounds of the training sample: rows a language, characters a row.
+#: Bounds of the training sample: rows a language, characters a row, segments drawn from a row (all pieces of each are used).
 ROWS_PER_LANGUAGE = 300
 LONGEST_ROW = 20_000
+SEGMENTS_PER_ROW = 120
 #: Segments whose sums a task remembers at a time.
 MEMO_SEGMENTS = 250_000
 
@@ -156,14 +157,15 @@ def training_sample(docs: DataFrame, *, rows: int = ROWS_PER_LANGUAGE, longest:
     return [(lang, text) for lang in sorted(kept) for text in kept[lang][:rows]]
 
 
-def fit(sample: list[tuple[str, str]], *, segments_per_row: int = 120, seed: int = 3, **kw) -> tuple[list[str], ByteGru | None]:
+def fit(sample: list[tuple[str, str]], *, segments_per_row: int = SEGMENTS_PER_ROW, seed: int = 3, **kw) -> tuple[list[str], ByteGru | None]:
     langs = sorted({lang for lang, _ in sample})
     rng, segments, labels = np.random.default_rng(seed), [], []
     for lang, text in sample:
         words = text.encode().split()
         for i in rng.permutation(len(words))[:segments_per_row]:
-            segments.append(words[i][:SEGMENT_BYTES])
-            labels.append(langs.index(lang))
+            pieces = [words[i][at : at + SEGMENT_BYTES] for at in range(0, len(words[i]), SEGMENT_BYTES)]
+            segments += pieces
+            labels += [langs.index(lang)] * len(pieces)
     if not segments:
         return langs, None
     model = ByteGru(len(langs))

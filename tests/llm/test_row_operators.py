@@ -275,6 +275,13 @@ def test_op8_learns_and_pools_whole_texts(spark, odd, none, frame):
     assert li.training_sample(none) == []
 
 
+def test_training_reads_long_segments_to_their_end(frame):
+    ends = {"aa": "ab" * 200, "zz": "zy" * 200}
+    langs, model = li.fit([(lang, "x" * li.SEGMENT_BYTES + end) for lang, end in ends.items()], steps=60)
+    got = {r.doc_id: (r.lang_pred, r.score > 0.9) for r in li.predict(frame(list(ends.values())), langs, model).collect()}
+    assert got == {0: ("aa", True), 1: ("zz", True)}
+
+
 def test_toxicity_grammar():
     m = tox.Matcher({"oaf$": 3.0, "grob+": 2.0})
     clauses = lambda t: dict(m.clauses(t))
