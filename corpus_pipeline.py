@@ -24,8 +24,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the smallest id stays (its repeated rows with it)."""
-    found = minmax_dedup.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("__id"))
+    """Of each component of near duplicates (five-word shingles) the document with the smallest id stays (its repeated rows with it)."""
+    found = minmax_dedup.near_duplicates(docs, words=5).where("NOT kept").select(F.col("doc_id").alias("__id"))
     return docs.join(found, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
 
 

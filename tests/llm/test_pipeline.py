@@ -47,6 +47,14 @@ def test_stages_on_planted_documents(spark, tmp_path):
     assert set(last) == set(texts["decontamination"]) and last[2000].n_tokens == last[2001].n_tokens == 0
 
 
+def test_near_dedup_keeps_what_five_word_shingles_tell_apart(spark):
+    base = [f"w{i}" for i in range(100)]
+    changed = lambda at: " ".join("changed" if i in at else w for i, w in enumerate(base))
+    rows = [(1, changed([])), (2, changed([20, 50, 80])), (3, changed([5]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in cp.drop_near_duplicates(spark, docs, "").collect()} == {1, 2}
+
+
 def test_run(spark):
     from tokenizers import Tokenizer
 
