@@ -13,8 +13,10 @@ Reader. Archives are taken in turn; members are inflated in steps of
 digests are verified. A damaged record raises an error.
 
 Null html counts as an empty payload, a null url is left out. Rows with a null
-page id can't be told apart in an archive and are left out. Repeated rows give
-repeated records, of one type.
+page id are left out of an archive unless ``unnumbered`` is set, as the round
+trip sets it; then they are written under a URN without a number and read with a
+null page id. They are revisits of a numbered page of equal payload, if there is
+one. Repeated rows give repeated records, of one type.
 """
 
 from __future__ import annotations
@@ -49,11 +51,11 @@ def member(data: bytes) -> bytes:
     return out if out.endswith(b"\0") else out + _EMPTY_MEMBER
 
 
-def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """A WARC/1.1 record; a revisit's block is the HTTP header alone."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{_URN}{page_id}>", "WARC-Date: 1970-01-01T00:00:00Z"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{_URN}{'' if page_id is None else page_id}>", "WARC-Date: 1970-01-01T00:00:00Z"]
     if url:
         lines.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     if refers_to is not None:
@@ -120,14 +122,14 @@ def read_archive(archive: bytes) -> Iterator[dict]:
         size = next(int(v) for k, _, v in (line.partition(b":") for line in http.split(b"\r\n")[1:]) if k.lower() == b"content-length")
         if kind == "response" and (len(payload) != size or base32_sha1(payload) != digest):
             raise ValueError("a payload differs from its digest")
-        number = lambda name: int(fields[name].strip("<>").removeprefix(_URN)) if name in fields else None
+        number = lambda name: int(n) if (n := fields.get(name, "").strip("<>").removeprefix(_URN)) else None
         yield {"page_id": number("warc-record-id"), "url": fields.get("warc-target-uri"), "payload": payload if kind == "response" else None, "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": number("warc-refers-to")}
 
 
-def write(pages: DataFrame, path: str, *, least_bytes: int = 0, rows_per_archive: int = ROWS_PER_ARCHIVE) -> None:
-    """Write a record for each page into archives under ``path``."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "utf-8").alias("payload")).where("page_id IS NOT NULL")
-    rows = rows.withColumn("sha1", F.unhex(F.sha1("payload")))
+def write(pages: DataFrame, path: str, *, least_bytes: int = 0, rows_per_archive: int = ROWS_PER_ARCHIVE, unnumbered: bool = False) -> None:
+    """Write a record for each page into archives under ``path``; pages with a null id only if ``unnumbered``."""
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "utf-8").alias("payload"))
+    rows = (rows if unnumbered else rows.where("page_id IS NOT NULL")).withColumn("sha1", F.unhex(F.sha1("payload")))
     # Only digests that occur twice are joined back; the join deals a hot digest's rows out by size.
     shared = checkpoint(rows.where(F.octet_length("payload") >= least_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     marked = rows.join(shared, "sha1", "left")
@@ -167,8 +169,8 @@ def read(spark: SparkSession, path: str, *, payloads: bool = False) -> DataFrame
 
 
 def round_trip(pages: DataFrame, **kw) -> DataFrame:
-    """Write the pages to archives in the shared folder and read them back."""
+    """Write all pages to archives in the shared folder and read them back."""
     spark = pages.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    write(pages, path, **kw)
+    write(pages, path, unnumbered=True, **kw)
     return read(spark, path)

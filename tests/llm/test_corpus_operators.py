@@ -225,6 +225,14 @@ def test_warc_files(spark, tmp_path):
     assert warc.read(spark, path).count() == 0
 
 
+def test_round_trip_returns_pages_without_an_id(spark):
+    data = [(None, "u", "same"), (3, "u", "same"), (None, "v", "lost"), (None, None, None), (None, "v", "lost"), (5, "u", "same")]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string")
+    got = [(r.page_id, r.url, r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()]
+    want = [(None, "u", 4, "revisit", 3), (3, "u", 4, "response", None), (None, "v", 4, "response", None), (None, None, 0, "response", None), (None, "v", 4, "response", None), (5, "u", 4, "revisit", 3)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 @pytest.mark.parametrize("name", ["op5_minmax_dedup", "op6_warc", "op7_decontamination"])
 def test_queries_equal_their_sql(spark, name):
     assert_same(q.QUERIES[name](spark, SF).toPandas(), oracle(q.ORACLES[name], "sf0.001"))
