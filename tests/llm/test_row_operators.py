@@ -50,6 +50,27 @@ def test_bpe_special_strings_and_long_words(byte_bpe):
         assert list(memoryview(codec.encode_packed(text)).cast("I")) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_bpe_equals_the_library_on_every_code_point(byte_bpe):
+    """Each code point after and before a contraction, a letter, a digit, a mark and a blank."""
+    codec, library = byte_bpe
+    points = [chr(p) for p in range(0x110000) if not 0xD800 <= p < 0xE000]
+    texts = [" | ".join("{0}'ll a{0}1{0}!{0} {0}b".format(c) for c in points[i : i + 64]) for i in range(0, len(points), 64)]
+    for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(codec.encode_packed(text), "<u4").tolist() == want.ids, text
+
+
+def test_compiled_table(byte_bpe):
+    import pickle
+
+    codec, library = byte_bpe
+    auto = codec.automaton
+    assert len(auto.ids) == 50_256 and auto.bits.nbytes < 32 << 20
+    table = {(a, b): auto.has(auto.row[auto.ids[a]], auto.column[auto.ids[b]]) for a, b in ((b"t", b"h"), (b"t", b"he"), (b"q", b"z"), (b" t", b"he"))}
+    assert table == {(b"t", b"h"): 0, (b"t", b"he"): 0, (b"q", b"z"): 1, (b" t", b"he"): 0}
+    again = pickle.loads(pickle.dumps(codec))
+    assert again.encode_packed("Tables travel well") == codec.encode_packed("Tables travel well")
+
+
 def test_merge_automaton_on_small_alphabets():
     rng = random.Random(3)
     for _ in range(150):
