@@ -11,10 +11,6 @@ from pyspark.sql import functions as F
 from spanforge.llm.common import checkpoint
 from spanforge.shipping import ship
 
-#: Up to so many links (3 MB) one task joins them; more are joined in rounds over all tasks.
-FEW_LINKS = 200_000
-
-
 def joined(links: Iterable[tuple[int, int]]) -> dict[int, int]:
     """Each node's component by union-find."""
     parent: dict[int, int] = {}
@@ -31,28 +27,25 @@ def joined(links: Iterable[tuple[int, int]]) -> dict[int, int]:
     return {x: root(x) for x in list(parent)}
 
 
-def connected(links: DataFrame, *, few: int = FEW_LINKS) -> DataFrame:
+def connected(links: DataFrame) -> DataFrame:
     """(node, component) for each node of links (a, b); component is the smallest node reachable.
 
-    Links are counted first. A few are joined in one task; that saves rounds of
-    near-empty shuffles. Beyond that labels spread in rounds.
+    Each task first joins the links it holds by union-find and passes on a star
+    for each tree, at most one link a node, whatever the number of links.
     """
-    links = checkpoint(links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").distinct())
-    if links.count() > few:
-        return spread(links)
     ship(links.sparkSession)
 
-    def join(batches: Iterable[pd.DataFrame]):
+    def stars(batches: Iterable[pd.DataFrame]):
         found = joined((a, b) for pdf in batches for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist()))
-        yield pd.DataFrame({"node": list(found), "component": list(found.values())}, dtype="int64")
+        far = [(c, x) for x, c in found.items() if x != c]
+        yield pd.DataFrame(far, columns=["a", "b"], dtype="int64")
 
-    return checkpoint(links.coalesce(1).mapInPandas(join, "node long, component long"))
+    ends = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
+    return spread(checkpoint(ends.mapInPandas(stars, "a long, b long").distinct()))
 
 
 def spread(links: DataFrame) -> DataFrame:
-    """connected() for any number of links.
-
-    Labels spread along links and jump to their label's label, so the rounds grow
+    """connected() without the local joins. Labels spread along links and jump to their label's label, so the rounds grow
     with the logarithm of a chain. Minima combine before each shuffle; joins on
     hubs are dealt out by size. Each round's labels are written to the shared folder.
     An empty table gives an empty one; null ends and loops are ignored.

@@ -145,11 +145,12 @@ def near_duplicates(docs: DataFrame, *, words: int = 2, percent: int = 80, bands
     more = checkpoint(_between_components(labelled.join(split, "band"), sets, percent))
     found = first if more.isEmpty() else connected(linked.union(more))
     grouped = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_key", "rep", F.coalesce("component", "rep").alias("component"))
-    out = sketched.select("doc_id", "n_shingles", "set_key").join(grouped, "set_key", "left")
-    own = F.col("doc_id").isNull() | F.col("component").isNull()
-    return out.select(
+    rows_ = sketched.select("doc_id", "n_shingles", "set_key")
+    alone = "set_key IS NULL OR doc_id IS NULL"  # kept out of the join, where they would all meet in one task
+    out = rows_.where(f"NOT ({alone})").join(grouped, "set_key", "left").select(
         "doc_id",
         "n_shingles",
-        F.when(own, F.col("doc_id")).otherwise(F.col("rep")).alias("class_id"),
-        F.when(own, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
-    ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        F.coalesce("rep", "doc_id").alias("class_id"),
+        F.coalesce("component", "doc_id").alias("component_id"),
+    ).unionAll(rows_.where(alone).select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id")))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
