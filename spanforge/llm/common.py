@@ -37,6 +37,12 @@ def shared_dir(spark: SparkSession) -> str:
     return current
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that is no longer needed, on whatever file system it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with reliable files in the shared folder."""
     shared_dir(df.sparkSession)

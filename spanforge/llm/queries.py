@@ -63,7 +63,8 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_rindex_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rindex_dedup.digests(rindex_dedup.repeats(table(spark, sf_dir, "documents")))
+    docs = table(spark, sf_dir, "documents")
+    return rindex_dedup.digests(rindex_dedup.with_passages(rindex_dedup.repeats(docs), docs))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

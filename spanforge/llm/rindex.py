@@ -1,10 +1,12 @@
 """A run-length index of a short text and the matching statistics that it streams.
 
 Suffixes are sorted by their first ``depth`` bytes or more; the Burrows-Wheeler
-transform is cut into runs, and suffix positions are sampled at run ends. Along
-a run, neighbours in the suffix order stay neighbours one byte to the left, so
-the longest match with a neighbour grows by one with each byte that is streamed
-from right to left, but for the sampled ends, where it is measured.
+transform is cut into runs, and at run ends the suffix position and its
+neighbour in the suffix order are sampled. Only the runs and these samples are
+kept; the order itself is dropped. Along a run, neighbours in the suffix order
+stay neighbours one byte to the left, so the longest match with a neighbour
+grows by one with each byte that is streamed from right to left, but for the
+sampled ends, where it is measured against the text.
 """
 
 from __future__ import annotations
@@ -19,81 +21,88 @@ SEPARATOR = 0xFF
 _FIRST = 5
 
 
+def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
+    """Suffix positions, ordered by their first ``depth`` bytes or more, then by position."""
+    n = len(text)
+    index = np.arange(n, dtype=np.uint64)
+    padded = np.concatenate([text, np.full(_FIRST, SEPARATOR, np.uint8)]).astype(np.uint64)
+    key = np.zeros(n, np.uint64)
+    for i in range(_FIRST):
+        key = (key << np.uint64(8)) | padded[i : n + i]
+    sorted_to = _FIRST
+    while True:
+        packed = np.sort((key << _BITS) | index)
+        order = (packed & _MASK).astype(np.int32)
+        if sorted_to >= depth:
+            return order
+        packed >>= _BITS
+        new = np.empty(n, bool)
+        new[0], new[1:] = True, packed[1:] != packed[:-1]
+        rank = np.empty(n, np.int32)
+        rank[order] = np.cumsum(new, dtype=np.int32)
+        key = rank.astype(np.uint64) << _BITS
+        if sorted_to < n:
+            key[: n - sorted_to] |= rank[sorted_to:].astype(np.uint64)
+        sorted_to *= 2
+
+
 class RunLengthIndex:
+    """Runs of the transform (``run_bytes``, ``run_lengths``) and, for either side, sampled positions with their neighbours (-1: none)."""
+
     def __init__(self, text: np.ndarray, depth: int):
         if len(text) > MOST_BYTES:
             raise ValueError("the text is too long for one index")
         self.text, self.depth = text, depth
-        self._sort()
-        before = text[self.order - 1]
-        before[self.order == 0] = SEPARATOR
+        order = suffix_order(text, depth)
+        place = np.empty(len(text), np.int32)
+        place[order] = np.arange(len(text), dtype=np.int32)
+        before = text[order - 1]
+        before[order == 0] = SEPARATOR
         # Order beyond ``depth`` is by position; a run is also cut where that parts neighbours.
-        left = self.place[self.order - 1]
-        starts = np.concatenate([[True], (before[1:] != before[:-1]) | (left[1:] - left[:-1] != 1)])
-        self.run_bytes = before[starts]
-        self.run_starts = np.flatnonzero(starts)
-        run_ends = np.concatenate([self.run_starts[1:] - 1, [len(text) - 1]])
-        #: Sampled text positions: one byte left of the suffixes at run starts and ends.
-        self.at_starts, self.at_ends = self.order[self.run_starts] - 1, self.order[run_ends] - 1
+        left = place[order - 1]
+        starts = np.flatnonzero(np.concatenate([[True], (before[1:] != before[:-1]) | (left[1:] - left[:-1] != 1)]))
+        self.run_bytes, self.run_lengths = before[starts], np.diff(starts, append=len(text))
+        self.above = self._sampled(order[starts] - 1, order, place, -1)
+        self.below = self._sampled(order[starts + self.run_lengths - 1] - 1, order, place, 1)
 
-    def _sort(self) -> None:
+    def _sampled(self, positions: np.ndarray, order: np.ndarray, place: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """Text positions one byte left of the suffixes at run ends, and their neighbours ``step`` places on."""
         n = len(self.text)
-        index = np.arange(n, dtype=np.uint64)
-        padded = np.concatenate([self.text, np.full(_FIRST, SEPARATOR, np.uint8)]).astype(np.uint64)
-        key = np.zeros(n, np.uint64)
-        for i in range(_FIRST):
-            key = (key << np.uint64(8)) | padded[i : n + i]
-        self.levels: list[tuple[int, np.ndarray]] = []
-        depth = _FIRST
-        while True:
-            packed = np.sort((key << _BITS) | index)
-            order = (packed & _MASK).astype(np.int32)
-            packed >>= _BITS
-            new = np.empty(n, bool)
-            new[0], new[1:] = True, packed[1:] != packed[:-1]
-            rank = np.empty(n, np.int32)
-            rank[order] = np.cumsum(new, dtype=np.int32)
-            self.levels.append((depth, rank))
-            if depth >= self.depth:
-                break
-            key = rank.astype(np.uint64) << _BITS
-            if depth < n:
-                key[: n - depth] |= rank[depth:].astype(np.uint64)
-            depth *= 2
-        self.order = order
-        self.place = np.empty(n, np.int32)
-        self.place[order] = np.arange(n, dtype=np.int32)
+        at = np.unique(np.append(positions[positions >= 0], n - 1))
+        beside = place[at] + step
+        inside = (beside >= 0) & (beside < n)
+        return at, np.where(inside, order[np.where(inside, beside, 0)], -1)
 
-    def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    def _common(self, x: np.ndarray, y: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Lengths of the longest common prefixes of suffixes at x and y, up to ``depth`` or a little more."""
-        n, found = len(self.text), np.zeros(len(x), np.int64)
-        for size, rank in reversed(self.levels):
-            a, b = x + found, y + found
-            inside = (a < n) & (b < n)
-            same = inside & (rank[np.where(inside, a, 0)] == rank[np.where(inside, b, 0)])
-            found += np.where(same, size, 0)
-        open_ = np.ones(len(x), bool)
-        for _ in range(_FIRST - 1):
-            a, b = x + found, y + found
-            open_ &= (a < n) & (b < n)
-            open_ &= self.text[np.where(open_, a, 0)] == self.text[np.where(open_, b, 0)]
-            found += open_
+        n, found, open_ = len(self.text), np.zeros(len(x), np.int64), np.flatnonzero(y >= 0)
+        while len(open_):
+            a, b = x[open_] + found[open_], y[open_] + found[open_]
+            same = (words[a] == words[b]) & (np.maximum(a, b) + 8 <= n)
+            open_ = open_[same]
+            found[open_] += 8
+            open_ = open_[found[open_] < self.depth]
+        rest = np.flatnonzero((y >= 0) & (found < self.depth))
+        for _ in range(7):
+            a, b = x[rest] + found[rest], y[rest] + found[rest]
+            inside = np.maximum(a, b) < n
+            rest = rest[inside][self.text[a[inside]] == self.text[b[inside]]]
+            found[rest] += 1
         return found
 
-    def _streamed(self, sampled: np.ndarray, step: int) -> np.ndarray:
-        """Match lengths with the neighbour ``step`` places on, from those measured at the samples."""
-        n = len(self.text)
-        at = np.unique(np.append(sampled[sampled >= 0], n - 1))
-        beside = self.place[at] + step
-        inside = (beside >= 0) & (beside < n)
-        length = np.zeros(len(at), np.int64)
-        length[inside] = self.common(at[inside], self.order[beside[inside]])
-        nearest = np.repeat(np.arange(len(at)), np.diff(at, prepend=-1))
-        return length[nearest] + at[nearest] - np.arange(n)
-
     def matching_statistics(self) -> np.ndarray:
         """For each position the longest match with another position; from ``depth`` on only known to be that long."""
-        return np.maximum(self._streamed(self.at_starts, -1), self._streamed(self.at_ends, 1))
+        n = len(self.text)
+        padded = np.concatenate([self.text, np.zeros(16, np.uint8)]).astype(np.uint64)
+        words = np.zeros(n + 8, np.uint64)
+        for i in range(8):
+            words |= padded[i : n + 8 + i] << np.uint64(8 * i)
+        longest = np.zeros(n, np.int64)
+        for at, beside in (self.above, self.below):
+            length = self._common(at, beside, words)
+            nearest = np.repeat(np.arange(len(at)), np.diff(at, prepend=-1))
+            longest = np.maximum(longest, length[nearest] + at[nearest] - np.arange(n))
+        return longest
 
 
 def repeated_windows(strings: list[bytes], width: int) -> list[np.ndarray]:

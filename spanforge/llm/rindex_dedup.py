@@ -11,11 +11,17 @@ Texts are taken as UTF-8 bytes. Equal texts form one class and are indexed once.
 3. A group builds a run-compressed Burrows-Wheeler transform with sampled run
    ends over its distinct strings, streams matching statistics and marks windows
    that start elsewhere too.
-4. Marked windows of each text are merged into spans.
+4. Marked windows of each text are merged into spans; with ``least_words`` only
+   spans of so many words are removed.
 
 Null and empty texts, and texts under ``width`` bytes, keep all bytes. Repeated
-rows are repeats of one another: texts of at least ``width`` bytes that occur
-twice lose every byte. An empty table gives an empty result.
+rows are repeats of one another: texts of at least ``width`` bytes (and
+``least_words`` words) that occur twice lose every byte. Texts of any length are
+cut into runs and groups of bounded size. Only the id and the text are read, so
+other columns can't clash. An empty table gives an empty result.
+
+``shared_passages`` is a screen beside it, by words: whether another text holds
+one of a text's passages of ``words`` words.
 """
 
 from __future__ import annotations
@@ -24,11 +30,12 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.anchors import Powers, runs
+from spanforge.llm.anchors import Powers, runs, sliding_minima
 from spanforge.llm.common import checkpoint, map_rows, text_of
+from spanforge.llm.minmax_sketch import WordHashes, mixed
 from spanforge.llm.rindex import MOST_BYTES, repeated_windows
 from spanforge.shipping import ship
 
@@ -40,27 +47,32 @@ _SPANS = "array<struct<start:long,end:long>>"
 
 
 def _key(raw: bytes) -> bytes:
-    return hashlib.blake2b(raw, digest_size=16).digest()
+    return hashlib.sha256(raw).digest()[:16]
+
+
+def key_column(text: Column) -> Column:
+    """``_key`` of a text's bytes."""
+    return F.substring(F.unhex(F.sha2(F.encode(text, "utf-8"), 256)), 1, 16)
 
 
-def _summaries(texts: DataFrame, width: int) -> DataFrame:
+def _summaries(texts: DataFrame, width: int, count_words: bool) -> DataFrame:
     """For each row the text's key, length and digest, and the runs of its windows."""
 
     def make():
         powers = Powers()
 
         def work(cols):
-            out = {"doc_id": cols["doc_id"], "text_key": [], "n_bytes": [], "sha256": [], "keys": [], "firsts": [], "lasts": [], "insides": []}
+            out = {"doc_id": cols["doc_id"], "text_key": [], "n_bytes": [], "n_words": [], "sha256": [], "keys": [], "firsts": [], "lasts": [], "insides": []}
             for text in cols["text"]:
                 raw = (text or "").encode()
                 keys, firsts, lasts, insides = runs(np.frombuffer(raw, np.uint8), width, powers)
-                for name, value in (("text_key", _key(raw)), ("n_bytes", len(raw)), ("sha256", hashlib.sha256(raw).hexdigest()), ("keys", keys.view(np.int64)), ("firsts", firsts), ("lasts", lasts), ("insides", insides)):
+                for name, value in (("text_key", _key(raw)), ("n_bytes", len(raw)), ("n_words", len(raw.split()) if count_words else 0), ("sha256", hashlib.sha256(raw).hexdigest()), ("keys", keys.view(np.int64)), ("firsts", firsts), ("lasts", lasts), ("insides", insides)):
                     out[name].append(value)
             return out
 
         return work
 
-    return map_rows(texts, make, "doc_id long, text_key binary, n_bytes long, sha256 string, keys array<long>, firsts array<long>, lasts array<long>, insides array<boolean>")
+    return map_rows(texts, make, "doc_id long, text_key binary, n_bytes long, n_words long, sha256 string, keys array<long>, firsts array<long>, lasts array<long>, insides array<boolean>")
 
 
 def _packed(texts: DataFrame, width: int) -> DataFrame:
@@ -136,7 +148,7 @@ def _marked(cuttings: DataFrame, groups: int, width: int) -> DataFrame:
     return keyed.groupBy("hot", "bin", "x", "y").applyInPandas(mark, "text_key binary, start long, end long")
 
 
-def _kept(docs: DataFrame) -> DataFrame:
+def _kept(docs: DataFrame, least_words: int) -> DataFrame:
     """Spans and what they leave of each text: text_key, spans, n_removed, kept (compressed), kept_sha256."""
 
     def make():
@@ -148,6 +160,8 @@ def _kept(docs: DataFrame) -> DataFrame:
             out = {"text_key": cols["text_key"], "spans": [], "n_removed": [], "kept": [], "kept_sha256": []}
             for packed, found in zip(cols["packed"], cols["found"]):
                 raw, spans, rest, at = unpack(packed), merged([(s["start"], s["end"]) for s in found]), [], 0
+                if least_words:
+                    spans = [(a, b) for a, b in spans if len(raw[a:b].split()) >= least_words]
                 for a, b in spans:
                     rest.append(raw[at:a])
                     at = b
@@ -174,11 +188,11 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def repeats(docs: DataFrame, *, width: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, n_bytes, n_removed, spans (of bytes, end excluded), kept_sha256."""
+def repeats(docs: DataFrame, *, width: int = 400, least_words: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document: doc_id, text_key, n_bytes, n_removed, spans (of bytes, end excluded), kept_sha256."""
     assert 64 < width and 2 * KEY_RUNS * width < 2 * MOST_BYTES
     texts = text_of(docs, id_col, text_col)
-    rows = checkpoint(_summaries(texts, width))
+    rows = checkpoint(_summaries(texts, width, least_words > 0))
     classes = checkpoint(rows.where(F.col("n_bytes") >= width).groupBy("text_key").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("rep"), F.count("*").alias("copies")))
     # A class's runs are taken from its representative's row, or from one of several such rows.
     own = rows.withColumn("rep", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(classes.select("text_key", "rep"), ["text_key", "rep"], "left_semi").dropDuplicates(["text_key", "rep"])
@@ -190,13 +204,14 @@ def repeats(docs: DataFrame, *, width: int = 400, id_col: str = "doc_id", text_c
     n_shared = chosen.agg(F.sum("n")).first()[0] or 0
     spans = checkpoint(_marked(_cuttings(chosen.select("text_key", "packed", "runs"), width), max(1, n_shared // GROUP_RUNS), width))
     found = spans.groupBy("text_key").agg(F.collect_list(F.struct("start", "end")).alias("found"))
-    results = _kept(chosen.select("text_key", "packed").join(found, "text_key"))
+    results = _kept(chosen.select("text_key", "packed").join(found, "text_key"), least_words)
     once = classes.select("text_key", "copies")
     out = rows.drop("keys", "firsts", "lasts", "insides").join(once, "text_key", "left").join(results.drop("kept"), "text_key", "left")
-    gone = F.col("copies") > 1
+    gone = (F.col("copies") > 1) & (F.col("n_words") >= least_words)
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
     return out.select(
         "doc_id",
+        "text_key",
         "n_bytes",
         F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
         F.when(gone, whole).otherwise(F.coalesce("spans", F.expr(f"CAST(array() AS {_SPANS})"))).alias("spans"),
@@ -204,18 +219,67 @@ def repeats(docs: DataFrame, *, width: int = 400, id_col: str = "doc_id", text_c
     )
 
 
+#: Words of the gram by which passages are compared.
+PASSAGE_GRAM = 20
+
+
+def passage_keys(raw: bytes, words: int, gram: int, memo: WordHashes) -> np.ndarray:
+    """The least gram hash of each ``words`` consecutive words, distinct: alike for two texts where such passages are."""
+    tokens = raw.split()
+    if len(tokens) < words:
+        return np.zeros(0, np.uint64)
+    h = np.fromiter(map(memo.__getitem__, tokens), np.uint64, len(tokens))
+    grams = np.zeros(len(h) - gram + 1, np.uint64)
+    for i in range(gram):
+        grams = grams * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - gram + 1 + i]
+    return np.unique(sliding_minima(mixed(grams), words - gram + 1))
+
+
+def shared_passages(docs: DataFrame, *, words: int = 51, gram: int = PASSAGE_GRAM, text_col: str = "text") -> DataFrame:
+    """One row for each distinct text that shares a key with another text: text_key and n_shared (keys shared).
+
+    Two texts with ``words`` consecutive words in common share a key, so none is
+    missed; a stretch of ``gram`` words or more in common may give one too.
+    Copies of a text count once. Null and short texts share nothing.
+    """
+
+    def make():
+        memo = WordHashes()
+
+        def work(cols):
+            raw = [t.encode() for t in cols["text"]]
+            return {"text_key": [_key(r) for r in raw], "keys": [passage_keys(r, words, gram, memo).view(np.int64) for r in raw]}
+
+        return work
+
+    texts = docs.select(F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") >= 2 * words - 1)
+    keyed = map_rows(texts, make, "text_key binary, keys array<long>").where(F.size("keys") > 0)
+    once = checkpoint(keyed.groupBy("text_key").agg(F.first("keys").alias("keys")))  # a text's keys follow from the text
+    pairs = once.select("text_key", F.explode("keys").alias("key"))
+    # Counted first and written, so that both sides of the join are plain shuffles and a frequent key's rows can be dealt out.
+    often = checkpoint(pairs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    return pairs.join(often, "key").groupBy("text_key").agg(F.count("*").alias("n_shared"))
+
+
+def with_passages(found: DataFrame, docs: DataFrame, *, words: int = 51, text_col: str = "text") -> DataFrame:
+    """Adds n_shared_passages and shares_passage to rows that have a text_key."""
+    shared = shared_passages(docs, words=words, text_col=text_col)
+    return found.join(shared, "text_key", "left").withColumn("n_shared_passages", F.coalesce("n_shared", F.lit(0).cast("long"))).withColumn("shares_passage", F.col("n_shared").isNotNull()).drop("n_shared")
+
+
 def digests(found: DataFrame) -> DataFrame:
-    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256", *[c for c in ("n_shared_passages", "shares_passage") if c in found.columns])
 
 
-def cut(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut(docs: DataFrame, found: DataFrame, *, text_col: str = "text") -> DataFrame:
     """The documents with the found spans removed from their texts, all columns kept.
 
-    Bytes of a character that a span cuts through are dropped with it. Rows with
-    a null id keep their text; rows that share an id must share the text.
+    Spans follow from the text, so they are joined by it: rows with a null or a
+    shared id are cut as any others. Bytes of a character that a span cuts
+    through are dropped with it. Null texts stay null.
     """
-    spans = found.where("n_removed > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans")).dropDuplicates(["__id"])
-    joined = docs.join(spans, F.col(id_col).cast("long") == F.col("__id"), "left")
+    spans = found.where("n_removed > 0").groupBy(F.col("text_key").alias("__key")).agg(F.first("spans").alias("__spans"))
+    joined = docs.where(F.col(text_col).isNotNull()).withColumn("__key", key_column(F.col(text_col).cast("string"))).join(spans, "__key", "left")
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -226,7 +290,8 @@ def cut(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id", text_col:
                 at = s["end"]
             return b"".join([*rest, raw[at:]]).decode("utf-8", "ignore")
 
-        return pd.Series([t if t is None or s is None else one(t, s) for t, s in zip(texts, spans)], dtype=object)
+        return pd.Series([t if s is None else one(t, s) for t, s in zip(texts, spans)], dtype=object)
 
     new = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(without(F.col(text_col), F.col("__spans")))
-    return joined.withColumn(text_col, new).select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = joined.withColumn(text_col, new).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return whole.unionAll(docs.where(F.col(text_col).isNull()))

@@ -100,9 +100,9 @@ def test_components_in_rounds_equal_those_in_one_task(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(30)] + [(500, 501 + i) for i in range(40)]
     df = spark.createDataFrame(links, "a long, b long")
     want = components.joined([x for x in links if x[0] != x[1]])
-    for few in (0, 10**6):
-        assert {r.node: r.component for r in components.connected(df, few=few).collect()} == want
-    assert components.connected(df.limit(0)).count() == 0
+    for find in (components.connected, components.spread):
+        assert {r.node: r.component for r in find(df).collect()} == want
+        assert find(df.limit(0)).count() == 0
 
 
 def brute_repeats(raws, width=400):
@@ -121,7 +121,42 @@ def brute_repeats(raws, width=400):
 def test_op9_equals_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").toPandas()
     want = dict(zip(docs.doc_id, brute_repeats([t.encode() for t in docs.text])))
-    assert {r.doc_id: tuple(r)[1:] for r in q.op9_rindex_dedup(spark, SF).collect()} == want
+    got = {r.doc_id: tuple(r)[1:] for r in q.op9_rindex_dedup(spark, SF).collect()}
+    assert {i: r[:4] for i, r in got.items()} == want
+    split = {i: t.encode().split() for i, t in zip(docs.doc_id, docs.text)}
+
+    def sharing(n):
+        held = {}
+        for w in split.values():
+            for k in {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}:
+                held.setdefault(k, set()).add(b" ".join(w))
+        return {i for i, w in split.items() if any(len(held[tuple(w[a : a + n])]) > 1 for a in range(len(w) - n + 1))}
+
+    flagged = {i for i, r in got.items() if r[5]}
+    assert sharing(51) <= flagged <= sharing(rindex_dedup.PASSAGE_GRAM) and flagged == {i for i, r in got.items() if r[4] > 0}
+
+
+def test_short_passages_are_screened_and_cut_by_words(frame):
+    rng = random.Random(3)
+    text = lambda n: " ".join("".join(rng.choice("aeioubcd") for _ in range(rng.randint(1, 9))) for _ in range(n))
+    passage, short = text(52), text(40)
+    texts = [f"{text(30)} {passage} {text(20)}", f"{text(9)} {passage} {text(70)}", f"{text(60)} {short} {text(5)}", f"{short} {text(80)}", text(100), f"{passage[:-40]}", None, "", text(100)]
+    texts.append(texts[-1])
+    found = rindex_dedup.repeats(frame(texts), width=200, least_words=51)
+    assert {r.doc_id for r in found.collect() if r.n_removed} == {0, 1, 8, 9}
+    left = {r.doc_id: r.text for r in rindex_dedup.cut(frame(texts), found).collect()}
+    assert passage not in left[0] and short in left[2] and left[4] == texts[4] and left[6] is None and left[8] == ""
+    screened = {r.doc_id: r.shares_passage for r in rindex_dedup.with_passages(rindex_dedup.repeats(frame(texts)), frame(texts)).collect()}
+    assert {0, 1} <= {i for i, x in screened.items() if x} <= {0, 1, 2, 3, 5}  # 40 words in common may count, as the gram is shorter
+
+
+def test_rows_that_share_an_id_are_cut_by_their_texts(spark):
+    rng = random.Random(8)
+    text = lambda n: " ".join(str(rng.randrange(10**6)) for _ in range(n))
+    passage = text(90)
+    docs = spark.createDataFrame([(1, f"{text(9)} {passage}"), (1, text(90)), (None, f"{passage} {text(7)}")], "doc_id long, text string")
+    left = [(r.doc_id, passage in r.text, len(r.text) > 500) for r in rindex_dedup.cut(docs, rindex_dedup.repeats(docs)).collect()]
+    assert sorted(left, key=repr) == [(1, False, False), (1, False, True), (None, False, False)]
 
 
 @pytest.mark.parametrize("hot", [False, True])
@@ -171,7 +206,9 @@ def test_index_on_small_alphabets():
 def test_index_is_run_compressed():
     text = np.frombuffer((b"the quick brown fox jumps over the lazy dog, " * 200) + b"\xff", np.uint8)
     index = RunLengthIndex(text, 400)
-    assert len(index.run_starts) < len(text) / 50 and index.matching_statistics()[0] >= 400
+    assert len(index.run_bytes) < len(text) / 50 and index.matching_statistics()[0] >= 400
+    last = np.repeat(index.run_bytes, index.run_lengths)  # the transform, inverted
+    assert len(last) == len(text) and (np.sort(last) == np.sort(text)).all()
 
 
 def test_equal_windows_share_keys(monkeypatch):
