@@ -1,18 +1,32 @@
 """Toxicity scores by a weighted finite-state pattern grammar.
 
 A lexicon transducer (a trie over letters) writes a symbol for each word:
-insult, threat, target, negation, report or other; punctuation ends a clause.
-Insult stems (whole words, or beginnings that an ending follows) and their
-weights are learned from labelled rows; the other classes are small word lists. Three transducers rewrite the symbols of a clause and are composed into
-one table when a task starts:
-
-* negation: an insult or threat up to ``REACH`` symbols after a negation becomes a negated one;
-* reported speech: after a report word, up to the clause's end, what matched becomes reported;
-* target: an insult or threat up to ``REACH`` symbols after a target becomes an aimed one.
-
-An acceptor weighs the matched symbols of each clause and a document adds its
-clauses up. Weights are fitted to the labelled rows by logistic regression.
-Null and empty texts match no clause and get the score of a text without matches.
+insult, threat, target, negation, report or other; sentence ends, pauses
+(commas, colons), quotation marks and line ends have symbols too. Insult stems
+(whole words, or beginnings that an ending follows) and their weights are
+learned from labelled rows; the other classes are small word lists. Three
+transducers rewrite the symbols and are composed into one table when a task
+starts:
+
+* negation: an insult or threat up to ``REACH`` symbols after a negation, in one
+  clause, becomes a negated one;
+* reported speech: after a report word, over pauses, up to the sentence's end,
+  what matched becomes reported; a quotation that opens there is reported to its
+  closing mark;
+* target: an insult or threat up to ``REACH`` symbols after a target becomes an
+  aimed one.
+
+An acceptor weighs the matched symbols of each clause (between pauses or ends)
+and a document adds its clauses up. Weights are fitted to the labelled rows by
+logistic regression: those of affirmed matches are not negative, those of
+negated and reported ones have the sign that the rows give them.
+
+Null and empty texts match no clause and get the score of a text without
+matches. Texts of any length are read in whole. Repeated rows get equal scores;
+an empty table gives an empty result, and without labelled rows of both kinds
+all scores fall on the side of the kind there is (0 if none). Ids that repeat
+among labels count once, as toxic if any of their rows is. Only the id and the
+text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -43,12 +57,14 @@ TARGETS = "you your youre yourself u he she they them these those people du dich
 NEGATIONS = "not never no nobody isnt arent nicht kein keine nie ne pas jamais nunca jamás".split()
 REPORTS = "said says say told wrote writes called calls reported quoted alleged sagte schrieb dit écrit dijo escribió".split()
 
-INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER, END = range(7)
+INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER, END, PAUSE, QUOTE, BREAK = range(10)
 #: Symbols that the composed transducer may write for a match.
 MATCHES = ("insult", "threat", "aimed_insult", "aimed_threat", "negated", "reported")
+AFFIRMED = MATCHES[:4]
 
 _LETTERS = re.compile(r"[^\W\d_]+")
-_ENDS = re.compile(r"[.!?;:,\n]")
+_PARTS = re.compile(r"(?P<word>[^\W\d_]+)|(?P<end>[.!?;]+)|(?P<pause>[,:]+)|(?P<quote>[\"“”„«»])")
+_MARKS = {"end": (END, 0.0), "pause": (PAUSE, 0.0), "quote": (QUOTE, 0.0)}
 
 
 class Transducer:
@@ -83,11 +99,11 @@ class Transducer:
         return rows, 0
 
 
-def _within_reach(trigger: int, rewrite: dict) -> Transducer:
-    """Rewrites symbols that come up to REACH symbols after the trigger, in one clause."""
+def _within_reach(trigger: int, rewrite: dict, ends: tuple[int, ...]) -> Transducer:
+    """Rewrites symbols that come up to REACH symbols after the trigger, with none of ``ends`` between."""
 
     def step(left, symbol):
-        if symbol == END:
+        if symbol in ends:
             return 0, symbol
         if symbol == trigger:
             return REACH, symbol
@@ -97,14 +113,18 @@ def _within_reach(trigger: int, rewrite: dict) -> Transducer:
 
 
 def _reported() -> Transducer:
-    def step(open_, symbol):
-        if symbol == END:
-            return False, symbol
-        if symbol == REPORT:
-            return True, symbol
-        return open_, "reported" if open_ and symbol in (INSULT, THREAT, "negated") else symbol
+    """States: plain, after a report word, inside a quotation that opened there."""
 
-    return Transducer(False, step)
+    def step(state, symbol):
+        if symbol == BREAK or symbol == END and state < 2:
+            return 0, symbol
+        if symbol == QUOTE:
+            return (0, 2, 1)[state], symbol
+        if symbol == REPORT and state == 0:
+            return 1, symbol
+        return state, "reported" if state and symbol in (INSULT, THREAT, "negated") else symbol
+
+    return Transducer(0, step)
 
 
 def _named() -> Transducer:
@@ -113,9 +133,9 @@ def _named() -> Transducer:
 
 
 def grammar() -> list[dict]:
-    negation = _within_reach(NEGATION, {INSULT: "negated", THREAT: "negated"})
-    target = _within_reach(TARGET, {INSULT: "aimed_insult", THREAT: "aimed_threat"})
-    return negation.compose(_reported()).compose(target).compose(_named()).table(range(7))[0]
+    negation = _within_reach(NEGATION, {INSULT: "negated", THREAT: "negated"}, (PAUSE, END, QUOTE, BREAK))
+    target = _within_reach(TARGET, {INSULT: "aimed_insult", THREAT: "aimed_threat"}, (END, BREAK))
+    return negation.compose(_reported()).compose(target).compose(_named()).table(range(10))[0]
 
 
 class Lexicon(dict):
@@ -145,15 +165,8 @@ class Lexicon(dict):
     def __missing__(self, token: str) -> tuple[tuple[int, float], ...]:
         if len(self) >= MEMO_WORDS:
             self.clear()
-        out, at = [], 0
         low = token.lower().replace("'", "").replace("’", "")
-        for m in _LETTERS.finditer(low):
-            if at and _ENDS.search(low, at, m.start()):
-                out.append((END, 0.0))
-            out.append(self.symbol(m.group()))
-            at = m.end()
-        if _ENDS.search(low, at):
-            out.append((END, 0.0))
+        out = [self.symbol(m.group()) if m.lastgroup == "word" else _MARKS[m.lastgroup] for m in _PARTS.finditer(low)]
         found = tuple(out)
         if len(token) <= 64:
             self[token] = found
@@ -188,19 +201,22 @@ class Matcher:
             return found
         state, clause, rows = 0, {}, self.rows
         for line in text.split("\n"):
-            for token in (*line.split(), "."):
+            for token in line.split():
                 for symbol, weight in self.lexicon[token]:
                     state, out = rows[state][symbol]
-                    if out == END:
+                    if out == END or out == PAUSE:
                         found.update(clause)
                         clause = {}
                     elif isinstance(out, str):
                         clause[out] = max(weight, clause.get(out, 0.0))
+            state = rows[state][BREAK][0]
+            found.update(clause)
+            clause = {}
         return found
 
 
 def features(clauses: Counter) -> list[float]:
-    return [1.0, *(log1p(clauses[k]) for k in MATCHES), log1p(sum(clauses.values()))]
+    return [1.0, *(log1p(clauses[k]) for k in MATCHES), log1p(sum(clauses[k] for k in AFFIRMED))]
 
 
 def score_of(clauses: Counter, weights: list[float]) -> float:
@@ -210,16 +226,18 @@ def score_of(clauses: Counter, weights: list[float]) -> float:
 
 def training_sample(docs: DataFrame, labels: DataFrame, *, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS, longest: int = LONGEST_ROW) -> list[tuple[str, int]]:
     """At most so many labelled texts of each label, none above ``longest`` characters, chosen by a hash of the id."""
-    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
+    marked = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(1 << 30)
     most = {0: clean_rows, 1: toxic_rows}
     share = {k: min(1.0, 1.2 * n / max(1, counts.get(k, 0))) for k, n in most.items()}
     drawn = marked.withColumn("draw", draw).where(F.col("draw") < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))  # bounded, whatever the input
     texts = text_of(docs).where(F.col("text").isNotNull() & (F.length("text") <= longest))
-    got = texts.join(F.broadcast(drawn), "doc_id").collect()
+    # One text an id, so that what is collected is bounded by the ids drawn.
+    got = texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "toxic", "draw").agg(F.min("text").alias("text")).collect()
     kept: dict[int, list] = {0: [], 1: []}
-    for r in sorted(got, key=lambda r: (r["draw"], r["doc_id"], r["text"])):
+    for r in sorted(got, key=lambda r: (r["draw"], r["doc_id"])):
         if len(kept[r["toxic"]]) < most[r["toxic"]]:
             kept[r["toxic"]].append(r["text"])
     return [(t, y) for y in (0, 1) for t in kept[y]]
@@ -264,8 +282,8 @@ def learn_stems(sample: list[tuple[str, int]]) -> dict[str, float]:
     return kept
 
 
-def fit(sample: list[tuple[str, int]], *, ridge: float = 0.02, rounds: int = 40) -> tuple[dict[str, float], list[float]]:
-    """Stems and weights (bias, MATCHES, all); Newton steps with a ridge."""
+def fit(sample: list[tuple[str, int]], *, ridge: float = 0.02, rounds: int = 100) -> tuple[dict[str, float], list[float]]:
+    """Stems and weights (bias, MATCHES, all affirmed): Newton steps with a ridge, kept at bounds where they are met."""
     stems = learn_stems(sample)
     if len({y for _, y in sample}) < 2:
         return stems, [-4.0 if not sample or sample[0][1] == 0 else 4.0, *[0.0] * len(MATCHES), 3.0]
@@ -273,15 +291,20 @@ def fit(sample: list[tuple[str, int]], *, ridge: float = 0.02, rounds: int = 40)
     x = np.array([features(matcher.clauses(t)) for t, _ in sample])
     y = np.array([float(v) for _, v in sample])
     penalty = np.diag([1e-6, *[ridge] * (len(MATCHES) + 1)]) * len(y) / 100
+    bounded = np.array([False, *(k in AFFIRMED for k in MATCHES), True])
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (p - y) + penalty @ w
+        free = ~(bounded & (w <= 0) & (slope > 0))
         h = (x * (p * (1 - p))[:, None]).T @ x + penalty + 1e-9 * np.eye(len(w))
-        step = np.linalg.solve(h, x.T @ (p - y) + penalty @ w)
-        w -= np.clip(step, -3, 3)
-        if abs(step).max() < 1e-8:
+        step = np.zeros_like(w)
+        step[free] = np.clip(np.linalg.solve(h[np.ix_(free, free)], slope[free]), -3, 3)
+        after = np.where(bounded, np.maximum(w - step, 0.0), w - step)
+        if abs(after - w).max() < 1e-8:
             break
-    return stems, [float(v) for v in [w[0], *np.maximum(w[1:], 0.0)]]
+        w = after
+    return stems, [float(v) for v in w]
 
 
 def predict(docs: DataFrame, stems: dict[str, float], weights: list[float], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
