@@ -8,6 +8,10 @@ its positions. Segments repeat, so a task remembers the sums of recent ones.
 
 Texts that are null or hold no letter give ``und`` with score 0. Rows without a
 language teach nothing; without any labelled row every document gives ``und``.
+Very long texts are read in whole, a segment at a time. Of languages with equal
+probabilities the first by name is given. Repeated rows get equal answers; an
+empty table gives an empty result. Other columns than the id, the text and (in
+training) the language aren't read.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ import re
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanforge.llm.common import map_rows
@@ -142,19 +147,22 @@ class ByteGru:
         return out
 
 
-def training_sample(docs: DataFrame, *, rows: int = ROWS_PER_LANGUAGE, longest: int = LONGEST_ROW, id_col: str = "doc_id") -> list[tuple[str, str]]:
-    """At most ``rows`` labelled rows a language, none above ``longest`` characters, chosen by a hash of the text."""
+def training_sample(docs: DataFrame, *, rows: int = ROWS_PER_LANGUAGE, longest: int = LONGEST_ROW) -> list[tuple[str, str]]:
+    """At most ``rows`` distinct labelled texts a language, none above ``longest`` characters, chosen by a hash of the text.
+
+    Copies of a text count once, so what is collected is bounded by ``rows`` for
+    each language, however often one text occurs.
+    """
     usable = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.approx_count_distinct("text").alias("n")).collect()}
     if not counts:
         return []
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 3 * rows / n)))])
+    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 3 * rows / max(1, n))))])
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(1 << 30)
-    drawn = usable.where((draw < share[F.col("lang")]) & (F.length("text") <= longest)).withColumn("draw", draw).collect()
-    kept: dict[str, list] = {}
-    for r in sorted(drawn, key=lambda r: (r["draw"], r["text"])):
-        kept.setdefault(r["lang"], []).append(r["text"])
-    return [(lang, text) for lang in sorted(kept) for text in kept[lang][:rows]]
+    drawn = usable.where((draw < share[F.col("lang")]) & (F.length("text") <= longest)).distinct().withColumn("draw", draw)
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("draw", "text"))
+    kept = drawn.withColumn("rank", rank).where(F.col("rank") <= rows).orderBy("lang", "rank").collect()
+    return [(r["lang"], r["text"]) for r in kept]
 
 
 def fit(sample: list[tuple[str, str]], *, segments_per_row: int = SEGMENTS_PER_ROW, seed: int = 3, **kw) -> tuple[list[str], ByteGru | None]:

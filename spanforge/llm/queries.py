@@ -38,7 +38,7 @@ def held_in_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     stems, weights = toxicity.fit(toxicity.training_sample(docs, held_in_labels(spark, sf_dir)))
     return toxicity.predict(docs, stems, weights).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -57,8 +57,8 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
-    langs, model = language_id.fit(language_id.training_sample(docs.where(~held_out)))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    langs, model = language_id.fit(language_id.training_sample(docs.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)))
     return language_id.predict(docs, langs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
