@@ -9,7 +9,9 @@ character offsets of the original text.
 Null, empty and wordless texts have no words and no hits. Items without words
 match nothing; repeated items count each by its id. Windows of an item with a
 null id count as hits, but such an item is in no list of items. Repeated rows give repeated
-rows; an empty table, or an empty benchmark, gives rows without hits.
+rows; an empty table, or an empty benchmark, gives rows without hits. Texts of
+any length are scanned in whole. Only the id and the text are read, so other
+columns can't clash.
 """
 
 from __future__ import annotations
@@ -18,10 +20,10 @@ import re
 
 import ahocorasick
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import column_of, map_rows, text_of
+from spanforge.llm.common import checkpoint, column_of, map_rows, text_of
 
 #: Benchmark bytes that one automaton takes; a larger benchmark is scanned in blocks of this size.
 BLOCK_BYTES = 8 << 20
@@ -110,31 +112,36 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, words: int = 10, block_bytes:
     """One row a document: doc_id, n_words, n_hit, items (ids, sorted as strings) and spans of the original text.
 
     The benchmark's size is taken first. Up to ``block_bytes`` it is one
-    broadcast automaton; beyond, blocks of that size scan in turn, inside the
-    same tasks and without a shuffle.
+    broadcast automaton; beyond, blocks of that size scan in turn, without a
+    shuffle. What a block has found is written before the next is sent, so a
+    task holds one automaton, whatever the benchmark's size.
     """
     blocks = _blocks(benchmark, block_bytes)
     state = text_of(docs, id_col, text_col).withColumns({"n_words": F.lit(0).cast("long"), "runs": F.expr(f"CAST(array() AS {_HITS})"), "items": F.expr("CAST(array() AS array<string>)")})
     for i, items in enumerate(blocks, 1):
         state = _scan(state, items, words, i == len(blocks))
+        if i < len(blocks):
+            state = checkpoint(state)
     return state
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
     """The benchmark in parts of about ``block_bytes``, by its measured size."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     size = items.agg(F.sum(F.octet_length("text") + F.coalesce(F.octet_length("item_id"), F.lit(0)))).first()[0] or 0
     n = max(1, -(-size // block_bytes))
     return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b) for b in range(n)]
 
 
-def is_clean(text: Column, benchmark: DataFrame, *, words: int = 10, block_bytes: int = BLOCK_BYTES) -> Column:
-    """Whether a text holds no window, as a column, so that rows can be kept or dropped where they are, without a join."""
-    spark, out = benchmark.sparkSession, F.lit(True)
-    for items in _blocks(benchmark, block_bytes):
-        shipped = spark.sparkContext.broadcast([(r.item_id, r.text) for r in items.collect()])
-        out = out & column_of(spark, _clean_of(shipped, words), "boolean", text.cast("string"))
-    return out
+def clean(docs: DataFrame, benchmark: DataFrame, *, words: int = 10, block_bytes: int = BLOCK_BYTES, text_col: str = "text") -> DataFrame:
+    """The documents that hold no window, dropped where they are, without a join; each block's rest is written before the next block."""
+    blocks = _blocks(benchmark, block_bytes)
+    for i, items in enumerate(blocks, 1):
+        shipped = docs.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in items.collect()])
+        docs = docs.where(column_of(docs.sparkSession, _clean_of(shipped, words), "boolean", F.col(text_col).cast("string")))
+        if i < len(blocks):
+            docs = checkpoint(docs)
+    return docs
 
 
 def _clean_of(shipped, words: int):
