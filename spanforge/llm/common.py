@@ -51,6 +51,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 #: Rows of a batch that are Python objects at a time.
 ROWS_AT_ONCE = 512
+#: Rows of an Arrow batch, in place of Spark's own default: long texts make full batches large in both processes.
+_BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
+
+
+def _prepared(spark: SparkSession) -> None:
+    """Ship the package and, where the session has chosen no size of Arrow batches (10,000 rows included), set it.
+
+    The setting is the session's and stays; set it to keep another one.
+    """
+    ship(spark)
+    if _BATCH_SETTING not in spark.conf.getAll:
+        spark.conf.set(_BATCH_SETTING, BATCH_ROWS)
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[[list], Iterator[dict] | dict]], schema: str | StructType) -> DataFrame:
@@ -59,7 +71,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list], Iterator[dict] |
     ``make`` is called once a task and gives a function from a batch's columns
     (``{name: list}``) to output columns (``{name: list}``).
     """
-    ship(df.sparkSession)
+    _prepared(df.sparkSession)
     kind = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     arrow = to_arrow_schema(kind)
 
@@ -76,7 +88,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list], Iterator[dict] |
 
 def column_of(spark: SparkSession, make: Callable[[], Callable[[list], list]], kind: str, source: Column) -> Column:
     """A column of ``make()(values)``; ``make`` is called once a task. Rows stay where they are."""
-    ship(spark)
+    _prepared(spark)
     arrow = to_arrow_schema(StructType.fromDDL(f"x {kind}")).field(0).type
 
     @F.arrow_udf(kind)

@@ -2,21 +2,25 @@
 
 Writer. Payload digests are worked out first; of equal payloads (of at least
 ``least_bytes``) the one with the smallest page id is stored as a response and
-the others as revisits of it. Members are written by Spark's text sink, so
-archives go wherever the session's file systems reach and a lost task leaves no
-partial archive. That sink ends each row with a separator: it is NUL here, and
-the last byte of a member (the high byte of its length, NUL below 16 MB) is left
-to it. A longer member is followed by an empty one, whose last byte is NUL too.
-
-Reader. Archives are taken in turn; members are inflated in steps of
-``STEP_BYTES``, records are framed by Content-Length, and block and payload
-digests are verified. A damaged record raises an error.
+the others as revisits of it. A task fills archives of ``archive_bytes`` (and
+one record more at most) and Spark's text sink writes each into a file of its
+own, so archives go wherever the session's file systems reach and a lost task
+leaves no partial archive. That sink ends each row with a separator: it is NUL
+here, and the last byte of an archive (the high byte of its last member's
+length, NUL below 16 MB) is left to it. A longer member is followed by an empty
+one, whose last byte is NUL too.
+
+Reader. Archives are taken in turn, those of one task one at a time; members are
+inflated in steps of ``STEP_BYTES``, records are framed by Content-Length, and
+block and payload digests are verified. Rows leave in small batches, payloads
+only if they are asked for. A damaged record raises an error.
 
 Null html counts as an empty payload, a null url is left out. Rows with a null
 page id are left out of an archive unless ``unnumbered`` is set, as the round
 trip sets it; then they are written under a URN without a number and read with a
 null page id. They are revisits of a numbered page of equal payload, if there is
-one. Repeated rows give repeated records, of one type.
+one. Repeated rows give repeated records, of one type. Only page_id, url and
+html are read, so other columns can't clash; an empty table gives no record.
 """
 
 from __future__ import annotations
@@ -26,15 +30,17 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import checkpoint, map_rows, shared_dir
+from spanforge.llm.common import checkpoint, remove, shared_dir
 from spanforge.shipping import ship
 
 STEP_BYTES = 1 << 16
-ROWS_PER_ARCHIVE = 2_000
+#: Compressed bytes that an archive is filled to, and records of a batch that the reader gives.
+ARCHIVE_BYTES, ROWS_AT_ONCE = 16 << 20, 256
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _URN = "urn:page:"
 #: Fixed value: a gzip member of no bytes, without name and time.
@@ -126,7 +132,7 @@ def read_archive(archive: bytes) -> Iterator[dict]:
         yield {"page_id": number("warc-record-id"), "url": fields.get("warc-target-uri"), "payload": payload if kind == "response" else None, "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": number("warc-refers-to")}
 
 
-def write(pages: DataFrame, path: str, *, least_bytes: int = 0, rows_per_archive: int = ROWS_PER_ARCHIVE, unnumbered: bool = False) -> None:
+def write(pages: DataFrame, path: str, *, least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES, unnumbered: bool = False) -> None:
     """Write a record for each page into archives under ``path``; pages with a null id only if ``unnumbered``."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "utf-8").alias("payload"))
     rows = (rows if unnumbered else rows.where("page_id IS NOT NULL")).withColumn("sha1", F.unhex(F.sha1("payload")))
@@ -134,17 +140,25 @@ def write(pages: DataFrame, path: str, *, least_bytes: int = 0, rows_per_archive
     shared = checkpoint(rows.where(F.octet_length("payload") >= least_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     marked = rows.join(shared, "sha1", "left")
 
-    def make():
-        def work(cols):
-            out = []
-            for page, url, payload, sha1, first in zip(*(cols[k] for k in ("page_id", "url", "payload", "sha1", "first"))):
-                out.append(member(record(page, url, payload, base64.b32encode(sha1).decode(), None if first is None or first == page else first))[:-1])
-            return {"member": out}
-
-        return work
+    def archives(batches: Iterable) -> Iterator:
+        import pyarrow as pa
 
-    members = map_rows(marked, make, "member binary").select(F.col("member").cast("string").alias("value"))
-    members.write.option("lineSep", "\0").option("maxRecordsPerFile", rows_per_archive).mode("overwrite").text(path)
+        held, size = [], 0
+        for batch in batches:
+            for row in range(batch.num_rows):  # one row's objects at a time
+                page, url, payload, sha1, first = (batch.column(i)[row].as_py() for i in range(5))
+                held.append(member(record(page, url, payload, base64.b32encode(sha1).decode(), None if first is None or first == page else first)))
+                size += len(held[-1])
+                if size >= archive_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], ["archive"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], ["archive"])
+
+    ship(pages.sparkSession)
+    ordered = marked.select("page_id", "url", "payload", "sha1", "first")
+    files = ordered.mapInArrow(archives, "archive binary").select(F.col("archive").cast("string").alias("value"))
+    files.write.option("lineSep", "\0").option("maxRecordsPerFile", 1).mode("overwrite").text(path)
 
 
 def read(spark: SparkSession, path: str, *, payloads: bool = False) -> DataFrame:
@@ -159,8 +173,8 @@ def read(spark: SparkSession, path: str, *, payloads: bool = False) -> DataFrame
         schema = pa.schema([(n, types[kinds.get(n, "string")]) for n in names])
         for batch in batches:
             for archive in batch.column(0):
-                rows = list(read_archive(archive.as_py()))
-                if rows:
+                found = ({n: r[n] for n in names} for r in read_archive(archive.as_py()))
+                while rows := list(islice(found, ROWS_AT_ONCE)):
                     yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], schema.field(n).type) for n in names], schema=schema)
 
     ship(spark)
@@ -169,8 +183,10 @@ def read(spark: SparkSession, path: str, *, payloads: bool = False) -> DataFrame
 
 
 def round_trip(pages: DataFrame, **kw) -> DataFrame:
-    """Write all pages to archives in the shared folder and read them back."""
+    """Write all pages to archives in the shared folder and read them back; the archives go once the records' rows are written."""
     spark = pages.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     write(pages, path, unnumbered=True, **kw)
-    return read(spark, path)
+    found = checkpoint(read(spark, path))
+    remove(spark, path)
+    return found
