@@ -243,7 +243,7 @@ def test_warc_files(spark, tmp_path):
     data = [(5, "u\r\nx", "same", 1), (3, None, "same", 1), (4, "u", None, 1), (9, "u", "", 1), (7, "u", "short", 1), (8, "u", "short", 1), (11, "big", noise, 1), (None, "u", "lost", 1), (5, "u\r\nx", "same", 1)]
     pages = spark.createDataFrame(data, "page_id long, url string, html string, payload int").repartition(3)
     path = str(tmp_path / "w")
-    warc.write(pages, path, rows_per_archive=2)
+    warc.write(pages, path, archive_bytes=200)
     got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in warc.read(spark, path, payloads=True).collect()}
     assert got == {5: ("revisit", 3, 4), 3: ("response", None, 4), 4: ("response", None, 0), 9: ("revisit", 4, 0), 7: ("response", None, 5), 8: ("revisit", 7, 5), 11: ("response", None, len(noise.encode()))}
     files = [p for p in (tmp_path / "w").iterdir() if p.name.startswith("part-") and p.stat().st_size]

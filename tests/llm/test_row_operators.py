@@ -176,7 +176,7 @@ def test_decontamination(spark, odd, none):
     for kw in ({}, {"block_bytes": 2000}):  # one automaton, and many blocks
         got = {r.doc_id: (r.n_words, r.n_hit, r.items) for r in dc.scan(docs, bench, **kw).collect()}
         assert got == want
-        clean = {r.doc_id for r in docs.where(dc.is_clean(docs.text, bench, **kw)).select("doc_id").collect()}
+        clean = {r.doc_id for r in dc.clean(docs, bench, **kw).select("doc_id").collect()}
         assert clean == {i for i, (_, hit, _) in want.items() if not hit}
     assert dc.scan(odd, bench).count() == odd.count() and dc.scan(none, bench).count() == 0
     assert all(r.n_hit == 0 for r in dc.scan(odd, bench.limit(0)).collect())
@@ -199,7 +199,7 @@ def test_items_without_an_id_contaminate(spark, frame):
     for kw in ({}, {"block_bytes": 8}):
         got = {r.doc_id: (r.n_hit, r.items) for r in dc.scan(docs, bench, **kw).collect()}
         assert got == {0: (3, []), 1: (2, ["7"]), 2: (0, [])}
-        assert [r.doc_id for r in docs.where(dc.is_clean(docs.text, bench, **kw)).collect()] == [2]
+        assert [r.doc_id for r in dc.clean(docs, bench, **kw).collect()] == [2]
     assert [r.contaminated for r in dc.digests(dc.scan(docs, bench)).orderBy("doc_id").collect()] == [True, True, False]
 
 
@@ -312,6 +312,36 @@ def test_toxicity_grammar():
     assert clauses("I will kill you") == {"threat": 3.0} and clauses("they kill it") == {"aimed_threat": 3.0}
     assert clauses("an OAF! oaf\noaf") == {"insult": 9.0}
     assert clauses(None) == clauses("") == clauses("loaf grob") == {}
+    for said in ("he said: you are an oaf", 'she said, "you are an oaf"', "he said you are an oaf", 'he wrote: "Enough. You are an oaf. Go."', "she said, not an oaf", "sagte er, „du oaf“"):
+        assert clauses(said) == {"reported": 3.0}, said
+    assert clauses("he said no. you are an oaf") == {"aimed_insult": 3.0} == clauses('he said "no". you are an oaf') == clauses('he said "no\nyou are an oaf')
+    assert clauses("you, oaf") == {"aimed_insult": 3.0} and clauses("no, oaf!") == {"insult": 3.0} == clauses('"oaf"')
+
+
+def test_negated_and_reported_matches_can_lower_a_score():
+    clean = ["he said you oaf", "not an oaf", *["nothing here at all", "good day"] * 15]
+    stems, weights = tox.fit([("you oaf", 1), ("an oaf here", 1), ("oaf", 1)] * 30 + [(t, 0) for t in clean] * 20)
+    score = lambda t: tox.score_of(tox.Matcher(stems).clauses(t), weights)
+    assert "oaf$" in stems and score("an oaf") > 0.9 and score("she said: oaf") < 0.1 > score("never an oaf")
+    assert score("oaf. she said: oaf") < score("oaf")
+
+
+def test_samples_are_bounded(spark):
+    copies = [(7, "the same text", "en", 1)] * 3000 + [(i, f"text number {i}", "en", i % 2) for i in range(8, 60)]
+    docs = spark.createDataFrame(copies, "doc_id long, text string, lang string, toxic int")
+    assert len(tox.training_sample(docs, docs.select("doc_id", "toxic"), toxic_rows=20, clean_rows=20)) <= 40
+    drawn = li.training_sample(docs, rows=20)
+    assert 0 < len(drawn) <= 20 and len(set(drawn)) == len(drawn)
+
+
+def test_a_chosen_batch_size_is_kept(spark, frame):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    try:
+        spark.conf.set(key, "10000")
+        li.predict(frame(["a"]), *li.fit([])).count()
+        assert spark.conf.get(key) == "10000"
+    finally:
+        spark.conf.unset(key)
 
 
 def test_op4_held_out(spark, odd, none):
@@ -322,6 +352,11 @@ def test_op4_held_out(spark, odd, none):
     p, y = held.score.to_numpy(), held.toxic.to_numpy()
     order = p.argsort().argsort() + 1
     auc = (order[y == 1].sum() - (y == 1).sum() * ((y == 1).sum() + 1) / 2) / ((y == 1).sum() * (y == 0).sum())
+    recall = held.predicted[y == 1].mean()
+    lang = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang").toPandas().set_index("doc_id").lang
+    by_lang = held[y == 1].groupby(held.doc_id.map(lang)).predicted.mean()
+    print("held-out recall", recall, dict(by_lang), "auc", auc, "false", held.predicted[y == 0].mean())
+    assert recall > 0.8 and len(by_lang) == 4 and by_lang.min() > 0.6
     assert auc > 0.9 and held.predicted[y == 0].mean() < 0.02 and ((held.score >= 0.5) == (held.predicted == 1)).all()
     stems, weights = tox.fit([("an oaf here", 1)] * 40 + [("clean words here", 0)] * 400)
     rows = tox.predict(odd, stems, weights).collect()
