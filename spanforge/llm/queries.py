@@ -63,8 +63,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_rindex_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return rindex_dedup.digests(rindex_dedup.with_passages(rindex_dedup.repeats(docs), docs))
+    return rindex_dedup.digests(rindex_dedup.repeats(table(spark, sf_dir, "documents"), passage_words=51))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

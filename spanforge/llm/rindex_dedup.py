@@ -188,8 +188,11 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def repeats(docs: DataFrame, *, width: int = 400, least_words: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, text_key, n_bytes, n_removed, spans (of bytes, end excluded), kept_sha256."""
+def repeats(docs: DataFrame, *, width: int = 400, least_words: int = 0, passage_words: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document: doc_id, text_key, n_bytes, n_removed, spans (of bytes, end excluded), kept_sha256.
+
+    With ``passage_words`` also n_shared_passages and shares_passage, by ``shared_passages``.
+    """
     assert 64 < width and 2 * KEY_RUNS * width < 2 * MOST_BYTES
     texts = text_of(docs, id_col, text_col)
     rows = checkpoint(_summaries(texts, width, least_words > 0))
@@ -204,11 +207,15 @@ def repeats(docs: DataFrame, *, width: int = 400, least_words: int = 0, id_col:
     n_shared = chosen.agg(F.sum("n")).first()[0] or 0
     spans = checkpoint(_marked(_cuttings(chosen.select("text_key", "packed", "runs"), width), max(1, n_shared // GROUP_RUNS), width))
     found = spans.groupBy("text_key").agg(F.collect_list(F.struct("start", "end")).alias("found"))
-    results = _kept(chosen.select("text_key", "packed").join(found, "text_key"), least_words)
-    once = classes.select("text_key", "copies")
-    out = rows.drop("keys", "firsts", "lasts", "insides").join(once, "text_key", "left").join(results.drop("kept"), "text_key", "left")
-    gone = (F.col("copies") > 1) & (F.col("n_words") >= least_words)
+    results = _kept(chosen.select("text_key", "packed").join(found, "text_key"), least_words).drop("kept")
+    known = classes.select("text_key", "copies").join(results, "text_key", "left")
+    if passage_words:
+        known = known.join(shared_passages(docs, words=passage_words, text_col=text_col), "text_key", "full")
+    # One row a text, written, so that both sides of the join are plain shuffles and a frequent text's rows can be dealt out.
+    out = rows.drop("keys", "firsts", "lasts", "insides").join(checkpoint(known), "text_key", "left")
+    gone = F.coalesce(F.col("copies") > 1, F.lit(False)) & (F.col("n_words") >= least_words)
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
+    passages = [F.coalesce("n_shared", F.lit(0).cast("long")).alias("n_shared_passages"), F.col("n_shared").isNotNull().alias("shares_passage")] if passage_words else []
     return out.select(
         "doc_id",
         "text_key",
@@ -216,6 +223,7 @@ def repeats(docs: DataFrame, *, width: int = 400, least_words: int = 0, id_col:
         F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
         F.when(gone, whole).otherwise(F.coalesce("spans", F.expr(f"CAST(array() AS {_SPANS})"))).alias("spans"),
         F.when(gone, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "sha256")).alias("kept_sha256"),
+        *passages,
     )
 
 
@@ -261,12 +269,6 @@ def shared_passages(docs: DataFrame, *, words: int = 51, gram: int = PASSAGE_GRA
     return pairs.join(often, "key").groupBy("text_key").agg(F.count("*").alias("n_shared"))
 
 
-def with_passages(found: DataFrame, docs: DataFrame, *, words: int = 51, text_col: str = "text") -> DataFrame:
-    """Adds n_shared_passages and shares_passage to rows that have a text_key."""
-    shared = shared_passages(docs, words=words, text_col=text_col)
-    return found.join(shared, "text_key", "left").withColumn("n_shared_passages", F.coalesce("n_shared", F.lit(0).cast("long"))).withColumn("shares_passage", F.col("n_shared").isNotNull()).drop("n_shared")
-
-
 def digests(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256", *[c for c in ("n_shared_passages", "shares_passage") if c in found.columns])
 
