@@ -18,6 +18,9 @@ from spanforge.functions import text as T
 from spanforge.functions import urls as U
 from spanforge.operators import evaluate, folds, intervals, islands, sampling, windows
 from spanforge.plans import judge as J
+from spanforge.plans import proposers as P
+from spanforge.sources.captions import cues
+from spanforge.sources.captions import language_rank as rank_of
 
 #: Six hours and one hour in microseconds.
 GAP_US, HOUR_US = 21_600_000_000, 3_600_000_000
@@ -96,7 +99,7 @@ def tolerance_anti(spark, d):
 def context_before_span_after(spark, d):
     rows = _load(spark, d, "conversations").select("conv_id", "turn", (F.col("turn") * 10).alias("start"), (F.col("turn") * 10 + 8).alias("end"))
     spans = rows.select("conv_id", F.col("turn").alias("span"), F.col("start").alias("span_start"), F.col("end").alias("span_end"))
-    out = intervals.context_rows(spans, rows, ["conv_id"], pad=20, before=12, inside=40, after=12, order="turn", span_id=["span"])
+    out = intervals.context_rows(spans, rows, ["conv_id"], pad=20, before=12, inside=40, after=12, width=60, order="turn", span_id=["span"])
     return out.select("conv_id", "span", "turn", "part")
 
 
@@ -104,14 +107,14 @@ def span_hits_top_n(spark, d):
     s = _spans(spark, d)
     spans = s.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("span"), F.col("s").alias("span_start"), F.col("e").alias("span_end"))
     hits = s.select("user_id", "event_id", "s")
-    return intervals.first_in_span(spans, hits, ["user_id"], "s", HOUR_US, 25, span_id=["span"], order=["s", "event_id"]).select("user_id", "span", "event_id", F.col("rank").cast("long").alias("rank"))
+    return intervals.first_in_span(spans, hits, ["user_id"], "s", HOUR_US, 25, width=GAP_US, span_id=["span"], order=["s", "event_id"]).select("user_id", "span", "event_id", F.col("rank").cast("long").alias("rank"))
 
 
 def refine_start(spark, d):
     s = _spans(spark, d)
     spans = s.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("span"), F.col("s").alias("span_start"), F.col("e").alias("span_end"))
     hits = s.where("event_type <> 'purchase' AND value >= 5")
-    return intervals.refined_start(spans, hits, ["user_id"], span_id=["span"], time="s", seq="event_id", back=HOUR_US).select("user_id", "span", "span_start", "span_end")
+    return intervals.refined_start(spans, hits, ["user_id"], span_id=["span"], time="s", seq="event_id", width=GAP_US, back=HOUR_US).select("user_id", "span", "span_start", "span_end")
 
 
 def interval_iou(spark, d):
@@ -176,17 +179,27 @@ def title_brand(spark, d):
 
 
 def best_banner(spark, d):
-    t = _load(spark, d, "documents").select("source", "doc_id", "text", T.class_score(F.lower("text"), DEMO_CLASSES, editorial=None).alias("score"))
-    best = t.groupBy("source").agg(F.max_by("doc_id", F.struct("score", F.length("text"), -F.col("doc_id"))).alias("doc_id"), F.max("score").cast("long").alias("score"))
+    t = _load(spark, d, "documents").select("source", "doc_id", "text", T.class_score(F.lower("text"), DEMO_CLASSES, editorial=None).alias("score"), T.banner_bonus("text", services="(?i)licensed", brands=["apache"]).alias("bonus"))
+    best = t.groupBy("source").agg(F.max_by("doc_id", F.struct("score", "bonus", F.length("text"), -F.col("doc_id"))).alias("doc_id"), F.max("score").cast("long").alias("score"))
     return best.select("source", "doc_id", "score")
 
 
 def url_normalise(spark, d):
-    return _load(spark, d, "pages").select("page_id", U.normalise_url("url", r"^(ref|utm_[^=]*)(=|$)").alias("url"))
+    return _load(spark, d, "pages").select("page_id", U.normalise_url("url", r"(?i)^(ref|utm_[^=]*)(=|$)").alias("url"))
+
+
+#: Forms of media addresses; the page's own comes first.
+URL_FORMS = ("https://www.youtube.com/watch?a=1&v={11}", "https://youtu.be/{11}?t=1", "https://youtube.com/embed/{11}", "https://www.youtube.com/live/{11}", "https://www.instagram.com/tv/{9}/", "https://instagr.am/share/reels/{7}", "https://example.org/livestream/{5}")
 
 
 def url_ids(spark, d):
-    return _load(spark, d, "pages").select("page_id", U.host("url").alias("host"), U.video_id("url").alias("video_id"), U.platform("url").alias("platform"))
+    """Each page's address and one of each form, with a code made of the page's address."""
+    forms = []
+    for f in URL_FORMS:
+        before, n, after = f.partition("{")[0], int(f.partition("{")[2].partition("}")[0]), f.partition("}")[2]
+        forms.append(F.concat(F.lit(before), F.substring(F.md5(T.text("url")), 1, n), F.lit(after)))
+    p = _load(spark, d, "pages").select("page_id", F.posexplode(F.array(F.col("url"), *forms)).alias("form", "u"))
+    return p.select("page_id", F.col("form").cast("long").alias("form"), U.host("u").alias("host"), U.video_id("u").alias("video_id"), U.platform("u").alias("platform"), U.is_live_url("u").alias("live"))
 
 
 def kind_inference(spark, d):
@@ -195,7 +208,7 @@ def kind_inference(spark, d):
 
 
 def error_classify(spark, d):
-    return _load(spark, d, "documents").select("doc_id", T.classify_error("text", (("first", ("thered", "429")), ("second", ("that", "private")), ("third", ("la ", "timeout")))).alias("code"))
+    return _load(spark, d, "documents").select("doc_id", T.classify_error("text", (("first", ("thered", "429")), ("second", ("that", "private")), ("third", ("la ", "timeout"))), "unknown").alias("code"))
 
 
 def markup_clean(spark, d):
@@ -271,10 +284,8 @@ def interval_matches(spark, d):
 def run_stats(spark, d):
     """Per event type: counts, mean, and the 95th of 100 by rank (the largest below 20 rows)."""
     e = _load(spark, d, "events").where("value IS NOT NULL")
-    n, p95 = F.count("*").alias("n"), F.sort_array(F.collect_list("value"))
-    s = e.groupBy("event_type", "user_id").agg(n, F.round(F.avg("value"), 8).alias("mean"), p95.alias("v"))
-    rank = F.when(F.col("n") < 20, F.col("n")).otherwise(F.ceil(F.col("n") * 0.95))
-    return s.select("event_type", "user_id", "n", "mean", F.element_at("v", rank.cast("int")).alias("p95"))
+    s = e.groupBy("event_type", "user_id").agg(F.count("*").alias("n"), F.round(F.avg("value"), 8).alias("mean"), P.rank_95("value").alias("p95"))
+    return s.select("event_type", "user_id", "n", "mean", "p95")
 
 
 def brand_signature(spark, d):
@@ -299,6 +310,46 @@ def scene_break_hits(spark, d):
     return scored.where("distance >= 0.35 AND score >= 2").select("label", "vec_id", F.col("score").cast("long").alias("score"), F.round("distance", 4).alias("distance"))
 
 
+def platform_errors(spark, d):
+    """A phrase of either platform's errors (or none) between words of a document, classified for both."""
+    phrases = [p for ladder in (T.YOUTUBE_ERRORS, T.INSTAGRAM_ERRORS) for _, group in ladder for p in group] + ["http error 403", "csrf", ""]
+    at = F.length(T.text("text")) % len(phrases)
+    e = _load(spark, d, "documents").select("doc_id", F.concat(F.substring(F.md5(T.text("text")), 1, 6), F.lit(": "), F.upper(F.get(F.array(*map(F.lit, phrases)), at))).alias("t"))
+    return e.select("doc_id", T.platform_error("t", F.lit("youtube")).alias("youtube"), T.platform_error("t", F.lit("instagram")).alias("instagram"))
+
+
+def caption_cues(spark, d):
+    """Conversations written as VTT files and parsed."""
+    ms = F.col("turn") * 10_000 + 500
+    clock = lambda x: F.format_string("%02d:%02d:%02d.%03d", F.floor(x / 3_600_000).cast("long"), (F.floor(x / 60_000) % 60).cast("long"), (F.floor(x / 1000) % 60).cast("long"), (x % 1000).cast("long"))
+    block = F.concat(clock(ms), F.lit(" --> "), clock(ms + 8000), F.lit(" align:start\n<c>"), F.regexp_replace(T.text("text"), r"[\x20\x09-\x0D]+", " "), F.lit("</c>"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("turn", block.alias("b")))), lambda r: r["b"])
+    files = _load(spark, d, "conversations").groupBy("conv_id").agg(F.concat(F.lit("WEBVTT\nKind: captions\n\n"), F.array_join(lines, "\n\n")).alias("body"))
+    return cues(files, "conv_id", "body").select("conv_id", F.col("seq").cast("long").alias("seq"), F.round("start_s", 3).alias("start_s"), F.round("end_s", 3).alias("end_s"), F.md5("text").alias("text_md5"))
+
+
+def clock_text(spark, d):
+    ms = F.floor(F.col("us") / 1000) % 86_400_000
+    text = F.format_string("%d:%02d:%02d,%03d", F.floor(ms / 3_600_000).cast("long"), (F.floor(ms / 60_000) % 60).cast("long"), (F.floor(ms / 1000) % 60).cast("long"), (ms % 1000).cast("long"))
+    return _events(spark, d).select("event_id", F.round(T.clock_seconds(text), 3).alias("seconds"))
+
+
+def json_repair(spark, d):
+    answer = F.concat(F.lit("Here it is:\n```json\n"), T.text("props"), F.lit("\n``` I hope it helps."))
+    return _load(spark, d, "events").select("event_id", F.get_json_object(T.first_json(answer), "$.k").cast("long").alias("k"))
+
+
+def language_rank(spark, d):
+    lang = F.when(F.length("text") % 2 == 0, F.concat("lang", F.lit("-orig"))).otherwise(F.col("lang"))
+    return _load(spark, d, "documents").select("doc_id", rank_of(lang).cast("long").alias("rank"))
+
+
+def intent_score(spark, d):
+    c = _load(spark, d, "conversations").select("conv_id", "turn", "text")
+    score = windows.intent_score(F.size(T.lexicon_hits("text", ("with", "from", "dans"))), T.words("text"), [{"with": 2, "from": 1, "avec": 1}, {"dans": 1, "les": 1}], [{"that": 1, "this": 1}])
+    return c.select("conv_id", "turn", F.round(score, 6).alias("score"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -308,5 +359,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         chrome_filter, brand_candidate, title_brand, best_banner, url_normalise, url_ids, kind_inference, error_classify, markup_clean,
         sampling_plan, mae_skip, rolling_dedupe, lag_distance_cuts, rule_judge, cache_key, persist_tracks, silence_commit, eval_prf,
         interval_matches, run_stats, brand_signature, event_sessions, scene_break_hits,
+        platform_errors, caption_cues, clock_text, json_repair, language_rank, intent_score,
     )
 }

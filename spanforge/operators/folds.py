@@ -1,11 +1,20 @@
-"""Folds: rows that depend on what was kept before them. Each runs over a key's sorted array."""
+"""Folds: rows that depend on what was kept before them.
+
+Rows are dealt by key and sorted in their partitions; a task then reads each key
+once, in Arrow batches, and holds the last kept row alone.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from spanforge.shipping import ship
 
 
 def mean_abs_diff(a: Column, b: Column) -> Column:
@@ -13,40 +22,64 @@ def mean_abs_diff(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x) / F.size(a)
 
 
+def _folded(df: DataFrame, n_key: int, order: str, step: Callable[[tuple | None, tuple], tuple[tuple | None, list[tuple]]], schema: StructType) -> DataFrame:
+    """Run ``step(kept, row)`` over each key's rows in order; it gives what is kept and the rows put out. At a key's end row is None."""
+    ship(df.sparkSession)
+    key, names = df.columns[:n_key], [f.name for f in schema]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, kept = None, None
+        for batch in batches:
+            out: list[tuple] = []
+            for row in batch.itertuples(index=False, name=None):
+                if row[:n_key] != now:
+                    if now is not None:
+                        out += [(*now, *x) for x in step(kept, None)[1]]
+                    now, kept = row[:n_key], None
+                kept, rows = step(kept, row[n_key:])
+                out += [(*now, *x) for x in rows]
+            yield pd.DataFrame(out, columns=names)
+        if now is not None:
+            yield pd.DataFrame([(*now, *x) for x in step(kept, None)[1]], columns=names)
+
+    return df.repartition(*key).sortWithinPartitions(*key, order).mapInPandas(run, schema)
+
+
 def near_duplicate_plan(df: DataFrame, key: Sequence[str], *, order: str, thumb: str, least: float) -> DataFrame:
     """For each row the last kept row's order if it differs by less than ``least`` from it, else its own.
 
     A kept row is the one later rows are held against, so slow drift is kept too.
     """
-    rows = df.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(thumb).alias("v")))).alias("rows"))
-    start = F.struct(F.expr("filter(slice(rows, 1, 1), r -> true)[0]").alias("kept"), F.expr("transform(slice(rows, 1, 0), r -> struct(r.o AS o, r.o AS source))").alias("out"))
+    rows = df.where(F.concat(*[F.col(k).cast("string") for k in key], F.col(order).cast("string")).isNotNull()).select(*key, F.col(order).alias(order), F.col(thumb).cast("array<double>").alias("__thumb"))
+    plan = StructType([*(rows.schema[k] for k in key), rows.schema[order]]).add("source", rows.schema[order].dataType)
 
-    def step(acc: Column, r: Column) -> Column:
-        same = mean_abs_diff(acc["kept"]["v"], r["v"]) < least
-        source = F.when(same, acc["kept"]["o"]).otherwise(r["o"])
-        return F.struct(F.when(same, acc["kept"]).otherwise(r).alias("kept"), F.array_append(acc["out"], F.struct(r["o"].alias("o"), source.alias("source"))).alias("out"))
+    def step(kept, row):
+        if row is None:
+            return None, []
+        at, v = row[0], np.asarray(row[1])
+        if kept is None or not np.abs(kept[1] - v).mean() < least:
+            kept = (at, v)
+        return kept, [(at, kept[0])]
 
-    plan = rows.select(*key, F.explode(F.aggregate("rows", start, step)["out"]).alias("p"))
-    return plan.select(*key, F.col("p.o").alias(order), F.col("p.source").alias("source"), (F.col("p.o") != F.col("p.source")).alias("reused"))
+    return _folded(rows, len(key), order, step, plan).withColumn("reused", F.col(order) != F.col("source"))
 
 
 def rolling_dedupe(df: DataFrame, key: Sequence[str], *, order: str, start: str, end: str, text: str, within: float) -> DataFrame:
     """Captions that roll: one contained in the last kept is dropped; one that contains it, starting within ``within``, replaces its text and extends it."""
-    rows = df.where(F.trim(F.col(text)) != "").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(start).cast("double").alias("s"), F.col(end).cast("double").alias("e"), F.trim(F.col(text)).alias("t")))).alias("rows"))
-    none = F.expr("filter(rows, r -> false)")
-
-    def step(acc: Column, r: Column) -> Column:
-        last = F.element_at(acc, -1)
-        grown = F.struct(last["o"].alias("o"), last["s"].alias("s"), F.greatest(last["e"], r["e"]).alias("e"), r["t"].alias("t"))
-        return (
-            F.when(F.size(acc) == 0, F.array_append(acc, r))
-            .when(F.contains(F.get(acc, F.size(acc) - 1)["t"], r["t"]), acc)
-            .when(F.contains(r["t"], F.get(acc, F.size(acc) - 1)["t"]) & (r["s"] - F.get(acc, F.size(acc) - 1)["s"] <= within), F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), grown))
-            .otherwise(F.array_append(acc, r))
-        )
-
-    kept = rows.select(*key, F.explode(F.aggregate("rows", none, step)).alias("k"))
-    return kept.select(*key, F.col("k.o").alias(order), F.col("k.s").alias(start), F.col("k.e").alias(end), F.col("k.t").alias(text))
+    rows = df.where(F.trim(F.col(text)) != "").select(*key, F.col(order).alias(order), F.col(start).cast("double").alias(start), F.col(end).cast("double").alias(end), F.trim(F.col(text)).alias(text))
+
+    def step(kept, row):
+        if row is None:
+            return None, [kept]
+        if kept is None:
+            return row, []
+        if row[3] in kept[3]:
+            return kept, []
+        if kept[3] in row[3] and row[1] - kept[1] <= within:
+            return (kept[0], kept[1], max(kept[2], row[2]), row[3]), []
+        return row, [kept]
+
+    return _folded(rows, len(key), order, step, rows.schema)
 
 
 def first_texts(df: DataFrame, key: Sequence[str], *, order: str, text: str, head: int = 80, most: int = 10) -> DataFrame:

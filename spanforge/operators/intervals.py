@@ -25,15 +25,17 @@ def bucketed(df: DataFrame, start: Column, end: Column, width, name: str = "__bu
     return df.withColumn(name, F.explode(F.sequence(F.floor(start / width).cast("long"), F.floor(end / width).cast("long"))))
 
 
-def overlap_semi(left: DataFrame, right: DataFrame, key: Sequence[str], width, *, start: str = "start", end: str = "end", anti: bool = False, pad=0, row_id: Sequence[str] = ()) -> DataFrame:
-    """Rows of left that overlap a row of right (or, with anti, none); overlap is strict, widened by ``pad``.
+def overlap_semi(left: DataFrame, right: DataFrame, key: Sequence[str], width, *, start: str = "start", end: str = "end", anti: bool = False, pad=0, inclusive: bool = False, row_id: Sequence[str] = ()) -> DataFrame:
+    """Rows of left that overlap a row of right (or, with anti, none), widened by ``pad``; touching counts only if ``inclusive``.
 
     row_id: columns that tell left's rows apart.
     """
     ids = [*key, *row_id]
     a = bucketed(left.select(*ids, F.col(start).alias("__s"), F.col(end).alias("__e")), F.col("__s") - pad, F.col("__e") + pad, width)
     b = bucketed(right.select(*key, F.col(start).alias("__bs"), F.col(end).alias("__be")), F.col("__bs"), F.col("__be"), width)
-    hit = a.join(b, [*key, "__bucket"]).where((F.col("__s") - pad < F.col("__be")) & (F.col("__e") + pad > F.col("__bs"))).select(*ids).distinct()
+    early, late = F.col("__s") - pad, F.col("__e") + pad
+    meet = (early <= F.col("__be")) & (late >= F.col("__bs")) if inclusive else (early < F.col("__be")) & (late > F.col("__bs"))
+    hit = a.join(b, [*key, "__bucket"]).where(meet).select(*ids).distinct()
     return left.join(hit, ids, "left_anti" if anti else "left_semi")
 
 
@@ -59,13 +61,16 @@ def snap_nearest(left: DataFrame, right: DataFrame, key: Sequence[str], time: st
     return left.join(best, ids, "left").withColumn(name, F.coalesce("__best", time)).drop("__best")
 
 
-def context_rows(spans: DataFrame, rows: DataFrame, key: Sequence[str], *, pad, before: int, inside: int, after: int, time: str = "start", end: str = "end", order: str = "seq", span_id: Sequence[str] = ()) -> DataFrame:
+def context_rows(spans: DataFrame, rows: DataFrame, key: Sequence[str], *, pad, before: int, inside: int, after: int, width, time: str = "start", end: str = "end", order: str = "seq", span_id: Sequence[str] = ()) -> DataFrame:
     """For each span its neighbouring rows by part: the last ones before it, the first inside and the first after, within ``pad``.
 
-    A row that touches the span counts as inside.
+    A row that touches the span counts as inside. ``width`` is the buckets'; a
+    pair counts in the first bucket that both touch.
     """
-    s = spans.select(*key, *span_id, F.col("span_start"), F.col("span_end"))
-    joined = rows.join(s, list(key)).where((F.col(end) >= F.col("span_start") - pad) & (F.col(time) <= F.col("span_end") + pad))
+    s = bucketed(spans.select(*key, *span_id, F.col("span_start"), F.col("span_end")), F.col("span_start") - pad, F.col("span_end") + pad, width)
+    r = bucketed(rows, F.col(time), F.col(end), width)
+    joined = r.join(s, [*key, "__bucket"]).where((F.col(end) >= F.col("span_start") - pad) & (F.col(time) <= F.col("span_end") + pad))
+    joined = joined.where(F.col("__bucket") == F.floor(F.greatest(F.col(time), F.col("span_start") - pad) / width).cast("long")).drop("__bucket")
     part = F.when(F.col(end) < F.col("span_start"), "before").when(F.col(time) <= F.col("span_end"), "span").otherwise("after")
     parted = joined.withColumn("part", part)
     w = W.partitionBy(*key, *span_id, "part")
@@ -74,15 +79,23 @@ def context_rows(spans: DataFrame, rows: DataFrame, key: Sequence[str], *, pad,
     return parted.withColumn("__rank", rank).where(F.col("__rank") <= most).drop("__rank")
 
 
-def first_in_span(spans: DataFrame, hits: DataFrame, key: Sequence[str], time: str, pad, most: int, *, span_id: Sequence[str], order: Sequence[str]) -> DataFrame:
+def _instants_in(spans: DataFrame, instants: DataFrame, key: Sequence[str], time: str, start: Column, end: Column, width) -> DataFrame:
+    """Instants with the spans [start, end] that hold them; an instant is in one bucket."""
+    s = bucketed(spans, start, end, width)
+    joined = instants.withColumn("__bucket", F.floor(F.col(time) / width).cast("long")).join(s, [*key, "__bucket"])
+    return joined.where(F.col(time).between(start, end)).drop("__bucket")
+
+
+def first_in_span(spans: DataFrame, hits: DataFrame, key: Sequence[str], time: str, pad, most: int, *, width, span_id: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first ``most`` hits inside each span, widened by ``pad`` (inclusive), with their rank."""
-    joined = hits.join(spans.select(*key, *span_id, "span_start", "span_end"), list(key)).where(F.col(time).between(F.col("span_start") - pad, F.col("span_end") + pad))
+    s = spans.select(*key, *span_id, "span_start", "span_end")
+    joined = _instants_in(s, hits, key, time, F.col("span_start") - pad, F.col("span_end") + pad, width)
     return joined.withColumn("rank", F.row_number().over(W.partitionBy(*key, *span_id).orderBy(*order))).where(F.col("rank") <= most)
 
 
-def refined_start(spans: DataFrame, rows: DataFrame, key: Sequence[str], *, span_id: Sequence[str], time: str, seq: str, back=1.0) -> DataFrame:
+def refined_start(spans: DataFrame, rows: DataFrame, key: Sequence[str], *, span_id: Sequence[str], time: str, seq: str, width, back=1.0) -> DataFrame:
     """Spans that start at their first hot row, looking ``back`` before their start."""
     hits = rows.select(*key, F.col(time).alias("__t"), F.col(seq).alias("__seq"))
-    near = spans.join(hits, list(key)).where(F.col("__t").between(F.col("span_start") - back, F.col("span_end")))
+    near = _instants_in(spans, hits, key, "__t", F.col("span_start") - back, F.col("span_end"), width)
     best = near.groupBy(*key, *span_id).agg(F.min_by("__t", F.struct("__t", "__seq")).alias("__t"))
     return spans.join(best, [*key, *span_id], "left").withColumn("span_start", F.coalesce("__t", "span_start")).drop("__t")

@@ -31,7 +31,7 @@ def _rollup(df: DataFrame, group: str, source: Column) -> DataFrame:
 
 def overlay_candidates(hits: DataFrame, media: DataFrame, *, least: int = 2) -> DataFrame:
     """Groups of hot overlay hits: near in time, or sharing a word of over three letters with the hit before; a group near the end reaches it."""
-    hot = hits.where(F.col("score") >= least).select("video_id", F.col("timestamp_s").alias("start_s"), F.col("timestamp_s").alias("end_s"), F.monotonically_increasing_id().alias("seq"), "text", "score", "triggers")
+    hot = hits.where(F.col("score") >= least).select("video_id", F.col("timestamp_s").alias("start_s"), F.col("timestamp_s").alias("end_s"), F.lit(0).alias("seq"), "text", "score", "triggers")
     tokens = F.filter(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda w: F.length(w) > 3)
     grouped = islands.gap_groups(hot.withColumn("tokens", tokens), KEY, "start_s", "end_s", ["start_s", "text", "seq"], GROUP_GAP_S, tokens="tokens")
     c = _rollup(grouped, "grp", F.lit("ocr")).join(media.select("video_id", "duration_s"), "video_id")

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanforge.functions import text as T
+from spanforge.operators.intervals import bucketed
 from spanforge.operators.islands import persistent
 from spanforge.operators.sampling import bhattacharyya
 from spanforge.operators.windows import hopping_text, intent_score, suppressed_top
@@ -24,7 +25,7 @@ def spot(ticks: DataFrame, *, strong_brands: Sequence[str] = (), known: Mapping[
 
 def lasting(ticks: DataFrame, *, known: Mapping[str, str] | None = None) -> DataFrame:
     """Candidates of brands that a region has shown for LASTING_S without a pause over FORGET_S."""
-    seen = ticks.where("is_brand AND NOT is_chrome").withColumn("signature", T.signature("raw_text", known))
+    seen = ticks.where("is_brand AND NOT is_chrome").withColumn("signature", T.signature("raw_text", known)).where("signature <> ''")
     tracks = persistent(seen, ["session_id", "roi_name", "signature"], "now_s", ["now_s"], forget=FORGET_S, least=LASTING_S)
     return tracks.where("proposed").select("session_id", F.col("first_seen").alias("start_s"), F.col("last_seen").alias("end_s"), F.concat(F.lit("ocr_persist_"), "roi_name").alias("source"), F.col("roi_name").alias("roi"), "signature", F.lit(3).alias("score"))
 
@@ -47,10 +48,21 @@ def intents(captions: DataFrame, promo: Sequence[dict[str, int]], anti: Sequence
 
 
 def live_captions(captions: DataFrame, ticks: DataFrame) -> DataFrame:
-    """Captions of the last LOOK_BACK_S of each tick, cut at the tick."""
-    joined = captions.join(ticks.select("session_id", "now_s"), "session_id")
-    seen = joined.where((F.col("start_s") < F.col("now_s")) & (F.col("end_s") > F.col("now_s") - LOOK_BACK_S))
-    return seen.withColumn("end_s", F.least("end_s", "now_s"))
+    """Captions of the last LOOK_BACK_S of each tick, cut at the tick. A tick is in one bucket of LOOK_BACK_S."""
+    held = bucketed(captions, F.col("start_s"), F.col("end_s") + LOOK_BACK_S, LOOK_BACK_S)
+    at = ticks.select("session_id", "now_s", F.floor(F.col("now_s") / LOOK_BACK_S).cast("long").alias("__bucket"))
+    seen = held.join(at, ["session_id", "__bucket"]).where((F.col("start_s") < F.col("now_s")) & (F.col("end_s") > F.col("now_s") - LOOK_BACK_S))
+    return seen.drop("__bucket").withColumn("end_s", F.least("end_s", "now_s"))
+
+
+def live_intents(captions: DataFrame, ticks: DataFrame, promo: Sequence[dict[str, int]], anti: Sequence[dict[str, int]], phrases: Sequence[str], **kw) -> DataFrame:
+    """The best windows of speech that each tick of a session can see."""
+    seen = live_captions(captions, ticks).withColumn("tick", F.struct("session_id", "now_s"))
+    first = F.min("start_s").over(W.partitionBy("tick"))
+    moved = seen.withColumn("__at", first).withColumns({"start_s": F.col("start_s") - F.col("__at"), "end_s": F.col("end_s") - F.col("__at")})
+    at = moved.groupBy("tick").agg(F.first("__at").alias("__at"))
+    found = intents(moved, promo, anti, phrases, key="tick", **kw).join(at, "tick")
+    return found.select("tick.session_id", "tick.now_s", (F.col("win_start") + F.col("__at")).alias("start_s"), F.least(F.col("win_end") + F.col("__at"), F.col("tick.now_s")).alias("end_s"), "score", "reasons", "text")
 
 
 def stalls(ticks: DataFrame, arrived: str = "arrived_s") -> DataFrame:
@@ -59,11 +71,15 @@ def stalls(ticks: DataFrame, arrived: str = "arrived_s") -> DataFrame:
     return ticks.withColumn("pause_s", F.col(arrived) - F.lag(arrived).over(w)).where(F.col("pause_s") >= STALL_S).select("session_id", arrived, "pause_s")
 
 
+def rank_95(value: str) -> Column:
+    """The 95th of 100 by rank, the largest below 20 rows; counts of values combine map-side."""
+    return F.when(F.count(value) < 20, F.max(value)).otherwise(F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY `{value}`)"))
+
+
 def run_statistics(ticks: DataFrame, *, key: str = "session_id", value: str = "tick_ms", cost_per_call: float = 0.002) -> DataFrame:
     """Counts, mean and the 95th of 100 by rank of a session's ticks (the largest below 20), and costs."""
-    s = ticks.groupBy(key).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.sort_array(F.collect_list(value)).alias("v"), F.sum("model_calls").alias("model_calls"), F.avg("ocr_calls").alias("mean_ocr"))
-    rank = F.when(F.col("n") < 20, F.col("n")).otherwise(F.ceil(F.col("n") * 0.95))
-    return s.select(key, "n", F.round("mean", 4).alias("mean"), F.element_at("v", rank.cast("int")).alias("p95"), "model_calls", F.round(F.col("model_calls") * cost_per_call, 4).alias("cost"), F.round("mean_ocr", 4).alias("mean_ocr"))
+    s = ticks.groupBy(key).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), rank_95(value).alias("p95"), F.sum("model_calls").alias("model_calls"), F.avg("ocr_calls").alias("mean_ocr"))
+    return s.select(key, "n", F.round("mean", 4).alias("mean"), "p95", "model_calls", F.round(F.col("model_calls") * cost_per_call, 4).alias("cost"), F.round("mean_ocr", 4).alias("mean_ocr"))
 
 
 def summary(c: Column, most: int = 80) -> Column:

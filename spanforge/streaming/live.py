@@ -3,12 +3,14 @@
 Time is the ticks' own: a row is one tick of a session with the candidates
 sensed so far. Candidates are clipped to the tick; evidence meets the first open
 track of the same signature, or a near one; a track closes after SILENCE_S
-without evidence, or at LONGEST_S, and is emitted if it lasted LEAST_S.
+without evidence, or at LONGEST_S, and is emitted if it lasted LEAST_S. In a
+stream a session that sends nothing for STALL_S gives one "stalled" event, and
+after EXPIRE_S more its open tracks are closed and its state is dropped.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,10 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from spanforge import schemas
+from spanforge.functions import text as T
+from spanforge.plans import judge as J
 from spanforge.shipping import ship
 
 SILENCE_S, LONGEST_S, LEAST_S, NEAR_S, GROWING_S = 6.0, 180.0, 2.0, 6.0, 2.0
-STATE = "tracks array<struct<track:int,start_s:double,end_s:double,source:string,roi:string,signature:string,text:string,score:int>>, next_track int"
+STALL_S, EXPIRE_S = 12.0, 3_600.0
+STATE = "tracks array<struct<track:int,start_s:double,end_s:double,source:string,roi:string,signature:string,text:string,score:int>>, next_track int, now_s double, stalled boolean"
 _FIELDS = ("track", "start_s", "end_s", "source", "roi", "signature", "text", "score")
 
 
@@ -82,23 +87,58 @@ def replay(ticks: DataFrame) -> DataFrame:
     return clip(ticks).groupBy("session_id").applyInPandas(lambda pdf: _run(pdf["session_id"].iloc[0], pdf, [], 0)[2], schemas.LIVE_EVENTS)
 
 
-def stream(ticks: DataFrame) -> DataFrame:
-    """Events of running sessions: keyed state holds the open tracks alone.
+def stream(ticks: DataFrame, *, stalls: bool = True) -> DataFrame:
+    """Events of running sessions: keyed state holds the open tracks alone, and goes when a session ends or falls silent for good.
 
-    Rows of one micro-batch are put in order by their tick time.
+    Rows of one micro-batch are put in order by their tick time. Without
+    ``stalls`` nothing is timed (a query that must come to rest needs that): the
+    state of a session then stays until its end comes.
     """
     ship(ticks.sparkSession)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, number = state.get if state.exists else ([], 0)
+        held, number, now, stalled = state.get if state.exists else ([], 0, 0.0, False)
         tracks = [dict(zip(_FIELDS, t)) for t in held or []]
-        tracks, number, events = _run(key[0], pd.concat(list(batches)), tracks, number)
-        state.update(([tuple(t[k] for k in _FIELDS) for t in tracks], number))
-        yield events
+        if state.hasTimedOut:
+            yield overdue(key[0], tracks, number, now, stalled)
+            ended, stalled = stalled, True
+        else:
+            rows = pd.concat(list(batches))
+            tracks, number, events = _run(key[0], rows, tracks, number)
+            now, stalled, ended = float(rows["now_s"].max()), False, bool(rows.sort_values("now_s", kind="stable")["is_end"].iloc[-1])
+            yield events
+        if ended:
+            state.remove()
+        else:
+            state.update(([tuple(t[k] for k in _FIELDS) for t in tracks], number, now, stalled))
+            if stalls:
+                state.setTimeoutDuration(int(1000 * (EXPIRE_S if stalled else STALL_S)))
+
+    return clip(ticks).groupBy("session_id").applyInPandasWithState(step, schemas.LIVE_EVENTS, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if stalls else GroupStateTimeout.NoTimeout)
+
 
-    return clip(ticks).groupBy("session_id").applyInPandasWithState(step, schemas.LIVE_EVENTS, STATE, "append", GroupStateTimeout.NoTimeout)
+def overdue(session: str, tracks: list[dict], number: int, now: float, stalled: bool) -> pd.DataFrame:
+    """What a session that sends nothing gives: one stall, then the closing of its tracks."""
+    end = pd.DataFrame({"now_s": [now], "cands": [None], "is_end": [True]})
+    if stalled:
+        return _run(session, end, tracks, number)[2]
+    names = [c.split(" ")[0] for c in schemas.LIVE_EVENTS.split(", ")]
+    return pd.DataFrame([(session, now, "stalled", -1, now, now, "STALLED", "", "", 0)], columns=names)
+
+
+def committed(events: DataFrame, *, known: Mapping[str, str] | None = None) -> DataFrame:
+    """Closed tracks as segments: judged by the rules once they close, clamped to the time of closing and rounded; rejected ones go.
+
+    No cut later than the tick is known while a stream runs, so ends aren't snapped.
+    """
+    e = events.where("event = 'emitted'").withColumn("triggers", T.class_triggers("text")).withColumn("brand", T.title_brand("text", known))
+    none = J.reject_reason(F.col("start_s"), F.col("end_s"), F.col("source"), F.col("triggers"), F.col("text"), F.col("score"), F.col("brand")).isNull()
+    inside = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.col("now_s"))
+    start = inside(F.col("start_s"))
+    end = F.when(inside(F.col("end_s")) <= start, inside(start + 0.5)).otherwise(inside(F.col("end_s")))
+    return e.where(none).select("session_id", "now_s", "track", F.round(start, 2).alias("start_s"), F.round(end, 2).alias("end_s"), J.ad_type(F.lit("live"), F.col("start_s"), F.col("source"), F.col("triggers"), F.col("text")).alias("ad_type"), J.confidence(F.col("score")).alias("confidence"), "brand", "source", "text")
 
 
 def since(events: DataFrame, seq: str, after: int, most: int = 2000) -> DataFrame:
-    """The replay cursor: events after a sequence number, the oldest ``most``."""
-    return events.where(F.col(seq) > after).orderBy(seq).limit(most)
+    """The replay cursor: of the last ``most`` events those after a sequence number, in order."""
+    return events.orderBy(F.desc(seq)).limit(most).where(F.col(seq) > after).orderBy(seq)

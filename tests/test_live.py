@@ -55,11 +55,31 @@ def test_stream_equals_replay(spark, tmp_path):
     for i, row in enumerate(rows):
         ticks(spark, [row]).coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(schemas.LIVE_TICKS).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(source)
-    query = live.stream(stream).writeStream.format("memory").queryName("live_events").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
+    query = live.stream(stream, stalls=False).writeStream.format("memory").queryName("live_events").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
     try:
         query.processAllAvailable()
     finally:
         query.stop()
     assert sorted(map(tuple, spark.table("live_events").collect())) == want
     numbered = spark.createDataFrame([(i,) for i in range(5)], "seq int")
-    assert [r.seq for r in live.since(numbered, "seq", 1, 2).collect()] == [2, 3]
+    assert [r.seq for r in live.since(numbered, "seq", 1, 2).collect()] == [3, 4]
+    assert [r.seq for r in live.since(numbered, "seq", 3).collect()] == [4]
+
+
+def test_silent_sessions_stall_once_and_then_close():
+    open_ = [cand(4, 9) | {"track": 0}, cand(8, 8) | {"track": 1}]
+    first = live.overdue("s", [dict(t) for t in open_], 2, 10.0, False)
+    assert list(first.event) == ["stalled"] and list(first.now_s) == [10.0]
+    last = live.overdue("s", [dict(t) for t in open_], 2, 10.0, True)
+    assert [tuple(r) for r in last[["event", "track", "end_s"]].itertuples(index=False)] == [("emitted", 0, 9.0)]
+
+
+def test_commits_are_judged_and_clamped(spark):
+    rows = [
+        ("s", 20.0, "emitted", 0, 4.0, 30.0, "COMMITTED", "ocr_persist_tr", "Acme Foods buy now", 3),
+        ("s", 20.0, "emitted", 1, 4.0, 9.004, "COMMITTED", "asr", "sponsored by Zed, buy now", 3),
+        ("s", 20.0, "emitted", 2, 4.0, 9.0, "COMMITTED", "ocr_spot", "pay Rs 500", 3),
+        ("s", 20.0, "open", 3, 4.0, 9.0, "EXTENDING", "ocr", "Acme Foods buy now", 3),
+    ]
+    got = {r.track: (r.start_s, r.end_s, r.ad_type, r.brand) for r in live.committed(spark.createDataFrame(rows, schemas.LIVE_EVENTS)).collect()}
+    assert got == {0: (4.0, 20.0, "other", "Acme Foods"), 1: (4.0, 9.0, "midroll_sponsor_read", "")}

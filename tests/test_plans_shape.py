@@ -6,7 +6,7 @@ from spanforge import catalogue
 from tests.conftest import DATA
 
 
-@pytest.mark.parametrize(("name", "most"), [("hit_filter", 0), ("gap_islands", 1), ("two_level_gap_groups", 1), ("interval_union", 1), ("keyed_interval_merge", 1), ("persist_tracks", 1), ("hopping_text_windows", 1), ("class_pattern_score", 0), ("suppressed_top_k", 1), ("mae_skip", 1)])
+@pytest.mark.parametrize(("name", "most"), [("hit_filter", 0), ("gap_islands", 1), ("two_level_gap_groups", 1), ("interval_union", 1), ("keyed_interval_merge", 1), ("persist_tracks", 1), ("hopping_text_windows", 1), ("class_pattern_score", 0), ("suppressed_top_k", 1)])
 def test_shuffles(spark, name, most):
     plan = catalogue.QUERIES[name](spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= most, plan
@@ -17,3 +17,9 @@ def test_no_catalogue_query_joins_without_an_equality(spark):
     for name, query in catalogue.QUERIES.items():
         plan = query(spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "BatchEvalPython" not in plan, name
+
+
+@pytest.mark.parametrize("name", ["context_before_span_after", "span_hits_top_n", "refine_start", "overlap_semi_filter", "nearest_snap"])
+def test_interval_joins_have_the_bucket_in_their_equality(spark, name):
+    plan = catalogue.QUERIES[name](spark, f"{DATA}/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "__bucket" in plan.split("Join Inner", 1)[1].split("\n")[0]

@@ -12,7 +12,8 @@ TICK = "session_id string, now_s double, roi_name string, raw_text string, is_ch
 
 def test_brands_that_stay_are_proposed_and_clocks_never(spark):
     rows = [("s", float(t), "tr", "Acme Foods", False, True) for t in range(0, 12, 2)] + [("s", float(t), "bl", "10:30", True, False) for t in range(0, 12, 2)]
-    got = P.lasting(spark.createDataFrame(rows, TICK)).collect()
+    got = P.lasting(spark.createDataFrame(rows, TICK), known={"acme": "Acme Foods"}).collect()
+    assert P.lasting(spark.createDataFrame(rows, TICK)).count() == 0  # no mark and no host: nothing to key on
     assert [(r.start_s, r.end_s, r.source, r.signature) for r in got] == [(0.0, 10.0, "ocr_persist_tr", "acme foods")]
     now = P.spot(spark.createDataFrame(rows, TICK), strong_brands=["acme"]).collect()
     assert len(now) == 6 and {(r.start_s == r.end_s, r.score, r.roi) for r in now} == {(True, 2, "tr")}
@@ -31,6 +32,11 @@ def test_intents_and_live_captions(spark):
     assert got and min(r.win_start for r in got) >= 60 and all(r.reasons == ["buy"] for r in got)
     live_rows = P.live_captions(c.withColumnRenamed("video_id", "session_id"), spark.createDataFrame([("v", 35.0)], "session_id string, now_s double")).orderBy("seq").collect()
     assert [(r.seq, r.end_s) for r in live_rows] == [(2, 29.0), (3, 35.0)]
+    many = [("v", float(t)) for t in range(0, 110, 3)]
+    got = {(r.now_s, r.seq) for r in P.live_captions(c.withColumnRenamed("video_id", "session_id"), spark.createDataFrame(many, "session_id string, now_s double")).collect()}
+    assert got == {(t, i) for _, t in many for _, i, a, b, _ in lines if a < t and b > t - P.LOOK_BACK_S}
+    seen = P.live_intents(c.withColumnRenamed("video_id", "session_id"), spark.createDataFrame([("v", 30.0), ("v", 99.0)], "session_id string, now_s double"), [{"buy": 1, "course": 1}], [{"news": 1}], ["buy"]).collect()
+    assert seen and {r.now_s for r in seen} == {99.0} and all(r.end_s <= r.now_s for r in seen)
 
 
 def test_statistics_and_projections(spark):
@@ -48,8 +54,8 @@ def test_statistics_and_projections(spark):
 
 def test_banners_and_signatures(spark):
     df = spark.createDataFrame([("noise BRIGHT xx plumbing 9876543210 Rs. 499 only",), ("hi",), ("the quiet little river bank",)], "t string")
-    assert [r[0] for r in df.select(T.clean_banner("t")).collect()] == ["BRIGHT plumbing Rs. 499 9876543210", "hi", "the quiet little river bank"]
-    assert [r[0] for r in df.select(T.signature("t")).collect()] == ["9876543210", "", "quiet little river"]
+    assert [r[0] for r in df.select(T.clean_banner("t")).collect()] == ["BRIGHT plumbing Rs. 499 98765 43210", "hi", "quiet little river bank"]
+    assert [r[0] for r in df.select(T.signature("t", {"quiet": "Quiet"})).collect()] == ["", "", "quiet"]
 
 
 def test_json_source_and_sink(spark, tmp_path):
@@ -57,7 +63,7 @@ def test_json_source_and_sink(spark, tmp_path):
     lines = [{"session_id": "s", "now_s": 8.0, "cands": [cand], "is_end": False}, {"session_id": "s", "now_s": 9.0, "cands": [], "is_end": True}]
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.json").write_text("\n".join(map(json.dumps, lines)))
-    query = ticks.write_events(live.stream(ticks.read_ticks(spark, str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "ck"))
+    query = ticks.write_events(live.stream(ticks.read_ticks(spark, str(tmp_path / "in")), stalls=False), str(tmp_path / "out"), str(tmp_path / "ck"))
     try:
         query.processAllAvailable()
     finally:

@@ -15,7 +15,7 @@ def test_normalise(spark, text, want):
     assert one(spark, T.normalise("t"), t=text) == want
 
 
-@pytest.mark.parametrize(("text", "want"), [("call 489297 21641 now", ["8929721641"]), ("9876543210 and 9876543210, 6123456789", ["9876543210", "6123456789"]), ("09876543210", ["9876543210"]), ("12 34", []), (None, [])])
+@pytest.mark.parametrize(("text", "want"), [("call 489297 21641 now", ["89297 21641"]), ("9876543210 and 9876543210, 6123456789", ["98765 43210", "61234 56789"]), ("09876543210", ["98765 43210"]), ("98765432101", ["98765 43210"]), ("9876543210 or 74169 02233", ["98765 43210", "74169 02233"]), ("74169-0223", []), ("1 9876 5432 10", ["98765 43210"]), ("12 34", []), (None, [])])
 def test_phones(spark, text, want):
     assert one(spark, T.phones("t"), t=text) == want
 
@@ -36,9 +36,10 @@ def test_chrome_and_brand(spark, text, chrome):
     assert one(spark, T.is_brand_candidate("t"), t=text) is not chrome
 
 
-@pytest.mark.parametrize(("text", "brand"), [("by Acme Foods today", "Acme Foods"), ("try zed now", "Zed Cola"), ("the BRIGHT way", "BRIGHT"), ("at Blue River", "Blue River"), ("nothing here", ""), (None, "")])
+@pytest.mark.parametrize(("text", "brand"), [("by Acme Foods today", "Acme Foods"), ("try zed now", "Zed Cola"), ("the BRIGHT way", "BRIGHT"), ("at Blue River", "Blue River"), ("nothing here", ""), (None, ""),
+     ("new Zoomo® tyres", "Zoomo"), ("LIVE™ from Oslo Bright River", "Oslo Bright River"), ("Meet Nova Ultra now", "Nova"), ("the City Care Hospital", "City Care Hospital"), ("tile cleaning 98765 43210 Single Heart", "Tidy House"), ("LIVE NEWS ABC", "ABC")])
 def test_brands(spark, text, brand):
-    assert one(spark, T.title_brand("t", {"zed": "Zed Cola"}), t=text) == brand
+    assert one(spark, T.title_brand("t", {"zed": "Zed Cola"}, services="(?i)cleaning", service_brands={"tile": "Tidy House"}), t=text) == brand
 
 
 def test_lexicon_guard(spark):
@@ -54,9 +55,24 @@ def test_overlay_text_and_scripts(spark):
     assert one(spark, T.native_spans("t"), t="x अपना घर y అమ్మకం x") == "अपना घर అమ్మకం"
 
 
-@pytest.mark.parametrize(("text", "code"), [("HTTP 429 private", "rate_limited"), ("This video is private", "private"), ("gone", "unknown"), (None, "unknown")])
+@pytest.mark.parametrize(("text", "code"), [
+    ("HTTP Error 429 private video", ("youtube_bot_check", "rate_limited")), ("This video is private", ("private_video", "private_or_missing")), ("The uploader has not made this video available in your country", ("geo_blocked", "instagram_auth")),
+    ("There is no video in this post, it is private", ("youtube_bot_check", "unsupported_media")), ("login required", ("youtube_bot_check", "instagram_auth")), ("gone", ("youtube_bot_check", "instagram_auth")), (None, ("youtube_bot_check", "instagram_auth")),
+])
 def test_error_order(spark, text, code):
-    assert one(spark, T.classify_error("t"), t=text) == code
+    assert tuple(one(spark, T.platform_error("t", F.lit(p)), t=text) for p in ("youtube", "instagram")) == code
+
+
+@pytest.mark.parametrize(("text", "key"), [("10:30 PM visit shop-easy.com today", "shop-easy.com"), ("zed again", "zed cola"), ("citynews.in LIVE", ""), ("moswll ticker junk", ""), (None, "")])
+def test_signature_keys_on_marks_and_hosts_alone(spark, text, key):
+    assert one(spark, T.signature("t", {"zed": "Zed Cola"}), t=text) == key
+
+
+def test_now_is_utc_text(spark):
+    from datetime import UTC, datetime
+
+    now = spark.range(1).select(T.utc_now()).first()[0]
+    assert abs(datetime.fromisoformat(now).timestamp() - datetime.now(UTC).timestamp()) < 60
 
 
 def test_small_functions(spark):
@@ -71,7 +87,7 @@ def test_small_functions(spark):
 
 @pytest.mark.parametrize(
     ("url", "want"),
-    [("https://e.com/p/Ab1?igsh=x&b=2&utm_source=q#f", "https://e.com/p/Ab1?b=2"), ("https://e.com/p/?igshid=1", "https://e.com/p/"), ("https://e.com", "https://e.com"), (None, "")],
+    [("https://e.com/p/Ab1?igsh=x&b=2&utm_source=q#f", "https://e.com/p/Ab1?b=2"), ("https://e.com/p/?igshid=1", "https://e.com/p/"), ("https://e.com", "https://e.com/"), ("https://e.com/?IGSH=1&UTM_a=2&flag", "https://e.com/?flag="), ("/reel/x1?igsh=2", "https://www.instagram.com/reel/x1"), (None, "")],
 )
 def test_normalise_url(spark, url, want):
     assert one(spark, U.normalise_url("t"), t=url) == want
@@ -85,6 +101,11 @@ def test_normalise_url(spark, url, want):
         ("https://www.youtube.com/live/abcdefghijk", "", None, "live", "youtube", "abcdefghijk"),
         ("https://www.instagram.com/reel/XyZ_1/", "", None, "short", "instagram", "XyZ_1"),
         ("https://www.instagram.com/live/", "", None, "vod", "instagram", ""),
+        ("https://www.instagram.com/tv/AbC/", "", None, "vod", "instagram", "AbC"),
+        ("https://instagr.am/share/reels/q9", "", None, "short", "instagram", "q9"),
+        ("https://youtube.com/embed/abcdefghijk", "", None, "vod", "youtube", "abcdefghijk"),
+        ("https://example.org/livestream/x", "", None, "live", "other", ""),
+        ("https://example.org/lively/p/x", "", None, "vod", "other", ""),
         ("/data/a.mp4", "live", 10.0, "live", "file", ""),
     ],
 )
