@@ -160,21 +160,21 @@ def class_exceptions(tokenizer) -> dict[int, str]:
     Only those are asked about on which the regex package and Python's own
     (older) tables differ, and all that count as spaces.
     """
-    points = [p for p in range(0x110000) if not 0xD800 <= p < 0xE000]
-    text, own = "".join(map(chr, points)), np.zeros(len(points), np.int8)
-    for k, pattern in ((1, r"\p{L}+"), (2, r"\p{N}+"), (3, r"\s+")):
-        for m in regex.finditer(pattern, text):
-            own[m.start() : m.end()] = k
-    kinds = {"L": 1, "N": 2}
-    older = np.fromiter((kinds.get(unicodedata.category(c)[0], 0) for c in text), np.int8, len(points))
-    names = ("other", "letter", "number", "space")
+    kinds, names, found = {"L": 1, "N": 2}, ("other", "letter", "number", "space"), {}
     pieces = lambda t: len(tokenizer.pre_tokenizer.pre_tokenize_str(t))
-    found = {}
-    for i in np.flatnonzero(own != older):
-        c = text[i]
-        kind = "letter" if pieces("a" + c) == 1 else "number" if pieces("1" + c) == 1 else "other" if pieces("!" + c) == 1 else "space"
-        if kind != names[own[i]]:
-            found[points[i]] = kind
+    for base in range(0, 0x110000, 4096):
+        if 0xD800 <= base < 0xE000:
+            continue
+        text, own = "".join(map(chr, range(base, base + 4096))), np.zeros(4096, np.int8)
+        for k, pattern in ((1, r"\p{L}+"), (2, r"\p{N}+"), (3, r"\s+")):
+            for m in regex.finditer(pattern, text):
+                own[m.start() : m.end()] = k
+        older = np.fromiter((kinds.get(unicodedata.category(c)[0], 0) for c in text), np.int8, 4096)
+        for i in np.flatnonzero(own != older):
+            c = text[i]
+            kind = "letter" if pieces("a" + c) == 1 else "number" if pieces("1" + c) == 1 else "other" if pieces("!" + c) == 1 else "space"
+            if kind != names[own[i]]:
+                found[base + int(i)] = kind
     return found
 
 
