@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -19,7 +19,8 @@ from spanforge.functions import urls as U
 from spanforge.operators import evaluate, folds, intervals, islands, sampling, windows
 from spanforge.plans import judge as J
 from spanforge.plans import proposers as P
-from spanforge.sources.captions import cues
+from spanforge.plans.detect import drop_incidental, union_candidates
+from spanforge.sources.captions import best_track, cues, transcript
 from spanforge.sources.captions import language_rank as rank_of
 
 #: Six hours and one hour in microseconds.
@@ -350,6 +351,181 @@ def intent_score(spark, d):
     return c.select("conv_id", "turn", F.round(score, 6).alias("score"))
 
 
+def _turns(spark, d):
+    """Conversation turns as caption lines of ten seconds."""
+    return _load(spark, d, "conversations").select("conv_id", "turn", (F.col("turn") * 10.0).alias("s"), (F.col("turn") * 10.0 + 8).alias("e"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _seconds(spark, d):
+    """Events as intervals of a user in seconds since the user's first, as long as their value."""
+    e = _events(spark, d)
+    return e.withColumn("s", (F.col("us") - F.min("us").over(W.partitionBy("user_id"))) / 1e6).withColumn("e", F.col("s") + F.col("value"))
+
+
+_SOURCES = (("view", "asr"), ("click", "ocr"), ("purchase", "ocr_persist_tr"), ("signup", "ocr+intent"))
+
+
+def _source(kind: Column) -> Column:
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in _SOURCES for x in pair])[kind], F.lit("ocr"))
+
+
+def padded_overlap(spark, d):
+    s = _spans(spark, d)
+    kept = intervals.overlap_semi(s.where("event_type = 'click'"), s.where("event_type = 'view'"), ["user_id"], HOUR_US, start="s", end="e", pad=HOUR_US, inclusive=True, row_id=["event_id"])
+    return kept.select("user_id", "event_id")
+
+
+def all_text_windows(spark, d):
+    """Windows with their texts; short turns count as silent."""
+    t = _turns(spark, d).withColumn("text", F.when(F.length("text") < 60, "").otherwise(F.col("text")))
+    w = windows.all_windows(t, ["conv_id"], start="s", end="e", text="text", order="turn", width=20.0, hop=8.0)
+    return w.select("conv_id", "win", "win_start", "win_end", F.md5("text").alias("text_md5"))
+
+
+def transcript_choice(spark, d):
+    """Long texts as captions, all as recognised speech; captions of a conversation come first, folded."""
+    t = _turns(spark, d)
+    out = transcript(t.where("length(text) > 150"), t, "conv_id", order="turn", start="s", end="e", within=30.0)
+    return out.select("conv_id", "turn", F.col("e").alias("end_s"), "source", F.md5("text").alias("text_md5"))
+
+
+def caption_track(spark, d):
+    """Of each source's languages the best-ranked one; texts of even length count as original tracks."""
+    lang = F.when(F.length("text") % 2 == 0, F.concat("lang", F.lit("-orig"))).otherwise(F.col("lang"))
+    lines = _load(spark, d, "documents").where("lang IS NOT NULL AND text IS NOT NULL AND source IS NOT NULL").select("source", "doc_id", lang.alias("lang"))
+    return best_track(lines, "source").select("source", "doc_id", "lang")
+
+
+def signal_flags(spark, d):
+    """Whether a source is overlay text alone, and whether an error means a limit of requests."""
+    e = _load(spark, d, "events")
+    code = F.when(F.col("event_type") == "error", 429).when(F.col("event_type") == "click", 503).when(F.col("event_type") == "view", 404)
+    return e.select("event_id", J.ocr_only(_source(F.col("event_type"))).alias("ocr_only"), T.is_rate_limit(code, F.concat(F.lit("HTTP "), F.col("event_id").cast("string"))).alias("rate_limited"))
+
+
+def model_gate(spark, d):
+    c = _seconds(spark, d).where("event_type <> 'view'").select("user_id", _source(F.col("event_type")).alias("source"), F.col("s").alias("start_s"), F.when(F.col("user_id") % 2 == 0, "vod").otherwise("short").alias("kind"))
+    return J.needs_model(c, key="user_id")
+
+
+def incidental_filter(spark, d):
+    """Events as candidates of a user's medium, which lasts until the last of them ends."""
+    e = _seconds(spark, d)
+    text = F.when(F.col("event_id") % 3 == 0, "breaking interview").otherwise(F.col("event_type"))
+    c = e.select(F.col("user_id").cast("string").alias("video_id"), "event_id", F.col("s").alias("start_s"), F.col("e").alias("end_s"), _source(F.col("event_type")).alias("source"), F.array(text).alias("texts"))
+    media = c.groupBy("video_id").agg(F.max("end_s").alias("duration_s")).withColumn("kind", F.when(F.length("video_id") > 1, "vod").otherwise("short"))
+    return drop_incidental(c, media).select("video_id", "event_id")
+
+
+def overlay_parts(spark, d):
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda r: r["text"])
+    c = _turns(spark, d).groupBy("conv_id").agg(turns.alias("parts"))
+    return c.select("conv_id", F.md5(T.overlay_text(F.col("parts"))).alias("text_md5"))
+
+
+#: Latin letters and the native ones that stand in for them.
+LATIN, NATIVE = "abcdefghijklmnopqrst", "कखगघचछजझटठडढणतथदధనపఫ"
+
+
+def native_text(spark, d):
+    """Texts with letters made native."""
+    t = F.translate(F.lower(T.text("text")), LATIN, NATIVE)
+    return _load(spark, d, "documents").select("doc_id", F.md5(T.native_spans(t)).alias("spans_md5"), T.script_language(t).alias("language"))
+
+
+def overlay_score(spark, d):
+    """Documents scored by the standing classes."""
+    return _load(spark, d, "documents").select("doc_id", T.class_score("text").cast("long").alias("score"), F.array_join(T.class_triggers("text"), ",").alias("triggers"), T.live_score("text", ("apache",)).cast("long").alias("live_score"))
+
+
+def live_spots(spark, d):
+    """Documents as ticks of a source, in regions by language."""
+    docs = _load(spark, d, "documents")
+    ticks = docs.select(F.col("source").alias("session_id"), F.col("doc_id").cast("double").alias("now_s"), F.col("lang").alias("roi_name"), F.col("text").alias("raw_text"), T.is_chrome("text").alias("is_chrome"))
+    out = P.spot(ticks, strong_brands=("apache", "mit license"), known={"apache": "Apache"})
+    return out.select("session_id", F.col("now_s").cast("long").alias("doc_id"), "roi", "signature", F.col("score").cast("long").alias("score"))
+
+
+def first_texts(spark, d):
+    f = folds.first_texts(_turns(spark, d), ["conv_id"], order="turn", text="text", head=8)
+    return f.select("conv_id", F.size("texts").cast("long").alias("n"), F.md5(F.array_join("texts", "|")).alias("texts_md5"))
+
+
+def longest_text(spark, d):
+    return P.longest_text(_turns(spark, d), ["conv_id"], "text", "turn").select("conv_id", F.md5("text").alias("text_md5"))
+
+
+def evidence_packets(spark, d):
+    """A conversation as a candidate's evidence, and what its packet holds."""
+    rows = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    c = _turns(spark, d).groupBy("conv_id").agg(F.min("s").alias("start_s"), F.max("e").alias("end_s"), rows.alias("rows"))
+    c = c.select("conv_id", "start_s", "end_s", F.lit("asr").alias("source"), F.transform("rows", lambda r: r["turn"].cast("string")).alias("raw_triggers"), F.transform("rows", lambda r: r["text"]).alias("texts"), F.transform("rows", lambda r: r["turn"].cast("double")).alias("frame_timestamps"))
+    at = lambda path: F.get_json_object("packet", path)
+    kept = F.from_json("packet", "start_s double, end_s double, triggers array<string>, texts array<string>, frames array<double>")
+    p = J.packets(c).withColumn("p", kept)
+    return p.select("conv_id", at("$.source").alias("source"), F.col("p.end_s").cast("long").alias("end_s"), F.array_join("p.triggers", ",").alias("triggers"), F.md5(F.array_join("p.texts", "|")).alias("texts_md5"), F.size("p.frames").cast("long").alias("n_frames"))
+
+
+def answers_to_segments(spark, d):
+    """Events as a model's answers, times in cents of their value, in a medium of 3,000 seconds."""
+    cents = F.round(F.col("value") * 100).cast("long")
+    end = (cents + F.col("event_id") % 5 - 1).cast("string")
+    body = F.concat(F.lit('{"is_ad": '), F.when(F.col("event_type") == "error", "false").otherwise("true"), F.lit(', "start_s": '), cents.cast("string"), F.lit(', "end_s": '), end, F.lit(', "ad_type": "'), F.when(F.col("event_type") == "click", "affiliate").otherwise(F.col("event_type")), F.lit('", "brand": "'), F.repeat("event_type", 20), F.lit('", "confidence": '), (F.col("event_id") % 3).cast("string"), F.lit("}"))
+    a = _load(spark, d, "events").select("event_id", F.concat(F.lit("```json\n"), body, F.lit("\n```")).alias("answer"), F.lit(3000.0).alias("duration_s"))
+    s = J.from_answers(a)
+    return s.select("event_id", F.col("start_s").cast("long").alias("start_s"), F.col("end_s").cast("long").alias("end_s"), "ad_type", "brand", F.col("confidence").cast("long").alias("confidence"))
+
+
+def indexed_answers(spark, d):
+    """Turns and the one that answers them, by number."""
+    t = _turns(spark, d)
+    answers = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.md5("text").alias("answer_md5"))
+    return J.answered(t.select("conv_id", "turn"), answers, "conv_id", "turn").select("conv_id", "turn", "answer_md5")
+
+
+def stall_events(spark, d):
+    t = _events(spark, d).groupBy(F.col("user_id").alias("session_id"), F.floor(F.col("us") / 1e6).cast("long").alias("arrived_s")).agg(F.count("*").alias("n"))
+    return P.stalls(t).select("session_id", "arrived_s", "pause_s")
+
+
+def look_back(spark, d):
+    """What of a conversation each of its ticks can see."""
+    t = _turns(spark, d).select(F.col("conv_id").alias("session_id"), "turn", F.col("s").alias("start_s"), F.col("e").alias("end_s"))
+    ticks = t.select("session_id", (F.col("turn") * 7.0 + 3).alias("now_s"))
+    out = P.live_captions(t, ticks)
+    return out.select("session_id", F.col("now_s").cast("long").alias("now_s"), "turn", F.col("end_s").cast("long").alias("end_s"))
+
+
+def sensed_texts(spark, d):
+    """Each vector with the document that was sensed last."""
+    e = _load(spark, d, "embeddings").join(_load(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id")
+    out = sampling.sensed(e, ["label"], order="vec_id", thumb="embedding", text="text", least=1.1)
+    return out.select("label", "vec_id", "source", "reused", F.md5("sensed_text").alias("text_md5"))
+
+
+def candidate_union(spark, d):
+    """Events as candidates, united by nearness in time."""
+    e = _seconds(spark, d)
+    c = e.select(F.col("user_id").cast("string").alias("video_id"), (F.floor("s") / 3600).alias("start_s"), (F.floor("e") / 3600).alias("end_s"), _source(F.col("event_type")).alias("source"), F.array("event_type").alias("raw_triggers"), F.array("event_type").alias("texts"), F.array("s").alias("frame_timestamps"), F.lit(1).alias("score_hint"))
+    u = union_candidates(c)
+    return u.select("video_id", F.col("cand_seq").cast("long").alias("cand_seq"), F.round("start_s", 4).alias("start_s"), F.round("end_s", 4).alias("end_s"), F.array_join("raw_triggers", ",").alias("triggers"), F.size("texts").cast("long").alias("n_texts"), F.col("score_hint").cast("long").alias("score"))
+
+
+def seek_bar(spark, d):
+    e = _seconds(spark, d).select("user_id", "event_id", F.col("s").alias("start_s"), F.col("e").alias("end_s"))
+    whole = e.withColumn("duration_s", F.max("end_s").over(W.partitionBy("user_id"))).where("duration_s > 0")
+    return P.seek_bar(whole).select("user_id", "event_id", "left_pct", "width_pct")
+
+
+def eval_micro(spark, d):
+    """Totals of views matched to clicks over all users."""
+    s = _spans(spark, d).where("event_type IN ('click', 'view')")
+    g = islands.interval_groups(s, ["user_id"], "s", "e", ["s", "event_id"], 0)
+    rows = g.select(F.struct("user_id", "grp").alias("part"), F.col("event_id").alias("seq"), F.col("s").alias("start_s"), F.col("e").alias("end_s"), "event_type")
+    m = evaluate.matched(rows.where("event_type = 'click'"), rows.where("event_type = 'view'"), "part", least=0.1)
+    return evaluate.micro(m).select("tp", "fp", "fn", "precision", "recall", "f1", "mean_iou")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -360,5 +536,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         sampling_plan, mae_skip, rolling_dedupe, lag_distance_cuts, rule_judge, cache_key, persist_tracks, silence_commit, eval_prf,
         interval_matches, run_stats, brand_signature, event_sessions, scene_break_hits,
         platform_errors, caption_cues, clock_text, json_repair, language_rank, intent_score,
+        padded_overlap, all_text_windows, transcript_choice, caption_track, signal_flags, model_gate, incidental_filter, overlay_parts,
+        native_text, overlay_score, live_spots, first_texts, longest_text, evidence_packets, answers_to_segments, indexed_answers,
+        stall_events, look_back, sensed_texts, candidate_union, seek_bar, eval_micro,
     )
 }

@@ -72,3 +72,12 @@ def suppressed_top(df: DataFrame, key: Sequence[str], *, score: str, start: str,
     pick = lambda acc, r: F.when((F.size(acc) < k) & ~F.exists(acc, lambda p: F.abs(p["start"] - r["start"]) < apart), F.array_append(acc, r)).otherwise(acc)
     picked = ranked.select(*key, F.explode(F.aggregate("rows", none, pick)).alias("p"))
     return picked.select(*key, F.col("p.seq").alias(seq), F.col("p.start").alias(start), (-F.col("p.down")).alias(score))
+
+
+def all_windows(df: DataFrame, key: Sequence[str], *, start: str, end: str, text: str, order: str, width: float, hop: float) -> DataFrame:
+    """As hopping_text, with blank windows too: their text is empty."""
+    ends = df.groupBy(*key).agg(F.max(F.col(end).cast("double")).alias("u")).where("u > 1")
+    every = ends.withColumn("win", F.explode(F.sequence(F.lit(0).cast("long"), (F.ceil((F.col("u") - 1) / hop) - 1).cast("long"))))
+    held = hopping_text(df, key, start=start, end=end, text=text, order=order, width=width, hop=hop).select(*key, "win", "text")
+    out = every.join(held, [*key, "win"], "left")
+    return out.select(*key, "win", (F.col("win") * hop).alias("win_start"), F.least(F.col("win") * hop + width, F.col("u")).alias("win_end"), F.coalesce("text", F.lit("")).alias("text"))

@@ -90,3 +90,8 @@ def summary(c: Column, most: int = 80) -> Column:
 def seek_bar(segments: DataFrame, duration: str = "duration_s") -> DataFrame:
     """Left edge and width of each segment in percent of its medium."""
     return segments.withColumn("left_pct", F.round(100 * F.col("start_s") / F.col(duration), 3)).withColumn("width_pct", F.round(100 * (F.col("end_s") - F.col("start_s")) / F.col(duration), 3))
+
+
+def longest_text(df: DataFrame, key: Sequence[str], text: str, seq: str) -> DataFrame:
+    """The longest text of a key, the first by ``seq`` among equals."""
+    return df.groupBy(*key).agg(F.max_by(text, F.struct(F.length(text), -F.col(seq))).alias(text))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.functions.text import clock_seconds, strip_markup
+from spanforge.operators.folds import rolling_dedupe
 
 _TIMES = r"([0-9:]+[.,][0-9]+)[\x20\x09]+-->[\x20\x09]+([0-9:]+[.,][0-9]+)"
 
@@ -53,3 +54,10 @@ def choose_transcript(captions: DataFrame, spoken: DataFrame, key: str) -> DataF
     """Supplied captions where a key has any, else recognised speech; marked by source."""
     rest = spoken.join(captions.select(key).distinct(), key, "left_anti")
     return captions.withColumn("source", F.lit("captions")).unionByName(rest.withColumn("source", F.lit("speech")), allowMissingColumns=True)
+
+
+def transcript(captions: DataFrame, spoken: DataFrame, key: str, *, order: str = "seq", start: str = "start_s", end: str = "end_s", text: str = "text", within: float = 3.0) -> DataFrame:
+    """As choose_transcript, rolling captions folded; recognised speech doesn't roll and stays as it is."""
+    columns = (key, order, start, end, text)
+    folded = rolling_dedupe(captions.select(*columns), [key], order=order, start=start, end=end, text=text, within=within)
+    return choose_transcript(folded, spoken.select(*columns), key)
