@@ -1,10 +1,16 @@
 """The pipeline's stages on planted documents, and run() against a plain version of its last stages."""
 
+import hashlib
 import random
+import re
+from collections import Counter
+
+import numpy as np
 
 import corpus_pipeline as cp
 from spanforge.llm import queries as q
 from tests.conftest import DATA
+from tests.llm.test_corpus_operators import brute_components
 
 
 def test_stages_on_planted_documents(spark, tmp_path):
@@ -67,6 +73,56 @@ def test_run(spark):
     assert len(whole) > 0.8 * len(got)
 
 
+def plain_cut(texts, width, least_words):
+    """Texts without the repeated strings of ``width`` bytes that run over so many words."""
+    raws = [t.encode() for t in texts]
+    times = Counter(r[i : i + width] for r in raws for i in range(len(r) - width + 1))
+    out = []
+    for r in raws:
+        gone = np.zeros(len(r), bool)
+        for i in range(len(r) - width + 1):
+            if times[r[i : i + width]] > 1:
+                gone[i : i + width] = True
+        turns = np.flatnonzero(np.diff(gone.astype(int), prepend=0, append=0))
+        for a, b in zip(turns[::2], turns[1::2]):
+            if len(r[a:b].split()) < least_words:
+                gone[a:b] = False
+        out.append(np.frombuffer(r, np.uint8)[~gone].tobytes().decode("utf-8", "ignore"))
+    return out
+
+
+def plain_windows(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return words, {tuple(words[i : i + 10]) for i in range(max(1, len(words) - 9))} if words else set()
+
+
+def test_run_equals_a_plain_version_of_the_stages_after_toxicity(spark):
+    from tokenizers import Tokenizer
+
+    d = f"{DATA}/sf0.001"
+    rows = cp.drop_toxic(spark, spark.read.parquet(f"{d}/documents.parquet"), d).select("doc_id", "text").collect()
+    comp, _ = brute_components({r.doc_id: r.text for r in rows}, n=5)
+    kept = [r for r in rows if comp[r.doc_id] == r.doc_id]
+    texts = dict(zip([r.doc_id for r in kept], plain_cut([r.text for r in kept], cp.PASSAGE_BYTES, cp.PASSAGE_WORDS)))
+    items = set().union(*(plain_windows(t)[1] for t in spark.read.parquet(f"{d}/benchmark.parquet").toPandas().text))
+    sizes = {len(x) for x in items}
+
+    def holds(text):
+        words, _ = plain_windows(text)
+        return any(tuple(words[i : i + n]) in items for n in sizes for i in range(len(words) - n + 1))
+
+    library = Tokenizer.from_file(q.vocabulary("byte_bpe_50k.json"))
+    want = {}
+    for i, text in texts.items():
+        if not holds(text):
+            ids = library.encode(text, add_special_tokens=False).ids
+            packed = np.array(ids, "<u4").tobytes()
+            want[i] = (len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in cp.run(spark, d).collect()}
+    assert got == want and 0 < len(want) < len(kept) < len(rows)
+    assert any(texts[r.doc_id] != r.text for r in kept)
+
+
 def test_run_on_empty_tables(spark, tmp_path):
     d = str(tmp_path)
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")

@@ -261,6 +261,26 @@ def test_license_retrieval_misses_nothing(spark, odd, none, frame):
         assert {i for i, x in op.items() if name in x} == set(docs.doc_id[docs.text.str.contains(mark, regex=False)])
 
 
+def test_templates_of_a_size_are_looked_up_together():
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    made = {f"t{i:03d}": " ".join(word() for _ in range(rng.randint(6, 60))) for i in range(120)}
+    made["t003"] = made["t002"]  # two of one text
+    prepared = [ls.prepare(n, t) for n, t in sorted(made.items())]
+    tables, memo = ls.band_tables(prepared), ls.WordHashes()
+    assert len(tables) == len({t.words for t in prepared}) < 8 and sum(len(k) for t in tables for k in t.keys[:1]) == 120
+    missed = 0
+    for name, text in made.items():
+        inserted = text.split()
+        if len(inserted) > 40:
+            inserted.insert(20, "inserted")
+        own = " ".join([*(word() for _ in range(rng.randint(0, 70))), *inserted, *(word() for _ in range(rng.randint(0, 70)))])
+        found = {m["template"] for m in ls.scan_texts([own], prepared, tables, memo)[0]}
+        missed += name not in found
+        assert found <= {name, "t002", "t003"}
+    assert missed == 0
+
+
 def test_gru_gradients():
     model = li.ByteGru(3, hidden=4, seed=1)
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
