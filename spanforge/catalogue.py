@@ -237,15 +237,19 @@ def lag_distance_cuts(spark, d):
     return sampling.scene_cuts(e, ["label"], time="vec_id", hist="h", least=0.35, most=40).select("label", "vec_id", F.round("distance", 4).alias("distance"))
 
 
+#: What the candidates of rule_judge say, by their number.
+SAID = ("", "a funny video", "use my code", "our course", "", "Prank of the week", "the link below", "")
+
+
 def rule_judge(spark, d):
     s = _spans(spark, d)
     g = islands.interval_groups(s, ["user_id"], "s", "e", ["s", "event_id"], GAP_US)
     c = g.groupBy("user_id", "grp").agg(((F.min("s") % (1000 * GAP_US)) / 1e9).alias("start_s"), ((F.max("e") % (1000 * GAP_US)) / 1e9).alias("end_s"), F.array_sort(F.collect_set("event_type")).alias("types"), F.count("*").cast("int").alias("score"))
     names = F.create_map(*[F.lit(x) for pair in (("click", "cta"), ("view", "price"), ("purchase", "sponsor"), ("signup", "phone"), ("error", "promo")) for x in pair])
     c = c.withColumn("triggers", F.array_compact(F.transform("types", lambda t: names[t]))).withColumn("source", F.when(F.col("grp") % 2 == 0, "asr").otherwise("ocr"))
-    brand, none = F.when(F.col("grp") % 3 == 0, "x").otherwise(""), F.lit("")
-    reason = J.reject_reason(F.col("start_s"), F.col("end_s"), F.col("source"), F.col("triggers"), none, F.col("score"), brand)
-    return c.select("user_id", "grp", reason.alias("reason"), J.ad_type(F.lit("vod"), F.col("start_s"), F.col("source"), F.col("triggers"), none).alias("ad_type"), J.confidence(F.col("score")).alias("confidence"))
+    brand, said = F.when(F.col("grp") % 3 == 0, "x").otherwise(""), F.get(F.array(*map(F.lit, SAID)), (F.col("grp") % len(SAID)).cast("int"))
+    reason = J.reject_reason(F.col("start_s"), F.col("end_s"), F.col("source"), F.col("triggers"), said, F.col("score"), brand)
+    return c.select("user_id", "grp", reason.alias("reason"), J.ad_type(F.lit("vod"), F.col("start_s"), F.col("source"), F.col("triggers"), said).alias("ad_type"), J.confidence(F.col("score")).alias("confidence"))
 
 
 def cache_key(spark, d):
