@@ -87,7 +87,7 @@ def nearest_snap(spark, d):
 
 def overlap_semi_filter(spark, d):
     s = _spans(spark, d)
-    kept = intervals.overlap_semi(s.where("event_type = 'click'"), s.where("event_type = 'view'"), ["user_id"], HOUR_US, start="s", end="e", row_id=["event_id"])
+    kept = intervals.overlap_semi(s.where("event_type = 'click'"), s.where("event_type = 'view'"), ["user_id"], HOUR_US, start="s", end="e")
     return kept.select("user_id", "event_id")
 
 
@@ -115,7 +115,7 @@ def refine_start(spark, d):
     s = _spans(spark, d)
     spans = s.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("span"), F.col("s").alias("span_start"), F.col("e").alias("span_end"))
     hits = s.where("event_type <> 'purchase' AND value >= 5")
-    return intervals.refined_start(spans, hits, ["user_id"], span_id=["span"], time="s", seq="event_id", width=GAP_US, back=HOUR_US).select("user_id", "span", "span_start", "span_end")
+    return intervals.refined_start(spans, hits, ["user_id"], time="s", width=GAP_US, back=HOUR_US).select("user_id", "span", "span_start", "span_end")
 
 
 def interval_iou(spark, d):
@@ -375,7 +375,7 @@ def _source(kind: Column) -> Column:
 
 def padded_overlap(spark, d):
     s = _spans(spark, d)
-    kept = intervals.overlap_semi(s.where("event_type = 'click'"), s.where("event_type = 'view'"), ["user_id"], HOUR_US, start="s", end="e", pad=HOUR_US, inclusive=True, row_id=["event_id"])
+    kept = intervals.overlap_semi(s.where("event_type = 'click'"), s.where("event_type = 'view'"), ["user_id"], HOUR_US, start="s", end="e", pad=HOUR_US, inclusive=True)
     return kept.select("user_id", "event_id")
 
 

@@ -2,12 +2,15 @@
 
 Every join carries the key as an equality, so that it shuffles on it. Where a
 key's rows may be many, time is cut into buckets that are part of the equality,
-and the condition on time is checked inside a bucket.
+and the condition on time is checked inside a bucket. What asks for one value
+alone (does any overlap, which is the first) is swept in order and makes no pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -25,18 +28,36 @@ def bucketed(df: DataFrame, start: Column, end: Column, width, name: str = "__bu
     return df.withColumn(name, F.explode(F.sequence(F.floor(start / width).cast("long"), F.floor(end / width).cast("long"))))
 
 
-def overlap_semi(left: DataFrame, right: DataFrame, key: Sequence[str], width, *, start: str = "start", end: str = "end", anti: bool = False, pad=0, inclusive: bool = False, row_id: Sequence[str] = ()) -> DataFrame:
+def swept_max(left: DataFrame, right: DataFrame, key: Sequence[str], at: Column, pos: Column, value: Column, width, *, inclusive: bool, name: str) -> DataFrame:
+    """Left's rows with the largest ``value`` of right's rows of the key that lie before ``at`` (or at it, if ``inclusive``), else null.
+
+    No pairs are made and no row is repeated: both sides are dealt by key and
+    bucket of ``width``, a running maximum goes over each bucket, and the maxima
+    of earlier buckets, one row a bucket, are carried in. Null keys meet nothing,
+    nor do rows of right without a position or a value.
+    """
+    mine = left.select(*key, F.struct("*").alias("__row"), at.alias("__at"), F.lit(None).cast(right.select(value).schema[0].dataType).alias("__value"))
+    theirs = right.select(*key, F.lit(None).cast(mine.schema["__row"].dataType).alias("__row"), pos.alias("__at"), value.alias("__value")).where("__at IS NOT NULL AND __value IS NOT NULL")
+    both = mine.unionByName(theirs).withColumn("__bucket", F.floor(F.col("__at") / width).cast("long"))
+    first = F.col("__row").isNotNull() if inclusive else F.col("__row").isNull()
+    w = W.partitionBy(*key, "__bucket").orderBy("__at", first).rowsBetween(W.unboundedPreceding, W.currentRow)
+    before = W.partitionBy(*key).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
+    carry = both.groupBy(*key, "__bucket").agg(F.max("__value").alias("__value")).select(*[F.col(k).alias(f"__{k}") for k in key], F.col("__bucket").alias("__at_bucket"), F.max("__value").over(before).alias("__carry"))
+    same = reduce(and_, [F.col(k) == F.col(f"__{k}") for k in key], F.col("__bucket") == F.col("__at_bucket"))
+    swept = both.withColumn("__best", F.max("__value").over(w)).where("__row IS NOT NULL").join(carry, same, "left")
+    known = reduce(and_, [F.col(k).isNotNull() for k in key], F.col("__at").isNotNull())
+    return swept.select("__row.*", F.when(known, F.greatest("__best", "__carry")).alias(name))
+
+
+def overlap_semi(left: DataFrame, right: DataFrame, key: Sequence[str], width, *, start: str = "start", end: str = "end", anti: bool = False, pad=0, inclusive: bool = False) -> DataFrame:
     """Rows of left that overlap a row of right (or, with anti, none), widened by ``pad``; touching counts only if ``inclusive``.
 
-    row_id: columns that tell left's rows apart.
+    A row overlaps if, of right's intervals that start before its end, the last end lies behind its start.
     """
-    ids = [*key, *row_id]
-    a = bucketed(left.select(*ids, F.col(start).alias("__s"), F.col(end).alias("__e")), F.col("__s") - pad, F.col("__e") + pad, width)
-    b = bucketed(right.select(*key, F.col(start).alias("__bs"), F.col(end).alias("__be")), F.col("__bs"), F.col("__be"), width)
-    early, late = F.col("__s") - pad, F.col("__e") + pad
-    meet = (early <= F.col("__be")) & (late >= F.col("__bs")) if inclusive else (early < F.col("__be")) & (late > F.col("__bs"))
-    hit = a.join(b, [*key, "__bucket"]).where(meet).select(*ids).distinct()
-    return left.join(hit, ids, "left_anti" if anti else "left_semi")
+    swept = swept_max(left, right, key, F.col(end) + pad, F.col(start), F.col(end), width, inclusive=inclusive, name="__last")
+    early = F.col(start) - pad
+    hit = F.coalesce(early <= F.col("__last") if inclusive else early < F.col("__last"), F.lit(False))
+    return swept.where(~hit if anti else hit).drop("__last")
 
 
 def near_anti(left: DataFrame, right: DataFrame, key: Sequence[str], time: str, tolerance, *, row_id: Sequence[str]) -> DataFrame:
@@ -93,9 +114,8 @@ def first_in_span(spans: DataFrame, hits: DataFrame, key: Sequence[str], time: s
     return joined.withColumn("rank", F.row_number().over(W.partitionBy(*key, *span_id).orderBy(*order))).where(F.col("rank") <= most)
 
 
-def refined_start(spans: DataFrame, rows: DataFrame, key: Sequence[str], *, span_id: Sequence[str], time: str, seq: str, width, back=1.0) -> DataFrame:
+def refined_start(spans: DataFrame, rows: DataFrame, key: Sequence[str], *, time: str, width, back=1.0) -> DataFrame:
     """Spans that start at their first hot row, looking ``back`` before their start."""
-    hits = rows.select(*key, F.col(time).alias("__t"), F.col(seq).alias("__seq"))
-    near = _instants_in(spans, hits, key, "__t", F.col("span_start") - back, F.col("span_end"), width)
-    best = near.groupBy(*key, *span_id).agg(F.min_by("__t", F.struct("__t", "__seq")).alias("__t"))
-    return spans.join(best, [*key, *span_id], "left").withColumn("span_start", F.coalesce("__t", "span_start")).drop("__t")
+    at, t = -(F.col("span_start") - back), -F.col(time)
+    swept = swept_max(spans, rows, key, at, t, t, width, inclusive=True, name="__next")
+    return swept.withColumn("span_start", F.when(-F.col("__next") <= F.col("span_end"), -F.col("__next")).otherwise(F.col("span_start"))).drop("__next")

@@ -50,7 +50,7 @@ def drop_incidental(candidates: DataFrame, media: DataFrame) -> DataFrame:
     """Overlays of long media stay at the opening, at the end or beside speech; editorial ones only beside speech."""
     c = candidates.join(media.select("video_id", "kind", "duration_s"), "video_id").withColumn("cid", F.xxhash64("video_id", "start_s", "end_s", "source", F.array_join("texts", "|")))
     spoken = c.where(F.col("source").rlike(SPEECH))
-    beside = overlap_semi(c, spoken, KEY, 60.0, start="start_s", end="end_s", row_id=["cid"]).select("cid").distinct().withColumn("beside", F.lit(True))
+    beside = overlap_semi(c, spoken, KEY, 60.0, start="start_s", end="end_s").select("cid").distinct().withColumn("beside", F.lit(True))
     c = c.join(beside, "cid", "left")
     edge = ((F.col("start_s") <= 8) & (F.col("end_s") - F.col("start_s") <= 30)) | (F.col("start_s") >= F.greatest(F.lit(0.0), F.col("duration_s") - 20))
     editorial = F.array_join("texts", " ").rlike(T.EDITORIAL)

@@ -174,3 +174,30 @@ def test_persistence(spark):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], schemas.HITS)
     assert D.detect(media(spark), none, spark.createDataFrame([], schemas.CAPTIONS), spark.createDataFrame([], "video_id string, cut_s double, cut_seq int"), strong=["a"], medium=["b"]).count() == 0
+
+
+@pytest.mark.parametrize("inclusive", [False, True])
+@pytest.mark.parametrize("anti", [False, True])
+def test_overlap_equals_pairs_compared_one_by_one(spark, anti, inclusive):
+    """Ties, touching and inverted intervals, null keys and bounds, one that is very long, and an empty right side."""
+    left = [(k, i, s, e) for i, (k, s, e) in enumerate([("a", 0, 4), ("a", 4, 4), ("a", 9, 7), ("a", 30, 31), ("b", -5, -1), ("b", 10**9, 10**9 + 1), (None, 0, 9), ("a", None, 3), ("c", 0, 1), ("a", 0, 4), ("d", 5, None)])]
+    right = [("a", 4, 6), ("a", 4, 6), ("a", 7, 7), ("b", -10**12, 10**12), (None, 0, 9), ("a", 25, 30), ("c", None, 2), ("d", 0, 9)]
+
+    def meets(a, b):
+        if None in (*a, *b) or a[0] != b[0]:
+            return False
+        early, late = a[2] - 1, a[3] + 1
+        return early <= b[2] and late >= b[1] if inclusive else early < b[2] and late > b[1]
+
+    df = spark.createDataFrame(left, "k string, i int, start bigint, end bigint")
+    for rows in (right, []):
+        got = intervals.overlap_semi(df, spark.createDataFrame(rows, "k string, start bigint, end bigint"), ["k"], 3, pad=1, anti=anti, inclusive=inclusive)
+        assert got.columns == df.columns
+        assert sorted(r.i for r in got.collect()) == [a[1] for a in left if any(meets(a, b) for b in rows) != anti]
+
+
+def test_refined_start_takes_the_first_instant_of_a_span(spark):
+    spans = spark.createDataFrame([("a", 1, 10.0, 20.0), ("a", 2, 10.5, 11.0), ("b", 3, 0.0, 1e9), (None, 4, 0.0, 5.0), ("c", 5, 1.0, 2.0)], "k string, i int, span_start double, span_end double")
+    hot = spark.createDataFrame([("a", 9.0), ("a", 9.0), ("a", 12.0), ("b", 9e8), (None, 1.0), ("c", 2.5), ("c", None)], "k string, t double")
+    got = {r.i: r.span_start for r in intervals.refined_start(spans, hot, ["k"], time="t", width=4.0).collect()}
+    assert got == {1: 9.0, 2: 10.5, 3: 9e8, 4: 0.0, 5: 1.0}

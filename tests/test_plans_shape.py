@@ -19,7 +19,14 @@ def test_no_catalogue_query_joins_without_an_equality(spark):
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "BatchEvalPython" not in plan, name
 
 
-@pytest.mark.parametrize("name", ["context_before_span_after", "span_hits_top_n", "refine_start", "overlap_semi_filter", "nearest_snap"])
+@pytest.mark.parametrize("name", ["context_before_span_after", "span_hits_top_n", "nearest_snap"])
 def test_interval_joins_have_the_bucket_in_their_equality(spark, name):
     plan = catalogue.QUERIES[name](spark, f"{DATA}/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "__bucket" in plan.split("Join Inner", 1)[1].split("\n")[0]
+
+
+@pytest.mark.parametrize("name", ["refine_start", "overlap_semi_filter", "padded_overlap"])
+def test_sweeps_repeat_no_row_and_deal_by_bucket(spark, name):
+    plan = catalogue.QUERIES[name](spark, f"{DATA}/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("Join") == 1
+    assert "__bucket" in plan.split("Join LeftOuter", 1)[1].split("\n")[0]
