@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -21,11 +21,19 @@ def sampling_points(duration: Column, kind: Column) -> Column:
     each = F.transform(F.sequence(F.lit(0), F.floor(duration).cast("int")), lambda i: F.least(duration, i.cast("double")))
     dense = F.transform(F.sequence(F.lit(0), F.lit(int(DENSE_S / DENSE_STEP) - 1)), lambda i: i * DENSE_STEP)
     sparse = F.filter(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((duration - DENSE_S) / STEP)).cast("int")), lambda i: DENSE_S + i * STEP), lambda t: t < duration)
-    full = F.array_sort(F.array_distinct(F.transform(F.concat(dense, sparse, F.array(F.lit(0.0), duration)), lambda t: F.round(t, 3))))
-    head, body = F.filter(full, lambda t: t <= DENSE_S), F.filter(full, lambda t: t > DENSE_S)
-    room = MOST - F.size(head)
-    thinned = F.concat(head, F.transform(F.sequence(F.lit(0), room - 1), lambda i: F.get(body, F.floor(i * F.size(body) / room).cast("int"))))
-    return F.when((kind == "short") | (duration <= SHORT_S), half).when(kind == "live", each).when(F.size(full) > MOST, thinned).otherwise(full)
+    full = F.sort_array(F.array_distinct(F.transform(F.concat(dense, sparse, F.array(F.lit(0.0), duration)), lambda t: F.round(t, 3))))
+    points = lambda p: F.when(F.size(p) > MOST, _once(F.struct(F.filter(p, lambda t: t <= DENSE_S).alias("head"), F.filter(p, lambda t: t > DENSE_S).alias("body")), _thinned)).otherwise(p)
+    return F.when((kind == "short") | (duration <= SHORT_S), half).when(kind == "live", each).otherwise(_once(full, points))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once a row, not once for each element of what uses it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _thinned(p: Column) -> Column:
+    room = MOST - F.size(p["head"])
+    return F.concat(p["head"], F.transform(F.sequence(F.lit(0), room - 1), lambda i: F.get(p["body"], F.floor(i * F.size(p["body"]) / room).cast("int"))))
 
 
 def bhattacharyya(a: Column, b: Column) -> Column:

@@ -28,9 +28,15 @@ def hopping_text(df: DataFrame, key: Sequence[str], *, start: str, end: str, tex
     )
 
 
-def term_counts(tokens: Column) -> Column:
-    """(term, n) structs of a token array, in term order."""
-    return F.transform(F.array_sort(F.array_distinct(tokens)), lambda w: F.struct(w.alias("term"), F.size(F.filter(tokens, lambda x: x == w)).alias("n")))
+def squared_length(tokens: Column) -> Column:
+    """Sum of the squared counts of a token array's terms, in one pass over the sorted tokens: the r-th of a run adds 2r - 1."""
+    start = F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).cast("bigint").alias("run"), F.lit(0.0).alias("total"))
+
+    def step(a: Column, w: Column) -> Column:
+        run = F.when(a["term"] == w, a["run"] + 1).otherwise(F.lit(1).cast("bigint"))
+        return F.struct(w.alias("term"), run.alias("run"), (a["total"] + (2 * run - 1)).alias("total"))
+
+    return F.aggregate(F.sort_array(tokens), start, step, lambda a: a["total"])
 
 
 def cosine_to(tokens: Column, prototype: dict[str, int]) -> Column:
@@ -42,7 +48,7 @@ def cosine_to(tokens: Column, prototype: dict[str, int]) -> Column:
         return F.lit(0.0)
     weights = F.create_map(*[x for w, n in sorted(prototype.items()) for x in (F.lit(w), F.lit(float(n)))])
     dot = F.aggregate(tokens, F.lit(0.0), lambda a, w: a + F.coalesce(weights[w], F.lit(0.0)))
-    norm = F.sqrt(F.aggregate(term_counts(tokens), F.lit(0.0), lambda a, t: a + t["n"].cast("double") * t["n"]))
+    norm = F.sqrt(squared_length(tokens))
     own = float(sum(n * n for n in prototype.values())) ** 0.5
     return F.when(F.size(tokens) == 0, F.lit(0.0)).otherwise(dot / (norm * own))
 

@@ -201,3 +201,9 @@ def test_refined_start_takes_the_first_instant_of_a_span(spark):
     hot = spark.createDataFrame([("a", 9.0), ("a", 9.0), ("a", 12.0), ("b", 9e8), (None, 1.0), ("c", 2.5), ("c", None)], "k string, t double")
     got = {r.i: r.span_start for r in intervals.refined_start(spans, hot, ["k"], time="t", width=4.0).collect()}
     assert got == {1: 9.0, 2: 10.5, 3: 9e8, 4: 0.0, 5: 1.0}
+
+
+def test_squared_length_of_a_bag(spark):
+    df = spark.createDataFrame([(["b", "a", "b", "c", "b"],), ([],), (["x"],), (["a", None, "a"],), (None,)], "tokens array<string>")
+    got = [r[0] for r in df.select(windows.squared_length(F.col("tokens"))).collect()]
+    assert got[:3] == [11.0, 0.0, 1.0] and got[4] is None
