@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanforge.llm import quality_rules
+from spanforge.llm import centroids, quality_rules
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -45,4 +45,5 @@ ORACLES: dict[str, str] = {
     "op5_minmax_dedup": NEAR_DUPLICATES,
     "op6_warc": ARCHIVES,
     "op7_decontamination": DECONTAMINATION,
+    "op11_centroids": centroids.ORACLE,
 }

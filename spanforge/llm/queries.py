@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from spanforge.llm import bpe_automaton, decontamination, language_id, license_scan, minmax_dedup, quality_rules, rindex_dedup, token_count, toxicity, warc
+from spanforge.llm import bpe_automaton, centroids, decontamination, language_id, license_scan, minmax_dedup, quality_rules, rindex_dedup, token_count, toxicity, warc
 from spanforge.llm.common import table
 from spanforge.llm.oracles import ORACLES as ORACLES
 
@@ -70,6 +70,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.digests(bpe_automaton.encode_decode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return centroids.digests(vectors, centroids.fit(vectors))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_license_scan": op2_license_scan,
@@ -81,4 +86,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_rindex_dedup": op9_rindex_dedup,
     "op10_bpe": op10_bpe,
+    "op11_centroids": op11_centroids,
 }
