@@ -73,7 +73,8 @@ def first_centroids(rows: DataFrame, k: int, dim: int, scale: int, seed: str) ->
     def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             at, x = integers(batch["vector"], dim, scale)
-            yield pd.DataFrame({"vec_id": batch["vec_id"].iloc[at].astype("Int64"), "vector": list(x)})
+            if len(at):
+                yield pd.DataFrame({"vec_id": batch["vec_id"].iloc[at].astype("Int64").array, "vector": list(x)})
 
     drawn = rows.mapInPandas(kept, "vec_id long, vector array<long>").withColumn("draw", F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256))
     found = drawn.orderBy(F.col("draw").asc_nulls_last(), "vector").limit(k).collect()
@@ -96,7 +97,8 @@ def _totals(rows: DataFrame, centroids: np.ndarray, scale: int) -> dict[int, tup
                 inertia[c] += exact_sum(distance[mine])
                 sums[c] += x[mine].sum(axis=0).astype(object)
         found = [c for c in range(k) if n[c]]
-        yield pd.DataFrame({"cluster": found, "sums": [[Decimal(int(s)) for s in (n[c], inertia[c], *sums[c])] for c in found]})
+        if found:
+            yield pd.DataFrame({"cluster": found, "sums": [[Decimal(int(s)) for s in (n[c], inertia[c], *sums[c])] for c in found]})
 
     parts = rows.mapInPandas(summed, "cluster int, sums array<decimal(28,0)>").select("cluster", F.posexplode("sums").alias("i", "s"))
     whole = {(r["cluster"], r["i"]): int(r["s"]) for r in parts.groupBy("cluster", "i").agg(F.sum("s").alias("s")).collect()}
