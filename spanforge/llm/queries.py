@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from spanforge.llm import bpe_automaton, centroids, decontamination, language_id, license_scan, minmax_dedup, quality_rules, rindex_dedup, token_count, toxicity, warc
+from spanforge.llm import bpe_automaton, centroids, decontamination, language_id, license_scan, minmax_dedup, quality_rules, rindex_dedup, simhash, token_count, toxicity, warc
 from spanforge.llm.common import table
 from spanforge.llm.oracles import ORACLES as ORACLES
 
@@ -75,6 +75,10 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.digests(vectors, centroids.fit(vectors))
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digests(simhash.near_duplicates(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_license_scan": op2_license_scan,
@@ -87,4 +91,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_rindex_dedup": op9_rindex_dedup,
     "op10_bpe": op10_bpe,
     "op11_centroids": op11_centroids,
+    "op12_simhash": op12_simhash,
 }
