@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from spanforge.llm import bpe_automaton, centroids, decontamination, language_id, license_scan, minmax_dedup, quality_rules, rindex_dedup, simhash, token_count, toxicity, warc
+from spanforge.llm import bpe_automaton, centroids, decontamination, language_id, license_scan, merkle, minmax_dedup, quality_rules, rindex_dedup, simhash, token_count, toxicity, warc
 from spanforge.llm.common import table
 from spanforge.llm.oracles import ORACLES as ORACLES
 
@@ -79,6 +79,10 @@ def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digests(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_license_scan": op2_license_scan,
@@ -92,4 +96,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
     "op11_centroids": op11_centroids,
     "op12_simhash": op12_simhash,
+    "op13_merkle": op13_merkle,
 }
