@@ -6,9 +6,9 @@ CAPTIONS = "video_id string, seq int, start_s double, end_s double, text string,
 CANDIDATES = "video_id string, cand_seq int, start_s double, end_s double, source string, raw_triggers array<string>, texts array<string>, frame_timestamps array<double>, score_hint int"
 EVIDENCE = "struct<frame_timestamps:array<double>,transcript_span:string,ocr_text:string,transcript_lang:string,signals_used:array<string>>"
 SEGMENTS = f"video_id string, id string, start_s double, end_s double, ad_type string, confidence double, brand string, description string, evidence {EVIDENCE}, presentation string"
-CANDIDATE = "struct<start_s:double,end_s:double,source:string,roi:string,signature:string,text:string,score:int>"
+CANDIDATE = "struct<start_s:double,end_s:double,source:string,raw_triggers:array<string>,texts:array<string>,frame_timestamps:array<double>,score_hint:int>"
 LIVE_TICKS = f"session_id string, now_s double, cands array<{CANDIDATE}>, is_end boolean"
-LIVE_EVENTS = "session_id string, now_s double, event string, track int, start_s double, end_s double, status string, source string, text string, score int"
+LIVE_EVENTS = "session_id string, seq long, now_s double, event string, track int, start_s double, end_s double, status string, source string, roi string, signature string, triggers array<string>, texts array<string>, frame_timestamps array<double>, text string, score int"
 _SEGMENT = f"struct<id:string,start_s:double,end_s:double,ad_type:string,confidence:double,brand:string,description:string,evidence:{EVIDENCE},presentation:string>"
 _SOURCE = "struct<url:string,platform:string,kind:string,duration_s:double,processed_at:string>"
 GOLD = f"policy_version string, videos array<struct<source:{_SOURCE},segments:array<{_SEGMENT}>>>"

@@ -2,36 +2,81 @@
 
 Time is the ticks' own: a row is one tick of a session with the candidates
 sensed so far. Candidates are clipped to the tick; evidence meets the first open
-track of the same signature, or a near one; a track closes after SILENCE_S
-without evidence, or at LONGEST_S, and is emitted if it lasted LEAST_S. In a
-stream a session that sends nothing for STALL_S gives one "stalled" event, and
-after EXPIRE_S more its open tracks are closed and its state is dropped.
+track of the same signature, or a near one if neither lasts, and all of it is
+kept: sources, triggers, texts, frames, a signature where there was none. A
+track closes after SILENCE_S without evidence, or at LONGEST_S, and is emitted
+if it lasted LEAST_S and scored. Matching comes before closing, so evidence that
+arrives with the closing tick still extends a track. Each event has the next number
+of its session. A session's end closes its tracks and tells its statistics.
+
+In a stream the open tracks are a list state of their own schema beside a small
+clock, so a tick reads and writes tracks and never an ever-growing value. A
+session that sends nothing for STALL_S gives one "stalled" event by a
+processing-time timer, and after EXPIRE_S more its tracks are closed and its
+state is dropped. State also goes when a session ends; one that sends again
+under the same id starts anew. A tick that comes after a later one counts at the later one's time.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Mapping
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from spanforge import schemas
 from spanforge.functions import text as T
 from spanforge.plans import judge as J
-from spanforge.shipping import ship
+from spanforge.streaming.machines import prepared, replayed
 
-SILENCE_S, LONGEST_S, LEAST_S, NEAR_S, GROWING_S = 6.0, 180.0, 2.0, 6.0, 2.0
+SILENCE_S, LONGEST_S, LEAST_S, NEAR_S = 6.0, 180.0, 2.0, 6.0
 STALL_S, EXPIRE_S = 12.0, 3_600.0
-STATE = "tracks array<struct<track:int,start_s:double,end_s:double,source:string,roi:string,signature:string,text:string,score:int>>, next_track int, now_s double, stalled boolean"
-_FIELDS = ("track", "start_s", "end_s", "source", "roi", "signature", "text", "score")
+SIGNALS = ("ocr", "asr", "intent")
+REGIONS = ("left", "bottom", "tr", "br")
+TRACK = "track int, start_s double, end_s double, source string, roi string, signature string, triggers array<string>, texts array<string>, frame_timestamps array<double>, score int"
+CLOCK = "tracks int, seq long, now_s double, ticks long, emitted long, stalled boolean"
+_TRACK = tuple(c.split(" ")[0] for c in TRACK.split(", "))
+_EVENT = tuple(c.split(" ")[0] for c in schemas.LIVE_EVENTS.split(", "))
 
 
-def clip(ticks: DataFrame) -> DataFrame:
-    """Candidates that start at or after the tick go, ends are cut at it: nothing later can reach the state."""
-    seen = F.filter(F.coalesce("cands", F.expr(f"CAST(array() AS array<{schemas.CANDIDATE}>)")), lambda c: c["start_s"] < F.col("now_s"))
-    return ticks.withColumn("cands", F.transform(seen, lambda c: c.withField("end_s", F.least(c["end_s"], F.col("now_s")))))
+def longest_of(texts: Column) -> Column:
+    """The longest text of an array, the first of equals; "" without one."""
+    return F.coalesce(F.get(F.array_sort(F.transform(texts, lambda t, i: F.struct((-F.length(t)).alias("n"), i.alias("i"), t.alias("t")))), F.lit(0))["t"], F.lit(""))
+
+
+def region_of(source: Column) -> Column:
+    return F.coalesce(*[F.when(F.contains(source, F.lit(r)), r) for r in REGIONS], F.lit(""))
+
+
+def clip(ticks: DataFrame, *, known: Mapping[str, str] | None = None) -> DataFrame:
+    """Candidates as the tick can see them, with their region and signature.
+
+    Those that start at or after the tick go, ends and frames are cut at it, so
+    nothing later can reach the state. The signature is that of the longest text, else its first 40 normalised characters.
+    """
+    none = F.expr("CAST(array() AS array<string>)")
+    now = F.col("now_s")
+
+    def seen(c: Column) -> Column:
+        texts = F.array_compact(F.coalesce(c["texts"], none))
+        said, source = longest_of(texts), F.coalesce(c["source"], F.lit(""))
+        lasting = T.signature(said, known)
+        return F.struct(
+            F.greatest(F.lit(0.0), c["start_s"]).alias("start_s"),
+            F.least(c["end_s"], now).alias("end_s"),
+            source.alias("source"),
+            region_of(source).alias("roi"),
+            F.when(lasting != "", lasting).otherwise(F.substring(T.normalise(said), 1, 40)).alias("signature"),
+            F.array_compact(F.coalesce(c["raw_triggers"], none)).alias("triggers"),
+            texts.alias("texts"),
+            F.filter(F.coalesce(c["frame_timestamps"], F.expr("CAST(array() AS array<double>)")), lambda t: t <= now).alias("frame_timestamps"),
+            F.coalesce(c["score_hint"], F.lit(0)).alias("score"),
+        )
+
+    held = F.coalesce("cands", F.expr(f"CAST(array() AS array<{schemas.CANDIDATE}>)"))
+    return ticks.withColumn("cands", F.transform(F.filter(held, lambda c: c["start_s"] < now), seen))
 
 
 def same_signature(a: str, b: str) -> bool:
@@ -39,91 +84,142 @@ def same_signature(a: str, b: str) -> bool:
 
 
 def meets(track: dict, cand: dict) -> bool:
-    lasting = ("persist" in track["source"], "persist" in cand["source"])
+    """Whether evidence belongs to an open track."""
     if same_signature(track["signature"], cand["signature"]):
         return True
     near = cand["start_s"] <= track["end_s"] + NEAR_S and cand["end_s"] >= track["start_s"] - NEAR_S
-    return near and not any(lasting)
-
-
-def advance(tracks: list[dict], number: int, now: float, cands: list[dict], ended: bool) -> tuple[list[dict], int, list[dict]]:
-    """One tick: match evidence, close tracks, and tell what was committed and what is open."""
-    events = []
-    for c in cands:
-        for t in tracks:
-            if meets(t, c):
-                t["start_s"], t["end_s"] = min(t["start_s"], c["start_s"]), max(t["end_s"], c["end_s"])
-                t["score"] = max(t["score"], c["score"])
-                t["text"] = max(t["text"], c["text"], key=len)
-                break
-        else:
-            tracks.append({"track": number} | {k: c[k] for k in _FIELDS[1:]})
-            number += 1
-    still = []
-    for t in tracks:
-        length = t["end_s"] - t["start_s"]
-        if ended or now - t["end_s"] >= SILENCE_S or length >= LONGEST_S:
-            if length >= LEAST_S and t["score"] >= 1:
-                events.append(t | {"event": "emitted", "status": "COMMITTED"})
-        else:
-            still.append(t)
-            if t["score"] >= 1:
-                events.append(t | {"event": "open", "status": "EXTENDING" if length >= GROWING_S else "PROVISIONAL"})
-    return still, number, events
+    return near and "persist" not in track["source"] and "persist" not in cand["source"]
+
+
+def extend(track: dict, cand: dict) -> None:
+    """Add evidence to a track."""
+    track["start_s"], track["end_s"] = min(track["start_s"], cand["start_s"]), max(track["end_s"], cand["end_s"])
+    track["signature"] = track["signature"] or cand["signature"]
+    track["score"] = max(track["score"], cand["score"])
+    track["texts"] = [*track["texts"], *cand["texts"]]
+    track["frame_timestamps"] = [*track["frame_timestamps"], *cand["frame_timestamps"]]
+    track["triggers"] = list(dict.fromkeys([*track["triggers"], *cand["triggers"]]))
+    for signal in SIGNALS:
+        if signal in cand["source"] and signal not in track["source"]:
+            track["source"] += f"+{signal}"
+
+
+class Tracks:
+    """The machine of one session."""
+
+    ended = False
+
+    def __init__(self, session: str, tracks: list[dict] | None = None, clock: tuple | None = None):
+        self.session, self.open = session, tracks or []
+        self.number, self.seq, self.now, self.ticks, self.emitted, self.stalled = clock or (0, 0, 0.0, 0, 0, False)
+
+    def clock(self) -> tuple:
+        return self.number, self.seq, self.now, self.ticks, self.emitted, self.stalled
+
+    def tell(self, event: str, status: str, **what) -> tuple:
+        self.seq += 1
+        blank = {"track": -1, "start_s": 0.0, "end_s": self.now, "source": "", "roi": "", "signature": "", "triggers": [], "texts": [], "frame_timestamps": [], "text": "", "score": 0}
+        row = blank | what | {"session_id": self.session, "seq": self.seq, "now_s": self.now, "event": event, "status": status}
+        return tuple(row[c] for c in _EVENT)
+
+    def row(self, tick: dict) -> list[tuple]:
+        if self.ended:
+            self.__init__(self.session)
+            self.ended = False
+        self.now, self.ticks, self.stalled = max(self.now, tick["now_s"]), self.ticks + 1, False
+        for c in tick["cands"] or []:
+            for t in self.open:
+                if meets(t, c):
+                    extend(t, c)
+                    break
+            else:
+                self.open.append({"track": self.number} | c)
+                self.number += 1
+        return self.close(bool(tick["is_end"]))
+
+    def close(self, ended: bool) -> list[tuple]:
+        """Emit what is over, tell what is open."""
+        events, still = [], []
+        for t in self.open:
+            length, told = t["end_s"] - t["start_s"], t | {"text": max(t["texts"], key=len, default="")}
+            if ended or self.now - t["end_s"] >= SILENCE_S or length >= LONGEST_S:
+                if length >= LEAST_S and t["score"] >= 1:
+                    self.emitted += 1
+                    events.append(self.tell("emitted", "COMMITTED", **told))
+            else:
+                still.append(t)
+                if t["score"] >= 1:
+                    events.append(self.tell("open", "EXTENDING" if length >= LEAST_S else "PROVISIONAL", **told))
+        self.open, self.ended = still, ended
+        if ended:
+            events.append(self.tell("session_end", "ENDED", text=json.dumps({"ticks": self.ticks, "tracks": self.number, "emitted": self.emitted, "events": self.seq + 1})))
+        return events
 
 
-def _run(session: str, ticks: pd.DataFrame, tracks: list[dict], number: int) -> tuple[list[dict], int, pd.DataFrame]:
-    rows = []
-    for tick in ticks.sort_values("now_s", kind="stable").itertuples():
-        cands = [{k: c[k] for k in _FIELDS[1:]} for c in (tick.cands if tick.cands is not None else [])]
-        tracks, number, events = advance(tracks, number, tick.now_s, cands, bool(tick.is_end))
-        rows += [(session, tick.now_s, e["event"], e["track"], e["start_s"], e["end_s"], e["status"], e["source"], e["text"], e["score"]) for e in events]
-    return tracks, number, pd.DataFrame(rows, columns=[c.split(" ")[0] for c in schemas.LIVE_EVENTS.split(", ")])
+def replay(ticks: DataFrame, *, known: Mapping[str, str] | None = None) -> DataFrame:
+    """Events of finished sessions, from a table; ticks of a session are read in order of their time."""
+    return replayed(clip(ticks, known=known), "session_id", ["now_s"], Tracks, schemas.LIVE_EVENTS)
 
 
-def replay(ticks: DataFrame) -> DataFrame:
-    """Events of finished sessions, in batch; ticks of a session are ordered by their time."""
-    ship(ticks.sparkSession)
-    return clip(ticks).groupBy("session_id").applyInPandas(lambda pdf: _run(pdf["session_id"].iloc[0], pdf, [], 0)[2], schemas.LIVE_EVENTS)
+class _Sessions(StatefulProcessor):
+    """Tracks of running sessions."""
 
+    def __init__(self, stalls: bool, stall_s: float, expire_s: float):
+        self.stalls, self.after = stalls, {False: int(1000 * stall_s), True: int(1000 * expire_s)}
 
-def stream(ticks: DataFrame, *, stalls: bool = True) -> DataFrame:
-    """Events of running sessions: keyed state holds the open tracks alone, and goes when a session ends or falls silent for good.
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open, self.clock = handle.getListState("open", TRACK), handle.getValueState("clock", CLOCK)
 
-    Rows of one micro-batch are put in order by their tick time. Without
-    ``stalls`` nothing is timed (a query that must come to rest needs that): the
-    state of a session then stays until its end comes.
-    """
-    ship(ticks.sparkSession)
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, number, now, stalled = state.get if state.exists else ([], 0, 0.0, False)
-        tracks = [dict(zip(_FIELDS, t)) for t in held or []]
-        if state.hasTimedOut:
-            yield overdue(key[0], tracks, number, now, stalled)
-            ended, stalled = stalled, True
+    def _loaded(self, session: str) -> Tracks:
+        if not self.clock.exists():
+            return Tracks(session)
+        return Tracks(session, [dict(zip(_TRACK, t)) for t in self.open.get()], tuple(self.clock.get()))
+
+    def _stored(self, machine: Tracks, timers) -> None:
+        if self.stalls:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+        if machine.ended:
+            self.open.clear()
+            self.clock.clear()
+            return
+        self.clock.update(machine.clock())
+        if machine.open:
+            self.open.put([tuple(t[c] for c in _TRACK) for t in machine.open])
         else:
-            rows = pd.concat(list(batches))
-            tracks, number, events = _run(key[0], rows, tracks, number)
-            now, stalled, ended = float(rows["now_s"].max()), False, bool(rows.sort_values("now_s", kind="stable")["is_end"].iloc[-1])
-            yield events
-        if ended:
-            state.remove()
+            self.open.clear()
+        if self.stalls:
+            self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.after[machine.stalled])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        machine, out = self._loaded(key[0]), []
+        for r in sorted((r.asDict(recursive=True) for r in rows if r.now_s is not None), key=lambda r: r["now_s"]):
+            out += machine.row(r)
+        self._stored(machine, timerValues)
+        for e in out:
+            yield Row(**dict(zip(_EVENT, e)))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        machine = self._loaded(key[0])
+        if machine.stalled:
+            out = machine.close(True)
         else:
-            state.update(([tuple(t[k] for k in _FIELDS) for t in tracks], number, now, stalled))
-            if stalls:
-                state.setTimeoutDuration(int(1000 * (EXPIRE_S if stalled else STALL_S)))
+            out = [machine.tell("stalled", "STALLED", start_s=machine.now)]
+            machine.stalled = True
+        self._stored(machine, timerValues)
+        for e in out:
+            yield Row(**dict(zip(_EVENT, e)))
 
-    return clip(ticks).groupBy("session_id").applyInPandasWithState(step, schemas.LIVE_EVENTS, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if stalls else GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
 
 
-def overdue(session: str, tracks: list[dict], number: int, now: float, stalled: bool) -> pd.DataFrame:
-    """What a session that sends nothing gives: one stall, then the closing of its tracks."""
-    end = pd.DataFrame({"now_s": [now], "cands": [None], "is_end": [True]})
-    if stalled:
-        return _run(session, end, tracks, number)[2]
-    names = [c.split(" ")[0] for c in schemas.LIVE_EVENTS.split(", ")]
-    return pd.DataFrame([(session, now, "stalled", -1, now, now, "STALLED", "", "", 0)], columns=names)
+def stream(ticks: DataFrame, *, stalls: bool = True, stall_s: float = STALL_S, expire_s: float = EXPIRE_S, known: Mapping[str, str] | None = None) -> DataFrame:
+    """Events of running sessions. Without ``stalls`` nothing is timed: a query that must come to rest needs that, and a session's state then stays until its end comes."""
+    prepared(ticks.sparkSession)
+    rows = clip(ticks, known=known).where("session_id IS NOT NULL")
+    return rows.groupBy("session_id").transformWithState(_Sessions(stalls, stall_s, expire_s), schemas.LIVE_EVENTS, "append", "processingTime" if stalls else "none")
 
 
 def committed(events: DataFrame, *, known: Mapping[str, str] | None = None) -> DataFrame:
@@ -131,7 +227,7 @@ def committed(events: DataFrame, *, known: Mapping[str, str] | None = None) -> D
 
     No cut later than the tick is known while a stream runs, so ends aren't snapped.
     """
-    e = events.where("event = 'emitted'").withColumn("triggers", T.class_triggers("text")).withColumn("brand", T.title_brand("text", known))
+    e = events.where("event = 'emitted'").withColumn("brand", T.title_brand("text", known))
     none = J.reject_reason(F.col("start_s"), F.col("end_s"), F.col("source"), F.col("triggers"), F.col("text"), F.col("score"), F.col("brand")).isNull()
     inside = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.col("now_s"))
     start = inside(F.col("start_s"))
@@ -139,6 +235,12 @@ def committed(events: DataFrame, *, known: Mapping[str, str] | None = None) -> D
     return e.where(none).select("session_id", "now_s", "track", F.round(start, 2).alias("start_s"), F.round(end, 2).alias("end_s"), J.ad_type(F.lit("live"), F.col("start_s"), F.col("source"), F.col("triggers"), F.col("text")).alias("ad_type"), J.confidence(F.col("score")).alias("confidence"), "brand", "source", "text")
 
 
-def since(events: DataFrame, seq: str, after: int, most: int = 2000) -> DataFrame:
-    """The replay cursor: of the last ``most`` events those after a sequence number, in order."""
-    return events.orderBy(F.desc(seq)).limit(most).where(F.col(seq) > after).orderBy(seq)
+def since(events: DataFrame, session: str, after: int, most: int = 2000) -> DataFrame:
+    """The replay cursor of a session: of its last ``most`` events those after a number, in order."""
+    return last_events(events.where(F.col("session_id") == session), most).where(F.col("seq") > after).orderBy("seq")
+
+
+def last_events(events: DataFrame, most: int = 2000) -> DataFrame:
+    """The last ``most`` events of each session. Numbers have no gaps, so the greatest tells where they begin: no session is sorted."""
+    top = events.groupBy("session_id").agg(F.max("seq").alias("__top"))
+    return events.join(top, "session_id").where(F.col("seq") > F.col("__top") - most).drop("__top")
