@@ -10,8 +10,9 @@ out, and numbered by one summary a task. Then supersteps run:
 
 * Upward, nodes message their digests to their parent, neighbours' messages
   combined. A parent that holds all its children (``FAN``, or up to the one
-  marked as the source's last) hashes them and messages on; one that lacks a
-  child fails the job. Subroots message the tree of sources.
+  marked as its tree's last) hashes them and messages on. Subroots message the
+  tree of sources, whose vertices wait for the deepest of their sources; in a
+  source's own tree a missing child fails the job.
 * Downward, each node sends its children the path it was sent, with their
   siblings before it. A leaf's parent does so for its own leaves in place, folds
   their digests up the path and holds what results against the root.
@@ -120,49 +121,63 @@ def depth(nodes: int) -> int:
     return levels
 
 
-def numbered(place: dict[int, tuple[int, int, int]], fan: int = FAN) -> Callable[[int, Iterator[tuple]], Iterator[tuple]]:
-    """Leaves' messages to their parents: ((source, parent), [(slot, last, leaf, doc_id, changed), ...]), neighbours combined."""
+def numbered(place: dict[int, tuple[int, int, int]]) -> Callable[[int, Iterator[tuple]], Iterator[tuple]]:
+    """Leaves' messages to their parents: ((source, 1, parent), [(slot, last, leaf, doc_id, changed), ...]), neighbours combined."""
 
     def run(number: int, rows: Iterator[tuple]) -> Iterator[tuple]:
         if number not in place:
             return
         tree, at, total = place[number]
-        held, now = None, None
+        held = None
         children: list[tuple] = []
         for row in rows:
             if held is not None:
-                ends = row[0] != now
-                children.append((at % fan, ends, bytes(held[2]), held[1], held[3] and bytes(held[3])))
-                if ends or at % fan == fan - 1:
-                    yield (tree, at // fan), children
+                ends = row[0] != held[0]
+                children.append((at % FAN, ends, bytes(held[2]), held[1], held[3] and bytes(held[3])))
+                if ends or at % FAN == FAN - 1:
+                    yield (tree, 1, at // FAN), children
                     children = []
                 tree, at = (tree + 1, 0) if ends else (tree, at + 1)
-            held, now = row, row[0]
+            held = row
         if held is not None:
-            children.append((at % fan, at == total - 1, bytes(held[2]), held[1], held[3] and bytes(held[3])))
-            yield (tree, at // fan), children
+            children.append((at % FAN, at == total - 1, bytes(held[2]), held[1], held[3] and bytes(held[3])))
+            yield (tree, 1, at // FAN), children
 
     return run
 
 
-def completed(message: tuple, fan: int = FAN) -> tuple:
-    """A node from its children's messages: ((tree, index), (last, digest, children)). A lone leaf's parent is the leaf itself."""
-    (tree, index), parts = message
+def received(message: tuple) -> tuple:
+    """A vertex that got messages: (key, node, waiting). One that holds all its children is a node (last, digest, children).
+
+    Others wait with what they have, which only the tree of sources may: its
+    children come when they are done. A lone leaf's parent is the leaf itself.
+    """
+    (tree, level, index), parts = message
     children = sorted((c for part in parts for c in part), key=lambda c: c[0])
     last = children[-1][1]
-    if [c[0] for c in children] != list(range(len(children))) or not (last or len(children) == fan) or any(c[1] for c in children[:-1]):
-        raise ValueError(f"node {index} of tree {tree} lacks children")
-    lone = last and index == 0 and len(children) == 1
-    return (tree, index), (last, children[0][2] if lone else digest(c[2] for c in children), children)
-
-
-def is_root(node: tuple) -> bool:
-    return node[1][0] and node[0][1] == 0
-
+    if [c[0] for c in children] != list(range(len(children))) or not (last or len(children) == FAN) or any(c[1] for c in children[:-1]):
+        if tree != TOP:
+            raise ValueError(f"node {index} of source {tree}, level {level}, lacks children")
+        return (tree, level, index), None, children
+    lone = tree != TOP and last and index == 0 and len(children) == 1
+    return (tree, level, index), (last, children[0][2] if lone else digest(c[2] for c in children), children), None
+
+
+def messages_up(sources: int) -> Callable[[tuple], list[tuple]]:
+    """What a vertex sends: a node its digest to its parent, a subroot to the tree of sources, a waiting vertex what it has to itself; the root nothing."""
+
+    def run(vertex: tuple) -> list[tuple]:
+        (tree, level, index), node, waiting = vertex
+        if node is None:
+            return [((tree, level, index), waiting)]
+        last, own, _ = node
+        if not (last and index == 0):
+            return [((tree, level + 1, index // FAN), [(index % FAN, last, own)])]
+        if tree == TOP or sources == 1:
+            return []
+        return [((TOP, 1, tree // FAN), [(tree % FAN, tree == sources - 1, own, level)])]
 
-def to_parent(node: tuple, fan: int = FAN) -> tuple:
-    (tree, index), (last, own, _) = node
-    return (tree, index // fan), [(index % fan, last, own)]
+    return run
 
 
 def siblings(children: list[tuple], slot: int) -> bytes:
@@ -185,40 +200,31 @@ def folded(own: bytes, path: Iterable[tuple[int, list[bytes]]]) -> bytes:
     return own
 
 
-def own_path(met: tuple) -> tuple | None:
-    """Of a node and what it was sent, the path that is its own: a source's root takes the tree of sources', other nodes their parent's."""
-    (tree, index), (nodes, sent) = met
-    for node in nodes:
-        for from_top, path, subroot in sent:
-            if from_top == is_root(((tree, index), node)) or tree == TOP:
-                return node, path, subroot
-    return None
-
-
-def to_children(met: tuple, bottom: bool, fan: int = FAN) -> Iterator[tuple]:
-    """Messages ((tree, index), (from the tree of sources, path, subroot)) to the nodes below."""
-    (tree, index), _ = met
-    if (own := own_path(met)) is None:
-        return
-    (_, _, children), path, subroot = own
-    for c in children:
-        below = index * fan + c[0]
-        whole = siblings(children, c[0]) + path
-        if tree == TOP and bottom:
-            yield (below, 0), (True, whole, c[2])
-        else:
-            yield (tree, below), (False, whole, subroot)
+def messages_down(met: tuple) -> Iterator[tuple]:
+    """What a node that was sent its path, (path, subroot), sends its children: theirs. A message whose node isn't here goes on."""
+    (tree, level, index), (nodes, sent) = met
+    for path, subroot in sent:
+        found = False
+        for _, _, children in nodes:
+            found = True
+            for c in children:
+                whole = siblings(children, c[0]) + path
+                if tree == TOP and level == 1:
+                    yield (index * FAN + c[0], c[3], 0), (whole, c[2])
+                else:
+                    yield (tree, level - 1, index * FAN + c[0]), (whole, subroot)
+        if not found:
+            yield (tree, level, index), (path, subroot)
 
 
 def verified(root: bytes) -> Callable[[tuple], Iterator[tuple]]:
     """Rows of RESULT for the leaves of a node."""
 
     def run(met: tuple) -> Iterator[tuple]:
-        if (own := own_path(met)) is None:
-            return
-        (_, digest_, children), path, subroot = own
+        key, (nodes, sent) = met
+        ((_, own, children),), ((path, subroot),) = nodes, sent
         above, tail = list(levels(path)), "".join(d.hex() for _, others in levels(path) for d in others)
-        lone, known = len(children) == 1 and children[0][2] == digest_, {}
+        lone, known = len(children) == 1 and children[0][2] == own, {}
         for slot, _, leaf, doc_id, changed in children:
             others = [c[2] for c in children if c[0] != slot]
             first = changed or leaf
@@ -256,31 +262,19 @@ def manifest(docs: DataFrame, *, chosen: Callable[[Column], Column] = every_fift
     if not sources:
         return spark.createDataFrame([], RESULT)
     widest, whole = rows.rdd.getNumPartitions(), sum(s[7] for s in summaries)
-    tasks = lambda nodes: min(widest, -(-nodes // NODES_A_TASK))
-    of_level = lambda level: widest if level == 1 else tasks(sources + whole // FAN**level)
-    store = Store(spark)
-
-    messages, steps, subroots = rows.rdd.mapPartitionsWithIndex(numbered(place)), [], spark.sparkContext.emptyRDD()
-    for level in range(1, max(1, depth(most)) + 1):
-        steps.append(store.put(messages.groupByKey(of_level(level)).map(completed)))
-        subroots = subroots.union(steps[-1].filter(is_root).map(lambda node: ((TOP, node[0][0] // FAN), [(node[0][0] % FAN, node[0][0] == sources - 1, node[1][1])])))
-        messages = steps[-1].filter(lambda node: not is_root(node)).map(to_parent)
-    top, messages = [], subroots
-    for _ in range(depth(sources)):
-        top.append(store.put(messages.groupByKey(tasks(sources)).map(completed)))
-        messages = top[-1].map(to_parent)
-    root = top[-1].first()[1][1] if top else subroots.first()[1][0][2]
-
-    sent = spark.sparkContext.parallelize([((TOP, 0), (True, b"", None))] if top else [((0, 0), (True, b"", root))], 1)
-    for i, nodes in reversed(list(enumerate(top))):
-        sent = nodes.cogroup(sent, tasks(sources)).flatMap(lambda met, bottom=i == 0: to_children(met, bottom))
-    if top:
-        sent = store.put(sent)
-    from_parents = None
-    for level in range(len(steps), 1, -1):
-        inbox = sent if from_parents is None else sent.union(from_parents)
-        from_parents = store.put(steps[level - 1].cogroup(inbox, of_level(level)).flatMap(lambda met: to_children(met, False)))
-    inbox = sent if from_parents is None else sent.union(from_parents)
-    found = checkpoint(spark.createDataFrame(steps[0].cogroup(inbox, widest).flatMap(verified(root)), RESULT, verifySchema=False))
+    tasks = lambda step: widest if step == 1 else min(widest, -(-(sources + whole // FAN**step) // NODES_A_TASK))
+    store, up = Store(spark), messages_up(sources)
+
+    messages, steps = rows.rdd.mapPartitionsWithIndex(numbered(place)), []
+    for step in range(1, max(1, depth(most)) + depth(sources) + 1):
+        steps.append(store.put(messages.groupByKey(tasks(step)).map(received).coalesce(tasks(step))))
+        messages = steps[-1].flatMap(up)
+    ((root_key, (_, root, _), _),) = steps[-1].filter(lambda vertex: vertex[1] is not None and not up(vertex)).collect()
+
+    sent = spark.sparkContext.parallelize([(root_key, (b"", root if sources == 1 else None))], 1)
+    nodes = [step.filter(lambda vertex: vertex[1] is not None).map(lambda vertex: vertex[:2]) for step in steps]
+    for step in range(len(steps), 1, -1):
+        sent = store.put(nodes[step - 1].cogroup(sent, tasks(step)).flatMap(messages_down).coalesce(tasks(step)))
+    found = checkpoint(spark.createDataFrame(nodes[0].cogroup(sent, widest).flatMap(verified(root)), RESULT, verifySchema=False))
     store.clear()
     return found

@@ -118,15 +118,16 @@ def test_rows_are_numbered_whatever_the_ranges():
         for i, p in enumerate(parts):
             for key, children in mk.numbered(place)(i, iter(p)):
                 nodes.setdefault(key, []).append(children)
-        done = sorted(mk.completed(x) for x in nodes.items())
+        done = sorted(mk.received(x) for x in nodes.items())
         whole = whole or done
         assert done == whole
 
 
-def test_a_missing_message_is_an_error():
+def test_a_missing_message_is_an_error_but_sources_are_waited_for():
     children = [(i, False, b"x" * 32, i, None) for i in range(16)]
     for wrong in (children[:7] + children[8:], children[:15], [*children[:3], children[2]]):
         with pytest.raises(ValueError, match="lacks"):
-            mk.completed(((0, 0), [wrong]))
-    (_, (last, own, _)) = mk.completed(((0, 1), [[(0, True, b"x" * 32, 16, None)]]))
+            mk.received(((0, 1, 0), [wrong]))
+        assert mk.received(((mk.TOP, 1, 0), [wrong]))[1] is None
+    _, (last, own, _), _ = mk.received(((0, 1, 1), [[(0, True, b"x" * 32, 16, None)]]))
     assert last and own == mk.digest([b"x" * 32])  # a last run of one is hashed
