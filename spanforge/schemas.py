@@ -8,6 +8,11 @@ EVIDENCE = "struct<frame_timestamps:array<double>,transcript_span:string,ocr_tex
 SEGMENTS = f"video_id string, id string, start_s double, end_s double, ad_type string, confidence double, brand string, description string, evidence {EVIDENCE}, presentation string"
 CANDIDATE = "struct<start_s:double,end_s:double,source:string,raw_triggers:array<string>,texts:array<string>,frame_timestamps:array<double>,score_hint:int>"
 LIVE_TICKS = f"session_id string, now_s double, cands array<{CANDIDATE}>, is_end boolean"
+FRAMES = "session_id string, now_s double, rois array<struct<roi_name:string,thumb:array<double>,text:string>>, hist array<double>, text string, is_end boolean"
+SENSED_ROI = "struct<roi_name:string,raw_text:string,source_s:double,sensed:boolean,mae:double>"
+SENSED = f"session_id string, now_s double, rois array<{SENSED_ROI}>, distance double, text string, is_end boolean"
+SIGHTED = f"session_id string, now_s double, seen array<struct<roi_name:string,signature:string,text:string>>, cands array<{CANDIDATE}>, is_end boolean"
+LASTING = "session_id string, now_s double, event string, roi_name string, signature string, first_seen double, last_seen double, n_seen long, text string"
 LIVE_EVENTS = "session_id string, seq long, now_s double, event string, track int, start_s double, end_s double, status string, source string, roi string, signature string, triggers array<string>, texts array<string>, frame_timestamps array<double>, text string, score int"
 _SEGMENT = f"struct<id:string,start_s:double,end_s:double,ad_type:string,confidence:double,brand:string,description:string,evidence:{EVIDENCE},presentation:string>"
 _SOURCE = "struct<url:string,platform:string,kind:string,duration_s:double,processed_at:string>"

@@ -57,3 +57,13 @@ def replayed(df: DataFrame, key: str, order: Sequence[str], make: Callable[[obje
 
     rows = df.where(F.col(key).isNotNull() & F.col(order[0]).isNotNull())
     return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, kind)
+
+
+def by_time(rows: Iterator, keep: Callable[[dict], bool] = lambda r: r["now_s"] is not None) -> list[dict]:
+    """A micro-batch's rows of one session, in order of their ticks."""
+    return sorted((r for r in (r.asDict(recursive=True) for r in rows) if keep(r)), key=lambda r: r["now_s"])
+
+
+def named(schema: str) -> tuple[str, ...]:
+    """Column names of one of the package's schemas (", " stands between columns alone)."""
+    return tuple(c.split(" ")[0] for c in schema.split(", "))
