@@ -45,7 +45,7 @@ FAN = 16
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: Key of the tree whose leaves are the sources' subroots.
 TOP = -1
-#: Nodes of a level for each task, at least.
+#: Nodes of a superstep for each task, unless cores would stand idle.
 NODES_A_TASK = 512
 RESULT = "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
 
@@ -261,8 +261,8 @@ def manifest(docs: DataFrame, *, chosen: Callable[[Column], Column] = every_fift
     place, sources, most = layout(summaries)
     if not sources:
         return spark.createDataFrame([], RESULT)
-    widest, whole = rows.rdd.getNumPartitions(), sum(s[7] for s in summaries)
-    tasks = lambda step: widest if step == 1 else min(widest, -(-(sources + whole // FAN**step) // NODES_A_TASK))
+    widest, whole, cores = rows.rdd.getNumPartitions(), sum(s[7] for s in summaries), spark.sparkContext.defaultParallelism
+    tasks = lambda step: widest if step == 1 else min(widest, max(cores, -(-(sources + whole // FAN**step) // NODES_A_TASK)))
     store, up = Store(spark), messages_up(sources)
 
     messages, steps = rows.rdd.mapPartitionsWithIndex(numbered(place)), []
