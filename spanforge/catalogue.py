@@ -497,7 +497,7 @@ def look_back(spark, d):
     t = _turns(spark, d).select(F.col("conv_id").alias("session_id"), "turn", F.col("s").alias("start_s"), F.col("e").alias("end_s"))
     ticks = t.select("session_id", (F.col("turn") * 7.0 + 3).alias("now_s"))
     out = P.live_captions(t, ticks)
-    return out.select("session_id", F.col("now_s").cast("long").alias("now_s"), "turn", F.col("end_s").cast("long").alias("end_s"))
+    return out.select(F.col("session_id").cast(t.schema["session_id"].dataType).alias("session_id"), F.col("now_s").cast("long").alias("now_s"), "turn", F.col("end_s").cast("long").alias("end_s"))
 
 
 def sensed_texts(spark, d):

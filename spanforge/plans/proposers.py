@@ -9,12 +9,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanforge.functions import text as T
-from spanforge.operators.intervals import bucketed
 from spanforge.operators.islands import persistent
 from spanforge.operators.sampling import bhattacharyya
 from spanforge.operators.windows import hopping_text, intent_score, suppressed_top
+from spanforge.streaming.captions import LOOK_BACK_S, look_back
 
-LOOK_BACK_S, HARD_CUT, SOFT_CUT, FORGET_S, LASTING_S, STALL_S = 16.0, 0.35, 0.28, 6.0, 8.0, 12.0
+HARD_CUT, SOFT_CUT, FORGET_S, LASTING_S, STALL_S = 0.35, 0.28, 6.0, 8.0, 12.0
 
 
 def spot(ticks: DataFrame, *, strong_brands: Sequence[str] = (), known: Mapping[str, str] | None = None) -> DataFrame:
@@ -48,11 +48,8 @@ def intents(captions: DataFrame, promo: Sequence[dict[str, int]], anti: Sequence
 
 
 def live_captions(captions: DataFrame, ticks: DataFrame) -> DataFrame:
-    """Captions of the last LOOK_BACK_S of each tick, cut at the tick. A tick is in one bucket of LOOK_BACK_S."""
-    held = bucketed(captions, F.col("start_s"), F.col("end_s") + LOOK_BACK_S, LOOK_BACK_S)
-    at = ticks.select("session_id", "now_s", F.floor(F.col("now_s") / LOOK_BACK_S).cast("long").alias("__bucket"))
-    seen = held.join(at, ["session_id", "__bucket"]).where((F.col("start_s") < F.col("now_s")) & (F.col("end_s") > F.col("now_s") - LOOK_BACK_S))
-    return seen.drop("__bucket").withColumn("end_s", F.least("end_s", "now_s"))
+    """Captions of the last LOOK_BACK_S of each tick, cut at the tick; a stream's are read as they come."""
+    return look_back(captions, ticks, back=LOOK_BACK_S)
 
 
 def live_intents(captions: DataFrame, ticks: DataFrame, promo: Sequence[dict[str, int]], anti: Sequence[dict[str, int]], phrases: Sequence[str], **kw) -> DataFrame:

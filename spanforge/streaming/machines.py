@@ -37,10 +37,10 @@ def prepared(spark: SparkSession) -> None:
         spark.conf.set(_PROVIDER, _ROCKS)
 
 
-def replayed(df: DataFrame, key: str, order: Sequence[str], make: Callable[[object], Machine], schema: str) -> DataFrame:
+def replayed(df: DataFrame, key: str, order: Sequence[str], make: Callable[[object], Machine], schema: str | StructType) -> DataFrame:
     """Outputs of ``make(key)`` over each key's rows by ``order``. Rows with a null key or a null first of the order go."""
     ship(df.sparkSession)
-    kind = StructType.fromDDL(schema)
+    kind = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,3 +20,18 @@ def drained(stream, path, name):
     finally:
         query.stop()
     return spark.table(name).collect()
+
+
+def resumed(stream, path):
+    """Rows that a stream adds to those of its earlier runs: a query that is started again from its checkpoint."""
+    spark, out = stream.sparkSession, str(path / "out")
+    before = spark.read.parquet(out).collect() if (path / "out").exists() else []
+    query = stream.writeStream.format("parquet").option("path", out).outputMode("append").option("checkpointLocation", str(path / "ck")).start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    rows = [tuple(r) for r in spark.read.schema(stream.schema).parquet(out).collect()]
+    for r in before:
+        rows.remove(tuple(r))
+    return rows
