@@ -20,8 +20,9 @@ rows are repeats of one another: texts of at least ``width`` bytes (and
 cut into runs and groups of bounded size. Only the id and the text are read, so
 other columns can't clash. An empty table gives an empty result.
 
-``shared_passages`` is a screen beside it, by words: whether another text holds
-one of a text's passages of ``words`` words.
+``passages`` finds the passages of over so many words that a text has in common
+with another one, however short they are in bytes, by the same index: a screen by
+words, which misses none, names the texts to index at a smaller width.
 """
 
 from __future__ import annotations
@@ -191,7 +192,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def repeats(docs: DataFrame, *, width: int = 400, least_words: int = 0, passage_words: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, text_key, n_bytes, n_removed, spans (of bytes, end excluded), kept_sha256.
 
-    With ``passage_words`` also n_shared_passages and shares_passage, by ``shared_passages``.
+    With ``passage_words`` also n_shared_passages and shares_passage, by ``passages``.
     """
     assert 64 < width and 2 * KEY_RUNS * width < 2 * MOST_BYTES
     texts = text_of(docs, id_col, text_col)
@@ -210,12 +211,12 @@ def repeats(docs: DataFrame, *, width: int = 400, least_words: int = 0, passage_
     results = _kept(chosen.select("text_key", "packed").join(found, "text_key"), least_words).drop("kept")
     known = classes.select("text_key", "copies").join(results, "text_key", "left")
     if passage_words:
-        known = known.join(shared_passages(docs, words=passage_words, text_col=text_col), "text_key", "full")
+        known = known.join(passages(docs, words=passage_words, text_col=text_col), "text_key", "full")
     # One row a text, written, so that both sides of the join are plain shuffles and a frequent text's rows can be dealt out.
     out = rows.drop("keys", "firsts", "lasts", "insides").join(checkpoint(known), "text_key", "left")
     gone = F.coalesce(F.col("copies") > 1, F.lit(False)) & (F.col("n_words") >= least_words)
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
-    passages = [F.coalesce("n_shared", F.lit(0).cast("long")).alias("n_shared_passages"), F.col("n_shared").isNotNull().alias("shares_passage")] if passage_words else []
+    more = [F.coalesce("n_shared", F.lit(0).cast("long")).alias("n_shared_passages"), F.col("n_shared").isNotNull().alias("shares_passage")] if passage_words else []
     return out.select(
         "doc_id",
         "text_key",
@@ -223,12 +224,25 @@ def repeats(docs: DataFrame, *, width: int = 400, least_words: int = 0, passage_
         F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
         F.when(gone, whole).otherwise(F.coalesce("spans", F.expr(f"CAST(array() AS {_SPANS})"))).alias("spans"),
         F.when(gone, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "sha256")).alias("kept_sha256"),
-        *passages,
+        *more,
     )
 
 
-#: Words of the gram by which passages are compared.
-PASSAGE_GRAM = 20
+#: Words of the gram by which passages are screened, and bytes that a passage has at least.
+PASSAGE_GRAM, PASSAGE_BYTES = 20, 200
+
+
+def passages(docs: DataFrame, *, words: int = 51, width: int = PASSAGE_BYTES, text_col: str = "text") -> DataFrame:
+    """One row for each distinct text with a passage of ``words`` words that it shares with another text: text_key and n_shared (passages).
+
+    Passages are spans of the run-length index at ``width`` bytes, over the texts
+    that the screen by grams leaves. Copies of a text count once.
+    """
+    texts = docs.select(F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL").withColumn("__key", key_column(F.col("text")))
+    screened = shared_passages(docs, words=words, text_col=text_col).select(F.col("text_key").alias("__key"))
+    once = checkpoint(texts.join(screened, "__key", "left_semi").dropDuplicates(["__key"]).select(F.monotonically_increasing_id().alias("doc_id"), "text"))
+    found = repeats(once, width=width, least_words=words).where("n_removed > 0")
+    return found.select("text_key", F.size("spans").cast("long").alias("n_shared"))
 
 
 def passage_keys(raw: bytes, words: int, gram: int, memo: WordHashes) -> np.ndarray:
