@@ -16,9 +16,8 @@ training) the language aren't read.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,7 +32,8 @@ SEGMENTS_PER_ROW = 120
 #: Segments whose sums a task remembers at a time.
 MEMO_SEGMENTS = 250_000
 
-_LETTER = re.compile(r"[^\W\d_]")
+#: Letters are the characters of the Unicode category L: neither digits and fractions nor letter-like numbers.
+_LETTER = regex.compile(r"\p{L}")
 
 
 class ByteGru:
