@@ -3,8 +3,12 @@
 Texts are normalised to lower-case (A-Z) words; any other ASCII character than
 letters and digits separates words. A window is ``words`` consecutive words of
 an item; an item of fewer words, but not none, is one window. All windows make
-one automaton, a text is scanned once, and hits are mapped back to words and to
-character offsets of the original text.
+one automaton, whose letters are the benchmark's words: a text is scanned once, and
+hits are mapped back to words and to character offsets of the original text.
+
+The automaton has at most ``words`` states a word of the benchmark, some 45 bytes
+each (32 KB a thousand words of ten-word windows were measured), whatever their
+length. Beyond BLOCK_WORDS the benchmark is scanned in blocks, one after the other.
 
 Null, empty and wordless texts have no words and no hits. Items without words
 match nothing; repeated items count each by its id. Windows of an item with a
@@ -17,6 +21,8 @@ columns can't clash.
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -25,8 +31,8 @@ from pyspark.sql import functions as F
 
 from spanforge.llm.common import checkpoint, column_of, map_rows, text_of
 
-#: Benchmark bytes that one automaton takes; a larger benchmark is scanned in blocks of this size.
-BLOCK_BYTES = 8 << 20
+#: Benchmark words that one automaton takes (some 250 MB); a larger benchmark is scanned in blocks of this size.
+BLOCK_WORDS = 500_000
 
 _NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b > 127 else 32 for b in range(256))
 _WORD = re.compile(rb"[^ ]+")
@@ -37,21 +43,48 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_NORMAL).split()
 
 
-def automaton_of(items: list[tuple[str | None, str | None]], words: int) -> tuple[ahocorasick.Automaton, list[tuple[int, int, list[str]]]]:
-    """The automaton and, by its values, each window's length in characters and words and its items."""
-    windows: dict[str, tuple[int, set[str]]] = {}
-    for item, text in items:
-        w = words_of(text)
-        for i in range(max(1, len(w) - words + 1) if w else 0):
-            part = w[i : i + words]
-            windows.setdefault(f" {b' '.join(part).decode('latin-1')} ", (len(part), set()))[1].update([] if item is None else [item])
-    found, known = ahocorasick.Automaton(), []
-    for text, (n, ids) in windows.items():
-        found.add_word(text, len(known))
-        known.append((len(text), n, sorted(ids)))
-    if known:
-        found.make_automaton()
-    return found, known
+class Windows:
+    """The automaton of all windows: it reads texts as numbers of the benchmark's words, 0 for any other word."""
+
+    def __init__(self, items: list[tuple[str | None, str | None]], words: int):
+        self.numbers: dict[bytes, int] = {}
+        windows: dict[tuple[int, ...], set[str]] = {}
+        for item, text in items:
+            w = [self.numbers.setdefault(x, len(self.numbers) + 1) for x in words_of(text)]
+            for i in range(max(1, len(w) - words + 1) if w else 0):
+                windows.setdefault(tuple(w[i : i + words]), set()).update([] if item is None else [item])
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        #: By the automaton's values, each window's words and items.
+        self.known: list[tuple[int, list[str]]] = []
+        for numbers, ids in windows.items():
+            self.automaton.add_word(numbers, len(self.known))
+            self.known.append((len(numbers), sorted(ids)))
+        if self.known:
+            self.automaton.make_automaton()
+
+    def hits(self, words: list[bytes]) -> Iterator[tuple[int, int]]:
+        """(last word, window) of each occurrence."""
+        if not self.known or not words:
+            return iter(())
+        get = self.numbers.get
+        numbers = tuple(get(w, 0) for w in words)
+        return self.automaton.iter(numbers) if any(numbers) else iter(())
+
+
+_LAST: list = [None, None]
+
+
+def sender(items: DataFrame, words: int) -> Callable[[], Windows]:
+    """The automaton of a block's items: they are broadcast, and it is built once a Python worker, which holds one at a time."""
+    shipped, name = items.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in items.collect()]), uuid.uuid4().hex
+
+    def windows() -> Windows:
+        if _LAST[0] != name:
+            _LAST[:] = [None, None]
+            _LAST[:] = [name, Windows(shipped.value, words)]
+        return _LAST[1]
+
+    return windows
 
 
 def _merge(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -74,26 +107,20 @@ def spans_of(text: str, runs: list[tuple[int, int]]) -> list[dict]:
 
 def _scan(state: DataFrame, items: DataFrame, words: int, final: bool) -> DataFrame:
     """Add one block's hits and items to what the blocks before have found; the final block gives spans in place of texts."""
-    shipped = state.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in items.collect()])
+    sent = sender(items, words)
 
     def make():
-        auto, known = automaton_of(shipped.value, words)
+        windows = sent()
+        known = windows.known
 
         def one(text, runs, ids):
-            w = words_of(text)
-            if not w or not known:
-                return len(w), runs, ids
-            flat, starts, found, seen = f" {b' '.join(w).decode('latin-1')} ", None, [(r["first"], r["last"]) for r in runs], set()
-            for end, k in auto.iter(flat):
-                if starts is None:
-                    starts = np.cumsum([0] + [len(x) + 1 for x in w[:-1]])
-                size, n, _ = known[k]
-                first = int(np.searchsorted(starts, end - size + 1))
-                found.append((first, first + n - 1))
+            w, found, seen = words_of(text), [(r["first"], r["last"]) for r in runs], set()
+            for last, k in windows.hits(w):
+                found.append((last - known[k][0] + 1, last))
                 seen.add(k)
             if not seen:
                 return len(w), runs, ids
-            return len(w), [{"first": a, "last": b} for a, b in _merge(found)], sorted({*ids, *(i for k in seen for i in known[k][2])})
+            return len(w), [{"first": a, "last": b} for a, b in _merge(found)], sorted({*ids, *(i for k in seen for i in known[k][1])})
 
         def work(cols):
             rows = [one(*x) for x in zip(cols["text"], cols["runs"], cols["items"])]
@@ -108,15 +135,15 @@ def _scan(state: DataFrame, items: DataFrame, words: int, final: bool) -> DataFr
     return map_rows(state, make, "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>" if final else f"doc_id long, text string, n_words long, runs {_HITS}, items array<string>")
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, *, words: int = 10, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, *, words: int = 10, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, n_words, n_hit, items (ids, sorted as strings) and spans of the original text.
 
-    The benchmark's size is taken first. Up to ``block_bytes`` it is one
+    The benchmark's words are counted first. Up to ``block_words`` it is one
     broadcast automaton; beyond, blocks of that size scan in turn, without a
     shuffle. What a block has found is written before the next is sent, so a
     task holds one automaton, whatever the benchmark's size.
     """
-    blocks = _blocks(benchmark, block_bytes)
+    blocks = _blocks(benchmark, block_words)
     state = text_of(docs, id_col, text_col).withColumns({"n_words": F.lit(0).cast("long"), "runs": F.expr(f"CAST(array() AS {_HITS})"), "items": F.expr("CAST(array() AS array<string>)")})
     for i, items in enumerate(blocks, 1):
         state = _scan(state, items, words, i == len(blocks))
@@ -125,30 +152,28 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, words: int = 10, block_bytes:
     return state
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
-    """The benchmark in parts of about ``block_bytes``, by its measured size."""
+def _blocks(benchmark: DataFrame, block_words: int) -> list[DataFrame]:
+    """The benchmark in parts of about ``block_words``, by its counted words."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
-    size = items.agg(F.sum(F.octet_length("text") + F.coalesce(F.octet_length("item_id"), F.lit(0)))).first()[0] or 0
-    n = max(1, -(-size // block_bytes))
+    count = items.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")))).first()[0] or 0
+    n = max(1, -(-count // block_words))
     return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b) for b in range(n)]
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, *, words: int = 10, block_bytes: int = BLOCK_BYTES, text_col: str = "text") -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, *, words: int = 10, block_words: int = BLOCK_WORDS, text_col: str = "text") -> DataFrame:
     """The documents that hold no window, dropped where they are, without a join; each block's rest is written before the next block."""
-    blocks = _blocks(benchmark, block_bytes)
+    blocks = _blocks(benchmark, block_words)
     for i, items in enumerate(blocks, 1):
-        shipped = docs.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in items.collect()])
-        docs = docs.where(column_of(docs.sparkSession, _clean_of(shipped, words), "boolean", F.col(text_col).cast("string")))
+        docs = docs.where(column_of(docs.sparkSession, _clean_of(sender(items, words)), "boolean", F.col(text_col).cast("string")))
         if i < len(blocks):
             docs = checkpoint(docs)
     return docs
 
 
-def _clean_of(shipped, words: int):
+def _clean_of(sent: Callable[[], Windows]):
     def make():
-        auto, known = automaton_of(shipped.value, words)
-        flat = lambda t: f" {b' '.join(words_of(t)).decode('latin-1')} "
-        return lambda texts: [not known or next(auto.iter(flat(t)), None) is None for t in texts]
+        windows = sent()
+        return lambda texts: [next(windows.hits(words_of(t)), None) is None for t in texts]
 
     return make
 

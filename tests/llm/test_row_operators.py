@@ -173,7 +173,7 @@ def test_decontamination(spark, odd, none):
     items = [(r.item_id, r.text) for r in bench.collect()]
     rows = docs.collect()
     want = {r.doc_id: x for r, x in zip(rows, brute_windows([r.text for r in rows], items))}
-    for kw in ({}, {"block_bytes": 2000}):  # one automaton, and many blocks
+    for kw in ({}, {"block_words": 300}):  # one automaton, and many blocks
         got = {r.doc_id: (r.n_words, r.n_hit, r.items) for r in dc.scan(docs, bench, **kw).collect()}
         assert got == want
         clean = {r.doc_id for r in dc.clean(docs, bench, **kw).select("doc_id").collect()}
@@ -193,10 +193,18 @@ def test_decontamination_short_items_overlaps_and_offsets(spark, frame):
     assert [text[s.start : s.end] for s in r.spans] == ["two,words! A b-c d e f g h i j k l", "two words"]
 
 
+def test_an_automaton_is_bounded_by_its_words():
+    """States are words of windows, not their letters; a worker holds one block's automaton."""
+    long = " ".join("x" * 200 + str(i) for i in range(40))
+    states = {t: dc.Windows([("a", t)], 10).automaton.get_stats()["nodes_count"] for t in (long, long.replace("x", ""))}
+    assert set(states.values()) == {31 * 10 + 1}
+    assert list(dc.Windows([], 10).hits([b"a"])) == [] and list(dc.Windows([("a", "b c")], 10).hits([b"a", b"b", b"c"])) == [(2, 0)]
+
+
 def test_items_without_an_id_contaminate(spark, frame):
     bench = spark.createDataFrame([(None, "lost and found"), (None, "red fox"), (7, "red fox")], "item_id long, text string")
     docs = frame(["it was lost and found", "a red fox", "nothing here"])
-    for kw in ({}, {"block_bytes": 8}):
+    for kw in ({}, {"block_words": 2}):
         got = {r.doc_id: (r.n_hit, r.items) for r in dc.scan(docs, bench, **kw).collect()}
         assert got == {0: (3, []), 1: (2, ["7"]), 2: (0, [])}
         assert [r.doc_id for r in dc.clean(docs, bench, **kw).collect()] == [2]
@@ -311,6 +319,7 @@ def test_op8_learns_and_pools_whole_texts(spark, odd, none, frame):
     assert len(rows) == odd.count() and {r.lang_pred for r in rows if r.score == 0} == {"und"}
     end = li.predict(frame(["ab " * 10 + "zyzy " * 4000, "123 !", "ab1"]), langs, model).orderBy("doc_id").collect()
     assert [r.lang_pred for r in end] == ["zz", "und", "aa"]
+    assert {r.lang_pred for r in li.predict(frame(["½", "②", "²", "Ⅷ", "7 ½ ②", "_"]), langs, model).collect()} == {"und"}  # numbers, not letters
     assert li.predict(none, langs, model).count() == 0
     assert {r.lang_pred for r in li.predict(frame(["ab"]), *li.fit([])).collect()} == {"und"}
     assert li.training_sample(none) == []
