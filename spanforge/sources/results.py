@@ -29,10 +29,14 @@ def read_predictions(spark: SparkSession, path: str, gold: DataFrame | None = No
     return named
 
 
+def candidate_key(kind: str = "kind") -> Column:
+    """A candidate's key in a store of judgments: its kind, source, times and the first 400 characters of its texts."""
+    return cache_key(F.col(kind), F.col("source"), F.format_string("%.2f", "start_s"), F.format_string("%.2f", "end_s"), F.substring(F.array_join("texts", " "), 1, 400), F.lit(""))
+
+
 def with_cache(candidates: DataFrame, cache: DataFrame) -> DataFrame:
     """Candidates with their key and, where the cache has it, the stored judgment (else null)."""
-    key = cache_key(F.col("kind"), F.col("source"), F.format_string("%.2f", "start_s"), F.format_string("%.2f", "end_s"), F.substring(F.array_join("texts", " "), 1, 400))
-    return candidates.withColumn("cache_key", key).join(cache.select("cache_key", "judgment"), "cache_key", "left")
+    return candidates.withColumn("cache_key", candidate_key()).join(cache.select("cache_key", "judgment"), "cache_key", "left")
 
 
 def write_lines(df: DataFrame, path: str) -> None:
