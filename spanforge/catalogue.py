@@ -224,7 +224,7 @@ def sampling_plan(spark, d):
 
 def mae_skip(spark, d):
     e = _load(spark, d, "embeddings").select("label", "vec_id", "embedding")
-    return folds.near_duplicate_plan(e, ["label"], order="vec_id", thumb="embedding", least=1.1).select("vec_id", "source", "reused")
+    return folds.near_duplicate_plan(e, ["label"], order="vec_id", thumb="embedding", least=1.1, ranges=int(spark.conf.get("spark.sql.shuffle.partitions"))).select("vec_id", "source", "reused")
 
 
 def rolling_dedupe(spark, d):

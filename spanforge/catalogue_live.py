@@ -7,12 +7,17 @@ then count hours.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spanforge.functions import text as T
+from spanforge.operators.similar import similar
+from spanforge.shared import checkpoint, remove, shared_dir
+from spanforge.sources import cache
 from spanforge.streaming import live
 
 TICK_H = 2
@@ -73,4 +78,34 @@ def live_log(spark, d):
     return e.select(F.col("session_id").cast("long").alias("user_id"), "seq", F.col("now_s").cast("long").alias("now_h"), "event", "status", F.col("track").cast("long").alias("track"), F.round("end_s", 4).alias("end_h"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (live_tracks, live_log)}
+def judgment_cache(spark, d):
+    """Events as candidates of a user's medium; those of two users in three are stored in whole, the others' from a value of 5 on, then each user's are looked up."""
+    m = _minutes(spark, d)
+    kind = F.when(F.col("user_id") % 2 == 0, "vod").otherwise("short")
+    text = F.concat_ws(" ", "event_type", F.col("event_id").cast("string"))
+    c = m.select("user_id", "event_id", "value", F.col("m").cast("double").alias("start_s"), (F.col("m") + 9).cast("double").alias("end_s"), _told(F.col("event_type")).alias("source"), F.array(text).alias("texts"), kind.alias("kind"))
+    name, path = f"judgments_{uuid.uuid4().hex}", f"{shared_dir(spark).rstrip('/')}/judgments-{uuid.uuid4().hex}"
+    cache.create(spark, name, buckets=8, path=path)
+    known = c.where((F.col("user_id") % 3 > 0) | (F.col("value") >= 5)).withColumn("cache_key", cache.candidate_key())
+    cache.store(known.select("cache_key", F.concat(F.lit("old "), text_of_event()).alias("judgment")), name, stored_us=1)
+    cache.store(known.where("value >= 20").select("cache_key", F.concat(F.lit("new "), text_of_event()).alias("judgment")), name, stored_us=2)
+    found = checkpoint(cache.planned(c, name, key="user_id").select("user_id", "event_id", "cache_key", "outcome", "judgment"))
+    spark.sql(f"DROP TABLE {name}")
+    remove(spark, path)
+    return found
+
+
+def text_of_event() -> Column:
+    return F.get("texts", F.lit(0))
+
+
+def similar_bags(spark, d):
+    """Conversations and benchmark items whose words over three letters have a cosine of 0.15 or more."""
+    words = lambda t: F.filter(F.split(F.lower(T.text(t)), "[^a-z]+"), lambda w: F.length(w) > 3)
+    said = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", words("text").alias("tokens"))
+    items = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", words("text").alias("tokens"))
+    pairs = similar(said.select(F.struct("conv_id", "turn").alias("said"), "tokens"), items, "said", "item_id", least=0.15)
+    return pairs.select("said.conv_id", "said.turn", "item_id", F.round("cosine", 6).alias("cosine"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (live_tracks, live_log, judgment_cache, similar_bags)}

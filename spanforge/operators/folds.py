@@ -1,12 +1,18 @@
 """Folds: rows that depend on what was kept before them.
 
 Rows are dealt by key and sorted in their partitions; a task then reads each key
-once, in Arrow batches, and holds the last kept row alone.
+once, in Arrow batches, and holds the last kept row alone. Where keys are few, a
+fold can be split: keys are cut into ranges that tasks fold apart, as if the first
+row of each were kept; then ranges whose true last kept row is another one
+are folded again from it, until none is. Mostly a range agrees with its first fold
+after some rows, so that what it hands on stays as it was and one repair is enough.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -14,72 +20,162 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from spanforge.shared import checkpoint
 from spanforge.shipping import ship
 
+#: Rows that are compared with the last kept one at a time.
+LOOK_AHEAD = 64
+#: A fold of consecutive rows of one key (columns after the key): what is kept before them (None at a key's start)
+#: and the rows give the rows put out and what is kept after them. At a key's end rows are None.
+Fold = Callable[[Any, "pd.DataFrame | None"], tuple[list[tuple], Any]]
+
 
 def mean_abs_diff(a: Column, b: Column) -> Column:
     """Mean absolute difference of two arrays of equal length."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x) / F.size(a)
 
 
-def _folded(df: DataFrame, n_key: int, order: str, step: Callable[[tuple | None, tuple], tuple[tuple | None, list[tuple]]], schema: StructType) -> DataFrame:
-    """Run ``step(kept, row)`` over each key's rows in order; it gives what is kept and the rows put out. At a key's end row is None."""
+def _blocks(batches: Iterator[pd.DataFrame], n_key: int) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """Consecutive rows of one key within a batch, with the key."""
+    for batch in batches:
+        if len(batch):
+            keys = batch.iloc[:, :n_key]
+            edges = np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy())
+            for a, b in zip(edges, [*edges[1:], len(batch)]):
+                yield tuple(keys.iloc[a]), batch.iloc[a:b, n_key:]
+
+
+def _put(key: tuple, rows: list[tuple], names: list[str]) -> pd.DataFrame:
+    return pd.DataFrame([(*key, *r) for r in rows], columns=names)
+
+
+def _folded(df: DataFrame, n_key: int, order: str, fold: Fold, schema: StructType) -> DataFrame:
+    """Rows put out by ``fold`` over each key's rows in order, a task a key."""
     ship(df.sparkSession)
     key, names = df.columns[:n_key], [f.name for f in schema]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, kept = None, None
-        for batch in batches:
-            out: list[tuple] = []
-            for row in batch.itertuples(index=False, name=None):
-                if row[:n_key] != now:
-                    if now is not None:
-                        out += [(*now, *x) for x in step(kept, None)[1]]
-                    now, kept = row[:n_key], None
-                kept, rows = step(kept, row[n_key:])
-                out += [(*now, *x) for x in rows]
-            yield pd.DataFrame(out, columns=names)
+        for block_key, block in _blocks(batches, n_key):
+            if block_key != now:
+                if now is not None:
+                    yield _put(now, fold(kept, None)[0], names)
+                now, kept = block_key, None
+            out, kept = fold(kept, block)
+            yield _put(now, out, names)
         if now is not None:
-            yield pd.DataFrame([(*now, *x) for x in step(kept, None)[1]], columns=names)
+            yield _put(now, fold(kept, None)[0], names)
 
     return df.repartition(*key).sortWithinPartitions(*key, order).mapInPandas(run, schema)
 
 
-def near_duplicate_plan(df: DataFrame, key: Sequence[str], *, order: str, thumb: str, least: float) -> DataFrame:
+def _split(df: DataFrame, n_key: int, order: str, fold: Fold, schema: StructType, ranges: int) -> DataFrame:
+    """As _folded, with keys cut into ranges; ``fold`` puts out a row for each row, and nothing at a key's end.
+
+    What ranges hand on is one kept row each, so the driver holds as many as there
+    are ranges. Rows are written once, so that ranges stay what they are when tasks are run again.
+    """
+    ship(df.sparkSession)
+    spark, key, names = df.sparkSession, df.columns[:n_key], [f.name for f in schema]
+    sorted_ = df.repartitionByRange(ranges, *key, order).sortWithinPartitions(*key, order)
+    rows = checkpoint(sorted_.withColumn("__range", F.spark_partition_id()))
+
+    def folded(sent: dict[int, tuple[tuple, Any]], put: bool):
+        """A range's rows, from what the one before it hands on where that is of the same key; or what it hands on itself."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            now, kept, first, part = None, None, None, None
+            for block_key, block in _blocks(batches, n_key):
+                if part is None:
+                    part, first = int(block["__range"].iloc[0]), block_key
+                    before = sent.get(part)
+                    now, kept = block_key, before[1] if before and before[0] == block_key else None
+                if block_key != now:
+                    now, kept = block_key, None
+                out, kept = fold(kept, block.drop(columns="__range"))
+                if put:
+                    yield _put(now, out, names)
+            if part is not None and not put:
+                yield pd.DataFrame({"part": [part], "state": [pickle.dumps((first, now, kept))]})
+
+        return run
+
+    def hand_on(sent: dict, parts: list[int] | None) -> dict[int, tuple]:
+        held = rows if parts is None else rows.where(F.col("__range").isin(parts))
+        return {r["part"]: pickle.loads(r["state"]) for r in held.mapInPandas(folded(sent, False), "part int, state binary").collect()}
+
+    sent: dict[int, tuple[tuple, Any]] = {}
+    last = hand_on(sent, None)
+    while True:
+        parts = sorted(last)
+        meant = {b: (last[a][1], last[a][2]) for a, b in zip(parts, parts[1:]) if last[a][1] == last[b][0]}
+        changed = [p for p, state in meant.items() if p not in sent or not _same(sent[p][1], state[1])]
+        if not changed:
+            break
+        sent = sent | {p: meant[p] for p in changed}
+        last |= hand_on(sent, changed)
+    return rows.mapInPandas(folded(sent, True), schema)
+
+
+def _same(a: Any, b: Any) -> bool:
+    """Whether two kept rows are the same one, by their place in the order."""
+    return a[0] == b[0]
+
+
+def near_duplicate_plan(df: DataFrame, key: Sequence[str], *, order: str, thumb: str, least: float, ranges: int | None = None) -> DataFrame:
     """For each row the last kept row's order if it differs by less than ``least`` from it, else its own.
 
     A kept row is the one later rows are held against, so slow drift is kept too.
+    Rows with a null key, order or picture go. With ``ranges`` keys are split over so many tasks.
     """
-    rows = df.where(F.concat(*[F.col(k).cast("string") for k in key], F.col(order).cast("string")).isNotNull()).select(*key, F.col(order).alias(order), F.col(thumb).cast("array<double>").alias("__thumb"))
+    rows = df.where(F.concat(*[F.col(k).cast("string") for k in key], F.col(order).cast("string")).isNotNull() & F.col(thumb).isNotNull()).select(*key, F.col(order).alias(order), F.col(thumb).cast("array<double>").alias("__thumb"))
     plan = StructType([*(rows.schema[k] for k in key), rows.schema[order]]).add("source", rows.schema[order].dataType)
 
-    def step(kept, row):
-        if row is None:
-            return None, []
-        at, v = row[0], np.asarray(row[1])
-        if kept is None or not np.abs(kept[1] - v).mean() < least:
-            kept = (at, v)
-        return kept, [(at, kept[0])]
-
-    return _folded(rows, len(key), order, step, plan).withColumn("reused", F.col(order) != F.col("source"))
+    def fold(kept, block):
+        """Rows ahead are compared with the kept one together, up to the first that differs."""
+        if block is None:
+            return [], None
+        at, thumbs = block.iloc[:, 0].tolist(), np.stack([np.asarray(v, float) for v in block.iloc[:, 1]])
+        out, i = [], 0
+        while i < len(at):
+            if kept is None:
+                kept = (at[i], thumbs[i])
+            ahead = np.abs(thumbs[i : i + LOOK_AHEAD] - kept[1]).mean(axis=1)
+            new = np.flatnonzero(~(ahead < least))
+            n = int(new[0]) if len(new) else len(ahead)
+            out += [(a, kept[0]) for a in at[i : i + n]]
+            i += n
+            if len(new):
+                kept = (at[i], thumbs[i])
+                out.append((at[i], at[i]))
+                i += 1
+        return out, kept
+
+    found = _folded(rows, len(key), order, fold, plan) if ranges is None else _split(rows, len(key), order, fold, plan, ranges)
+    return found.withColumn("reused", F.col(order) != F.col("source"))
 
 
 def rolling_dedupe(df: DataFrame, key: Sequence[str], *, order: str, start: str, end: str, text: str, within: float) -> DataFrame:
-    """Captions that roll: one contained in the last kept is dropped; one that contains it, starting within ``within``, replaces its text and extends it."""
+    """Captions that roll: one contained in the last kept is dropped; one that contains it, starting less than ``within`` after it, replaces its text and end."""
     rows = df.where(F.trim(F.col(text)) != "").select(*key, F.col(order).alias(order), F.col(start).cast("double").alias(start), F.col(end).cast("double").alias(end), F.trim(F.col(text)).alias(text))
 
-    def step(kept, row):
-        if row is None:
-            return None, [kept]
-        if kept is None:
-            return row, []
-        if row[3] in kept[3]:
-            return kept, []
-        if kept[3] in row[3] and row[1] - kept[1] <= within:
-            return (kept[0], kept[1], max(kept[2], row[2]), row[3]), []
-        return row, [kept]
-
-    return _folded(rows, len(key), order, step, rows.schema)
+    def fold(kept, block):
+        if block is None:
+            return [kept], None
+        out = []
+        for row in block.itertuples(index=False, name=None):
+            if kept is None:
+                kept = row
+            elif row[3] in kept[3]:
+                continue
+            elif kept[3] in row[3] and row[1] - kept[1] < within:
+                kept = (kept[0], kept[1], row[2], row[3])
+            else:
+                out.append(kept)
+                kept = row
+        return out, kept
+
+    return _folded(rows, len(key), order, fold, rows.schema)
 
 
 def first_texts(df: DataFrame, key: Sequence[str], *, order: str, text: str, head: int = 80, most: int = 10) -> DataFrame:

@@ -44,4 +44,14 @@ ORACLES: dict[str, str] = {
     "live_log": f"""WITH RECURSIVE {_TICKS}, {_RUN}, {_LOG}
         SELECT user_id, seq, tick * 2 AS now_h, CASE part WHEN 0 THEN 'emitted' WHEN 1 THEN 'open' ELSE 'session_end' END AS event, CASE part WHEN 0 THEN 'COMMITTED' WHEN 2 THEN 'ENDED' ELSE CASE WHEN o.en - o.st >= 2 THEN 'EXTENDING' ELSE 'PROVISIONAL' END END AS status,
             coalesce(o.track, -1) AS track, round(coalesce(o.en, tick * 2), 4) AS end_h FROM q QUALIFY seq > max(seq) OVER (PARTITION BY user_id) - 50""",
+    "judgment_cache": """WITH m AS (SELECT *, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) // 60000000 AS m, CASE WHEN user_id % 2 = 0 THEN 'vod' ELSE 'short' END AS kind,
+            CASE event_type WHEN 'view' THEN 'asr' WHEN 'click' THEN 'ocr' WHEN 'purchase' THEN 'ocr_persist_tr' WHEN 'signup' THEN 'ocr+intent' ELSE 'ocr' END AS src, event_type || ' ' || event_id AS t FROM events),
+        c AS (SELECT user_id, event_id, substr(sha256(kind || '|' || src || '|' || m || '.00|' || (m + 9) || '.00|' || t || '|'), 1, 24) AS cache_key,
+            CASE WHEN value >= 20 THEN 'new ' || t WHEN user_id % 3 > 0 OR value >= 5 THEN 'old ' || t END AS j, contains(src, 'asr') OR contains(src, 'intent') OR (kind = 'vod' AND m > 15) AS worth FROM m),
+        o AS (SELECT *, CASE WHEN NOT bool_or(worth) OVER (PARTITION BY user_id) THEN 'skipped' WHEN bool_and(j IS NOT NULL) OVER (PARTITION BY user_id) THEN 'cache' ELSE 'ask' END AS outcome FROM c)
+        SELECT user_id, event_id, cache_key, outcome, CASE WHEN outcome = 'cache' THEN j END AS judgment FROM o""",
+    "similar_bags": """WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z]+'), lambda w: length(w) > 3) AS ws FROM conversations), v AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z]+'), lambda w: length(w) > 3) AS ws FROM benchmark),
+        a AS (SELECT conv_id, turn, t, count(*) AS n FROM (SELECT conv_id, turn, unnest(ws) AS t FROM w) GROUP BY 1, 2, 3), b AS (SELECT item_id, t, count(*) AS n FROM (SELECT item_id, unnest(ws) AS t FROM v) GROUP BY 1, 2),
+        la AS (SELECT conv_id, turn, sqrt(sum(n * n)) AS l FROM a GROUP BY 1, 2), lb AS (SELECT item_id, sqrt(sum(n * n)) AS l FROM b GROUP BY 1), d AS (SELECT conv_id, turn, item_id, sum(a.n * b.n) AS dot FROM a JOIN b USING (t) GROUP BY 1, 2, 3)
+        SELECT conv_id, turn, item_id, round(dot / (la.l * lb.l), 6) AS cosine FROM d JOIN la USING (conv_id, turn) JOIN lb USING (item_id) WHERE dot / (la.l * lb.l) >= 0.15""",
 }

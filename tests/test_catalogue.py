@@ -38,8 +38,8 @@ def test_rolling_dedupe_folds_whole_texts(spark):
             s, e, t = turn * 2.0, turn * 2.0 + 2, text.strip(" ")
             if not t or (out and t in out[-1][3]):
                 continue
-            if out and out[-1][3] in t and s - out[-1][1] <= 3:
-                out[-1] = (out[-1][0], out[-1][1], max(out[-1][2], e), t)
+            if out and out[-1][3] in t and s - out[-1][1] < 3:
+                out[-1] = (out[-1][0], out[-1][1], e, t)
             else:
                 out.append((turn, s, e, t))
         want += [(conv, *x) for x in out]

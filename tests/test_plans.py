@@ -1,3 +1,4 @@
+import random
 import json
 
 import pytest
@@ -145,6 +146,9 @@ def test_folds_keep_the_first_and_drift(spark):
     lines = [("v", 0, 0.0, 1.0, "buy"), ("v", 1, 1.0, 2.0, "buy now"), ("v", 2, 2.0, 3.0, "now"), ("v", 3, 9.0, 10.0, "buy now today"), ("v", 4, 10.0, 11.0, " ")]
     got = folds.rolling_dedupe(spark.createDataFrame(lines, "v string, i int, s double, e double, t string"), ["v"], order="i", start="s", end="e", text="t", within=3.0).orderBy("i").collect()
     assert [(r.s, r.e, r.t) for r in got] == [(0.0, 2.0, "buy now"), (9.0, 10.0, "buy now today")]
+    rolled = lambda *lines: [(r.s, r.e, r.t) for r in folds.rolling_dedupe(spark.createDataFrame([("v", i, *x) for i, x in enumerate(lines)], "v string, i int, s double, e double, t string"), ["v"], order="i", start="s", end="e", text="t", within=3.0).orderBy("i").collect()]
+    assert rolled((0.0, 9.0, "hello"), (3.0, 5.0, "hello you")) == [(0.0, 9.0, "hello"), (3.0, 5.0, "hello you")]  # three seconds are too many
+    assert rolled((0.0, 9.0, "hello"), (2.9, 5.0, "hello you")) == [(0.0, 5.0, "hello you")]  # the end is the new line's
     texts = spark.createDataFrame([("v", i, t) for i, t in enumerate(["a" * 90, "a" * 85, "b"])], "v string, i int, t string")
     assert [len(t) for t in folds.first_texts(texts, ["v"], order="i", text="t").first().texts] == [90, 1]
 
@@ -207,3 +211,25 @@ def test_squared_length_of_a_bag(spark):
     df = spark.createDataFrame([(["b", "a", "b", "c", "b"],), ([],), (["x"],), (["a", None, "a"],), (None,)], "tokens array<string>")
     got = [r[0] for r in df.select(windows.squared_length(F.col("tokens"))).collect()]
     assert got[:3] == [11.0, 0.0, 1.0] and got[4] is None
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 8, 40])
+def test_a_key_split_over_tasks_folds_as_one(spark, ranges):
+    """Drift, jumps and long calm stretches, over ranges that agree at once, late or never; a second key and one of a single row."""
+    rng = random.Random(ranges)
+    rows, x = [], 0.0
+    for i in range(600):
+        x += rng.choice([0.2, 0.2, 3.0, -2.0, 9.0 if i % 50 == 0 else 0.0]) if i < 400 else 0.9
+        rows.append(("hot", i, [x, x + rng.random()]))
+    rows += [("cold", i, [float(i % 9)] * 2) for i in range(40)] + [("one", 7, [1.0, 1.0]), ("one", 8, None), (None, 1, [1.0, 1.0])]
+    want, kept = {}, {}
+    for k, i, v in rows:
+        if k is None or v is None:
+            continue
+        if k not in kept or sum(abs(a - b) for a, b in zip(kept[k][1], v)) / 2 >= 8.0:
+            kept[k] = (i, v)
+        want[k, i] = kept[k][0]
+    df = spark.createDataFrame(rows, "k string, i int, th array<double>").repartition(5)
+    plan = lambda **kw: {(r.k, r.i): r.source for r in folds.near_duplicate_plan(df, ["k"], order="i", thumb="th", least=8.0, **kw).collect()}
+    assert plan(ranges=ranges) == plan() == want
+    assert folds.near_duplicate_plan(df.limit(0), ["k"], order="i", thumb="th", least=8.0, ranges=ranges).count() == 0
