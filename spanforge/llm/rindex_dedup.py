@@ -20,9 +20,9 @@ rows are repeats of one another: texts of at least ``width`` bytes (and
 cut into runs and groups of bounded size. Only the id and the text are read, so
 other columns can't clash. An empty table gives an empty result.
 
-``passages`` finds the passages of over so many words that a text has in common
-with another one, however short they are in bytes, by the same index: a screen by
-words, which misses none, names the texts to index at a smaller width.
+With ``passage_words`` passages of so many words that a text has in common with
+another one are found by the same index at PASSAGE_BYTES: windows of words are keyed
+by their least gram, keys of one text alone go, and the bytes of the others' windows are indexed.
 """
 
 from __future__ import annotations
@@ -178,6 +178,14 @@ def _kept(docs: DataFrame, least_words: int) -> DataFrame:
     return map_rows(docs, make, f"text_key binary, spans {_SPANS}, n_removed long, kept binary, kept_sha256 string")
 
 
+def _indexed(chosen: DataFrame, width: int, least_words: int) -> DataFrame:
+    """_kept() of what groups' indexes mark in the texts' runs."""
+    n = chosen.agg(F.sum("n")).first()[0] or 0
+    spans = checkpoint(_marked(_cuttings(chosen.select("text_key", "packed", "runs"), width), max(1, n // GROUP_RUNS), width))
+    found = spans.groupBy("text_key").agg(F.collect_list(F.struct("start", "end")).alias("found"))
+    return _kept(chosen.select("text_key", "packed").join(found, "text_key"), least_words)
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal runs of covered bytes."""
     out: list[tuple[int, int]] = []
@@ -192,29 +200,32 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def repeats(docs: DataFrame, *, width: int = 400, least_words: int = 0, passage_words: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, text_key, n_bytes, n_removed, spans (of bytes, end excluded), kept_sha256.
 
-    With ``passage_words`` also n_shared_passages and shares_passage, by ``passages``.
+    With ``passage_words`` also n_shared_passages (spans of so many words that
+    another text has too) and shares_passage. Copies of a text count once there.
     """
     assert 64 < width and 2 * KEY_RUNS * width < 2 * MOST_BYTES
     texts = text_of(docs, id_col, text_col)
     rows = checkpoint(_summaries(texts, width, least_words > 0))
-    classes = checkpoint(rows.where(F.col("n_bytes") >= width).groupBy("text_key").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("rep"), F.count("*").alias("copies")))
+    shortest = min(width, PASSAGE_BYTES) if passage_words else width
+    classes = checkpoint(rows.where(F.col("n_bytes") >= shortest).groupBy("text_key").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("rep"), F.count("*").alias("copies")))
     # A class's runs are taken from its representative's row, or from one of several such rows.
     own = rows.withColumn("rep", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(classes.select("text_key", "rep"), ["text_key", "rep"], "left_semi").dropDuplicates(["text_key", "rep"])
     run_rows = checkpoint(own.select("text_key", "rep", F.explode(F.arrays_zip("keys", "firsts", "lasts", "insides")).alias("r")).select("text_key", "rep", F.col("r.keys").alias("run_key"), F.col("r.firsts").alias("first"), F.col("r.lasts").alias("last"), F.col("r.insides").alias("inside")))
     # Written, so that both sides of the join are plain shuffles and a frequent key's rows can be dealt out.
     often = checkpoint(run_rows.groupBy("run_key").agg(F.count("*").alias("n_runs"), F.max("inside").alias("inside")).where("n_runs > 1 OR inside").drop("inside"))
     shared = run_rows.join(often, "run_key").groupBy("text_key", "rep").agg(F.collect_list(F.struct("run_key", "n_runs", "first", "last")).alias("runs"), F.count("*").alias("n"))
-    chosen = checkpoint(_packed(texts, width).join(shared, ["text_key", "rep"]).dropDuplicates(["text_key", "rep"]))
-    n_shared = chosen.agg(F.sum("n")).first()[0] or 0
-    spans = checkpoint(_marked(_cuttings(chosen.select("text_key", "packed", "runs"), width), max(1, n_shared // GROUP_RUNS), width))
-    found = spans.groupBy("text_key").agg(F.collect_list(F.struct("start", "end")).alias("found"))
-    results = _kept(chosen.select("text_key", "packed").join(found, "text_key"), least_words).drop("kept")
+    if passage_words:
+        held = shared_windows(texts, words=passage_words).join(classes.select("text_key", "rep"), "text_key")
+        shared = shared.join(held, ["text_key", "rep"], "full")
+    chosen = checkpoint(_packed(texts, shortest).join(shared, ["text_key", "rep"]).dropDuplicates(["text_key", "rep"]))
+    results = _indexed(chosen.where("n > 0").select("text_key", "packed", "runs", "n"), width, least_words).drop("kept")
     known = classes.select("text_key", "copies").join(results, "text_key", "left")
     if passage_words:
-        known = known.join(passages(docs, words=passage_words, text_col=text_col), "text_key", "full")
+        passages = _indexed(chosen.where("n_windows > 0").select("text_key", "packed", F.col("windows").alias("runs"), F.col("n_windows").alias("n")), PASSAGE_BYTES, passage_words)
+        known = known.join(passages.where("n_removed > 0").select("text_key", F.size("spans").cast("long").alias("n_shared")), "text_key", "left")
     # One row a text, written, so that both sides of the join are plain shuffles and a frequent text's rows can be dealt out.
     out = rows.drop("keys", "firsts", "lasts", "insides").join(checkpoint(known), "text_key", "left")
-    gone = F.coalesce(F.col("copies") > 1, F.lit(False)) & (F.col("n_words") >= least_words)
+    gone = F.coalesce(F.col("copies") > 1, F.lit(False)) & (F.col("n_bytes") >= width) & (F.col("n_words") >= least_words)
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
     more = [F.coalesce("n_shared", F.lit(0).cast("long")).alias("n_shared_passages"), F.col("n_shared").isNotNull().alias("shares_passage")] if passage_words else []
     return out.select(
@@ -228,59 +239,55 @@ def repeats(docs: DataFrame, *, width: int = 400, least_words: int = 0, passage_
     )
 
 
-#: Words of the gram by which passages are screened, and bytes that a passage has at least.
-PASSAGE_GRAM, PASSAGE_BYTES = 20, 200
+#: Words of the gram by which windows of words are keyed, bytes that a passage has at least, and windows of so many bytes in a run at most.
+PASSAGE_GRAM, PASSAGE_BYTES, RUN_WINDOWS = 20, 200, 600
 
 
-def passages(docs: DataFrame, *, words: int = 51, width: int = PASSAGE_BYTES, text_col: str = "text") -> DataFrame:
-    """One row for each distinct text with a passage of ``words`` words that it shares with another text: text_key and n_shared (passages).
+def word_windows(raw: bytes, words: int, gram: int, memo: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of neighbouring windows of ``words`` words with one key, the least hash of their grams, as windows of PASSAGE_BYTES: keys, first and last window.
 
-    Passages are spans of the run-length index at ``width`` bytes, over the texts
-    that the screen by grams leaves. Copies of a text count once.
+    Two texts with such a window in common have its bytes' windows in runs of one
+    key. Runs over repetitive stretches and long words are cut, so none is long.
     """
-    texts = docs.select(F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL").withColumn("__key", key_column(F.col("text")))
-    screened = shared_passages(docs, words=words, text_col=text_col).select(F.col("text_key").alias("__key"))
-    once = checkpoint(texts.join(screened, "__key", "left_semi").dropDuplicates(["__key"]).select(F.monotonically_increasing_id().alias("doc_id"), "text"))
-    found = repeats(once, width=width, least_words=words).where("n_removed > 0")
-    return found.select("text_key", F.size("spans").cast("long").alias("n_shared"))
-
-
-def passage_keys(raw: bytes, words: int, gram: int, memo: WordHashes) -> np.ndarray:
-    """The least gram hash of each ``words`` consecutive words, distinct: alike for two texts where such passages are."""
     tokens = raw.split()
     if len(tokens) < words:
-        return np.zeros(0, np.uint64)
+        return (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 2)
     h = np.fromiter(map(memo.__getitem__, tokens), np.uint64, len(tokens))
     grams = np.zeros(len(h) - gram + 1, np.uint64)
     for i in range(gram):
         grams = grams * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - gram + 1 + i]
-    return np.unique(sliding_minima(mixed(grams), words - gram + 1))
+    keys = sliding_minima(mixed(grams), words - gram + 1)
+    data = np.frombuffer(raw, np.uint8)
+    blank = (data == 32) | ((data >= 9) & (data <= 13))
+    starts, ends = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]])), np.flatnonzero(~blank & np.concatenate([blank[1:], [True]])) + 1
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    last = np.concatenate([first[1:], [len(keys)]]) - 1
+    low, high = starts[first], ends[last + words - 1] - PASSAGE_BYTES
+    parts = np.maximum(0, -((low - high - 1) // RUN_WINDOWS))
+    at = np.repeat(low, parts) + RUN_WINDOWS * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+    return np.repeat(keys[first], parts), at, np.minimum(at + RUN_WINDOWS - 1, np.repeat(high, parts))
 
 
-def shared_passages(docs: DataFrame, *, words: int = 51, gram: int = PASSAGE_GRAM, text_col: str = "text") -> DataFrame:
-    """One row for each distinct text that shares a key with another text: text_key and n_shared (keys shared).
-
-    Two texts with ``words`` consecutive words in common share a key, so none is
-    missed; a stretch of ``gram`` words or more in common may give one too.
-    Copies of a text count once. Null and short texts share nothing.
-    """
+def shared_windows(texts: DataFrame, *, words: int = 51, gram: int = PASSAGE_GRAM) -> DataFrame:
+    """For each distinct text that has a key in common with another one: text_key, windows (run_key, n_runs, first, last as _cuttings takes them) and n_windows."""
 
     def make():
         memo = WordHashes()
 
         def work(cols):
             raw = [t.encode() for t in cols["text"]]
-            return {"text_key": [_key(r) for r in raw], "keys": [passage_keys(r, words, gram, memo).view(np.int64) for r in raw]}
+            found = [word_windows(r, words, gram, memo) for r in raw]
+            return {"text_key": [_key(r) for r in raw], "keys": [k.view(np.int64) for k, _, _ in found], "firsts": [a for _, a, _ in found], "lasts": [b for _, _, b in found]}
 
         return work
 
-    texts = docs.select(F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") >= 2 * words - 1)
-    keyed = map_rows(texts, make, "text_key binary, keys array<long>").where(F.size("keys") > 0)
-    once = checkpoint(keyed.groupBy("text_key").agg(F.first("keys").alias("keys")))  # a text's keys follow from the text
-    pairs = once.select("text_key", F.explode("keys").alias("key"))
+    rows = texts.select("text").where(F.octet_length("text") >= max(PASSAGE_BYTES, 2 * words - 1))
+    keyed = map_rows(rows, make, "text_key binary, keys array<long>, firsts array<long>, lasts array<long>").where(F.size("keys") > 0)
+    once = checkpoint(keyed.groupBy("text_key").agg(F.first(F.arrays_zip("keys", "firsts", "lasts")).alias("r")))  # a text's runs follow from the text
+    runs = once.select("text_key", F.explode("r").alias("r")).select("text_key", F.col("r.keys").alias("run_key"), F.col("r.firsts").alias("first"), F.col("r.lasts").alias("last"))
     # Counted first and written, so that both sides of the join are plain shuffles and a frequent key's rows can be dealt out.
-    often = checkpoint(pairs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    return pairs.join(often, "key").groupBy("text_key").agg(F.count("*").alias("n_shared"))
+    often = checkpoint(runs.groupBy("run_key").agg(F.count("*").alias("n_runs"), F.min("text_key").alias("low"), F.max("text_key").alias("high")).where("low <> high").drop("low", "high"))
+    return runs.join(often, "run_key").groupBy("text_key").agg(F.collect_list(F.struct("run_key", "n_runs", "first", "last")).alias("windows"), F.count("*").alias("n_windows"))
 
 
 def digests(found: DataFrame) -> DataFrame:
