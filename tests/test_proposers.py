@@ -52,14 +52,13 @@ def test_statistics_and_projections(spark):
     assert (row.start_s, len(row.text)) == (1.23, 80)
 
 
-def test_banners_and_signatures(spark):
+def test_signatures(spark):
     df = spark.createDataFrame([("noise BRIGHT xx plumbing 9876543210 Rs. 499 only",), ("hi",), ("the quiet little river bank",)], "t string")
-    assert [r[0] for r in df.select(T.clean_banner("t")).collect()] == ["BRIGHT plumbing Rs. 499 98765 43210", "hi", "quiet little river bank"]
     assert [r[0] for r in df.select(T.signature("t", {"quiet": "Quiet"})).collect()] == ["", "", "quiet"]
 
 
 def test_json_source_and_sink(spark, tmp_path):
-    cand = {"start_s": 4.0, "end_s": 99.0, "source": "ocr", "roi": "tr", "signature": "acme", "text": "acme", "score": 3}
+    cand = {"start_s": 4.0, "end_s": 99.0, "source": "ocr", "texts": ["acme"], "score_hint": 3}
     lines = [{"session_id": "s", "now_s": 8.0, "cands": [cand], "is_end": False}, {"session_id": "s", "now_s": 9.0, "cands": [], "is_end": True}]
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.json").write_text("\n".join(map(json.dumps, lines)))

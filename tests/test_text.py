@@ -20,7 +20,8 @@ def test_phones(spark, text, want):
     assert one(spark, T.phones("t"), t=text) == want
 
 
-@pytest.mark.parametrize(("text", "score"), [("72,000", 0), ("$085", 0), ("Rs. 499 only", 2), ("plumbing 9876543210", 4), ("Rs 499 episode", 2), ("sponsored episode", 0), (None, 0)])
+@pytest.mark.parametrize(("text", "score"), [("72,000", 0), ("$085", 0), ("$85", 0), ("cars 50 left", 0), ("Rs 499 only", 2), ("rs.499", 2), ("Rs499", 0), ("₹5", 2), ("499/-", 2), ("INR 5", 2), ("plumbing 9876543210", 4), ("Rs 499 episode", 2), ("sponsored episode", 0), (None, 0),
+    ("call 74169 02233", 2), ("74169 0223", 2), ("74169 0223x", 0), ("489297 21641", 2), ("1 9876 5432 10", 2)])
 def test_class_score(spark, text, score):
     assert one(spark, T.class_score("t"), t=text) == score
 
@@ -28,9 +29,11 @@ def test_class_score(spark, text, score):
 def test_live_score_ignores_services_and_floors_strong_brands(spark):
     assert one(spark, T.live_score("t"), t="plumbing") == 0
     assert one(spark, T.live_score("t", ["acme"]), t="ACME plumbing") == 2
+    assert one(spark, T.live_score("t"), t="1 9876 5432 10") == 0 and one(spark, T.live_score("t"), t="98765-43210") == 2
 
 
-@pytest.mark.parametrize(("text", "chrome"), [("LIVE 10:30", True), ("news channel", True), ("abc", True), ("Acme Cola", False), ("12/10/2024 10:30 PM", True), (None, True)])
+@pytest.mark.parametrize(("text", "chrome"), [("LIVE 10:30", True), ("news channel", True), ("abc", True), ("Acme Cola", False), ("12/10/2024 10:30 PM", True), (None, True),
+    ("LIVE | NEWS 24", True), ("AUG 29 2026 SATURDAY", True), ("LIVE|O7:10PM", True), ("04:37 PM", True), ("22:15", True), ("news live", True), ("breaking news", True), ("   ", True), ("OK", True), ("42", True), ("G-Mart", False), ("BHIM UPI", False), ("LIVE 10:30 Acme Cola", False), ("a b c d", True), ("Acme 10:30 11:45", False)])
 def test_chrome_and_brand(spark, text, chrome):
     assert one(spark, T.is_chrome("t"), t=text) is chrome
     assert one(spark, T.is_brand_candidate("t"), t=text) is not chrome
@@ -42,17 +45,42 @@ def test_brands(spark, text, brand):
     assert one(spark, T.title_brand("t", {"zed": "Zed Cola"}, services="(?i)cleaning", service_brands={"tile": "Tidy House"}), t=text) == brand
 
 
+def test_scripts_without_latin_are_no_brand(spark):
+    assert one(spark, T.is_brand_candidate("t"), t="കേരള വാർത്ത") is False and one(spark, T.is_chrome("t"), t="കേരള വാർത്ത") is False
+    assert one(spark, T.is_brand_candidate("t", channels=["citynews"]), t="CityNews കേരള വാർത്ത") is False  # the channel's name is no brand
+
+
+def test_words_end_where_scripts_meet(spark):
+    assert one(spark, T.words("t"), t="abcकख x1తె") == ["abc", "कख", "x1", "తె"]
+
+
 def test_lexicon_guard(spark):
+    waived = T.lexicon_score("t", ["enroll"], ["offer"], guard=["welcome to"], waive=["enroll"])
+    assert one(spark, waived, t="Welcome to my enroll offer") == 4 and one(spark, waived, t="welcome to my offer") == 0
     score = T.lexicon_score("t", ["use my code"], ["offer"], guard=["my name is"])
     assert one(spark, score, t="Use my code for the offer") == 4
     assert one(spark, score, t="My name is X, use my code") == 0
 
 
 def test_overlay_text_and_scripts(spark):
-    df = spark.createDataFrame([(["Acme Cola", "acme cola", "call 98765", "अपना घर"],)], "p array<string>")
-    assert df.select(T.overlay_text(F.col("p"))).first()[0] == "Acme Cola · call 98765 · अपना घर"
+    row = lambda t, brand: one(spark, T.overlay_text("t", F.col("b"), {"acme": "Acme Cola"}), t=t, b=brand)
+    assert row("Acme Cola plumbing 98765 43210 अपना घर", "Acme Cola") == "Acme Cola | plumbing | 98765 43210 | अपना घर"
+    assert row("plumbing at Rs 499", "") == "plumbing | Rs 499"
+    assert row("Blue River Centre", "Blue Center") == "Blue Center"  # its one part repeats the brand
     assert one(spark, T.script_language("t"), t="తెలుగు") == "te"
-    assert one(spark, T.native_spans("t"), t="x अपना घर y అమ్మకం x") == "अपना घर అమ్మకం"
+    for text, want in (("x अपना घर y అమ్మకం x", "अपना घर అమ్మకం"), ("कख, गघ", "कख, गघ"), ("कखग", ""), ("कखगघ\n కఖ! x कखगघ  కఖ!", "कखगघ కఖ!"), (None, "")):
+        assert one(spark, T.native_spans("t"), t=text) == want
+
+
+def test_banners(spark):
+    raw = ". = 2 <i el Show aa 8o HD Hd Some? $e Soden SenwSb06! - ax Avis Vascular Centre | CEs) @ i 489297 21641"
+    cleaned = one(spark, T.clean_banner("t"), t=raw)
+    assert cleaned == "Avis Vascular Centre | 89297 21641"
+    two = "Tile cleaning and plumbing Rs 499 or 599/- Acme Dental Clinic, Zed Imaging Centre 9876543210"
+    assert one(spark, T.clean_banner("t", {"zed": "Zed"}, institutions=["dental", "imaging"]), t=two).split(" | ") == ["Acme Dental Clinic", "Zed Imaging Centre", "cleaning", "plumbing", "Rs 499", "599/-", "98765 43210"]
+    assert one(spark, T.clean_banner("t"), t="ab cd 12 abc 12345") == "abc 12345" and one(spark, T.clean_banner("t"), t=None) == ""
+    df = spark.createDataFrame([(["news of today, a long line", " call 74169 02233", "plumbing 74169 02233", None, ""],), ([],), (None,)], "t array<string>")
+    assert [r[0] for r in df.select(T.best_banner(F.col("t"))).collect()] == ["plumbing 74169 02233", "", ""]
 
 
 @pytest.mark.parametrize(("text", "code"), [
