@@ -43,9 +43,6 @@ def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).select("user_id", "event_id", "event_type", "value", F.col("us").alias("s"), (F.col("us") + F.floor(F.col("value") * 60_000_000).cast("long")).alias("e"))
 
 
-_SPANS = "spans AS (SELECT user_id, event_id, event_type, value, epoch_us(ts) AS s, epoch_us(ts) + CAST(floor(value * 60000000) AS BIGINT) AS e FROM events)"
-
-
 def hit_filter(spark, d):
     return _load(spark, d, "events").where("value >= 2").select("event_id", "user_id", "value")
 
@@ -165,14 +162,26 @@ def phone_extract(spark, d):
     return _load(spark, d, "documents").select("doc_id", F.array_join(T.phones("text"), ",").alias("phones"))
 
 
+#: Lines as a channel and brands show them, one for each line of a text.
+PROBES = ("LIVE | NEWS 24", "AUG 29 2026 SATURDAY", "LIVE|O7:10PM", "10:30 11:45 Acme Cola", "ok", "G-Mart", "x 12/10/2024 y", "breaking news")
+
+
+def _probe(i: Column) -> Column:
+    return F.get(F.array(*map(F.lit, PROBES)), i % len(PROBES))
+
+
 def chrome_filter(spark, d):
-    lines = _load(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
-    return lines.where(T.is_chrome("t", ("the", "of", "and", "is", "la", "de", "der"))).select("doc_id", F.col("line").cast("long").alias("line"))
+    """Lines of the texts (part 0), and as many of a channel's and of brands (part 1)."""
+    lines = _load(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
+    parts = F.array(F.col("lines"), F.transform("lines", lambda _, i: _probe(i + 1)))
+    t = lines.select("doc_id", F.posexplode(parts).alias("part", "ls")).select("doc_id", "part", F.posexplode("ls").alias("line", "t"))
+    return t.where(T.is_chrome("t", ("the", "of", "and", "is", "la", "de", "der", *T.CHROME))).select("doc_id", F.col("part").cast("long").alias("part"), F.col("line").cast("long").alias("line"))
 
 
 def brand_candidate(spark, d):
-    lines = _load(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
-    return lines.where(T.is_brand_candidate("t")).groupBy("doc_id").agg(F.count("*").alias("n_lines"))
+    lines = F.split("text", "\n")
+    t = _load(spark, d, "documents").select("doc_id", F.explode(F.concat(lines, F.transform(lines, lambda _, i: _probe(i + 1)))).alias("t"))
+    return t.where(T.is_brand_candidate("t")).groupBy("doc_id").agg(F.count("*").alias("n_lines"))
 
 
 def title_brand(spark, d):
@@ -237,19 +246,23 @@ def lag_distance_cuts(spark, d):
     return sampling.scene_cuts(e, ["label"], time="vec_id", hist="h", least=0.35, most=40).select("label", "vec_id", F.round("distance", 4).alias("distance"))
 
 
-#: What the candidates of rule_judge say, by their number.
-SAID = ("", "a funny video", "use my code", "our course", "", "Prank of the week", "the link below", "")
+#: What the candidates of rule_judge say.
+SAID = ("", "a funny video", "use my code", "join our program course", "sponsored by zed", "prank of the week", "see http code page", "call 74169 02233", "our discount", "paid partnership", "no joke, use code", "link below")
 
 
 def rule_judge(spark, d):
+    """Groups of events as candidates of a medium of 30 seconds, with triggers by their types and something said."""
     s = _spans(spark, d)
     g = islands.interval_groups(s, ["user_id"], "s", "e", ["s", "event_id"], GAP_US)
-    c = g.groupBy("user_id", "grp").agg(((F.min("s") % (1000 * GAP_US)) / 1e9).alias("start_s"), ((F.max("e") % (1000 * GAP_US)) / 1e9).alias("end_s"), F.array_sort(F.collect_set("event_type")).alias("types"), F.count("*").cast("int").alias("score"))
-    names = F.create_map(*[F.lit(x) for pair in (("click", "cta"), ("view", "price"), ("purchase", "sponsor"), ("signup", "phone"), ("error", "promo")) for x in pair])
-    c = c.withColumn("triggers", F.array_compact(F.transform("types", lambda t: names[t]))).withColumn("source", F.when(F.col("grp") % 2 == 0, "asr").otherwise("ocr"))
-    brand, said = F.when(F.col("grp") % 3 == 0, "x").otherwise(""), F.get(F.array(*map(F.lit, SAID)), (F.col("grp") % len(SAID)).cast("int"))
-    reason = J.reject_reason(F.col("start_s"), F.col("end_s"), F.col("source"), F.col("triggers"), said, F.col("score"), brand)
-    return c.select("user_id", "grp", reason.alias("reason"), J.ad_type(F.lit("vod"), F.col("start_s"), F.col("source"), F.col("triggers"), said).alias("ad_type"), J.confidence(F.col("score")).alias("confidence"))
+    c = g.groupBy("user_id", "grp").agg((F.floor(F.min("s") / 60_000_000) % 30).cast("double").alias("start_s"), F.array_sort(F.collect_set("event_type")).alias("types"), F.count("*").alias("score"))
+    names = F.create_map(*[F.lit(x) for pair in (("click", "cta"), ("view", "price"), ("purchase", "service"), ("signup", "phone"), ("error", "brand_word")) for x in pair])
+    said = F.get(F.array(*map(F.lit, SAID)), ((F.col("grp") + F.col("user_id")) % len(SAID)).cast("int"))
+    source = F.get(F.array(*map(F.lit, ("asr", "ocr", "intent", "ocr+asr"))), (F.col("grp") % 4).cast("int"))
+    c = c.select("user_id", "grp", "start_s", (F.col("start_s") + F.col("score") * 3 % 20).alias("end_s"), F.transform("types", lambda t: names[t]).alias("triggers"), "score", said.alias("said"), source.alias("source"), F.when(F.col("user_id") % 2 == 0, "vod").otherwise("short").alias("kind"), F.when(F.col("grp") % 5 == 0, "x").otherwise("").alias("brand"))
+    start, end, src, duration = F.col("start_s"), F.col("end_s"), F.col("source"), F.lit(30.0)
+    c = c.withColumn("ad_type", J.ad_type(F.col("kind"), start, end, duration, src, F.col("said")))
+    reason = J.reject_reason(start, end, src, F.col("triggers"), F.col("said"), F.col("score"), F.col("brand"))
+    return c.select("user_id", "grp", reason.alias("reason"), "ad_type", J.confidence(F.col("score")).alias("confidence"), J.presentation(F.col("kind"), src, F.col("ad_type"), start, end, duration).alias("presentation"), J.description(src, F.col("triggers"), F.col("ad_type")).alias("description"))
 
 
 def cache_key(spark, d):
@@ -287,10 +300,10 @@ def interval_matches(spark, d):
 
 
 def run_stats(spark, d):
-    """Per event type: counts, mean, and the 95th of 100 by rank (the largest below 20 rows)."""
+    """Per event type and user: counts, mean, and the value at rank 0.95 (n + 1) (the largest below 20 rows)."""
     e = _load(spark, d, "events").where("value IS NOT NULL")
-    s = e.groupBy("event_type", "user_id").agg(F.count("*").alias("n"), F.round(F.avg("value"), 8).alias("mean"), P.rank_95("value").alias("p95"))
-    return s.select("event_type", "user_id", "n", "mean", "p95")
+    s = e.groupBy("event_type", "user_id").agg(F.count("*").alias("n"), F.round(F.avg("value"), 8).alias("mean")).join(P.quantile_95(e, ["event_type", "user_id"], "value"), ["event_type", "user_id"])
+    return s.select("event_type", "user_id", "n", "mean", F.round("p95", 8).alias("p95"))
 
 
 def brand_signature(spark, d):
@@ -307,19 +320,18 @@ def event_sessions(spark, d):
 
 
 def scene_break_hits(spark, d):
-    """Changes of a histogram of HARD size whose document scores, in order of vectors of a label."""
+    """Changes of a histogram whose document scores, in order of vectors of a label."""
     e = _load(spark, d, "embeddings").join(_load(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id")
-    w = W.partitionBy("label").orderBy("vec_id")
-    h = e.withColumn("h", F.transform("embedding", F.abs)).withColumn("distance", sampling.bhattacharyya(F.lag("h").over(w), F.col("h")))
-    scored = h.withColumn("score", T.class_score(F.lower("text"), DEMO_CLASSES, editorial=None))
-    return scored.where("distance >= 0.35 AND score >= 2").select("label", "vec_id", F.col("score").cast("long").alias("score"), F.round("distance", 4).alias("distance"))
+    frames = e.select(F.col("label").alias("session_id"), F.col("vec_id").alias("now_s"), F.transform("embedding", F.abs).alias("hist"), "text")
+    found = P.scene_breaks(frames, score=lambda t: T.class_score(F.lower(t), DEMO_CLASSES, editorial=None))
+    return found.select(F.col("session_id").alias("label"), F.col("start_s").alias("vec_id"), F.col("score").cast("long").alias("score"), F.round("distance", 4).alias("distance"))
 
 
 def platform_errors(spark, d):
     """A phrase of either platform's errors (or none) between words of a document, classified for both."""
     phrases = [p for ladder in (T.YOUTUBE_ERRORS, T.INSTAGRAM_ERRORS) for _, group in ladder for p in group] + ["http error 403", "csrf", ""]
     at = F.length(T.text("text")) % len(phrases)
-    e = _load(spark, d, "documents").select("doc_id", F.concat(F.substring(F.md5(T.text("text")), 1, 6), F.lit(": "), F.upper(F.get(F.array(*map(F.lit, phrases)), at))).alias("t"))
+    e = _load(spark, d, "documents").select("doc_id", F.concat(T.text("text"), F.lit(" "), F.upper(F.get(F.array(*map(F.lit, phrases)), at))).alias("t"))
     return e.select("doc_id", T.platform_error("t", F.lit("youtube")).alias("youtube"), T.platform_error("t", F.lit("instagram")).alias("instagram"))
 
 
@@ -380,9 +392,8 @@ def padded_overlap(spark, d):
 
 
 def all_text_windows(spark, d):
-    """Windows with their texts; short turns count as silent."""
-    t = _turns(spark, d).withColumn("text", F.when(F.length("text") < 60, "").otherwise(F.col("text")))
-    w = windows.all_windows(t, ["conv_id"], start="s", end="e", text="text", order="turn", width=20.0, hop=8.0)
+    """Windows with their texts, the last ones too."""
+    w = windows.all_windows(_turns(spark, d), ["conv_id"], start="s", end="e", text="text", order="turn", width=20.0, hop=8.0)
     return w.select("conv_id", "win", "win_start", "win_end", F.md5("text").alias("text_md5"))
 
 
@@ -408,7 +419,8 @@ def signal_flags(spark, d):
 
 
 def model_gate(spark, d):
-    c = _seconds(spark, d).where("event_type <> 'view'").select("user_id", _source(F.col("event_type")).alias("source"), F.col("s").alias("start_s"), F.when(F.col("user_id") % 2 == 0, "vod").otherwise("short").alias("kind"))
+    """Events as candidates; those of one user in four count without the spoken ones."""
+    c = _seconds(spark, d).where("user_id % 4 > 0 OR event_type NOT IN ('view', 'signup')").select("user_id", _source(F.col("event_type")).alias("source"), F.col("s").alias("start_s"), F.when(F.col("user_id") % 2 == 0, "vod").otherwise("short").alias("kind"))
     return J.needs_model(c, key="user_id")
 
 
@@ -422,9 +434,9 @@ def incidental_filter(spark, d):
 
 
 def overlay_parts(spark, d):
-    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda r: r["text"])
-    c = _turns(spark, d).groupBy("conv_id").agg(turns.alias("parts"))
-    return c.select("conv_id", F.md5(T.overlay_text(F.col("parts"))).alias("text_md5"))
+    """Documents as banners: what stays of them when a brand stands before them, beside a banner of a shop."""
+    shown = F.concat(F.lit("Acme Foods plumbing Rs 499 98765 43210 | "), F.translate(F.lower(T.text("text")), "|", " "))
+    return _load(spark, d, "documents").select("doc_id", F.md5(T.overlay_text(shown, F.lit("Acme Foods"))).alias("text_md5"), F.length(T.clean_banner(shown)).cast("long").alias("n"))
 
 
 #: Latin letters and the native ones that stand in for them.
@@ -437,9 +449,15 @@ def native_text(spark, d):
     return _load(spark, d, "documents").select("doc_id", F.md5(T.native_spans(t)).alias("spans_md5"), T.script_language(t).alias("language"))
 
 
+#: What is shown on screen beside a text.
+SHOWN = ("", "call 74169 02233", "cars 50 left", "$85 only", "₹5 off", "499/-", "Rs 499", "rs.499", "Rs499", "74169 0223", "1 9876 5432 10", "breaking plumbing", "buy now episode", "INR 20 discount")
+
+
 def overlay_score(spark, d):
-    """Documents scored by the standing classes."""
-    return _load(spark, d, "documents").select("doc_id", T.class_score("text").cast("long").alias("score"), F.array_join(T.class_triggers("text"), ",").alias("triggers"), T.live_score("text", ("apache",)).cast("long").alias("live_score"))
+    """Documents, each with something shown, scored by the standing classes."""
+    shown = F.get(F.array(*map(F.lit, SHOWN)), (F.col("doc_id") % len(SHOWN)).cast("int"))
+    t = _load(spark, d, "documents").select("doc_id", F.concat(T.text("text"), F.lit(" "), shown).alias("t"))
+    return t.select("doc_id", T.class_score("t").cast("long").alias("score"), F.array_join(T.class_triggers("t"), ",").alias("triggers"), T.live_score("t", ("apache",)).cast("long").alias("live_score"))
 
 
 def live_spots(spark, d):
@@ -460,24 +478,34 @@ def longest_text(spark, d):
 
 
 def evidence_packets(spark, d):
-    """A conversation as a candidate's evidence, and what its packet holds."""
-    rows = F.array_sort(F.collect_list(F.struct("turn", "text")))
-    c = _turns(spark, d).groupBy("conv_id").agg(F.min("s").alias("start_s"), F.max("e").alias("end_s"), rows.alias("rows"))
-    c = c.select("conv_id", "start_s", "end_s", F.lit("asr").alias("source"), F.transform("rows", lambda r: r["turn"].cast("string")).alias("raw_triggers"), F.transform("rows", lambda r: r["text"]).alias("texts"), F.transform("rows", lambda r: r["turn"].cast("double")).alias("frame_timestamps"))
+    """Turns as captions and, each, as a candidate; a hit every three seconds. What a model would be sent."""
+    t = _turns(spark, d).select(F.col("conv_id").cast("string").alias("video_id"), F.col("turn").alias("seq"), F.col("s").alias("start_s"), F.col("e").alias("end_s"), "text")
+    source = F.get(F.array(*map(F.lit, ("asr", "ocr", "ocr+asr"))), (F.col("seq") % 3).cast("int"))
+    none = F.expr("CAST(array() AS array<string>)")
+    c = t.select("video_id", F.col("seq").alias("cand_seq"), "start_s", "end_s", source.alias("source"), none.alias("raw_triggers"), F.array("text").alias("texts"), F.lit("vod").alias("kind"), F.lit(600.0).alias("duration_s"))
+    hits = t.select("video_id", (F.col("seq") * 3.0).alias("timestamp_s"), "text", (F.length("text") % 5).cast("int").alias("score"))
     at = lambda path: F.get_json_object("packet", path)
-    kept = F.from_json("packet", "start_s double, end_s double, triggers array<string>, texts array<string>, frames array<double>")
-    p = J.packets(c).withColumn("p", kept)
-    return p.select("conv_id", at("$.source").alias("source"), F.col("p.end_s").cast("long").alias("end_s"), F.array_join("p.triggers", ",").alias("triggers"), F.md5(F.array_join("p.texts", "|")).alias("texts_md5"), F.size("p.frames").cast("long").alias("n_frames"))
+    p = J.packets(c, t, hits)
+    return p.select(F.col("video_id").cast("long").alias("conv_id"), F.col("cand_seq").alias("turn"), at("$.candidate.source").alias("source"), at("$.candidate.end_s").cast("double").cast("long").alias("end_s"), F.md5(at("$.transcript_before")).alias("before_md5"), F.md5(at("$.transcript_span")).alias("span_md5"), F.md5(at("$.transcript_after")).alias("after_md5"), F.md5(at("$.ocr_in_span")).alias("shown_md5"))
 
 
 def answers_to_segments(spark, d):
-    """Events as a model's answers, times in cents of their value, in a medium of 3,000 seconds."""
-    cents = F.round(F.col("value") * 100).cast("long")
-    end = (cents + F.col("event_id") % 5 - 1).cast("string")
-    body = F.concat(F.lit('{"is_ad": '), F.when(F.col("event_type") == "error", "false").otherwise("true"), F.lit(', "start_s": '), cents.cast("string"), F.lit(', "end_s": '), end, F.lit(', "ad_type": "'), F.when(F.col("event_type") == "click", "affiliate").otherwise(F.col("event_type")), F.lit('", "brand": "'), F.repeat("event_type", 20), F.lit('", "confidence": '), (F.col("event_id") % 3).cast("string"), F.lit("}"))
-    a = _load(spark, d, "events").select("event_id", F.concat(F.lit("```json\n"), body, F.lit("\n```")).alias("answer"), F.lit(3000.0).alias("duration_s"))
-    s = J.from_answers(a)
-    return s.select("event_id", F.col("start_s").cast("long").alias("start_s"), F.col("end_s").cast("long").alias("end_s"), "ad_type", "brand", F.col("confidence").cast("long").alias("confidence"))
+    """Events as candidates and a model's answers to them, times in cents of their value, in a medium of 3,000 seconds."""
+    e = _load(spark, d, "events").where("value IS NOT NULL")
+    cents, kinds = F.round(F.col("value") * 100).cast("long"), F.create_map(*[F.lit(x) for pair in (("click", "affiliate"), ("view", "bumper"), ("purchase", "banner"), ("signup", "")) for x in pair])
+    sources = F.create_map(*[F.lit(x) for pair in (("view", "asr"), ("click", "ocr"), ("purchase", "ocr+intent"), ("signup", "intent"), ("error", "asr")) for x in pair])
+    said = F.struct(
+        F.when(F.col("event_type") == "error", "NOT_AD").when(F.col("event_id") % 2 == 0, "AD").otherwise("ad").alias("decision"),
+        F.when(F.col("event_id") % 7 > 0, cents).alias("start_s"),
+        F.when(F.col("event_id") % 7 > 0, cents + F.col("event_id") % 5 - 1).alias("end_s"),
+        kinds[F.col("event_type")].alias("ad_type"),
+        F.when(F.col("event_id") % 11 == 0, "").otherwise(F.repeat("event_type", 20)).alias("brand"),
+        (F.col("event_id") % 3).alias("confidence"),
+    )
+    at = cents.cast("double")
+    c = e.select("event_id", at.alias("start_s"), (at + 9).alias("end_s"), sources[F.col("event_type")].alias("source"), F.array("event_type").alias("raw_triggers"), F.array(F.concat("event_type", F.lit(" now"))).alias("texts"), F.array(at, at + 5, at + 200).alias("frame_timestamps"), F.when(F.col("event_id") % 2 == 0, "vod").otherwise("short").alias("kind"), F.lit(3000.0).alias("duration_s"), F.concat(F.lit("```json\n"), F.to_json(said), F.lit("\n```")).alias("answer"))
+    s = J.from_answers(c)
+    return s.select("event_id", "start_s", "end_s", "ad_type", "confidence", "brand", "description", F.array_join("signals_used", ",").alias("signals"), "presentation", F.size("frame_timestamps").cast("long").alias("n_frames"), "ocr_text")
 
 
 def indexed_answers(spark, d):

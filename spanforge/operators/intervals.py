@@ -85,7 +85,7 @@ def snap_nearest(left: DataFrame, right: DataFrame, key: Sequence[str], time: st
 def context_rows(spans: DataFrame, rows: DataFrame, key: Sequence[str], *, pad, before: int, inside: int, after: int, width, time: str = "start", end: str = "end", order: str = "seq", span_id: Sequence[str] = ()) -> DataFrame:
     """For each span its neighbouring rows by part: the last ones before it, the first inside and the first after, within ``pad``.
 
-    A row that touches the span counts as inside. ``width`` is the buckets'; a
+    A row that touches the span counts as inside; one before it has to start within ``pad``. ``width`` is the buckets'; a
     pair counts in the first bucket that both touch.
     """
     s = bucketed(spans.select(*key, *span_id, F.col("span_start"), F.col("span_end")), F.col("span_start") - pad, F.col("span_end") + pad, width)
@@ -93,7 +93,7 @@ def context_rows(spans: DataFrame, rows: DataFrame, key: Sequence[str], *, pad,
     joined = r.join(s, [*key, "__bucket"]).where((F.col(end) >= F.col("span_start") - pad) & (F.col(time) <= F.col("span_end") + pad))
     joined = joined.where(F.col("__bucket") == F.floor(F.greatest(F.col(time), F.col("span_start") - pad) / width).cast("long")).drop("__bucket")
     part = F.when(F.col(end) < F.col("span_start"), "before").when(F.col(time) <= F.col("span_end"), "span").otherwise("after")
-    parted = joined.withColumn("part", part)
+    parted = joined.withColumn("part", part).where((F.col("part") != "before") | (F.col(time) >= F.col("span_start") - pad))
     w = W.partitionBy(*key, *span_id, "part")
     rank = F.when(F.col("part") == "before", F.row_number().over(w.orderBy(F.desc(order)))).otherwise(F.row_number().over(w.orderBy(F.asc(order))))
     most = F.when(F.col("part") == "before", before).when(F.col("part") == "span", inside).otherwise(after)

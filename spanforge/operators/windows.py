@@ -9,8 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def hopping_text(df: DataFrame, key: Sequence[str], *, start: str, end: str, text: str, order: str, width: float, hop: float, until: str | None = None) -> DataFrame:
-    """Text of each window [t, t + width) for t = 0, hop, ... while t < end of the key - 1; blank windows are dropped.
+def hopping_text(df: DataFrame, key: Sequence[str], *, start: str, end: str, text: str, order: str, width: float, hop: float, until: str | None = None, short: float = 1.0) -> DataFrame:
+    """Text of each window [t, t + width) for t = 0, hop, ... while t < end of the key - ``short``; blank windows are dropped.
 
     A row is dealt to the windows it overlaps (strictly) by number, so there is
     no join on time. ``until`` is a column with the key's end; by default the last row's.
@@ -19,7 +19,7 @@ def hopping_text(df: DataFrame, key: Sequence[str], *, start: str, end: str, tex
     if until is None:
         rows = rows.withColumn("u", F.max("e").over(W.partitionBy(*key)))
     first, last = F.greatest(F.floor((F.col("s") - width) / hop) + 1, F.lit(0)), F.ceil(F.col("e") / hop) - 1
-    dealt = rows.where(first <= last).withColumn("win", F.explode(F.sequence(first.cast("long"), last.cast("long")))).where(F.col("win") * hop < F.col("u") - 1)
+    dealt = rows.where(first <= last).withColumn("win", F.explode(F.sequence(first.cast("long"), last.cast("long")))).where(F.col("win") * hop < F.col("u") - short)
     out = dealt.groupBy(*key, "win").agg(F.first("u").alias("u"), F.array_sort(F.collect_list(F.struct("o", "t"))).alias("rows"))
     return (
         out.withColumn("text", F.trim(F.array_join(F.transform("rows", lambda r: F.trim(r["t"])), " ")))
@@ -62,10 +62,19 @@ def pairwise_cosine(left: DataFrame, right: DataFrame, left_id: str, right_id: s
     return dots.join(norm(a, left_id, "la"), left_id).join(norm(b, right_id, "lb"), right_id).select(left_id, right_id, (F.col("dot") / (F.col("la") * F.col("lb"))).alias("cosine"))
 
 
+def best_cosine(tokens: Column, bags: Sequence[dict[str, int]]) -> Column:
+    return F.greatest(F.lit(0.0), F.lit(0.0), *[cosine_to(tokens, b) for b in bags])
+
+
 def intent_score(hits: Column, tokens: Column, promo: Sequence[dict[str, int]], anti: Sequence[dict[str, int]], *, per_hit: float = 0.22, against: float = 0.7) -> Column:
     """min(1, per_hit x hits) + best promotional cosine - against x best other cosine, 0 at least."""
-    best = lambda bags: F.greatest(F.lit(0.0), F.lit(0.0), *[cosine_to(tokens, b) for b in bags])
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), hits * per_hit) + best(promo) - against * best(anti))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), hits * per_hit) + best_cosine(tokens, promo) - against * best_cosine(tokens, anti))
+
+
+def intent_reasons(hits: Column, tokens: Column, promo: Sequence[dict[str, int]], anti: Sequence[dict[str, int]], *, promo_from: float = 0.08, anti_from: float = 0.12) -> Column:
+    """The first six phrases, and how like the prototypes a text is where that is telling."""
+    like = lambda name, bags, least: F.get(F.transform(F.array(best_cosine(tokens, bags)), lambda x: F.when(x >= least, F.concat(F.lit(f"{name}="), F.format_string("%.2f", x)))), F.lit(0))
+    return F.concat(F.slice(hits, 1, 6), F.array_compact(F.array(like("promo_sim", promo, promo_from), like("anti_sim", anti, anti_from))))
 
 
 def suppressed_top(df: DataFrame, key: Sequence[str], *, score: str, start: str, seq: str, apart, k: int) -> DataFrame:
@@ -81,9 +90,9 @@ def suppressed_top(df: DataFrame, key: Sequence[str], *, score: str, start: str,
 
 
 def all_windows(df: DataFrame, key: Sequence[str], *, start: str, end: str, text: str, order: str, width: float, hop: float) -> DataFrame:
-    """As hopping_text, with blank windows too: their text is empty."""
-    ends = df.groupBy(*key).agg(F.max(F.col(end).cast("double")).alias("u")).where("u > 1")
-    every = ends.withColumn("win", F.explode(F.sequence(F.lit(0).cast("long"), (F.ceil((F.col("u") - 1) / hop) - 1).cast("long"))))
-    held = hopping_text(df, key, start=start, end=end, text=text, order=order, width=width, hop=hop).select(*key, "win", "text")
+    """As hopping_text, with blank windows too (their text is empty), and up to the very end: while t < end of the key."""
+    ends = df.groupBy(*key).agg(F.max(F.col(end).cast("double")).alias("u")).where("u > 0")
+    every = ends.withColumn("win", F.explode(F.sequence(F.lit(0).cast("long"), (F.ceil(F.col("u") / hop) - 1).cast("long"))))
+    held = hopping_text(df, key, start=start, end=end, text=text, order=order, width=width, hop=hop, short=0.0).select(*key, "win", "text")
     out = every.join(held, [*key, "win"], "left")
     return out.select(*key, "win", (F.col("win") * hop).alias("win_start"), F.least(F.col("win") * hop + width, F.col("u")).alias("win_end"), F.coalesce("text", F.lit("")).alias("text"))

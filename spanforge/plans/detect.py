@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanforge.functions import text as T
 from spanforge.operators import islands
-from spanforge.operators.intervals import overlap_semi, snap_nearest
-from spanforge.plans.judge import SPEECH, judge
+from spanforge.operators.folds import rolling_dedupe
+from spanforge.operators.intervals import overlap_semi, refined_start, snap_nearest
+from spanforge.plans.judge import SPEECH, answered, from_answers, judge, needs_model, with_speech
+from spanforge.plans.proposers import intents
 
 GROUP_GAP_S, SPEECH_GAP_S, SERIES_GAP_S, MERGE_GAP_S, SNAP_S = 16.0, 45.0, 150.0, 15.0, 0.75
 MERGEABLE = ("self_promo", "midroll_sponsor_read", "other", "affiliate")
@@ -38,12 +41,43 @@ def overlay_candidates(hits: DataFrame, media: DataFrame, *, least: int = 2) ->
     return c.withColumn("end_s", F.when(F.col("duration_s") - F.col("end_s") <= GROUP_GAP_S, F.col("duration_s")).otherwise(F.col("end_s"))).drop("duration_s")
 
 
-def speech_candidates(captions: DataFrame, strong: Sequence[str], medium: Sequence[str], series: str, *, least: int = 2) -> DataFrame:
-    """Groups of caption lines with promotional phrases; lines of one series (a course, say) stay together longer."""
-    hot = captions.withColumn("score", T.lexicon_score("text", strong, medium)).where(F.col("score") >= least)
-    hot = hot.withColumn("triggers", F.array_union(T.lexicon_hits("text", [*strong, *medium]), F.array(F.lit("promo"))))
+def first_of(texts: Column, head: int = 80, most: int = 10) -> Column:
+    """Texts that differ in their first ``head`` characters, the first ``most`` of them."""
+    fresh = lambda acc, t: F.when((F.size(acc) < most) & ~F.exists(acc, lambda k: F.substring(k, 1, head) == F.substring(t, 1, head)), F.array_append(acc, t)).otherwise(acc)
+    return F.aggregate(texts, F.expr("CAST(array() AS array<string>)"), fresh)
+
+
+def speech_candidates(captions: DataFrame, media: DataFrame, strong: Sequence[str], medium: Sequence[str], series: str, *, least: int = 2, within: float = 3.0, guard: Sequence[str] = (), waive: Sequence[str] = ()) -> DataFrame:
+    """Groups of caption lines with promotional phrases, once rolling captions are folded; lines of one series (a course, say) stay together longer.
+
+    A group starts at its first hot line of all captions from a second before it, ends inside the medium and keeps its first texts.
+    """
+    lines = rolling_dedupe(captions, KEY, order="seq", start="start_s", end="end_s", text="text", within=within)
+    scored = lambda df: df.withColumn("score", T.lexicon_score("text", strong, medium, guard=guard, waive=waive)).where(F.col("score") >= least)
+    hot = scored(lines).withColumn("triggers", T.lexicon_hits("text", [*strong, *medium]))
     grouped = islands.two_level_groups(hot, KEY, "start_s", "end_s", ["start_s", "seq"], SPEECH_GAP_S, SERIES_GAP_S, F.col("text").rlike(series))
-    return _rollup(grouped, "grp", F.lit("asr"))
+    c = _rollup(grouped, "grp", F.lit("asr")).withColumn("texts", first_of(F.col("texts"))).withColumn("raw_triggers", F.slice("raw_triggers", 1, 12)).withColumn("frame_timestamps", F.expr("CAST(array() AS array<double>)"))
+    c = c.join(media.select("video_id", "duration_s"), "video_id").withColumn("end_s", F.least("end_s", "duration_s")).drop("duration_s")
+    spans = c.withColumnRenamed("start_s", "span_start").withColumnRenamed("end_s", "span_end")
+    refined = refined_start(spans, scored(captions), KEY, time="start_s", width=60.0)
+    return refined.withColumnRenamed("span_start", "start_s").withColumnRenamed("span_end", "end_s").select(*c.columns)
+
+
+def intent_candidates(captions: DataFrame, media: DataFrame, promo: Sequence[dict[str, int]], anti: Sequence[dict[str, int]], phrases: Sequence[str]) -> DataFrame:
+    """The best windows of speech by intent, as candidates."""
+    lines = captions.join(media.select("video_id", "duration_s"), "video_id")
+    until = lines.withColumn("until", F.greatest("duration_s", F.max("end_s").over(W.partitionBy("video_id"))))
+    found = intents(until, promo, anti, phrases, until="until").join(media.select("video_id", "duration_s"), "video_id")
+    return found.select(
+        "video_id",
+        F.col("win_start").alias("start_s"),
+        F.least("win_end", "duration_s").alias("end_s"),
+        F.lit("intent").alias("source"),
+        F.col("reasons").alias("raw_triggers"),
+        F.array(F.substring("text", 1, 500)).alias("texts"),
+        F.expr("CAST(array() AS array<double>)").alias("frame_timestamps"),
+        F.greatest(F.lit(2), F.floor(F.col("score") * 10).cast("int")).alias("score_hint"),
+    )
 
 
 def drop_incidental(candidates: DataFrame, media: DataFrame) -> DataFrame:
@@ -81,18 +115,40 @@ def snap(segments: DataFrame, cuts: DataFrame, media: DataFrame) -> DataFrame:
 
 
 def merge_segments(segments: DataFrame) -> DataFrame:
-    """Neighbours of one mergeable type, brand and presentation within MERGE_GAP_S become one."""
+    """Neighbours of one mergeable type, brand and presentation within MERGE_GAP_S become one; evidence is joined, each text once, and cut."""
     g = islands.keyed_interval_groups(segments, KEY, ["ad_type", "brand", "presentation"], "start_s", "end_s", ["start_s", "end_s", "cand_seq"], MERGE_GAP_S, mergeable=F.col("ad_type").isin(*MERGEABLE))
-    rows = F.array_sort(F.collect_list(F.struct("start_s", "end_s", "cand_seq", "texts")))
-    texts = F.flatten(F.transform("rows", lambda r: r["texts"]))
-    joined = F.aggregate(texts, F.lit(""), lambda a, t: F.when(F.contains(a, t), a).when(a == "", t).otherwise(F.concat(a, F.lit(" "), t)))
-    out = g.groupBy("video_id", "grp").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.first("ad_type").alias("ad_type"), F.first("brand").alias("brand"), F.first("presentation").alias("presentation"), F.max("confidence").alias("confidence"), _distinct_sorted("frame_timestamps").alias("frames"), F.array_distinct(F.flatten(F.collect_list("signals_used"))).alias("signals_used"), rows.alias("rows"))
-    return out.select("video_id", F.format_string("seg_%02d", F.col("grp").cast("int")).alias("id"), "start_s", "end_s", "ad_type", "confidence", "brand", "presentation", F.slice("frames", 1, 12).alias("frame_timestamps"), F.substring(joined, 1, 400).alias("ocr_text"), F.array_sort("signals_used").alias("signals_used"))
-
-
-def detect(media: DataFrame, hits: DataFrame, captions: DataFrame, cuts: DataFrame, *, strong: Sequence[str], medium: Sequence[str], series: str = r"(?i)(^|[^a-z])(course|class|lesson|batch)([^a-z]|$)") -> DataFrame:
-    """Segments: propose, filter, unite (in this order), judge, snap, merge."""
-    proposed = overlay_candidates(hits, media).unionByName(speech_candidates(captions, strong, medium, series))
-    united = union_candidates(drop_incidental(proposed, media)).join(media.select("video_id", "kind"), "video_id")
-    accepted = judge(united).where("reject_reason IS NULL")
+    kept = ("ocr_text", "transcript_span", "description")
+    rows = F.array_sort(F.collect_list(F.struct("start_s", "end_s", "cand_seq", *kept, "signals_used")))
+    joined = lambda name, most: F.substring(F.aggregate(F.transform("rows", lambda r: T.text(r[name])), F.lit(""), lambda a, t: F.when((t == "") | F.contains(a, t), a).when(a == "", t).otherwise(F.concat(a, F.lit(" | "), t))), 1, most)
+    out = g.groupBy("video_id", "grp").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.first("ad_type").alias("ad_type"), F.first("brand").alias("brand"), F.first("presentation").alias("presentation"), F.max("confidence").alias("confidence"), _distinct_sorted("frame_timestamps").alias("frames"), rows.alias("rows"))
+    signals = F.array_distinct(F.flatten(F.transform("rows", lambda r: r["signals_used"])))
+    return out.select("video_id", F.format_string("seg_%02d", F.col("grp").cast("int")).alias("id"), "start_s", "end_s", "ad_type", "confidence", "brand", F.get("rows", F.lit(0))["description"].alias("description"), "presentation", F.slice("frames", 1, 12).alias("frame_timestamps"), joined("transcript_span", 400).alias("transcript_span"), joined("ocr_text", 500).alias("ocr_text"), signals.alias("signals_used"))
+
+
+#: Segment columns of judged candidates.
+JUDGED = ("video_id", "cand_seq", "start_s", "end_s", "ad_type", "confidence", "brand", "description", "presentation", "frame_timestamps", "transcript_span", "ocr_text", "signals_used")
+
+
+def united(media: DataFrame, hits: DataFrame, captions: DataFrame, *, strong: Sequence[str], medium: Sequence[str], series: str, promo: Sequence[dict[str, int]] = (), anti: Sequence[dict[str, int]] = (), phrases: Sequence[str] = (), guard: Sequence[str] = (), waive: Sequence[str] = ()) -> DataFrame:
+    """Candidates: overlays, speech and intents are proposed, incidental overlays go, the rest are united."""
+    proposed = overlay_candidates(hits, media).unionByName(speech_candidates(captions, media, strong, medium, series, guard=guard, waive=waive))
+    if promo or phrases:
+        proposed = proposed.unionByName(intent_candidates(captions, media, promo, anti, phrases))
+    return union_candidates(drop_incidental(proposed, media)).join(media.select("video_id", "kind", "duration_s"), "video_id")
+
+
+def detect(media: DataFrame, hits: DataFrame, captions: DataFrame, cuts: DataFrame, *, strong: Sequence[str], medium: Sequence[str], series: str = r"(?i)(^|[^a-z])(course|class|lesson|batch)([^a-z]|$)", answers: DataFrame | None = None, known: dict[str, str] | None = None, named: dict[str, str] | None = None, **lexicons) -> DataFrame:
+    """Segments: propose, filter, unite (in this order), judge, snap, merge.
+
+    ``answers`` (video_id, cand_seq, answer) are a model's: media that are worth
+    asking about and have any are judged by these, all others by the rules.
+    """
+    candidates = with_speech(united(media, hits, captions, strong=strong, medium=medium, series=series, **lexicons), captions)
+    if answers is None:
+        accepted = judge(candidates, known=known, named=named).where("reject_reason IS NULL").select(*JUDGED)
+    else:
+        asked = needs_model(candidates).where("needs_model").join(answers.select("video_id").distinct(), "video_id", "left_semi").select("video_id")
+        by_model = from_answers(answered(candidates.join(asked, "video_id", "left_semi"), answers), known=known)
+        by_rule = judge(candidates.join(asked, "video_id", "left_anti"), known=known, named=named).where("reject_reason IS NULL")
+        accepted = by_model.select(*JUDGED).unionByName(by_rule.select(*JUDGED))
     return merge_segments(snap(accepted, cuts, media))

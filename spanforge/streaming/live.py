@@ -28,10 +28,11 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from spanforge import schemas
 from spanforge.functions import text as T
+from spanforge.operators.intervals import bucketed
 from spanforge.plans import judge as J
 from spanforge.streaming.machines import prepared, replayed
 
-SILENCE_S, LONGEST_S, LEAST_S, NEAR_S = 6.0, 180.0, 2.0, 6.0
+SILENCE_S, LONGEST_S, LEAST_S, NEAR_S, SNAP_S = 6.0, 180.0, 2.0, 6.0, 0.75
 STALL_S, EXPIRE_S = 12.0, 3_600.0
 SIGNALS = ("ocr", "asr", "intent")
 REGIONS = ("left", "bottom", "tr", "br")
@@ -222,17 +223,24 @@ def stream(ticks: DataFrame, *, stalls: bool = True, stall_s: float = STALL_S, e
     return rows.groupBy("session_id").transformWithState(_Sessions(stalls, stall_s, expire_s), schemas.LIVE_EVENTS, "append", "processingTime" if stalls else "none")
 
 
-def committed(events: DataFrame, *, known: Mapping[str, str] | None = None) -> DataFrame:
-    """Closed tracks as segments: judged by the rules once they close, clamped to the time of closing and rounded; rejected ones go.
+def committed(events: DataFrame, *, cuts: DataFrame | None = None, known: Mapping[str, str] | None = None, named: Mapping[str, str] | None = None) -> DataFrame:
+    """Closed tracks as segments: judged by the rules once they close, with all their evidence; rejected ones go.
 
-    No cut later than the tick is known while a stream runs, so ends aren't snapped.
+    Ends are snapped to ``cuts`` (session_id, cut_s, cut_seq) no later than the
+    tick that closed them, clamped to that tick and rounded.
     """
-    e = events.where("event = 'emitted'").withColumn("brand", T.title_brand("text", known))
-    none = J.reject_reason(F.col("start_s"), F.col("end_s"), F.col("source"), F.col("triggers"), F.col("text"), F.col("score"), F.col("brand")).isNull()
+    e = events.where("event = 'emitted'").select(F.col("session_id").alias("video_id"), "now_s", F.col("track").alias("cand_seq"), "start_s", "end_s", "source", F.col("triggers").alias("raw_triggers"), "texts", "frame_timestamps", F.col("score").alias("score_hint"), F.lit("live").alias("kind"), F.col("now_s").alias("duration_s"))
+    s = J.judge(e, known=known, named=named).where("reject_reason IS NULL")
+    if cuts is not None:
+        at = bucketed(s.select("video_id", "cand_seq", "now_s", "start_s", "end_s"), F.col("start_s") - SNAP_S, F.col("end_s") + SNAP_S, 60.0)
+        seen = cuts.select(F.col("session_id").alias("video_id"), "cut_s", "cut_seq", F.floor(F.col("cut_s") / 60.0).cast("long").alias("__bucket")).join(at, ["video_id", "__bucket"]).where("cut_s <= now_s")
+        nearest = lambda end: F.min_by(F.when(F.abs(F.col("cut_s") - F.col(end)) <= SNAP_S, F.col("cut_s")), F.when(F.abs(F.col("cut_s") - F.col(end)) <= SNAP_S, F.struct(F.abs(F.col("cut_s") - F.col(end)), F.col("cut_seq"))))
+        to = seen.groupBy("video_id", "cand_seq").agg(nearest("start_s").alias("__start"), nearest("end_s").alias("__end"))
+        s = s.join(to, ["video_id", "cand_seq"], "left").withColumn("start_s", F.coalesce("__start", "start_s")).withColumn("end_s", F.coalesce("__end", "end_s"))
     inside = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.col("now_s"))
     start = inside(F.col("start_s"))
     end = F.when(inside(F.col("end_s")) <= start, inside(start + 0.5)).otherwise(inside(F.col("end_s")))
-    return e.where(none).select("session_id", "now_s", "track", F.round(start, 2).alias("start_s"), F.round(end, 2).alias("end_s"), J.ad_type(F.lit("live"), F.col("start_s"), F.col("source"), F.col("triggers"), F.col("text")).alias("ad_type"), J.confidence(F.col("score")).alias("confidence"), "brand", "source", "text")
+    return s.select(F.col("video_id").alias("session_id"), "now_s", F.col("cand_seq").alias("track"), F.round(start, 2).alias("start_s"), F.round(end, 2).alias("end_s"), "ad_type", "confidence", "brand", "description", "presentation", "source", F.slice("frame_timestamps", 1, 12).alias("frame_timestamps"), "transcript_span", "ocr_text", "signals_used")
 
 
 def since(events: DataFrame, session: str, after: int, most: int = 2000) -> DataFrame:
