@@ -150,17 +150,6 @@ def test_short_passages_are_screened_and_cut_by_words(frame):
     assert {0, 1} <= {i for i, x in screened.items() if x} <= {0, 1, 2, 3, 5}  # 40 words in common may count, as the gram is shorter
 
 
-def test_windows_of_words_are_all_keyed_in_short_runs():
-    rng = random.Random(6)
-    texts = [" ".join(f"w{rng.randrange(40)}" for _ in range(400)), "a " * 3_000, f"{'x' * 5_000} " * 60, " b" * 50, "", "é " * 51 + "z" * 200]
-    for raw in map(str.encode, texts):
-        keys, first, last = rindex_dedup.word_windows(raw, 51, 20, WordHashes())
-        words = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
-        want = {i for a in range(len(words) - 50) for i in range(words[a][0], words[a + 50][1] - 199)}
-        assert want <= {i for a, b in zip(first.tolist(), last.tolist()) for i in range(a, b + 1)} <= set(range(len(raw) - 199))
-        assert len(keys) == len(first) and all(0 <= b - a < rindex_dedup.RUN_WINDOWS for a, b in zip(first, last))
-
-
 def test_rows_that_share_an_id_are_cut_by_their_texts(spark):
     rng = random.Random(8)
     text = lambda n: " ".join(str(rng.randrange(10**6)) for _ in range(n))
