@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from spanforge.functions import text as T
 from spanforge.operators.similar import similar
+from spanforge.plans.detect import detect
 from spanforge.shared import checkpoint, remove, shared_dir
 from spanforge.sources import cache
 from spanforge.streaming import live
@@ -108,4 +109,21 @@ def similar_bags(spark, d):
     return pairs.select("said.conv_id", "said.turn", "item_id", F.round("cosine", 6).alias("cosine"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (live_tracks, live_log, judgment_cache, similar_bags)}
+#: What an event shows on screen.
+SHOWN = (("view", "breaking interview"), ("click", "Acme Foods buy now"), ("purchase", "tile cleaning, 74169 02233"), ("signup", "Rs 499 only"))
+
+
+def detect_segments(spark, d):
+    """The whole batch plan: conversations as captions of media, events of the user with a conversation's number as what its medium shows, cuts before each turn."""
+    turns = spark.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").cast("string").alias("video_id"), F.col("turn").cast("int").alias("seq"), (F.col("turn") * 10.0).alias("start_s"), (F.col("turn") * 10.0 + 8).alias("end_s"), F.coalesce("text", F.lit("")).alias("text"), F.lit("").alias("lang"))
+    media = turns.groupBy("video_id").agg((F.max("end_s") + 30).alias("duration_s")).withColumn("kind", F.when(F.col("duration_s") > 60, "vod").otherwise("short"))
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").cast("string").alias("video_id"), "event_id", "event_type").join(media, "video_id")
+    text = F.coalesce(F.create_map(*[F.lit(x) for pair in SHOWN for x in pair])[F.col("event_type")], F.lit(""))
+    at = e.select("video_id", (F.col("event_id") % F.col("duration_s").cast("long")).cast("double").alias("timestamp_s"), text.alias("text"))
+    hits = at.select("video_id", "timestamp_s", "text", T.class_score("text").alias("score"), T.class_triggers("text").alias("triggers"))
+    cuts = turns.where("seq > 0").select("video_id", (F.col("start_s") - 0.4).alias("cut_s"), F.col("seq").alias("cut_seq"))
+    found = detect(media, hits, turns, cuts, strong=("with", "avec", "nicht"), medium=("from", "dans", "this"), series="(?i)that|les", promo=[{"with": 2, "from": 1}], anti=[{"the": 1, "and": 1}], phrases=("with", "from", "dans"), named={"acme": "Acme"})
+    return found.select(F.col("video_id").cast("long").alias("conv_id"), "id", F.round("start_s", 2).alias("start_s"), F.round("end_s", 2).alias("end_s"), "ad_type", F.round("confidence", 4).alias("confidence"), "brand", "description", "presentation", F.array_join("signals_used", ",").alias("signals"), F.md5("transcript_span").alias("span_md5"), F.md5("ocr_text").alias("ocr_md5"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (live_tracks, live_log, judgment_cache, similar_bags, detect_segments)}

@@ -134,15 +134,24 @@ def test_the_last_events_of_each_session(spark):
     assert [r.seq for r in live.since(numbered, "a", 4).collect()] == [5] and live.since(numbered, "c", 0).count() == 0
 
 
-def test_commits_are_judged_and_clamped(spark):
-    base = ["s", 1, 20.0, "emitted", 0, 4.0, 30.0, "COMMITTED", "ocr_persist_tr", "tr", "", [], [], [], "Acme Foods buy now", 3]
+def test_commits_are_judged_snapped_and_clamped(spark):
+    base = ["s", 1, 20.0, "emitted", 0, 4.0, 30.0, "COMMITTED", "ocr_persist_tr", "tr", "", [], [], [4.0, 30.0], "", 3]
     names = [c.split(" ")[0] for c in schemas.LIVE_EVENTS.split(", ")]
     row = lambda **k: tuple((dict(zip(names, base)) | k)[n] for n in names)
     rows = [
-        row(triggers=["cta", "brand_word"]),
-        row(track=1, end_s=9.004, source="asr", text="sponsored by Zed, buy now", triggers=["cta", "sponsor"]),
-        row(track=2, end_s=9.0, source="ocr_spot", text="pay Rs 500", triggers=["price"]),
-        row(track=3, event="open", end_s=9.0, status="EXTENDING"),
+        row(triggers=["cta", "brand_word"], texts=["Acme Foods buy now"]),
+        row(track=1, end_s=19.004, source="asr", texts=["sponsored by zed, buy now"], triggers=["cta", "sponsor"]),
+        row(track=2, end_s=9.0, source="ocr_spot", texts=["pay Rs 500"], triggers=["price"]),
+        row(track=3, event="open", end_s=9.0, status="EXTENDING", texts=["Acme Foods buy now"]),
     ]
-    got = {r.track: (r.start_s, r.end_s, r.ad_type, r.brand) for r in live.committed(spark.createDataFrame(rows, schemas.LIVE_EVENTS)).collect()}
-    assert got == {0: (4.0, 20.0, "other", "Acme Foods"), 1: (4.0, 9.0, "midroll_sponsor_read", "")}
+    events = spark.createDataFrame(rows, schemas.LIVE_EVENTS)
+    told = lambda df: {r.track: (r.start_s, r.end_s, r.ad_type, r.brand, r.presentation) for r in df.collect()}
+    assert told(live.committed(events)) == {0: (4.0, 20.0, "other", "Acme Foods", "overlay"), 1: (4.0, 19.0, "midroll_sponsor_read", "", None)}
+    cuts = spark.createDataFrame([("s", 3.5, 1), ("s", 4.5, 0), ("s", 19.5, 2), ("s", 20.3, 3), ("t", 4.0, 0)], "session_id string, cut_s double, cut_seq int")
+    assert {k: v[:2] for k, v in told(live.committed(events, cuts=cuts)).items()} == {0: (4.5, 20.0), 1: (4.5, 19.5)}  # the cut at 20.3 isn't known yet
+
+
+def test_a_live_commit_has_its_evidence(spark):
+    rows = [(4, [cand(1, 3, "buy now at acme foods", "ocr", 2, ("cta", "brand_word"))], False), (12, [cand(3, 12, "our discount", "asr", 4, ("promo",))], False), (20, [], True)]
+    (got,) = live.committed(live.replay(ticks(spark, rows))).collect()
+    assert (got.signals_used, got.transcript_span, got.frame_timestamps) == (["asr", "ocr"], "buy now at acme foods our discount", [1.0, 3.0, 3.0, 12.0])

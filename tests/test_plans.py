@@ -39,11 +39,11 @@ def test_incidental_overlay_goes_and_speech_stays(spark):
     assert [(r.start_s, r.source) for r in got] == [(469.0, "asr"), (500.0, "ocr")]
 
 
-def segment(seq, start, end, kind="self_promo", brand="B"):
-    return ("v", seq, float(start), float(end), kind, brand, None, 0.7, [float(start)], ["ocr"], ["t"])
+def segment(seq, start, end, kind="self_promo", brand="B", text="t", signals=("ocr",)):
+    return ("v", seq, float(start), float(end), kind, brand, None, 0.7, [float(start)], list(signals), f"d{seq}", text, f"said {text}")
 
 
-SEGMENT = "video_id string, cand_seq int, start_s double, end_s double, ad_type string, brand string, presentation string, confidence double, frame_timestamps array<double>, signals_used array<string>, texts array<string>"
+SEGMENT = "video_id string, cand_seq int, start_s double, end_s double, ad_type string, brand string, presentation string, confidence double, frame_timestamps array<double>, signals_used array<string>, description string, ocr_text string, transcript_span string"
 
 
 @pytest.mark.parametrize(("rows", "want"), [([segment(0, 36, 109), segment(1, 115, 163)], [(36.0, 163.0)]), ([segment(0, 0, 5, "preroll"), segment(1, 7, 9)], [(0.0, 5.0), (7.0, 9.0)]), ([segment(0, 0, 5, "preroll"), segment(1, 6, 9, "preroll")], [(0.0, 5.0), (6.0, 9.0)])])
@@ -59,22 +59,135 @@ def test_snap_takes_the_first_of_equal_cuts_and_clamps(spark):
     assert got == {0: (9.5, 20.0), 1: (30.0, 63.0), 2: (40.0, 40.5)}
 
 
-def test_detect_end_to_end(spark):
-    hits = spark.createDataFrame([("v", 500.0, "Acme Interiors call us", 4, ["cta", "service"]), ("v", 300.0, "Rs 500 Zed", 2, ["price"])], schemas.HITS)
-    lines = spark.createDataFrame([("v", 0, 470.0, 490.0, "sponsored by acme, use my code", "en"), ("v", 1, 495.0, 520.0, "use my code today", "en")], schemas.CAPTIONS)
-    cuts = spark.createDataFrame([("v", 469.5, 0)], "video_id string, cut_s double, cut_seq int")
-    got = D.detect(media(spark, duration=621.0), hits, lines, cuts, strong=["use my code"], medium=["sponsored"]).collect()
-    assert [(r.id, r.start_s, r.end_s, r.ad_type) for r in got] == [("seg_01", 469.5, 520.0, "affiliate")]
+def test_merged_evidence(spark):
+    rows = [segment(0, 0, 5, text="one"), segment(1, 7, 9, text="one two", signals=("asr", "ocr")), segment(2, 10, 12, text="two"), segment(3, 13, 14, text="x" * 600)]
+    got = D.merge_segments(spark.createDataFrame(rows, SEGMENT)).first()
+    assert got.ocr_text == ("one | one two | " + "x" * 600)[:500] and got.transcript_span.startswith("said one | said one two | said two") and len(got.transcript_span) == 400
+    assert (got.description, got.signals_used, got.frame_timestamps) == ("d0", ["ocr", "asr"], [0.0, 7.0, 10.0, 13.0])
+
+
+WORDS = {"strong": ["use my code"], "medium": ["sponsored"]}
 
 
-def test_model_gate_and_answers(spark):
-    c = lambda *rows: spark.createDataFrame([(*r, k) for *r, k in rows], schemas.CANDIDATES + ", kind string")
+def detected(spark, hits=(), lines=(), cuts=(), *, kind="vod", duration=621.0, **kw):
+    h = spark.createDataFrame([("v", *x) for x in hits], schemas.HITS)
+    c = spark.createDataFrame([("v", i, *x, "en") for i, x in enumerate(lines)], schemas.CAPTIONS)
+    k = spark.createDataFrame([("v", x, i) for i, x in enumerate(cuts)], "video_id string, cut_s double, cut_seq int")
+    return D.detect(media(spark, kind, duration), h, c, k, **(WORDS | kw)).orderBy("start_s").collect()
+
+
+def test_detect_end_to_end(spark):
+    hits = [(500.0, "Acme Interiors call us", 4, ["cta", "service"]), (300.0, "Rs 500 Zed", 2, ["price"])]
+    lines = [(470.0, 490.0, "sponsored by acme, use my code"), (495.0, 520.0, "use my code today")]
+    (got,) = detected(spark, hits, lines, [469.5])
+    assert (got.id, got.start_s, got.end_s, got.ad_type, got.description, got.signals_used) == ("seg_01", 469.5, 520.0, "midroll_sponsor_read", "Spoken promotion that text on screen confirms.", ["asr", "ocr"])
+    assert got.transcript_span == "470.0 sponsored by acme, use my code\n495.0 use my code today" and got.ocr_text == "" and got.frame_timestamps == [500.0]
+
+
+def test_rolling_captions_count_once_and_starts_are_refined(spark):
+    """Of rolling lines the whole one is scored; the start is that of the first line, from a second before, that scores by itself."""
+    lines = [(100.0, 102.0, "use my code"), (101.0, 104.0, "use my code now for"), (103.5, 112.0, "use my code now for our course, enroll")]
+    (got,) = D.speech_candidates(spark.createDataFrame([("v", i, *x, "en") for i, x in enumerate(lines)], schemas.CAPTIONS), media(spark, duration=110.0), WORDS["strong"], WORDS["medium"], "course").collect()
+    assert (got.start_s, got.end_s, got.score_hint) == (100.0, 110.0, 6)  # the third starts too late to replace the first, so it counts by itself
+    assert got.texts == ["use my code now for", "use my code now for our course, enroll"] and got.frame_timestamps == []
+    many = [(200.0 + 2 * i, 201.0 + 2 * i, f"use my code number {i} " + "y" * 80) for i in range(14)] + [(230.0, 231.0, f"use my code number 3 {'y' * 80} z")]
+    (got,) = D.speech_candidates(spark.createDataFrame([("v", i, *x, "en") for i, x in enumerate(many)], schemas.CAPTIONS), media(spark, duration=621.0), WORDS["strong"], WORDS["medium"], "course").collect()
+    assert len(got.texts) == 10 and got.texts[3].endswith("y")
+
+
+def test_intents_become_candidates_beside_news(spark):
+    lines = [(0.0, 40.0, "the government and the weather today"), (40.0, 80.0, "city news and sports of the day"), (100.0, 140.0, "buy our course with a discount, enroll now"), (140.0, 180.0, "use the link to buy the course today")]
+    lexicons = {"promo": [{"buy": 1, "course": 1, "discount": 1}], "anti": [{"news": 1, "weather": 1}], "phrases": ["enroll", "discount", "link"]}
+    captions_ = spark.createDataFrame([("v", i, *x, "en") for i, x in enumerate(lines)], schemas.CAPTIONS)
+    c = D.intent_candidates(captions_, media(spark, duration=180.0), **lexicons).collect()
+    assert c and min(r.start_s for r in c) >= 80 and {r.source for r in c} == {"intent"} and all(r.end_s <= 180 and r.score_hint >= 2 for r in c)
+    assert any("promo_sim=" in t for r in c for t in r.raw_triggers) and any("enroll" in r.raw_triggers for r in c)
+    got = detected(spark, (), lines, duration=180.0, **lexicons)
+    assert [r.ad_type for r in got] == ["self_promo"] and got[0].start_s >= 80
+
+
+def judged(spark, *rows, kind="vod", duration=100.0, **kw):
+    c = spark.createDataFrame([(*r, kind, duration) for r in rows], schemas.CANDIDATES + ", kind string, duration_s double")
+    return J.judge(c, **kw).orderBy("start_s").collect()
+
+
+def test_types(spark):
+    kind = lambda *a, k="vod", **kw: judged(spark, candidate(*a, **kw), kind=k)[0].ad_type
+    assert kind(30, 50, "asr", texts=["join our program course"]) == "self_promo" and kind(30, 50, "ocr", texts=["join our program course"]) == "other"
+    assert kind(10, 40, "asr", texts=["sponsored"]) == "midroll_sponsor_read" and kind(1.5, 40, "asr", texts=["sponsored"]) == "preroll"
+    assert kind(1, 40, "asr", texts=["sponsored"], k="short") == "midroll_sponsor_read"
+    assert kind(1, 20) == "preroll" and kind(1, 21) == "other" and kind(2, 20) == "other" and kind(1, 20, k="short") == "other"
+    assert kind(95, 98.5) == "self_promo" and kind(94, 99) == "other" and kind(95, 98) == "other"
+    assert kind(30, 50, texts=["use this code"]) == "affiliate" and kind(30, 50, texts=["code red"]) == "other"
+
+
+def test_rejections(spark):
+    why = lambda *a, **kw: judged(spark, candidate(*a, **kw))[0].reject_reason
+    assert why(30, 50, triggers=["price"]) == "bare_price" and why(30, 50, triggers=["price", "service"]) is None and why(30, 50, triggers=["price"], texts=["pay 74169 02233"]) is None
+    assert why(30, 50, triggers=["price"], texts=["Acme Foods"]) is None  # a brand is told by the text too
+    assert why(30, 50, triggers=["brand_word"], texts=["a funny skit"]) == "comedy" and why(30, 50, texts=["a funny skit"]) is None
+    assert why(30, 50, triggers=[], score=1) == "weak" and why(30, 50, triggers=["phone"], score=1) is None and why(30, 50, triggers=[], score=1, texts=["74169 02233"]) is None
+    assert why(30, 50, "asr", texts=["hello all"]) == "no_intent" and why(30, 50, "asr", texts=["a discount"]) is None and why(30, 50, "asr", triggers=["brand_word"], texts=["hello all"]) is None
+    assert why(30, 37, "asr", texts=["a discount"]) == "brief_speech" and why(30, 37, "asr", texts=["sponsored"]) is None and why(30, 37, "intent", texts=["a discount"]) == "brief_speech"
+
+
+def test_judged_evidence(spark):
+    """Overlay text alone never has speech as evidence; its banner is the best text, cleaned."""
+    rows = spark.createDataFrame([(*candidate(7.5, 74.9, texts=["x", "tile cleaning, Acme Foods 74169 02233"], triggers=["phone", "service"]), "short", 75.0)], schemas.CANDIDATES + ", kind string, duration_s double")
+    spoken = spark.createDataFrame([("v", 0, 8.0, 12.0, "something else", "te")], schemas.CAPTIONS)
+    (got,) = J.judge(J.with_speech(rows, spoken)).collect()
+    assert (got.transcript_span, got.signals_used, got.presentation, got.brand) == ("", ["ocr"], "overlay", "Acme Foods")
+    assert got.ocr_text == "Acme Foods | cleaning | 74169 02233" and got.description == "Overlay that stays on screen, read as: phone, service."
+    (heard,) = judged(spark, candidate(30, 50, "asr", texts=["| shown", "a discount"]))
+    assert (heard.transcript_span, heard.ocr_text, heard.signals_used, heard.presentation) == ("a discount", "", ["asr"], None)
+    (meant,) = judged(spark, candidate(30, 50, "intent", texts=["a discount"]))
+    assert (meant.signals_used, meant.transcript_span, meant.description) == (["ocr"], "", "Commercial passage. Triggers: cta.")
+    assert judged(spark, candidate(30, 50, texts=["Zed at Acme Foods"]), named={"acme": "Acme Ltd"})[0].brand == "Acme Ltd"
+    live_ = lambda a, b: judged(spark, candidate(a, b), kind="live", duration=60.0)[0].presentation
+    assert live_(10, 40) == "overlay" and live_(0.1, 59.9) is None
+
+
+def test_model_gate_and_packets(spark):
+    c = lambda *rows: spark.createDataFrame([(*r, k, 100.0) for *r, k in rows], schemas.CANDIDATES + ", kind string, duration_s double")
     gate = lambda *rows: [r.needs_model for r in J.needs_model(c(*rows)).collect()]
     assert gate((*candidate(0, 7), "vod")) == [False] and gate((*candidate(5.5, 63), "short")) == [False]
     assert gate((*candidate(120, 128), "vod")) == [True] and gate((*candidate(1, 2, "asr"), "short")) == [True]
-    answers = spark.createDataFrame([("a", '```json\n{"is_ad": true, "start_s": -1, "end_s": 99, "ad_type": "weird", "brand": "B"}\n```', 50.0), ("b", "no json", 50.0), ("c", '{"is_ad": true, "start_s": 1, "end_s": 1.1}', 50.0)], "i string, answer string, duration_s double")
-    assert [(r.i, r.start_s, r.end_s, r.ad_type) for r in J.from_answers(answers).collect()] == [("a", 0.0, 50.0, "other")]
-    assert json.loads(J.packets(c((*candidate(1, 2), "vod"))).first().packet)["source"] == "ocr"
+    lines = spark.createDataFrame([("v", i, 10.0 * i, 10.0 * i + 8, f"line {i}", "en") for i in range(12)], schemas.CAPTIONS)
+    hits = spark.createDataFrame([("v", 49.0, "a", 2, []), ("v", 61.0, "b", 4, []), ("v", 62.1, "late", 4, []), ("v", 55.0, "", 1, [])], schemas.HITS)
+    (got,) = J.packets(c((*candidate(50, 61, "asr+ocr"), "vod")), lines, hits).collect()
+    packet = json.loads(got.packet)
+    assert packet["transcript_before"] == "30.0 line 3\n40.0 line 4" and packet["transcript_span"] == "50.0 line 5\n60.0 line 6" and packet["transcript_after"] == "70.0 line 7\n80.0 line 8"
+    assert packet["ocr_in_span"] == "49.0 score=2 a\n61.0 score=4 b" and (packet["kind"], packet["video_duration_s"], packet["candidate"]["rule_triggers"]) == ("vod", 100.0, ["cta"])
+    (alone,) = J.packets(c((*candidate(50, 61), "vod")), lines, hits).collect()
+    assert [json.loads(alone.packet)[f"transcript_{p}"] for p in ("before", "span", "after")] == ["", "", ""] and "score=2" in alone.packet
+    assert J.packets(c((*candidate(50, 61), "vod")).limit(0), lines, hits).count() == 0
+
+
+def test_answers(spark):
+    def one(answer, *a, k="vod", **kw):
+        c = spark.createDataFrame([(*candidate(*a, **kw), k, 50.0, f"```json\n{json.dumps(answer)}\n```" if isinstance(answer, dict) else answer)], schemas.CANDIDATES + ", kind string, duration_s double, answer string")
+        return J.from_answers(c).first()
+
+    ad = {"decision": "ad", "start_s": -1, "end_s": 99, "ad_type": "weird", "brand": "B" * 90}
+    got = one(ad, 5, 9, "asr+intent+ocr")
+    assert (got.start_s, got.end_s, got.ad_type, got.brand, got.confidence, got.description, got.signals_used) == (0.0, 50.0, "other", "B" * 80, 0.8, "Decided by the model.", ["asr", "intent", "ocr", "llm"])
+    assert one({"decision": "NOT_AD"}, 5, 9) is None and one("no json", 5, 9) is None and one({}, 5, 9) is None
+    short = one({"decision": "AD", "start_s": 10, "end_s": 10.1, "ad_type": "platform_inserted", "confidence": 0.4}, 5, 9)
+    assert (short.start_s, short.end_s, short.ad_type, short.confidence) == (10.0, 10.3, "platform_inserted", 0.4)  # lengthened, not dropped
+    own = one({"decision": "AD"}, 5, 9, texts=["Acme Foods call 74169 02233"], k="short")
+    assert (own.start_s, own.end_s, own.brand, own.ocr_text, own.presentation, own.signals_used) == (5.0, 9.0, "Acme Foods", "Acme Foods | 74169 02233", "overlay", ["ocr"])
+    assert own.frame_timestamps == [5.0] and one({"decision": "AD", "start_s": 30, "end_s": 40}, 5, 9).frame_timestamps == []
+    assert one({"decision": "AD", "brand": "Zed"}, 5, 9, texts=["Acme Foods call"]).ocr_text == "Zed | Acme Foods"
+
+
+def test_detect_takes_a_models_answers_where_they_are_worth_asking(spark):
+    hits, lines = [(1.0, "Acme Foods buy now", 4, ["cta", "brand_word"])], [(470.0, 490.0, "use my code"), (495.0, 520.0, "use my code today")]
+    answer = lambda seq, text: ("v", seq, text)
+    answers = spark.createDataFrame([answer(2, '{"decision": "AD", "ad_type": "affiliate", "brand": "Zed"}'), answer(9, '{"decision": "AD"}')], "video_id string, cand_seq int, answer string")
+    got = detected(spark, hits, lines, answers=answers)
+    assert [(r.ad_type, r.brand, r.signals_used) for r in got] == [("affiliate", "Zed", ["asr", "llm"])]  # an index without an answer drops its candidate
+    rules = detected(spark, hits, (), answers=answers)
+    assert [(r.ad_type, r.signals_used) for r in rules] == [("preroll", ["ocr"])]
 
 
 def test_cache_lookup(spark, tmp_path):
