@@ -11,7 +11,10 @@ TRACKING = r"^(?i)(igsh|igshid|utm_[^=]*)(=|$)"
 SHORT_S = 180
 #: Where an address without one belongs.
 SCHEME, HOST = "https", "www.instagram.com"
+# Forms of two sites' addresses, and where their ids stand.
 _INSTAGRAM, _YOUTUBE = r"(?i)(instagram\.com|instagr\.am)", r"(?i)(youtube\.com|youtu\.be)"
+_LONG_ID = r"(?:youtu\.be/|youtube\.com/(?:shorts/|embed/|live/|watch\?(?:[^#]*&)?v=))([A-Za-z0-9_-]{11})"
+_SHORT_CODE = r"(?i)(?:instagram\.com|instagr\.am)/(?:share/)?(?:reel|reels|p|tv)/([A-Za-z0-9_-]+)"
 _URL = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
 
 
@@ -37,8 +40,8 @@ def host(c: Column | str) -> Column:
 def video_id(c: Column | str) -> Column:
     """Eleven characters of a YouTube address in any of its forms, or an Instagram shortcode; "" for others."""
     t = text(c)
-    long_id = F.regexp_extract(t, r"(?:youtu\.be/|youtube\.com/(?:shorts/|embed/|live/|watch\?(?:[^#]*&)?v=))([A-Za-z0-9_-]{11})", 1)
-    code = F.regexp_extract(t, r"(?i)(?:instagram\.com|instagr\.am)/(?:share/)?(?:reel|reels|p|tv)/([A-Za-z0-9_-]+)", 1)
+    long_id = F.regexp_extract(t, _LONG_ID, 1)
+    code = F.regexp_extract(t, _SHORT_CODE, 1)
     return F.when(long_id != "", long_id).otherwise(code)
 
 

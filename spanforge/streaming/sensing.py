@@ -217,7 +217,7 @@ def sighted(sensed: DataFrame, *, strong_brands: Sequence[str] = (), known: Mapp
     now = F.col("now_s")
 
     def shown(source: Column, text: Column, score: Column) -> Column:
-        triggers = T.class_triggers(text, [c for c in T.CLASSES if c[0] != "service"])
+        triggers = T.class_triggers(text, T.LIVE_CLASSES, loose=False)
         return F.struct(now.alias("start_s"), now.alias("end_s"), source.alias("source"), F.when(F.size(triggers) > 0, triggers).otherwise(F.array(F.lit("brand_word"))).alias("raw_triggers"), F.array(text).alias("texts"), F.array(now).alias("frame_timestamps"), score.cast("int").alias("score_hint"))
 
     brands = F.filter(F.col("rois"), lambda r: T.is_brand_candidate(r["raw_text"]) & ~T.is_chrome(r["raw_text"]))
