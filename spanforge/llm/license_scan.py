@@ -9,8 +9,10 @@ share a band with a probability of ``1 - MISS`` or more. Windows' bands are
 looked up in a table of the templates' ones, so the cost does not grow with the
 number of templates of a size, and the exact share of shingles decides.
 
-Null, empty and short texts (under five words) match nothing. Repeated rows give
-repeated rows; an empty table gives an empty result.
+Null, empty and short texts (under five words) match nothing; very long texts are
+scanned in whole, a window at a time. Templates that match a text alike are all given. Repeated rows give
+repeated rows; an empty table gives an empty result. Only the id and the text are
+read, so other columns can't clash.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ band with probability 1 - 5e-6, and ones of 0.05 with under 1e-6.
 
 Null, empty and wordless texts have the empty set: linked with nothing, kept.
 Rows with a null id are not linked and are kept, with a null component. Repeated
-rows give repeated rows; an empty table gives an empty result.
+rows give repeated rows; an empty table gives an empty result. Texts of any length
+are compared in whole. Only the id and the text are read, so other columns can't clash.
 """
 
 from __future__ import annotations

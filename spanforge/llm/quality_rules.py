@@ -9,8 +9,9 @@ and a document that loses too much of its text is rejected:
 
 Words are runs of characters other than space and U+0009 to U+000D. A null text
 has no words and no lines and fails the base rules, as does an empty one.
-Windows of five words are compared by a 64-bit hash of the words. Repeated rows
-give repeated rows; an empty table gives an empty result.
+Windows of five words are compared by a 64-bit hash of the words. Texts of any
+length are judged in whole. Repeated rows give repeated rows; an empty table gives an
+empty result. Only the id and the text are read, so other columns can't clash.
 """
 
 from __future__ import annotations

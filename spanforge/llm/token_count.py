@@ -8,7 +8,10 @@ separate. Tasks count pre-tokens that are whole tokens directly and merge only
 the rest.
 
 Null texts count as empty ones (0 tokens); strings of control tokens inside a
-text are ordinary text, as is the library's default.
+text are ordinary text, as is the library's default. Of merges with equal scores
+the leftmost goes first, as in the library. Texts of any length are counted in whole. Repeated
+rows give repeated rows; an empty table gives an empty result. Only the id and the
+text are read, so other columns can't clash.
 """
 
 from __future__ import annotations

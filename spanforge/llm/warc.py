@@ -19,7 +19,7 @@ Null html counts as an empty payload, a null url is left out. Rows with a null
 page id are left out of an archive unless ``unnumbered`` is set, as the round
 trip sets it; then they are written under a URN without a number and read with a
 null page id. They are revisits of a numbered page of equal payload, if there is
-one. Repeated rows give repeated records, of one type. Only page_id, url and
+one. Repeated rows give repeated records, of one type. Payloads of any size are one record each. Only page_id, url and
 html are read, so other columns can't clash; an empty table gives no record.
 """
 
