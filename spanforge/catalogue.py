@@ -78,7 +78,7 @@ def keyed_interval_merge(spark, d):
 def nearest_snap(spark, d):
     e = _events(spark, d)
     cuts = e.where("event_type = 'view'")
-    out = intervals.snap_nearest(e.where("event_type = 'click'").select("user_id", "event_id", "us"), cuts, ["user_id"], "us", HOUR_US, row_id=["event_id"], seq="event_id")
+    out = intervals.snap_nearest(e.where("event_type = 'click'").select("user_id", "event_id", "us"), cuts, ["user_id"], "us", HOUR_US, seq="event_id")
     return out.select("user_id", "event_id", "us", "snapped")
 
 
@@ -91,7 +91,7 @@ def overlap_semi_filter(spark, d):
 def tolerance_anti(spark, d):
     e = _events(spark, d)
     left = e.where("event_type = 'click'")
-    return intervals.near_anti(left, e.where("event_type = 'view'"), ["user_id"], "us", GAP_US, row_id=["event_id"]).select("user_id", "event_id")
+    return intervals.near_anti(left, e.where("event_type = 'view'"), ["user_id"], "us", GAP_US).select("user_id", "event_id")
 
 
 def context_before_span_after(spark, d):

@@ -49,37 +49,59 @@ def swept_max(left: DataFrame, right: DataFrame, key: Sequence[str], at: Column,
     return swept.select("__row.*", F.when(known, F.greatest("__best", "__carry")).alias(name))
 
 
+def overlap_flag(left: DataFrame, right: DataFrame, key: Sequence[str], width, *, start: str = "start", end: str = "end", pad=0, inclusive: bool = False, name: str = "overlaps") -> DataFrame:
+    """Left's rows and whether they overlap a row of right: of right's intervals that start before a row's end, the last end lies behind its start."""
+    swept = swept_max(left, right, key, F.col(end) + pad, F.col(start), F.col(end), width, inclusive=inclusive, name="__last")
+    early = F.col(start) - pad
+    return swept.withColumn(name, F.coalesce(early <= F.col("__last") if inclusive else early < F.col("__last"), F.lit(False))).drop("__last")
+
+
 def overlap_semi(left: DataFrame, right: DataFrame, key: Sequence[str], width, *, start: str = "start", end: str = "end", anti: bool = False, pad=0, inclusive: bool = False) -> DataFrame:
     """Rows of left that overlap a row of right (or, with anti, none), widened by ``pad``; touching counts only if ``inclusive``.
 
-    A row overlaps if, of right's intervals that start before its end, the last end lies behind its start.
     """
-    swept = swept_max(left, right, key, F.col(end) + pad, F.col(start), F.col(end), width, inclusive=inclusive, name="__last")
-    early = F.col(start) - pad
-    hit = F.coalesce(early <= F.col("__last") if inclusive else early < F.col("__last"), F.lit(False))
-    return swept.where(~hit if anti else hit).drop("__last")
+    flagged = overlap_flag(left, right, key, width, start=start, end=end, pad=pad, inclusive=inclusive, name="__hit")
+    return flagged.where(~F.col("__hit") if anti else F.col("__hit")).drop("__hit")
 
 
-def near_anti(left: DataFrame, right: DataFrame, key: Sequence[str], time: str, tolerance, *, row_id: Sequence[str]) -> DataFrame:
-    """Instants of left without an instant of right within ``tolerance`` (inclusive)."""
-    ids = [*key, *row_id]
-    a = bucketed(left.select(*ids, F.col(time).alias("__t")), F.col("__t") - tolerance, F.col("__t") + tolerance, tolerance)
-    b = right.select(*key, F.col(time).alias("__bt"), F.floor(F.col(time) / tolerance).cast("long").alias("__bucket")).distinct()
-    hit = a.join(b, [*key, "__bucket"]).where(F.abs(F.col("__t") - F.col("__bt")) <= tolerance).select(*ids).distinct()
-    return left.join(hit, ids, "left_anti")
+def _neighbours(left: DataFrame, right: DataFrame, key: Sequence[str], time: str, tolerance, seq: str | None) -> DataFrame:
+    """Left's rows as ``__row`` and their time as ``__at``, with right's last instant at or before it (``__prev``) and its first
+    at or after it (``__next``), as structs (instant or its negative, -seq); all those within ``tolerance`` are found.
 
+    No pairs are made: an instant is dealt to its own bucket, each bucket's first and last ones to the buckets beside it
+    too, and both sides are swept in one order. Buckets are twice as wide as the tolerance, so that rounding parts no
+    neighbours. Right's rows with a null key or instant meet nothing.
+    """
+    none, width = F.lit(None), 2 * tolerance or 1
+    theirs = right.select(*key, F.col(time).alias("__at"), (-F.col(seq) if seq else F.lit(0)).alias("__down"))
+    theirs = theirs.where(reduce(and_, [F.col(k).isNotNull() for k in (*key, "__at")])).withColumn("__bucket", F.floor(F.col("__at") / width).cast("long"))
+    before, after = F.struct(F.col("__at").alias("t"), F.col("__down").alias("d")), F.struct((-F.col("__at")).alias("t"), F.col("__down").alias("d"))
+    edges = theirs.groupBy(*key, "__bucket").agg(F.max(before).alias("last"), F.max(after).alias("first"))
+    beside = F.array(F.struct((F.col("__bucket") + 1).alias("b"), F.col("last.t").alias("t"), F.col("last.d").alias("d")), F.struct((F.col("__bucket") - 1).alias("b"), (-F.col("first.t")).alias("t"), F.col("first.d").alias("d")))
+    edges = edges.select(*key, F.inline(beside).alias("__bucket", "__at", "__down"))
+    mine = left.select(*key, F.struct("*").alias("__row"), F.col(time).alias("__at"), F.floor(F.col(time) / width).cast("long").alias("__bucket"))
+    shown = lambda df: df.select(*key, none.cast(mine.schema["__row"].dataType).alias("__row"), "__at", "__bucket", "__down")
+    both = mine.withColumn("__down", none.cast(theirs.schema["__down"].dataType)).unionByName(shown(theirs)).unionByName(shown(edges))
+    w = W.partitionBy(*key, "__bucket")
+    up, down = w.orderBy("__at"), w.orderBy(F.desc("__at"))  # a frame that runs to the end would be worked out anew at each row
+    told = lambda v: F.when(F.col("__row").isNull(), v)
+    swept = both.withColumn("__prev", F.max(told(before)).over(up.rangeBetween(W.unboundedPreceding, W.currentRow))).withColumn("__next", F.max(told(after)).over(down.rangeBetween(W.unboundedPreceding, W.currentRow)))
+    return swept.where("__row IS NOT NULL")
+
+
+def near_anti(left: DataFrame, right: DataFrame, key: Sequence[str], time: str, tolerance) -> DataFrame:
+    """Instants of left without an instant of right within ``tolerance`` (inclusive)."""
+    near = (F.col("__at") - F.col("__prev.t") <= tolerance) | (-F.col("__next.t") - F.col("__at") <= tolerance)
+    return _neighbours(left, right, key, time, tolerance, None).where(~F.coalesce(near, F.lit(False))).select("__row.*")
 
-def snap_nearest(left: DataFrame, right: DataFrame, key: Sequence[str], time: str, tolerance, *, row_id: Sequence[str], seq: str, name: str = "snapped") -> DataFrame:
-    """The nearest instant of right within ``tolerance``, the first by ``seq`` among equals; else the instant itself.
 
-    ``tolerance`` is also the buckets' width, so a row meets three buckets' instants at most.
-    """
-    ids = [*key, *row_id]
-    a = bucketed(left.select(*ids, F.col(time).alias("__t")), F.col("__t") - tolerance, F.col("__t") + tolerance, tolerance)
-    b = right.select(*key, F.col(time).alias("__bt"), F.col(seq).alias("__seq"), F.floor(F.col(time) / tolerance).cast("long").alias("__bucket"))
-    near = a.join(b, [*key, "__bucket"]).where(F.abs(F.col("__t") - F.col("__bt")) <= tolerance)
-    best = near.groupBy(*ids).agg(F.min_by("__bt", F.struct(F.abs(F.col("__t") - F.col("__bt")), F.col("__seq"))).alias("__best"))
-    return left.join(best, ids, "left").withColumn(name, F.coalesce("__best", time)).drop("__best")
+def snap_nearest(left: DataFrame, right: DataFrame, key: Sequence[str], time: str, tolerance, *, seq: str, name: str = "snapped") -> DataFrame:
+    """The nearest instant of right within ``tolerance``, the first by ``seq`` (a number) among equals; else the instant itself."""
+    swept = _neighbours(left, right, key, time, tolerance, seq)
+    at, prev, after = F.col("__at"), F.col("__prev.t"), -F.col("__next.t")
+    back, ahead = F.when(at - prev <= tolerance, at - prev), F.when(after - at <= tolerance, after - at)
+    earlier = ahead.isNull() | (back < ahead) | ((back == ahead) & (F.col("__prev.d") >= F.col("__next.d")))
+    return swept.select("__row.*", F.when(back.isNotNull() & earlier, prev).when(ahead.isNotNull(), after).otherwise(at).alias(name))
 
 
 def context_rows(spans: DataFrame, rows: DataFrame, key: Sequence[str], *, pad, before: int, inside: int, after: int, width, time: str = "start", end: str = "end", order: str = "seq", span_id: Sequence[str] = ()) -> DataFrame:

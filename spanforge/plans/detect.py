@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from spanforge.functions import text as T
 from spanforge.operators import islands
 from spanforge.operators.folds import rolling_dedupe
-from spanforge.operators.intervals import overlap_semi, refined_start, snap_nearest
+from spanforge.operators.intervals import overlap_flag, refined_start, snap_nearest
 from spanforge.plans.judge import SPEECH, answered, from_answers, judge, needs_model, with_speech
 from spanforge.plans.proposers import intents
+from spanforge.shared import checkpoint
 
 GROUP_GAP_S, SPEECH_GAP_S, SERIES_GAP_S, MERGE_GAP_S, SNAP_S = 16.0, 45.0, 150.0, 15.0, 0.75
 MERGEABLE = ("self_promo", "midroll_sponsor_read", "other", "affiliate")
@@ -82,14 +83,12 @@ def intent_candidates(captions: DataFrame, media: DataFrame, promo: Sequence[dic
 
 def drop_incidental(candidates: DataFrame, media: DataFrame) -> DataFrame:
     """Overlays of long media stay at the opening, at the end or beside speech; editorial ones only beside speech."""
-    c = candidates.join(media.select("video_id", "kind", "duration_s"), "video_id").withColumn("cid", F.xxhash64("video_id", "start_s", "end_s", "source", F.array_join("texts", "|")))
-    spoken = c.where(F.col("source").rlike(SPEECH))
-    beside = overlap_semi(c, spoken, KEY, 60.0, start="start_s", end="end_s").select("cid").distinct().withColumn("beside", F.lit(True))
-    c = c.join(beside, "cid", "left")
+    c = candidates.join(media.select("video_id", "kind", "duration_s"), "video_id")
+    c = overlap_flag(c, candidates.where(F.col("source").rlike(SPEECH)), KEY, 60.0, start="start_s", end="end_s", name="beside")
     edge = ((F.col("start_s") <= 8) & (F.col("end_s") - F.col("start_s") <= 30)) | (F.col("start_s") >= F.greatest(F.lit(0.0), F.col("duration_s") - 20))
     editorial = F.array_join("texts", " ").rlike(T.EDITORIAL)
     keep = (F.col("kind") == "short") | F.col("source").rlike(SPEECH) | F.col("beside") | (edge & ~editorial)
-    return c.where(F.coalesce(keep, F.lit(False))).drop("cid", "beside", "kind", "duration_s")
+    return c.where(F.coalesce(keep, F.lit(False))).drop("beside", "kind", "duration_s")
 
 
 def union_candidates(candidates: DataFrame) -> DataFrame:
@@ -106,7 +105,7 @@ def snap(segments: DataFrame, cuts: DataFrame, media: DataFrame) -> DataFrame:
     instants = cuts.select("video_id", F.col("cut_s"), F.col("cut_seq"), F.col("cut_s").alias("start_s"), F.col("cut_s").alias("end_s"))
     s = segments
     for end in ("start_s", "end_s"):
-        s = snap_nearest(s, instants.select("video_id", F.col("cut_s").alias(end), "cut_seq"), KEY, end, SNAP_S, row_id=["cand_seq"], seq="cut_seq", name="__to").withColumn(end, F.col("__to")).drop("__to")
+        s = snap_nearest(s, instants.select("video_id", F.col("cut_s").alias(end), "cut_seq"), KEY, end, SNAP_S, seq="cut_seq", name="__to").withColumn(end, F.col("__to")).drop("__to")
     s = s.join(media.select("video_id", "duration_s"), "video_id")
     inside = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.col("duration_s"))
     s = s.withColumn("start_s", inside(F.col("start_s"))).withColumn("end_s", inside(F.col("end_s")))
@@ -130,11 +129,14 @@ JUDGED = ("video_id", "cand_seq", "start_s", "end_s", "ad_type", "confidence", "
 
 
 def united(media: DataFrame, hits: DataFrame, captions: DataFrame, *, strong: Sequence[str], medium: Sequence[str], series: str, promo: Sequence[dict[str, int]] = (), anti: Sequence[dict[str, int]] = (), phrases: Sequence[str] = (), guard: Sequence[str] = (), waive: Sequence[str] = ()) -> DataFrame:
-    """Candidates: overlays, speech and intents are proposed, incidental overlays go, the rest are united."""
+    """Candidates: overlays, speech and intents are proposed, incidental overlays go, the rest are united.
+
+    What is proposed is written once (a checkpoint), as the next steps read it several times.
+    """
     proposed = overlay_candidates(hits, media).unionByName(speech_candidates(captions, media, strong, medium, series, guard=guard, waive=waive))
     if promo or phrases:
         proposed = proposed.unionByName(intent_candidates(captions, media, promo, anti, phrases))
-    return union_candidates(drop_incidental(proposed, media)).join(media.select("video_id", "kind", "duration_s"), "video_id")
+    return union_candidates(drop_incidental(checkpoint(proposed), media)).join(media.select("video_id", "kind", "duration_s"), "video_id")
 
 
 def detect(media: DataFrame, hits: DataFrame, captions: DataFrame, cuts: DataFrame, *, strong: Sequence[str], medium: Sequence[str], series: str = r"(?i)(^|[^a-z])(course|class|lesson|batch)([^a-z]|$)", answers: DataFrame | None = None, known: dict[str, str] | None = None, named: dict[str, str] | None = None, **lexicons) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from spanforge.functions import text as T
 from spanforge.operators.intervals import bucketed, context_rows, first_in_span
+from spanforge.shared import worked_out
 
 SPEECH = r"asr|intent"
 LEAST_SPEECH_S, OPENING_S, OPENING_END_S, CARD_S, CARD_EDGE_S = 8, 1.5, 20, 5, 1.5
@@ -115,11 +116,10 @@ def judge(candidates: DataFrame, *, known: Mapping[str, str] | None = None, name
     and ``spoken`` (of with_speech) are read where they are there.
     """
     duration, spoken = _column(candidates, "duration_s", "double"), _column(candidates, "spoken", "string")
-    said = F.array_join("texts", " ")
-    c = candidates.withColumn("said", said).withColumn("blob", T.best_banner(F.col("texts")))
-    c = c.withColumn("blob", F.when(F.col("blob") == "", F.substring("said", 1, 500)).otherwise(F.col("blob"))).withColumn("shown_brand", T.title_brand("blob", known))
+    c = worked_out(candidates, said=F.array_join("texts", " "), blob=T.best_banner(F.col("texts")))
     ours = [F.when(F.contains(F.lower("said"), F.lit(k)), F.lit(v)) for k, v in (named or {}).items()]
-    c = c.withColumn("brand", F.coalesce(*ours, F.col("shown_brand")))
+    c = worked_out(c, blob=F.when(F.col("blob") == "", F.substring("said", 1, 500)).otherwise(F.col("blob")))
+    c = worked_out(c, brand=F.coalesce(*ours, T.title_brand("blob", known)))
     source, triggers = F.col("source"), F.col("raw_triggers")
     c = c.withColumn("reject_reason", reject_reason(F.col("start_s"), F.col("end_s"), source, triggers, F.col("blob"), F.col("score_hint"), F.col("brand")))
     c = c.withColumn("ad_type", ad_type(F.col(kind), F.col("start_s"), F.col("end_s"), duration, source, F.col("said")))
@@ -131,7 +131,7 @@ def judge(candidates: DataFrame, *, known: Mapping[str, str] | None = None, name
     c = c.withColumn("transcript_span", F.substring(span, 1, 400)).withColumn("ocr_text", F.when(ocr_only(source), T.overlay_text("blob", F.col("brand"), known)).otherwise(""))
     accepted = F.col("reject_reason").isNull()
     w = W.partitionBy(key).orderBy(F.when(accepted, 0).otherwise(1), "start_s", "cand_seq")
-    return c.withColumn("id", F.when(accepted, F.format_string("seg_%02d", F.row_number().over(w)))).drop("said", "blob", "shown_brand")
+    return c.withColumn("id", F.when(accepted, F.format_string("seg_%02d", F.row_number().over(w)))).drop("said", "blob")
 
 
 def needs_model(candidates: DataFrame, *, key: str = "video_id", kind: str = "kind") -> DataFrame:
@@ -183,8 +183,8 @@ def from_answers(answered: DataFrame, *, answer: str = "answer", duration: str =
     start = F.greatest(F.lit(0.0), inside(F.coalesce("__a.start_s", "start_s")))
     a = a.withColumn("__start", start).withColumn("__end", F.greatest(F.col("__start") + 0.3, inside(F.coalesce("__a.end_s", "end_s"))))
     only, said = ocr_only(source), F.substring(F.array_join("texts", " "), 1, 500)
-    banner = T.best_banner(F.col("texts"))
-    a = a.withColumn("__blob", F.when(banner == "", said).otherwise(banner))
+    a = worked_out(a, __blob=T.best_banner(F.col("texts")))
+    a = worked_out(a, __blob=F.when(F.col("__blob") == "", said).otherwise(F.col("__blob")))
     named = F.substring(T.text("__a.brand"), 1, 80)
     a = a.withColumn("brand", F.when(only & (named == ""), T.title_brand("__blob", known)).otherwise(named))
     cleaned = F.get(F.transform(F.array(T.clean_banner("__blob", known)), lambda x: F.when(x == "", F.col("__blob")).otherwise(x)), F.lit(0))

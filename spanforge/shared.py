@@ -1,10 +1,11 @@
-"""The folder that all executors share, and cutting lineage in it."""
+"""The folder that all executors share, cutting lineage in it, and columns that are worked out once."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,3 +29,12 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder, on whatever file system it is."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def worked_out(df: DataFrame, **columns: Column) -> DataFrame:
+    """With further columns, each worked out once a row however often it is read later.
+
+    They come from a generated row: no later expression or filter has them copied into it, as it would through a projection.
+    """
+    rest = [c for c in df.columns if c not in columns]
+    return df.select(*rest, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))

@@ -346,3 +346,21 @@ def test_a_key_split_over_tasks_folds_as_one(spark, ranges):
     plan = lambda **kw: {(r.k, r.i): r.source for r in folds.near_duplicate_plan(df, ["k"], order="i", thumb="th", least=8.0, **kw).collect()}
     assert plan(ranges=ranges) == plan() == want
     assert folds.near_duplicate_plan(df.limit(0), ["k"], order="i", thumb="th", least=8.0, ranges=ranges).count() == 0
+
+
+@pytest.mark.parametrize("tolerance", [0.3, 0.75, 5.0])
+def test_nearest_instants_equal_all_compared_one_by_one(spark, tolerance):
+    rng = random.Random(7)
+    at = lambda: rng.choice([None, *(rng.randrange(-40, 400) / 10 for _ in range(30))])
+    left = [(i, rng.choice(["a", "b", None, "a"]), at()) for i in range(300)] + [(300, "a", 1.5), (301, "a", 1.5)]
+    right = [(i, rng.choice(["a", "c", None, "a"]), at()) for i in range(120)] + [(120, "a", 1.5), (121, "a", 1.5)]
+    a, b = spark.createDataFrame(left, "id int, k string, t double"), spark.createDataFrame(right, "q int, k string, t double")
+    want, far = {}, set()
+    for i, k, t in left:
+        near = [(abs(t - u), q, u) for q, j, u in right if None not in (k, t, u) and j == k and abs(t - u) <= tolerance]
+        want[i] = min(near)[2] if near else t
+        far |= set() if near else {i}
+    got = intervals.snap_nearest(a, b, ["k"], "t", tolerance, seq="q").collect()
+    assert len(got) == len(left) and {r.id: r.snapped for r in got} == want
+    assert sorted(r.id for r in intervals.near_anti(a, b, ["k"], "t", tolerance).collect()) == sorted(far)
+    assert intervals.snap_nearest(a, b.limit(0), ["k"], "t", tolerance, seq="q").where("snapped <=> t").count() == len(left)

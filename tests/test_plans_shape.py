@@ -1,8 +1,12 @@
 """Plans keep to the shuffles that they need."""
 
+from hashlib import sha256
+
 import pytest
+from pyspark.sql import functions as F
 
 from spanforge import catalogue
+from spanforge.shared import worked_out
 from tests.conftest import DATA
 
 
@@ -19,7 +23,7 @@ def test_no_catalogue_query_joins_without_an_equality(spark):
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "BatchEvalPython" not in plan, name
 
 
-@pytest.mark.parametrize("name", ["context_before_span_after", "span_hits_top_n", "nearest_snap"])
+@pytest.mark.parametrize("name", ["context_before_span_after", "span_hits_top_n"])
 def test_interval_joins_have_the_bucket_in_their_equality(spark, name):
     plan = catalogue.QUERIES[name](spark, f"{DATA}/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "__bucket" in plan.split("Join Inner", 1)[1].split("\n")[0]
@@ -30,3 +34,16 @@ def test_sweeps_repeat_no_row_and_deal_by_bucket(spark, name):
     plan = catalogue.QUERIES[name](spark, f"{DATA}/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and plan.count("Join") == 1
     assert "__bucket" in plan.split("Join LeftOuter", 1)[1].split("\n")[0]
+
+
+@pytest.mark.parametrize("name", ["nearest_snap", "tolerance_anti"])
+def test_nearest_instants_are_swept_and_not_joined(spark, name):
+    plan = catalogue.QUERIES[name](spark, f"{DATA}/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "__bucket" in plan.split("Window", 1)[1].split("\n")[0]
+    assert "unboundedfollowing" not in plan
+
+
+def test_a_column_worked_out_once_is_not_copied_into_filters(spark):
+    df = worked_out(spark.range(9), h=F.sha2(F.col("id").cast("string"), 256)).where("h > 'a' AND h < 'b'").withColumn("g", F.concat("h", "h"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") == 1 and df.count() == sum("a" < sha256(str(i).encode()).hexdigest() < "b" for i in range(9))
