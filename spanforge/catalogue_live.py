@@ -48,16 +48,17 @@ def live_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.col("m") / 60).alias("frame_timestamps"),
         F.pmod(F.floor("value"), F.lit(4)).cast("int").alias("score_hint"),
     )
-    at = m.withColumn("tick", F.floor(F.col("m") / (60 * TICK_H)).cast("long") + 1)
+    at = m.withColumn("tick", F.floor(F.col("m") / (60 * TICK_H)).cast("long") + 1).where("tick IS NOT NULL")
     said = at.groupBy("user_id", "tick").agg(F.array_sort(F.collect_list(F.struct("m", "event_id", cand.alias("c")))).alias("cands"))
-    clock = at.groupBy("user_id").agg(F.max("tick").alias("last")).select("user_id", "last", F.explode(F.sequence(F.lit(1).cast("long"), "last")).alias("tick"))
-    rows = clock.join(said, ["user_id", "tick"], "left")
-    return rows.select(F.col("user_id").cast("string").alias("session_id"), (F.col("tick") * TICK_H).cast("double").alias("now_s"), F.transform("cands", lambda c: c["c"]).alias("cands"), (F.col("tick") == F.col("last")).alias("is_end"))
+    # A user's first event is in tick 1; each tick with events is followed by the silent ones before the next, so no clock is joined and rows stay dealt by user.
+    spans = said.withColumn("next", F.lead("tick").over(W.partitionBy("user_id").orderBy("tick")))
+    rows = spans.select("user_id", "tick", "next", "cands", F.explode(F.sequence(F.col("tick"), F.coalesce(F.col("next") - 1, F.col("tick")))).alias("now"))
+    return rows.select(F.col("user_id").cast("string").alias("session_id"), (F.col("now") * TICK_H).cast("double").alias("now_s"), F.when(F.col("now") == F.col("tick"), F.transform("cands", lambda c: c["c"])).alias("cands"), F.col("next").isNull().alias("is_end"))
 
 
 def live_tracks(spark, d):
     """Tracks that were committed, with all their evidence."""
-    e = live.replay(live_ticks(spark, d)).where("event = 'emitted'")
+    e = live.replay(live_ticks(spark, d), kinds=["emitted"])
     return e.select(
         F.col("session_id").cast("long").alias("user_id"),
         F.col("track").cast("long").alias("track"),
@@ -75,7 +76,7 @@ def live_tracks(spark, d):
 
 def live_log(spark, d):
     """The last 50 numbered events of each session: what is open or committed at which tick, and the end."""
-    e = live.last_events(live.replay(live_ticks(spark, d)), 50)
+    e = live.replay(live_ticks(spark, d), columns=["session_id", "seq", "now_s", "event", "status", "track", "end_s"], most=50)
     return e.select(F.col("session_id").cast("long").alias("user_id"), "seq", F.col("now_s").cast("long").alias("now_h"), "event", "status", F.col("track").cast("long").alias("track"), F.round("end_s", 4).alias("end_h"))
 
 

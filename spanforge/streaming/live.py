@@ -20,7 +20,7 @@ under the same id starts anew. A tick that comes after a later one counts at the
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -63,13 +63,14 @@ def clip(ticks: DataFrame, *, known: Mapping[str, str] | None = None) -> DataFra
     def seen(c: Column) -> Column:
         texts = F.array_compact(F.coalesce(c["texts"], none))
         said, source = longest_of(texts), F.coalesce(c["source"], F.lit(""))
-        lasting = T.signature(said, known)
+        # The longest text is looked for, and its signature made, once.
+        named = T.once(said, lambda t: T.once(T.signature(t, known), lambda lasting: F.when(lasting != "", lasting).otherwise(F.substring(T.normalise(t), 1, 40))))
         return F.struct(
             F.greatest(F.lit(0.0), c["start_s"]).alias("start_s"),
             F.least(c["end_s"], now).alias("end_s"),
             source.alias("source"),
             region_of(source).alias("roi"),
-            F.when(lasting != "", lasting).otherwise(F.substring(T.normalise(said), 1, 40)).alias("signature"),
+            named.alias("signature"),
             F.array_compact(F.coalesce(c["raw_triggers"], none)).alias("triggers"),
             texts.alias("texts"),
             F.filter(F.coalesce(c["frame_timestamps"], F.expr("CAST(array() AS array<double>)")), lambda t: t <= now).alias("frame_timestamps"),
@@ -110,8 +111,8 @@ class Tracks:
 
     ended = False
 
-    def __init__(self, session: str, tracks: list[dict] | None = None, clock: tuple | None = None):
-        self.session, self.open = session, tracks or []
+    def __init__(self, session: str, tracks: list[dict] | None = None, clock: tuple | None = None, told: tuple[str, ...] = _EVENT):
+        self.session, self.open, self.told = session, tracks or [], told
         self.number, self.seq, self.now, self.ticks, self.emitted, self.stalled = clock or (0, 0, 0.0, 0, 0, False)
 
     def clock(self) -> tuple:
@@ -121,11 +122,11 @@ class Tracks:
         self.seq += 1
         blank = {"track": -1, "start_s": 0.0, "end_s": self.now, "source": "", "roi": "", "signature": "", "triggers": [], "texts": [], "frame_timestamps": [], "text": "", "score": 0}
         row = blank | what | {"session_id": self.session, "seq": self.seq, "now_s": self.now, "event": event, "status": status}
-        return tuple(row[c] for c in _EVENT)
+        return tuple(row[c] for c in self.told)
 
     def row(self, tick: dict) -> list[tuple]:
         if self.ended:
-            self.__init__(self.session)
+            self.__init__(self.session, told=self.told)
             self.ended = False
         self.now, self.ticks, self.stalled = max(self.now, tick["now_s"]), self.ticks + 1, False
         for c in tick["cands"] or []:
@@ -142,7 +143,7 @@ class Tracks:
         """Emit what is over, tell what is open."""
         events, still = [], []
         for t in self.open:
-            length, told = t["end_s"] - t["start_s"], t | {"text": max(t["texts"], key=len, default="")}
+            length, told = t["end_s"] - t["start_s"], t | {"text": max(t["texts"], key=len, default="")} if "text" in self.told else t
             if ended or self.now - t["end_s"] >= SILENCE_S or length >= LONGEST_S:
                 if length >= LEAST_S and t["score"] >= 1:
                     self.emitted += 1
@@ -157,9 +158,47 @@ class Tracks:
         return events
 
 
-def replay(ticks: DataFrame, *, known: Mapping[str, str] | None = None) -> DataFrame:
-    """Events of finished sessions, from a table; ticks of a session are read in order of their time."""
-    return replayed(clip(ticks, known=known), "session_id", ["now_s"], Tracks, schemas.LIVE_EVENTS)
+class Chosen:
+    """A session's machine whose events are chosen by kind, or of which only the last ones are told at the end."""
+
+    def __init__(self, machine: Tracks, kinds: frozenset[str] | None, most: int | None):
+        self.machine, self.kinds, self.most = machine, kinds, most
+        self.at_kind, self.at_seq = machine.told.index("event"), machine.told.index("seq")
+        self.kept, self.top, self.bound = [], 0, 2 * (most or 0)
+
+    def row(self, tick: dict) -> list[tuple]:
+        events = self.machine.row(tick)
+        if self.most is not None:
+            self.top = max(self.top, self.machine.seq)
+            self.kept += events
+            if len(self.kept) > self.bound:
+                self.cut()
+                self.bound = 2 * max(self.most, len(self.kept))
+            return []
+        return [e for e in events if e[self.at_kind] in self.kinds] if self.kinds is not None else events
+
+    def cut(self) -> None:
+        self.kept = [e for e in self.kept if e[self.at_seq] > self.top - self.most]
+
+    def end(self) -> list[tuple]:
+        self.cut()
+        return [e for e in self.kept if self.kinds is None or e[self.at_kind] in self.kinds]
+
+
+def replay(ticks: DataFrame, *, known: Mapping[str, str] | None = None, columns: Sequence[str] | None = None, kinds: Sequence[str] | None = None, most: int | None = None) -> DataFrame:
+    """Events of finished sessions, from a table; ticks of a session are read in order of their time.
+
+    ``columns`` are those that are told (with the evidence left out, an open
+    track's events don't repeat it at each tick), ``kinds`` the kinds of events, and
+    ``most`` tells only the last ones of each session, as last_events does, without a second pass.
+    """
+    if columns is None and kinds is None and most is None:
+        return replayed(clip(ticks, known=known), "session_id", ["now_s"], Tracks, schemas.LIVE_EVENTS)
+    asked = _EVENT if columns is None else tuple(columns)
+    told = tuple(c for c in _EVENT if c in asked or c in ("event", "seq"))
+    schema, wanted = ", ".join(c for c in schemas.LIVE_EVENTS.split(", ") if c.split(" ")[0] in told), None if kinds is None else frozenset(kinds)
+    make = lambda s: Chosen(Tracks(s, told=told), wanted, most)
+    return replayed(clip(ticks, known=known), "session_id", ["now_s"], make, schema).select(*asked)
 
 
 class _Sessions(StatefulProcessor):

@@ -1,10 +1,11 @@
 import json
 import time
 
+import pyarrow as pa
 import pytest
 
 from spanforge import schemas
-from spanforge.streaming import live
+from spanforge.streaming import live, machines
 from tests.streams import drained, fed
 
 
@@ -155,3 +156,24 @@ def test_a_live_commit_has_its_evidence(spark):
     rows = [(4, [cand(1, 3, "buy now at acme foods", "ocr", 2, ("cta", "brand_word"))], False), (12, [cand(3, 12, "our discount", "asr", 4, ("promo",))], False), (20, [], True)]
     (got,) = live.committed(live.replay(ticks(spark, rows))).collect()
     assert (got.signals_used, got.transcript_span, got.frame_timestamps) == (["asr", "ocr"], "buy now at acme foods our discount", [1.0, 3.0, 3.0, 12.0])
+
+
+def test_last_events_of_a_replay_come_without_a_second_pass(spark):
+    """Also of a session that sends on after its end, whose numbers start anew."""
+    rows = [(float(t), [cand(t - 1, t, score=2)] if t % 3 else [], t in (9, 15)) for t in range(1, 20)]
+    t = ticks(spark, rows).unionAll(ticks(spark, rows[:7], "other"))
+    columns = ["session_id", "seq", "now_s", "event", "track", "end_s"]
+    for most in (1, 4, 50):
+        got = live.replay(t, columns=columns, most=most)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, live.last_events(live.replay(t), most).select(*columns).collect()))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    chosen = live.replay(t, kinds=["emitted"]).collect()
+    assert sorted(map(tuple, chosen)) == sorted(map(tuple, live.replay(t).where("event = 'emitted'").collect())) and chosen
+    assert [r.event for r in live.replay(t, columns=["event"], kinds=["session_end"]).collect()] == ["session_end"] * 2
+
+
+def test_plain_values_are_those_of_arrow():
+    kind = pa.struct([("a", pa.float64()), ("b", pa.list_(pa.string())), ("c", pa.int32())])
+    rows = [None, [], [{"a": 1.5, "b": ["x", None], "c": 2}, {"a": None, "b": None, "c": None}], [None], [{"a": 2.0, "b": [], "c": 1}]]
+    for array in (pa.array(rows, pa.list_(kind)), pa.array(rows, pa.list_(kind)).slice(2, 2), pa.array(rows[:3] + rows[4:], pa.list_(kind)).slice(1), pa.array([True, None]), pa.array([1, 2])):
+        assert machines.plain(array) == array.to_pylist()
